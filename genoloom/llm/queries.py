@@ -5,18 +5,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoloom.llm.line_dedup import dedup_lines
+from genoloom.llm.mixing import mix_plan
+from genoloom.llm.packing import pack_documents
+from genoloom.llm.pii import personal_data
+from genoloom.llm.quality_rules import quality_verdicts
 from genoloom.llm.simhash import simhash_components
+from genoloom.llm.token_counts import token_counts
+
+MIN_SITES = 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """The default place of a public vocabulary file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components over all documents: 3-word shingles, at most 2 differing bits."""
     return simhash_components(_table(spark, sf_dir, "documents"), shingle_words=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match token counts of all documents."""
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document after cross-site lines go: lines before and taken out, and a digest of the rest."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    before = docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"))
+    return dedup_lines(before, min_sites=MIN_SITES, removed_col="n_removed").select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to target weights takes of each document."""
+    return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, distances to the language's references and the verdict for every document."""
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_packing": op4_packing,
+    "op5_mixing": op5_mixing,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_personal_data": op9_personal_data,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": f"""
+        WITH l AS (
+          SELECT doc_id, source, i - 1 AS pos, lines[i] AS line, trim(lines[i], ' ' || chr(9) || chr(13)) AS k
+          FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), range(1, len(lines) + 1) AS r(i)
+        ), spread AS (
+          SELECT k, min((doc_id, pos)) AS first FROM l WHERE regexp_matches(k, '[^\\x20\\x09-\\x0D]')
+          GROUP BY k HAVING count(DISTINCT coalesce('s' || source, 'n')) >= {MIN_SITES}
+        ), marked AS (
+          SELECT l.*, coalesce((l.doc_id, l.pos) <> s.first, false) AS gone FROM l LEFT JOIN spread s ON l.k = s.k
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed,
+               md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_md5
+        FROM marked GROUP BY doc_id""",
+}
