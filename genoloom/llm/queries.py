@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoloom.llm.embedding_dedup import embedding_components
 from genoloom.llm.line_dedup import dedup_lines
 from genoloom.llm.mixing import mix_plan
 from genoloom.llm.packing import pack_documents
 from genoloom.llm.pii import personal_data
+from genoloom.llm.quality_classifier import quality_scores
 from genoloom.llm.quality_rules import quality_verdicts
 from genoloom.llm.simhash import simhash_components
+from genoloom.llm.suffix_dedup import remove_repeats
 from genoloom.llm.token_counts import token_counts
 
 MIN_SITES = 10
@@ -54,6 +57,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document after byte strings of 200 bytes that repeat anywhere go."""
+    return remove_repeats(_table(spark, sf_dir, "documents"), min_len=200)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, distances to the language's references and the verdict for every document."""
     return quality_verdicts(_table(spark, sf_dir, "documents"))
@@ -64,14 +77,22 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.98 within a label."""
+    return embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_personal_data": op9_personal_data,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

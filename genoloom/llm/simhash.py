@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from genoloom.llm.arrow_groups import sorted_groups
+from genoloom.llm.text_columns import fresh
 from genoloom.operators.components import connected_components
 from genoloom.session import materialize
 
@@ -131,10 +133,14 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
+#: What a probe (a shuffled row) costs in comparisons of two fingerprints.
+PROBE_COST = 20.0
+
+
 def plan(classes: DataFrame, radius: int, bucket_limit: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed, the cheapest over several numbers of partitions."""
     joint, n = bit_statistics(classes)
-    options = {m: group_bits(joint, n, m) for m in range(max(1, radius // 2), radius + 3)}
+    options = {m: group_bits(joint, n, m) for m in range(1 if radius <= 2 else 2, min(radius + 2, 6) + 1)}
     parts = [(m, i, bits) for m, groups in options.items() for i, bits in enumerate(groups)]
     values = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("v")) for k, (_, _, bits) in enumerate(parts)))
     c = F.col("c").cast("double")
@@ -150,9 +156,9 @@ def plan(classes: DataFrame, radius: int, bucket_limit: int) -> list[tuple[list[
             near, row = np.array([1.0]), [0.0]
             for b in bits:
                 near = np.convolve(near, [1.0, odds[b]])
-            for t in range(min(radius, len(bits), 3) + 1):
+            for t in range(min(radius, len(bits), 4) + 1):
                 probes = n * sum(comb(len(bits), f) for f in range(_reach(t) + 1))
-                row.append(8.0 * probes + measured.get(k, 0.0) * near[: 2 * _reach(t) + 1].sum())
+                row.append(PROBE_COST * probes + measured.get(k, 0.0) * near[: 2 * _reach(t) + 1].sum())
             costs.append(row)
         if -m <= radius - m + 1 <= sum(len(r) - 2 for r in costs):
             cost, ts = allocate(costs, radius - m + 1)
@@ -236,3 +242,103 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = classes.join(labels.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(ids, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near-duplicate documents: candidates by 64 bits, verified by 256 ------------------------------------------------
+
+WIDE = 4
+BLOCK_ROWS = 512
+
+
+def wide_fingerprint_of(text: bytes, shingle_words: int) -> list[int]:
+    """Four signed words of a 256-bit SimHash over a text's shingles; zeros for a text without words."""
+    words = text.lower().split()
+    if not words:
+        return [0] * WIDE
+    n = max(1, len(words) - shingle_words + 1)
+    counts = np.zeros(WIDE * BITS, np.int64)
+    for s in range(0, n, _PIECE):
+        part = words[s : min(s + _PIECE, n) + shingle_words - 1]
+        shingles = [b" ".join(x) for x in zip(*(part[i:] for i in range(shingle_words)))] if len(words) >= shingle_words else [b" ".join(words)]
+        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) + xxhash.xxh3_128_digest(x, SEED + 1) for x in shingles]), np.uint8)
+        counts += np.unpackbits(h.reshape(-1, WIDE * 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, bitorder="little").view("<i8").tolist()
+
+
+def _wide(docs: DataFrame, text_col: str, names: list[str], shingle_words: int) -> DataFrame:
+    """docs with the four words as columns more."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                b = batch.slice(k, 512)
+                fps = [wide_fingerprint_of(t or b"", shingle_words) for t in b.column(at).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[i] for f in fps], pa.int64()) for i in range(WIDE))], names=[*b.schema.names, *names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names)]))
+
+
+def wide_links(classes: DataFrame, radius: int, distance: int) -> DataFrame:
+    """Edges (a, b) between ids of classes (cid, fp, w1, w2, w3) that meet within ``radius`` bits of fp and are at most ``distance`` of all 256 bits apart.
+
+    The edges of a bucket are a forest. Buckets are compared in blocks, so that none is held whole by a task.
+    """
+    probes = None
+    for k, (bits, t) in enumerate(plan(classes.select("fp").distinct(), radius, 1 << 30)):
+        keys = _flipped(F.col("fp").bitwiseAND(F.lit(_mask(bits))), bits, _reach(t))
+        own = classes.select(F.lit(k).alias("part"), F.explode(keys).alias("key"), "cid", "fp", "w1", "w2", "w3")
+        probes = own if probes is None else probes.unionByName(own)
+    large = probes.groupBy("part", "key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK_ROWS)
+    blocks = F.coalesce(F.ceil(F.col("c") / BLOCK_ROWS), F.lit(1)).cast("int")
+    met = probes.join(large, ["part", "key"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(5)), "blocks").cast("int"))
+    dealt = met.select("part", "key", "cid", "fp", "w1", "w2", "w3", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keys = ["part", "key", "b1", "b2"]
+    cells = dealt.select("part", "key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "cid", "fp", "w1", "w2", "w3").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in sorted_groups(batches, keys):
+            a, b = [], []
+            for t in found:
+                if t.num_rows < 2:
+                    continue
+                w = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("fp", "w1", "w2", "w3")])
+                near = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(np.uint16) for x in w) <= distance
+                np.fill_diagonal(near, False)
+                if near.any():
+                    ids, left = t.column("cid").to_numpy(), near.any(axis=1)
+                    for i in np.flatnonzero(left):
+                        if left[i]:
+                            left[i], todo = False, [i]
+                            while todo:
+                                j = todo.pop()
+                                more = np.flatnonzero(near[j] & left)
+                                left[more] = False
+                                todo.extend(more.tolist())
+                                a.extend([int(ids[j])] * len(more))
+                                b.extend(ids[more].tolist())
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 10, distance: int = 44) -> DataFrame:
+    """The rows of docs that are the first of their group of near duplicates, with docs' columns.
+
+    Texts are near duplicates if the SimHashes of their five-word shingles estimate a similarity of about 0.8: at most
+    ``distance`` of 256 bits differ (39 bits are a Jaccard similarity of 0.8; the rest allows for the estimate's error).
+    Candidates differ in at most ``radius`` of the first 64 bits. Groups are what links reach. The first row has the smallest
+    id, null ids last; among rows of the same id one stays. Texts without words are copies of each other.
+    """
+    uid, names = fresh(docs, "_uid"), []
+    for c in ("fp", "w1", "w2", "w3"):
+        names.append(fresh(docs.select("*", *(F.lit(0).alias(x) for x in names)), c + "_"))
+    rows = materialize(_wide(docs, text_col, names, shingle_words).withColumn(uid, F.monotonically_increasing_id()), "near-rows")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))
+    slim = rows.select(*(F.col(c).alias(x) for c, x in zip(names, ("fp", "w1", "w2", "w3"))), place.alias("place"))
+    classes = slim.groupBy("fp", "w1", "w2", "w3").agg(F.min("place").alias("first"))
+    classes = materialize(classes.select("fp", "w1", "w2", "w3", "first", F.col("first.uid").alias("cid")), "near-classes")
+    roots = connected_components(wide_links(classes, radius, distance)).withColumnRenamed("node", "cid")
+    firsts = classes.join(roots, "cid", "left").groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("first").alias("first"))
+    return rows.join(firsts.select(F.col("first.uid").alias(uid)), uid, "left_semi").select(*docs.columns)
