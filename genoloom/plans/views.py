@@ -51,7 +51,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
-    inputs = {x: view(spark, sf_dir, x) for x in set(re.findall(r"\{(\w+)\}", text)) - {"g"}}
+    inputs = {x: view(spark, sf_dir, x) for x in set(re.findall(r"\{([a-z]\w*)\}", text)) - {"g"}}
     return spark.sql(text.replace("{g}", ""), **inputs)
 
 
@@ -60,13 +60,13 @@ def duckdb_sql(body: str) -> str:
     need: list[str] = []
 
     def add(text: str) -> None:
-        for x in re.findall(r"\{(\w+)\}", text):
+        for x in re.findall(r"\{([a-z]\w*)\}", text):
             if x in VIEWS and x not in need:
                 add(VIEWS[x])
                 need.append(x)
 
     add(body)
-    plain = lambda text: re.sub(r"\{(\w+)\}", lambda m: ", 'g'" if m[1] == "g" else m[1], text)
+    plain = lambda text: re.sub(r"\{([a-z]\w*)\}", lambda m: ", 'g'" if m[1] == "g" else m[1], text)
     ctes = ",\n".join(f"{x} AS ({plain(VIEWS[x])})" for x in need)
     body = plain(body).strip()
     if not ctes:
