@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCRATCH: list[str] | None = None  # paths of the tables that the running step writes, while one is running
+_FINISHED: list[str] = []  # those of earlier steps
 
 
 def get_session(app: str = "genoloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -43,6 +47,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/genoloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH is not None:
+        _SCRATCH.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._genoloom_path = path
     return out
@@ -52,6 +58,34 @@ def drop_materialized(df: DataFrame) -> None:
     """Deletes the files behind a table that ``materialize`` returned, once nothing reads it any more."""
     path = getattr(df, "_genoloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def step(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Wraps a step (spark, docs, sf_dir) of a pipeline whose steps write their results before the next one begins.
+
+    When a step begins, the scratch tables of earlier steps are deleted, unless its docs still read from one of them.
+    """
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _SCRATCH
+        if _FINISHED:
+            read = " ".join(docs.inputFiles())
+            if not any(p.rpartition("/")[2] in read for p in _FINISHED):
+                for p in _FINISHED:
+                    _delete(spark, p)
+                _FINISHED.clear()
+        _SCRATCH = []
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            _FINISHED.extend(_SCRATCH)
+            _SCRATCH = None
+
+    return run
