@@ -64,7 +64,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
     """The documents that the mix takes, each repeated as often as it is taken, with the columns of docs."""
-    whole = fresh(docs, "whole")
-    rows = docs.select(F.col(id_col), F.col(text_col), F.col(source_col), F.struct(*docs.columns).alias(whole))
-    plan = mix_plan(rows, id_col, text_col, source_col, weights, most, seed, keep=(whole,))
-    return plan.where("copies > 0").select(whole, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{whole}.*")
+    uid = fresh(docs, "_uid")
+    rows = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix_plan(rows, id_col, text_col, source_col, weights, most, seed, keep=(uid,)).where("copies > 0").select(uid, F.sequence(F.lit(1), F.col("copies")).alias(fresh(docs, "_times")))
+    return rows.join(plan, uid).withColumn(uid, F.explode(plan.columns[1])).select(*docs.columns)
