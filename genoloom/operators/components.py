@@ -22,14 +22,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        # Large star: every neighbour above u hangs on u's least neighbour (or on u).
+        # Large star: every neighbour above u hangs on u's least neighbour (or on u). What is joined to the edges is written
+        # first, so that both sides of each join have a shuffle of their own and Spark can split a hub's edges.
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = materialize(large.distinct(), "cc-large")
         # Small star: every neighbour below u, and u, hang on u's least neighbour.
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        floor = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-floor")
         small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(floor.select("u", F.col("m").alias("v")))
         after = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
+        for done in (least, large, floor):
+            drop_materialized(done)
         now = _mark(after)
         drop_materialized(current)
         current = after

@@ -238,3 +238,10 @@ RESIDUE_MASS = {
     "L": 113.1576, "K": 128.1723, "M": 131.1961, "F": 147.1739, "P": 97.1152, "S": 87.0773, "T": 101.1039, "W": 186.2099, "Y": 163.1733, "V": 99.1311,
 }
 WATER = 18.0153
+
+
+def codon_reference(usage: DataFrame, organism: str, order: list[str] | None = None) -> DataFrame:
+    """(codon, n) of one organism of a usage table (organism, counts: 64 numbers as text separated by blanks, in the order of codons)."""
+    names = F.array(*map(F.lit, order or C.codons()))
+    row = usage.where(F.col("organism") == organism).select(F.explode(F.arrays_zip(names.alias("codon"), F.split(F.trim("counts"), r"\s+").alias("n"))).alias("x"))
+    return row.select("x.codon", F.col("x.n").cast("long").alias("n"))

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from genoloom.operators.blocks import fill_track, start_track
+from genoloom.operators.sequences import codon_reference
 from genoloom.plans.feature_queries import _tree
 from genoloom.plans.relation_queries import _lengths, _reads
 from genoloom.plans.views import duckdb_sql, view
@@ -46,7 +47,97 @@ def _xmfa(s, d):
     return R.read_xmfa(s, path)
 
 
+def _trip(s, lines, kind, read):
+    """Writes text lines and reads them back."""
+    path = _path(s, kind)
+    W.write_lines(lines, path)
+    return read(s, path)
+
+
+def _reformat(s, d):
+    return W.gff3_lines(_gff3(s, d).withColumn("attrs", F.map_filter("attrs", lambda k, v: k != "note")), "again").select("line")
+
+
+def _blocks(s, d):
+    return view(s, d, "aligned").where("length(seq_a) > 0").select(F.col("conv_id").alias("lcb"), "turn", F.col("seq_a").alias("seq"))
+
+
+def _sam(s, d):
+    f = view(s, d, "features")
+    cigar = F.concat((F.col("stop") - F.col("start")).cast("string"), F.lit("M2S"))
+    line = F.concat_ws("\t", "feature_id", F.when(F.col("strand") < 0, "16").otherwise("0"), F.col("record_id").cast("string"), (F.col("start") + 1).cast("string"), F.lit("9"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"))
+    return _trip(s, f.select(line.alias("line")), "sam", R.read_sam_starts)
+
+
+def _five(s, d):
+    t = _tree(s, d)
+    per = W.five_column_lines(t).groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("t"))
+    return _trip(s, per.select(F.concat(F.lit(">Feature r"), F.col("record_id").cast("string"), F.lit("\n"), "t").alias("line")), "tbl", R.read_five_column)
+
+
+def _clusters(s, d):
+    o = view(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("m"))
+    return o.select("o_custkey", F.transform("m", lambda x: x.cast("string")).alias("m"))
+
+
+def _cdhit(s, d):
+    body = F.array_join(F.transform("m", lambda x, i: F.concat(i.cast("string"), F.lit("\t9aa, >"), x, F.when(i == 0, "... *").otherwise("... at 90%"))), "\n")
+    return _trip(s, _clusters(s, d).select(F.concat(F.lit(">Cluster "), F.col("o_custkey").cast("string"), F.lit("\n"), body).alias("line")), "clstr", R.read_cdhit)
+
+
+def _glimmer(s, d):
+    f = view(s, d, "features")
+    a, b = F.when(F.col("strand") > 0, F.col("start") + 1).otherwise(F.col("stop")), F.when(F.col("strand") > 0, F.col("stop")).otherwise(F.col("start") + 1)
+    line = F.concat_ws(" ", "feature_id", a.cast("string"), b.cast("string"), F.when(F.col("strand") > 0, "+1").otherwise("-1"), F.lit("7.5"))
+    per = f.select("record_id", line.alias("l")).groupBy("record_id").agg(F.array_join(F.collect_list("l"), "\n").alias("t"))
+    return _trip(s, per.select(F.concat(F.lit(">r"), F.col("record_id").cast("string"), F.lit(" x\n"), "t").alias("line")), "predict", R.read_glimmer)
+
+
+def _terms(s, d):
+    p = view(s, d, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("t"))
+    return _trip(s, p.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "t")))).alias("line")), "json", R.read_term_dictionary)
+
+
+def _gaf(s, d):
+    path = _path(s, "gaf")
+    W.write_tsv(view(s, d, "supplier").select(F.col("s_suppkey").alias("# gene"), F.col("s_name").alias("go_id")), path)
+    return R.read_gaf(s, path)
+
+
+def _gene_table(s, d):
+    path = _path(s, "tsv")
+    f = view(s, d, "features")
+    W.write_tsv(f.select(F.col("record_id").alias("rec"), F.when(F.col("strand") > 0, F.col("start") + 1).otherwise(F.col("stop")).alias("from"), F.when(F.col("strand") > 0, F.col("stop")).otherwise(F.col("start") + 1).alias("to"), F.concat("feature_id", F.lit(";a=b")).alias("label")), path)
+    return R.read_gene_table(s, path, "rec", "from", "to", "label")
+
+
+def _trna(s, d):
+    f = view(s, d, "features")
+    line = F.concat_ws("\t", F.concat(F.lit("r"), F.col("record_id").cast("string")), "feature_id", F.when(F.col("strand") > 0, F.col("start") + 1).otherwise(F.col("stop")).cast("string"), F.when(F.col("strand") > 0, F.col("stop")).otherwise(F.col("start") + 1).cast("string"), F.lit("Ala"), F.lit("TGC"), F.lit("0"), F.lit("0"), F.lit("60"))
+    return _trip(s, f.select(line.alias("line")), "trna", R.read_trnascan)
+
+
+def _partitioned(s, d):
+    path = _path(s, "parts")
+    W.write_partitioned(W.bed_lines(view(s, d, "features").where("record_id % 10 = 0")), path, "record_id")
+    return s.read.text(path)
+
+
 QUERIES = {
+    "reformat": _reformat,
+    "write_xmfa": lambda s, d: W.xmfa_lines(_blocks(s, d).select("lcb", F.col("turn").alias("member"), F.lit(0).alias("start"), F.length("seq").alias("stop"), F.lit(1).alias("strand"), F.lit("x").alias("comment"), "seq")).select("lcb", F.md5("line").alias("line")),
+    "read_sam_starts": _sam,
+    "read_five_column": lambda s, d: _five(s, d).select("record_id", "type", "start", "stop", "strand", F.try_element_at("attrs", F.lit("product")).alias("product")),
+    "read_cluster_lines": lambda s, d: _trip(s, _clusters(s, d).select(F.array_join("m", " ").alias("line")), "clusters", R.read_cluster_lines),
+    "read_cdhit": _cdhit,
+    "read_glimmer": lambda s, d: _glimmer(s, d).select("record_id", "type", "start", "stop", "strand", "feature_id", "parent"),
+    "read_term_dictionary": _terms,
+    "read_gaf": _gaf,
+    "read_gene_table": _gene_table,
+    "read_trnascan": lambda s, d: _trna(s, d).select("record_id", "start", "stop", "strand", "feature_id"),
+    "write_partitioned_features": lambda s, d: _partitioned(s, d).select("record_id", "value"),
+    "merge_split_locations": lambda s, d: R.merge_split_locations(view(s, d, "parts").withColumn("feature_id", F.col("parent"))).select("record_id", "feature_id", "type", "start", "stop", F.size("parts").alias("n"), "_error"),
+    "codon_reference": lambda s, d: codon_reference(view(s, d, "part").select(F.col("p_brand").alias("organism"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * F.col("p_size") + 1).cast("string")), " ").alias("counts")), "Brand#11").groupBy("codon").agg(F.sum("n").alias("n")),
     "read_gff3": lambda s, d: _gff3(s, d).select("record_id", "type", "start", "stop", "strand", "feature_id", "parent", F.array_join(F.try_element_at("attrs", F.lit("note")), "|").alias("note"), "_error"),
     "read_fasta": lambda s, d: _fasta(s, d).select("seq_id", F.md5("seq").alias("seq")),
     "read_blast_tab": lambda s, d: _blast(s, d).select("qseqid", "sseqid", "length", "nident", "evalue", "salltitles"),
@@ -60,8 +151,25 @@ QUERIES = {
 
 from genoloom.plans.relation_queries import _TRACK  # noqa: E402
 
+from genoloom.functions.codon import codons  # noqa: E402
+
+_A1, _B1 = "CASE WHEN strand > 0 THEN start + 1 ELSE stop END", "CASE WHEN strand > 0 THEN stop ELSE start + 1 END"
 _SIGN = "CASE WHEN strand > 0 THEN '+' ELSE '-' END"
 ORACLE_SQL = {
+    "reformat": duckdb_sql(f"""SELECT record_id || chr(9) || 'again' || chr(9) || type || chr(9) || (start + 1) || chr(9) || stop || chr(9) || '.' || chr(9) || {_SIGN} || chr(9) || '.' || chr(9) || 'ID=' || feature_id || coalesce(';Parent=' || parent, '') || coalesce(';product=' || product, '') AS line FROM {{tree}}"""),
+    "write_xmfa": duckdb_sql("""SELECT lcb, md5(string_agg(t, chr(10) ORDER BY turn) || chr(10) || '=') AS line FROM (SELECT conv_id AS lcb, turn, '> ' || turn || ':1-' || length(seq_a) || ' + x' || chr(10) || rtrim(regexp_replace(seq_a, '(.{80})', '\\1' || chr(10), 'g'), chr(10)) AS t FROM {aligned} WHERE length(seq_a) > 0) GROUP BY lcb"""),
+    "read_sam_starts": duckdb_sql("SELECT CAST(record_id AS VARCHAR) AS record_id, strand, start, stop FROM {features}"),
+    "read_five_column": duckdb_sql("SELECT 'r' || record_id AS record_id, type, start, stop, strand, product FROM {tree}"),
+    "read_cluster_lines": "SELECT CAST(min(o_orderkey) OVER (PARTITION BY o_custkey) AS VARCHAR) AS cluster, CAST(o_orderkey AS VARCHAR) AS member FROM orders",
+    "read_cdhit": "SELECT CAST(o_custkey AS VARCHAR) AS cluster_id, CAST(o_orderkey AS VARCHAR) AS member, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS representative FROM orders",
+    "read_glimmer": duckdb_sql("SELECT 'r' || record_id AS record_id, 'gene' AS type, start, stop, strand, feature_id, NULL AS parent FROM {features} UNION ALL SELECT 'r' || record_id, 'CDS', start, stop, strand, feature_id || '.cds', feature_id FROM {features}"),
+    "read_term_dictionary": "SELECT DISTINCT p_brand AS category, p_type AS term FROM part",
+    "read_gaf": "SELECT CAST(s_suppkey AS VARCHAR) AS gene, s_name AS go_id FROM supplier",
+    "read_gene_table": duckdb_sql("SELECT CAST(record_id AS VARCHAR) AS record_id, 'gene' AS type, start, stop, strand, feature_id || '%3Ba%3Db' AS name FROM {features}"),
+    "read_trnascan": duckdb_sql("SELECT 'r' || record_id AS record_id, start, stop, strand, 'r' || record_id || '.trna.' || feature_id AS feature_id FROM {features}"),
+    "write_partitioned_features": duckdb_sql(f"SELECT CAST(record_id AS INT) AS record_id, record_id || chr(9) || start || chr(9) || stop || chr(9) || feature_id || chr(9) || '0' || chr(9) || {_SIGN} AS value FROM {{features}} WHERE record_id % 10 = 0"),
+    "merge_split_locations": duckdb_sql("SELECT record_id, parent AS feature_id, min(type) AS type, min(start) AS start, max(stop) AS stop, count(*) AS n, CASE WHEN count(DISTINCT type) > 1 THEN 'types differ' END AS _error FROM {parts} GROUP BY record_id, parent"),
+    "codon_reference": "SELECT codon, CAST(sum(i * p_size + 1) AS BIGINT) AS n FROM part, (SELECT unnest([" + ", ".join(f"'{c}'" for c in codons()) + "]) AS codon, unnest(range(0, 64)) AS i) WHERE p_brand = 'Brand#11' GROUP BY codon",
     "read_gff3": duckdb_sql("SELECT CAST(record_id AS VARCHAR) AS record_id, type, start, stop, strand, feature_id, parent, 'a;b=c,d|' || type AS note, '' AS _error FROM {tree}"),
     "read_fasta": duckdb_sql("SELECT CAST(seq_id AS VARCHAR) AS seq_id, md5(seq) AS seq FROM {dna}"),
     "read_blast_tab": duckdb_sql("SELECT CAST(query AS VARCHAR) AS qseqid, CAST(subject AS VARCHAR) AS sseqid, CAST(length AS INT) AS length, CAST(nident AS INT) AS nident, round(evalue, 4) AS evalue, titles AS salltitles FROM {hits}"),
