@@ -39,10 +39,6 @@ def _seqs(s, d):
     return view(s, d, "dna").select((F.col("seq_id") + 1).alias("seq_id"), "seq")
 
 
-def _dup(df):
-    return df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
-
-
 RULES = [("hypothetical", "hypothetical"), ("tail", "tail"), ("fiber", "fiber [0-2]")]
 
 QUERIES = {
@@ -100,13 +96,11 @@ QUERIES = {
     "seq_feature_extract": lambda s, d: T.seq_feature_extract(_f(s, d), _seqs(s, d)),
 }
 
-_TAGGED = "SELECT feature_id, type, parent, start, stop, product FROM {tree}"
 _END3 = "CASE WHEN strand > 0 THEN stop ELSE start END"
 _END5 = "CASE WHEN strand > 0 THEN start ELSE stop END"
 _SHIFT = "(SELECT record_id, type, feature_id, strand, stop, CASE WHEN start % 4 = 0 AND strand > 0 THEN start + 3 ELSE start END AS start FROM {features} WHERE start % 3 <> 0)"
 _CODON = "SELECT unnest(list_transform(range(0, length(seq) // 3), lambda i: substring(seq, CAST(i * 3 + 1 AS BIGINT), 3))) AS codon FROM {dna} WHERE seq_id % 2 = "
 _CHILD = "(SELECT parent, feature_id, product, strand, start, stop, type, record_id FROM {tree} WHERE parent IS NOT NULL)"
-_DUP = ""
 
 
 def _codon_rows():

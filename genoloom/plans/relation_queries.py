@@ -143,7 +143,8 @@ QUERIES = {
 
 _PLACES = """pl AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS pos, CASE WHEN x = y THEN 1 ELSE 0 END AS m FROM (SELECT conv_id, turn, i, substring(seq_a, i, 1) AS x, substring(seq_b, i, 1) AS y
     FROM (SELECT *, unnest(range(1, length(seq_a) + 1)) AS i FROM {aligned})) WHERE x <> '-')"""
-_TRACK = "(SELECT p_partkey AS record_id, pos, coalesce(n, 0) AS n FROM (SELECT p_partkey, unnest(range(0, 20200)) AS pos FROM part WHERE p_partkey % 20 = 0) LEFT JOIN (SELECT record_id, CASE WHEN strand > 0 THEN start ELSE stop END AS pos, count(*) AS n FROM {features} GROUP BY 1, 2) t ON t.record_id = p_partkey AND t.pos = pos)".replace("t.pos = pos)", "t.pos = g.pos)").replace("FROM (SELECT p_partkey, unnest", "FROM (SELECT p_partkey, unnest").replace("% 20 = 0) LEFT", "% 20 = 0) g LEFT").replace("SELECT p_partkey AS record_id, pos,", "SELECT p_partkey AS record_id, g.pos,")
+_TRACK = """(SELECT g.record_id, g.pos, coalesce(n, 0) AS n FROM (SELECT p_partkey AS record_id, unnest(range(0, 20200)) AS pos FROM part WHERE p_partkey % 20 = 0) g
+    LEFT JOIN (SELECT record_id, CASE WHEN strand > 0 THEN start ELSE stop END AS pos, count(*) AS n FROM {features} GROUP BY 1, 2) t ON t.record_id = g.record_id AND t.pos = g.pos)"""
 _KIDS = "(SELECT parent, count(*) FILTER (type = 'CDS') AS cds, count(*) FILTER (type = 'Shine_Dalgarno_sequence') AS rbs, count(*) FILTER (type = 'exon' AND stop - start > 10) AS exons, count(*) FILTER (type = 'exon') AS allexons FROM {tree} WHERE parent IS NOT NULL GROUP BY parent)"
 _QC = {
     "qc_missing_rbs": f"SELECT record_id, feature_id, 'missing_rbs' AS rule, 'no RBS' AS message FROM {{tree}} t JOIN {_KIDS} k ON k.parent = t.feature_id WHERE cds > 0 AND rbs = 0",

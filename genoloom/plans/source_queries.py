@@ -4,10 +4,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from genoloom.functions.codon import codons
 from genoloom.operators.blocks import fill_track, start_track
 from genoloom.operators.sequences import codon_reference
 from genoloom.plans.feature_queries import _tree
-from genoloom.plans.relation_queries import _lengths, _reads
+from genoloom.plans.relation_queries import _TRACK, _lengths, _reads
 from genoloom.plans.views import duckdb_sql, view
 from genoloom.session import shared_dir
 from genoloom.sources import readers as R
@@ -149,10 +150,6 @@ QUERIES = {
     "write_five_column": lambda s, d: W.five_column_lines(_tree(s, d)).select("line"),
 }
 
-from genoloom.plans.relation_queries import _TRACK  # noqa: E402
-
-from genoloom.functions.codon import codons  # noqa: E402
-
 _A1, _B1 = "CASE WHEN strand > 0 THEN start + 1 ELSE stop END", "CASE WHEN strand > 0 THEN stop ELSE start + 1 END"
 _SIGN = "CASE WHEN strand > 0 THEN '+' ELSE '-' END"
 ORACLE_SQL = {
@@ -177,6 +174,6 @@ ORACLE_SQL = {
     "write_gff3": duckdb_sql(f"""SELECT record_id || chr(9) || 'genoloom' || chr(9) || type || chr(9) || (start + 1) || chr(9) || stop || chr(9) || '.' || chr(9) || {_SIGN} || chr(9) || '.' || chr(9) || 'ID=' || feature_id || coalesce(';Parent=' || parent, '') || coalesce(';product=' || product, '') AS line FROM {{tree}}"""),
     "write_fasta": duckdb_sql("SELECT seq_id, md5('>' || seq_id || chr(10) || rtrim(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), chr(10))) AS line FROM {dna}"),
     "write_bed": duckdb_sql(f"SELECT record_id || chr(9) || start || chr(9) || stop || chr(9) || feature_id || chr(9) || '0' || chr(9) || {_SIGN} AS line FROM {{features}}"),
-    "write_wig": duckdb_sql(f"SELECT CASE WHEN pos = 0 THEN 'variableStep chrom=' || record_id || chr(10) ELSE '' END || (pos + 1) || ' ' || n AS line, count(*) AS n FROM (SELECT * FROM {_TRACK.replace('coalesce(n, 0) AS n', 'g.pos AS pos, coalesce(n, 0) AS n').replace('g.pos, g.pos AS pos', 'g.pos AS pos')}) GROUP BY 1"),
+    "write_wig": duckdb_sql(f"SELECT CASE WHEN pos = 0 THEN 'variableStep chrom=' || record_id || chr(10) ELSE '' END || (pos + 1) || ' ' || n AS line, count(*) AS n FROM {_TRACK} GROUP BY 1"),
     "write_five_column": duckdb_sql("SELECT CASE WHEN strand < 0 THEN stop ELSE start + 1 END || chr(9) || CASE WHEN strand < 0 THEN start + 1 ELSE stop END || chr(9) || type || coalesce(chr(10) || chr(9) || chr(9) || chr(9) || 'product' || chr(9) || product, '') AS line FROM {tree}"),
 }
