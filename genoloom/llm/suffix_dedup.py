@@ -181,7 +181,8 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, group_limit: int = 256)
     """
     gram, reach = min_len // 2, min_len - min_len // 2
     every = anchors(docs, min_len)
-    repeated = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written, so that the join below has a shuffle of its own on both sides and Spark can split a hot key.
+    repeated = materialize(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "suffix-keys")
     rows = materialize(every.join(repeated, "key"), "suffix-anchors")
     # Classes of equal context. A class of two or more occurrences is covered as far as its context goes.
     place = F.struct("rid", "pos")
