@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,7 +134,7 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 
 #: What a probe (a shuffled row) costs in comparisons of two fingerprints.
-PROBE_COST = 20.0
+PROBE_COST = 250.0
 
 
 def plan(classes: DataFrame, radius: int, bucket_limit: int) -> list[tuple[list[int], int]]:
@@ -241,12 +241,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tied = classes.join(labels, "fp")
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = classes.join(labels.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # Written, so that the last join has a shuffle of its own on both sides and Spark can split a fingerprint of very many copies.
+    ids = materialize(ids, "simhash-ids")
     return rows.join(ids, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- near-duplicate documents: candidates by 64 bits, verified by 256 ------------------------------------------------
 
 WIDE = 4
+WORDS = ("fp", "w1", "w2", "w3")
 BLOCK_ROWS = 512
 
 
@@ -265,30 +268,31 @@ def wide_fingerprint_of(text: bytes, shingle_words: int) -> list[int]:
     return np.packbits(2 * counts > n, bitorder="little").view("<i8").tolist()
 
 
-def _wide(docs: DataFrame, text_col: str, names: list[str], shingle_words: int) -> DataFrame:
-    """docs with the four words as columns more."""
-    at = docs.columns.index(text_col)
+def _wide(docs: DataFrame, text_col: str, shingle_words: int) -> DataFrame:
+    """The columns of docs but the text, and the four words fp, w1, w2, w3."""
+    rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 b = batch.slice(k, 512)
-                fps = [wide_fingerprint_of(t or b"", shingle_words) for t in b.column(at).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[i] for f in fps], pa.int64()) for i in range(WIDE))], names=[*b.schema.names, *names])
+                fps = [wide_fingerprint_of(t or b"", shingle_words) for t in b.column(text_col).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(WIDE))], names=[*rest, *WORDS])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names)]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(c, T.LongType()) for c in WORDS)]))
 
 
-def wide_links(classes: DataFrame, radius: int, distance: int) -> DataFrame:
-    """Edges (a, b) between ids of classes (cid, fp, w1, w2, w3) that meet within ``radius`` bits of fp and are at most ``distance`` of all 256 bits apart.
+def wide_links(classes: DataFrame, radius: int, distance: int, indexed: int = 2) -> DataFrame:
+    """Edges (a, b) between ids of classes (cid, fp, w1, w2, w3) that are at most ``distance`` of all 256 bits apart and at most ``radius`` in one of the first ``indexed`` words.
 
     The edges of a bucket are a forest. Buckets are compared in blocks, so that none is held whole by a task.
     """
     probes = None
-    for k, (bits, t) in enumerate(plan(classes.select("fp").distinct(), radius, 1 << 30)):
-        keys = _flipped(F.col("fp").bitwiseAND(F.lit(_mask(bits))), bits, _reach(t))
-        own = classes.select(F.lit(k).alias("part"), F.explode(keys).alias("key"), "cid", "fp", "w1", "w2", "w3")
-        probes = own if probes is None else probes.unionByName(own)
+    for i, word in enumerate(WORDS[:indexed]):
+        for k, (bits, t) in enumerate(plan(classes.select(F.col(word).alias("fp")).distinct(), radius, 1 << 30)):
+            keys = _flipped(F.col(word).bitwiseAND(F.lit(_mask(bits))), bits, _reach(t))
+            own = classes.select(F.lit(100 * i + k).alias("part"), F.explode(keys).alias("key"), "cid", *WORDS)
+            probes = own if probes is None else probes.unionByName(own)
     large = probes.groupBy("part", "key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK_ROWS)
     blocks = F.coalesce(F.ceil(F.col("c") / BLOCK_ROWS), F.lit(1)).cast("int")
     met = probes.join(large, ["part", "key"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(5)), "blocks").cast("int"))
@@ -328,17 +332,19 @@ def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_co
 
     Texts are near duplicates if the SimHashes of their five-word shingles estimate a similarity of about 0.8: at most
     ``distance`` of 256 bits differ (39 bits are a Jaccard similarity of 0.8; the rest allows for the estimate's error).
-    Candidates differ in at most ``radius`` of the first 64 bits. Groups are what links reach. The first row has the smallest
-    id, null ids last; among rows of the same id one stays. Texts without words are copies of each other.
+    Candidates differ in at most ``radius`` bits of the first or of the second 64. Groups are what links reach. The first
+    row has the smallest id, null ids last; of rows with the same id and text one stays. Texts without words are copies of
+    each other. Rows are told apart by a 64-bit hash of id and text.
     """
-    uid, names = fresh(docs, "_uid"), []
-    for c in ("fp", "w1", "w2", "w3"):
-        names.append(fresh(docs.select("*", *(F.lit(0).alias(x) for x in names)), c + "_"))
-    rows = materialize(_wide(docs, text_col, names, shingle_words).withColumn(uid, F.monotonically_increasing_id()), "near-rows")
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))
-    slim = rows.select(*(F.col(c).alias(x) for c, x in zip(names, ("fp", "w1", "w2", "w3"))), place.alias("place"))
-    classes = slim.groupBy("fp", "w1", "w2", "w3").agg(F.min("place").alias("first"))
-    classes = materialize(classes.select("fp", "w1", "w2", "w3", "first", F.col("first.uid").alias("cid")), "near-classes")
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    rows = _wide(keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), "text", shingle_words)
+    rows = materialize(rows, "near-rows").withColumn("place", F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    classes = rows.groupBy(*WORDS).agg(F.min("place").alias("first"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     roots = connected_components(wide_links(classes, radius, distance)).withColumnRenamed("node", "cid")
     firsts = classes.join(roots, "cid", "left").groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("first").alias("first"))
-    return rows.join(firsts.select(F.col("first.uid").alias(uid)), uid, "left_semi").select(*docs.columns)
+    firsts = materialize(firsts.select(F.col("first.row").alias(key)).distinct(), "near-firsts")
+    copy = fresh(keyed, "_copy")
+    kept = keyed.join(firsts, key).withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+    return kept.where(F.col(copy) == 1).select(*docs.columns)
