@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genoloom.llm.arrow_groups import sorted_groups
 from genoloom.llm.text_columns import fresh
 from genoloom.operators.components import connected_components
 from genoloom.session import materialize
@@ -246,10 +245,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(ids, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near-duplicate documents: candidates by 64 bits, verified by 256 ------------------------------------------------
+# --- near-duplicate documents: exact similarity of shingle sets ------------------------------------------------------
 
 WIDE = 4
-WORDS = ("fp", "w1", "w2", "w3")
 BLOCK_ROWS = 512
 
 
@@ -268,82 +266,109 @@ def wide_fingerprint_of(text: bytes, shingle_words: int) -> list[int]:
     return np.packbits(2 * counts > n, bitorder="little").view("<i8").tolist()
 
 
-def _wide(docs: DataFrame, text_col: str, shingle_words: int) -> DataFrame:
-    """The columns of docs but the text, and the four words fp, w1, w2, w3."""
-    rest = [c for c in docs.columns if c != text_col]
+def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
+    """The distinct signed 64-bit hashes of a text's word shingles, rising; a shorter text is one shingle, a text without words has none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    shingles = zip(*(words[i:] for i in range(shingle_words))) if len(words) >= shingle_words else [words]
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(x), SEED) for x in shingles], np.uint64).view(np.int64))
+
+
+def _hashed(docs: DataFrame, shingle_words: int, percent: int = 0, late: np.ndarray | None = None) -> DataFrame:
+    """The columns of docs but the text, the hash cid of its shingle set, and the set or, with late, its size n and head.
+
+    Heads are taken in one order of all shingles: rising, those in ``late`` (rising) after the others. Sets of sizes n and m that share percent of their union share at least percent of n, so some shingle is in the heads
+    of both: the first of all but that many, and one more.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    longs = T.ArrayType(T.LongType())
+    more = [T.StructField("shingles", longs)] if late is None else [T.StructField("n", T.LongType()), T.StructField("head", longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 b = batch.slice(k, 512)
-                fps = [wide_fingerprint_of(t or b"", shingle_words) for t in b.column(text_col).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(WIDE))], names=[*rest, *WORDS])
+                sets = [shingle_set(t or b"", shingle_words) for t in b.column("text").cast(pa.binary()).to_pylist()]
+                own = [pa.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], pa.uint64()).view(pa.int64())]
+                if late is None:
+                    own.append(pa.array(sets, pa.list_(pa.int64())))
+                else:
+                    last = [late[np.searchsorted(late[:-1], x)] == x if len(late) else np.zeros(len(x), bool) for x in sets]
+                    heads = [np.append(x[~y], x[y])[: len(x) + percent * -len(x) // 100 + 1] for x, y in zip(sets, last)]
+                    own += [pa.array([len(x) for x in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *own], names=[*rest, "cid", *(f.name for f in more)])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(c, T.LongType()) for c in WORDS)]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), T.StructField("cid", T.LongType()), *more]))
 
 
-def wide_links(classes: DataFrame, radius: int, distance: int, indexed: int = 2) -> DataFrame:
-    """Edges (a, b) between ids of classes (cid, fp, w1, w2, w3) that are at most ``distance`` of all 256 bits apart and at most ``radius`` in one of the first ``indexed`` words.
+#: One of so many rows is looked at for frequent shingles, which stand last in the order: speed depends on it, results don't.
+SAMPLE = 16
 
-    The edges of a bucket are a forest. Buckets are compared in blocks, so that none is held whole by a task.
+
+def frequent_shingles(texts: DataFrame, shingle_words: int) -> np.ndarray:
+    """Shingles of about 64 texts or more (of more in large tables), rising."""
+    some = materialize(_hashed(texts.where(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(SAMPLE)) == 0).select("text"), shingle_words).dropDuplicates(["cid"]), "near-sample")
+    least = max(4, some.count() >> 15)
+    found = some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy())
+
+
+def near_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between classes whose sets share ``percent`` of their union, enough to join all that are reachable.
+
+    met: rows (h, cid, n, pos) of the shingles h in the heads of several classes, pos being the place in the ordered set, with
+    the class p that the shingle's others are held against first. sets: (cid, shingles). All pairs that share a shingle are
+    held against each other, but for those that the first links have joined already.
     """
-    probes = None
-    for i, word in enumerate(WORDS[:indexed]):
-        for k, (bits, t) in enumerate(plan(classes.select(F.col(word).alias("fp")).distinct(), radius, 1 << 30)):
-            keys = _flipped(F.col(word).bitwiseAND(F.lit(_mask(bits))), bits, _reach(t))
-            own = classes.select(F.lit(100 * i + k).alias("part"), F.explode(keys).alias("key"), "cid", *WORDS)
-            probes = own if probes is None else probes.unionByName(own)
-    large = probes.groupBy("part", "key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK_ROWS)
-    blocks = F.coalesce(F.ceil(F.col("c") / BLOCK_ROWS), F.lit(1)).cast("int")
-    met = probes.join(large, ["part", "key"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(5)), "blocks").cast("int"))
-    dealt = met.select("part", "key", "cid", "fp", "w1", "w2", "w3", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keys = ["part", "key", "b1", "b2"]
-    cells = dealt.select("part", "key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "cid", "fp", "w1", "w2", "w3").repartition(*keys).sortWithinPartitions(*keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in sorted_groups(batches, keys):
-            a, b = [], []
-            for t in found:
-                if t.num_rows < 2:
-                    continue
-                w = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("fp", "w1", "w2", "w3")])
-                near = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(np.uint16) for x in w) <= distance
-                np.fill_diagonal(near, False)
-                if near.any():
-                    ids, left = t.column("cid").to_numpy(), near.any(axis=1)
-                    for i in np.flatnonzero(left):
-                        if left[i]:
-                            left[i], todo = False, [i]
-                            while todo:
-                                j = todo.pop()
-                                more = np.flatnonzero(near[j] & left)
-                                left[more] = False
-                                todo.extend(more.tolist())
-                                a.extend([int(ids[j])] * len(more))
-                                b.extend(ids[more].tolist())
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return cells.mapInArrow(run, "a long, b long").distinct()
-
-
-def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 10, distance: int = 44) -> DataFrame:
+    def enough(n1, pos1, n2, pos2):  # can a pair whose first shared shingle is here share percent of the union?
+        return F.least(n1 - pos1, n2 - pos2) * (100 + percent) >= (n1 + n2) * percent
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+        return both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b")
+
+    others = met.where("cid != p.cid")
+    stars = others.where(enough(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))).select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
+    first = materialize(linked(materialize(stars.distinct(), "near-stars")), "near-links")
+    labels = materialize(connected_components(first).withColumnsRenamed({"node": "cid"}), "near-labels")
+    tied = others.join(labels, "cid", "left").select("h", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
+    tied = materialize(tied, "near-tied")
+    split = tied.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+    split = materialize(split.select("h", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks")), "near-split")
+    # A shingle's classes meet in blocks, so that no task holds a pair of blocks of more than BLOCK_ROWS or so.
+    dealt = tied.join(split, "h").withColumn("own", F.pmod(F.xxhash64("cid", F.lit(5)), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = dealt.select("h", F.col("own").alias("i"), F.col("other").alias("j"), F.struct("cid", "n", "pos", "root").alias("x"))
+    y = dealt.select("h", F.col("other").alias("i"), F.col("own").alias("j"), F.struct("cid", "n", "pos", "root").alias("y"))
+    apart = x.join(y, ["h", "i", "j"]).where((F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & enough(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    rest = materialize(apart.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "near-pairs")
+    return first.unionByName(linked(rest))
+
+
+def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are the first of their group of near duplicates, with docs' columns.
 
-    Texts are near duplicates if the SimHashes of their five-word shingles estimate a similarity of about 0.8: at most
-    ``distance`` of 256 bits differ (39 bits are a Jaccard similarity of 0.8; the rest allows for the estimate's error).
-    Candidates differ in at most ``radius`` bits of the first or of the second 64. Groups are what links reach. The first
+    Texts are near duplicates if their sets of five-word shingles share ``percent`` of their union or more (the Jaccard
+    similarity, exact but for collisions of 64-bit hashes); all such pairs are found. Groups are what links reach. The first
     row has the smallest id, null ids last; of rows with the same id and text one stays. Texts without words are copies of
     each other. Rows are told apart by a 64-bit hash of id and text.
     """
     key = fresh(docs, "_key")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
-    rows = _wide(keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), "text", shingle_words)
-    rows = materialize(rows, "near-rows").withColumn("place", F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    classes = rows.groupBy(*WORDS).agg(F.min("place").alias("first"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
-    roots = connected_components(wide_links(classes, radius, distance)).withColumnRenamed("node", "cid")
-    firsts = classes.join(roots, "cid", "left").groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("first").alias("first"))
+    texts = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(_hashed(texts, shingle_words, percent, frequent_shingles(texts, shingle_words)), "near-rows")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = materialize(rows.groupBy("cid").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("head").alias("head")), "near-classes")
+    probes = classes.select("cid", "n", F.posexplode("head").alias("pos", "h"))
+    pivot = F.min(F.struct(F.xxhash64("cid", "h").alias("draw"), "cid", "n", "pos"))
+    shared = materialize(probes.groupBy("h").agg(F.count("*").alias("c"), pivot.alias("p")).where("c > 1").drop("c"), "near-shared")
+    met = materialize(probes.join(shared, "h"), "near-met")
+    needed = materialize(met.select("cid").distinct().join(classes.select("cid", F.col("first.row").alias("row")), "cid").select("row"), "near-needed")
+    sets = materialize(_hashed(texts.join(needed, "row").select("text"), shingle_words).dropDuplicates(["cid"]), "near-sets")
+    roots = connected_components(near_links(met, sets, percent)).withColumnRenamed("node", "cid")
+    firsts = classes.select("cid", "first").join(roots, "cid", "left").groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("first").alias("first"))
     firsts = materialize(firsts.select(F.col("first.row").alias(key)).distinct(), "near-firsts")
     copy = fresh(keyed, "_copy")
     kept = keyed.join(firsts, key).withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))

@@ -161,3 +161,43 @@ def test_model_equals_direct_densities(spark):
 def test_schema_of_cases_is_the_documents_table():
     assert [f.name for f in SCHEMA] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert F is not None
+
+
+def test_near_dedup_is_exact_at_the_limit(spark):
+    """Pairs of 100 shingles that share 89 (similarity 0.802) and 88 (0.786): the first kind is found, the second isn't."""
+    rng = random.Random(21)
+    data, exp = [], set()
+    for g in range(120):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        shared = 89 if g % 2 else 88
+        other = [f"w{rng.randrange(10**9)}" for _ in range(100 - shared)]
+        exp |= {2 * g} if g % 2 else {2 * g, 2 * g + 1}
+        data += [(2 * g, " ".join(words), "en", "s", 0), (2 * g + 1, " ".join(words[: shared + 4] + other), "en", "s", 0)]
+    assert {r.doc_id for r in keep_one_of_near_duplicates(table(spark, data)).collect()} == exp
+
+
+def test_near_dedup_equals_brute_force(spark):
+    """Chains and families of all similarities, one of them larger than a block."""
+    rng = random.Random(22)
+    texts = []
+    for g in range(30):
+        t = [f"v{rng.randrange(10**9)}" for _ in range(rng.choice([4, 6, 30, 90]))]
+        for _ in range(700 if g == 3 else 12):
+            texts.append(" ".join(t))
+            new = list(t)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                new[rng.randrange(len(new))] = f"v{rng.randrange(10**9)}"
+            t = new if rng.random() < 0.6 else t
+    sets = []
+    for x in texts:
+        w = x.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and near(sets[i], sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    kept = keep_one_of_near_duplicates(table(spark, [(i, x, "en", "s", 0) for i, x in enumerate(texts)]))
+    assert {r.doc_id for r in kept.collect()} == set(root)
