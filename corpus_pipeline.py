@@ -50,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces of all documents."""
     import public_tokenizers
 
-    return pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), capacity=CAPACITY)
+    return pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), capacity=CAPACITY, added_tokens=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,8 @@ def _byte_letters() -> dict[str, int]:
 def byte_encoder(path: str):
     """An encoder with the ids of the tokenizers file at ``path`` (byte-level, no prefix space, ids in merge order).
 
-    The ids are those of the tokenizers library; tests hold them against it. Special strings are ordinary text.
+    The ids are those of the tokenizers library; tests hold them against it. Special strings are ordinary text here;
+    ``token_bytes_with_added`` knows them.
     """
     import public_tokenizers
     import tiktoken
@@ -74,8 +76,33 @@ def token_bytes(text: str, path: str) -> bytes:
     return np.array(chunks.encode(head), "<u4").tobytes() + b"".join([chunks[w] for w in rest])
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Each document's ids with the end id, cut at multiples of capacity: id, start, length, ids_crc32, doc_tokens (and ids)."""
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """A pattern that finds the file's added tokens, longer ones first, and their ids."""
+    from tokenizers import Tokenizer
+
+    found = {t.content: (i, t) for i, t in Tokenizer.from_file(path).get_added_tokens_decoder().items()}
+    for _, t in found.values():
+        if t.lstrip or t.rstrip or t.single_word:
+            raise ValueError(f"added token with lstrip, rstrip or single_word: {t.content!r}")
+    listed = "|".join(re.escape(c) for c in sorted(found, key=len, reverse=True))
+    return re.compile(f"({listed})") if listed else None, {c: np.array([i], "<u4").tobytes() for c, (i, _) in found.items()}
+
+
+def token_bytes_with_added(text: str, path: str) -> bytes:
+    """As ``token_bytes``, but added tokens (special strings) of the file get their own ids, as the library gives by default."""
+    pattern, ids = _added(path)
+    parts = pattern.split(text) if pattern else [text]
+    return b"".join([ids[x] if i % 2 else token_bytes(x, path) for i, x in enumerate(parts)])
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+    """Each document's ids with the end id, cut at multiples of capacity: id, start, length, ids_crc32, doc_tokens (and ids).
+
+    With ``added_tokens``, the file's special strings get their own ids in texts (the library's default); else they are
+    ordinary text (the library's ``encode_special_tokens``).
+    """
+    encode = token_bytes_with_added if added_tokens else token_bytes
     fields = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens"))]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
@@ -87,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: s
                 b = batch.slice(at, 256)
                 row, start, length, crc, total, ids = [], [], [], [], [], []
                 for i, text in enumerate(b.column(1).to_pylist()):
-                    got = token_bytes(text or "", tokenizer_path) + end
+                    got = encode(text or "", tokenizer_path) + end
                     n = len(got) // 4
                     for s in range(0, n, capacity):
                         part = got[4 * s : 4 * (s + capacity)]
@@ -163,9 +190,9 @@ def pack(cut: DataFrame, capacity: int = 2048, group_pieces: int = 4096) -> Data
     return laid.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, group_pieces: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, group_pieces: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """Packed pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids).
 
     Null and empty texts are their end id alone. Repeated rows are packed once each.
     """
-    return pack(pieces(docs, tokenizer_path, capacity, id_col, text_col, with_ids), capacity, group_pieces)
+    return pack(pieces(docs, tokenizer_path, capacity, id_col, text_col, with_ids, added_tokens), capacity, group_pieces)

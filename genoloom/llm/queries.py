@@ -49,7 +49,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048)
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, added_tokens=True)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

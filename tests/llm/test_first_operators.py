@@ -325,3 +325,11 @@ def test_personal_data_further_kinds():
     assert got["secret"] == ["c7ceddada3b8", "4bd3cee1dcafedfd"] and got["key"] == ["AKIASJDZWJNP6ZRYWK"] and got["url"] == ["ftp://me:pw@host.org:21"]
     assert got["iban"] == ["DE89 3704 0044 0532 0130 00"] and got["ssn"] == ["123-45-6789"]
     assert redact("mail a@b.cd now") == "mail [EMAIL] now"
+
+
+def test_added_tokens_have_the_ids_of_the_librarys_default(spark):
+    t = Tokenizer.from_file(BPE)
+    texts = ["x <|endoftext|> a", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "a  <|endoftext|>\n\n b", "<|endoftext", "<|<|endoftext|>|>", *(x.content + " y" for x in t.get_added_tokens_decoder().values()), "plain text", "", None]
+    got = {r.doc_id: list(r.ids) for r in pieces(table(spark, [(i, x, None, None, 0) for i, x in enumerate(texts)]), BPE, 1 << 30, with_ids=True, added_tokens=True).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}
+    assert got[0] == [87, 220, 50256, 257, 1]
