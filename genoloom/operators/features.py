@@ -283,7 +283,9 @@ def rename_from_table(features: DataFrame, names: DataFrame) -> DataFrame:
 def renumber(genes: DataFrame, members: DataFrame, prefix: str, digits: int, key: str = "record_id") -> DataFrame:
     """(feature_id, tag): members take ``prefix_NNN`` of their gene, numbered in start order of the record; members: (feature_id, parent)."""
     n = F.row_number().over(Window.partitionBy(key).orderBy("start", "stop", "feature_id"))
-    tags = genes.select("feature_id", F.concat(F.lit(f"{prefix}_"), F.lpad(n.cast("string"), digits, "0")).alias("tag"))
+    number = n.cast("string")
+    padded = F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number)  # lpad alone cuts longer numbers
+    tags = genes.select("feature_id", F.concat(F.lit(f"{prefix}_"), padded).alias("tag"))
     return tags.unionByName(members.select(F.col("feature_id").alias("_f"), "parent").join(tags, F.col("parent") == F.col("feature_id")).select(F.col("_f").alias("feature_id"), "tag"))
 
 

@@ -123,3 +123,12 @@ def test_result_does_not_depend_on_shuffle_partitions(spark):
         seen.append(sorted(map(tuple, I.gaps(df).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen[0] == seen[1]
+
+
+def test_renumber_keeps_numbers_longer_than_the_digits(spark):
+    from genoloom.operators.features import renumber
+
+    genes = spark.createDataFrame([(f"g{i:04}", "r", i, i + 1) for i in range(1005)], "feature_id string, record_id string, start long, stop long")
+    members = spark.createDataFrame([("m", "g0999")], "feature_id string, parent string")
+    got = {r.feature_id: r.tag for r in renumber(genes, members, "gp", 3).collect()}
+    assert got == {f"g{i:04}": f"gp_{i + 1:03}" for i in range(1005)} | {"m": "gp_1000"}
