@@ -178,7 +178,7 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that connect what links within radius join, at most one for each value."""
     if len(values) == 2:
         a, b = values.tolist()
-        return [(a, b)] if (a ^ b).bit_count() <= radius or ((a ^ b) & (2**64 - 1)).bit_count() <= radius else []
+        return [(a, b)] if ((a ^ b) & (2**64 - 1)).bit_count() <= radius else []
     u, left, out = values.view(np.uint64), np.ones(len(values), bool), []
     for i in range(len(values)):
         if not left[i]:

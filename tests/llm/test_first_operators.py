@@ -16,7 +16,7 @@ from genoloom.llm.mixing import mix_documents, mix_plan
 from genoloom.llm.packing import TournamentTree, first_fit, pack_documents, pieces
 from genoloom.llm.pii import find_spans, luhn, personal_data, redact
 from genoloom.llm.quality_rules import keep_quality, quality_verdicts
-from genoloom.llm.simhash import allocate, group_bits, links, simhash_components
+from genoloom.llm.simhash import allocate, forest, group_bits, links, simhash_components
 from genoloom.llm.token_counts import LongestMatch, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -333,3 +333,12 @@ def test_added_tokens_have_the_ids_of_the_librarys_default(spark):
     got = {r.doc_id: list(r.ids) for r in pieces(table(spark, [(i, x, None, None, 0) for i, x in enumerate(texts)]), BPE, 1 << 30, with_ids=True, added_tokens=True).collect()}
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}
     assert got[0] == [87, 220, 50256, 257, 1]
+
+
+@pytest.mark.parametrize("bits", [(61, 62, 63), (60, 61, 62, 63), (1, 60, 62, 63)])
+def test_two_fingerprints_that_differ_in_the_sign_bit(bits):
+    """Negative differences count their 64 bits, not those of their absolute value."""
+    a = 0x0123456789ABCDEF
+    b = int(np.array([a ^ sum(1 << k for k in bits)], "<u8").view("<i8")[0])
+    pair = np.array([a, b], np.int64)
+    assert forest(pair, len(bits) - 1) == [] and len(forest(pair, len(bits))) == 1
