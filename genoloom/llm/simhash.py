@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from genoloom.llm.arrow_groups import sorted_groups
 from genoloom.llm.text_columns import fresh
 from genoloom.operators.components import connected_components
-from genoloom.session import materialize
+from genoloom.session import drop_materialized, materialize
 
 BITS = 64
 SEED = 42
@@ -64,27 +65,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- partitions and thresholds -------------------------------------------------------------------------------------
 
 
-def bit_statistics(classes: DataFrame) -> tuple[np.ndarray, int]:
-    """The 64 x 64 matrix of joint set-bit counts over all fingerprints, and their number; 2,081 sums reach the driver."""
+def bit_statistics(classes: DataFrame, cols: list[str]) -> list[tuple[np.ndarray, int]]:
+    """For each column of fingerprints, the 64 x 64 matrix of joint set-bit counts over all rows, and their number; 2,081 sums a column reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joint, n = np.zeros((BITS, BITS), np.int64), 0
+        joint, n = np.zeros((len(cols), BITS, BITS), np.int64), 0
         for batch in batches:
-            v = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            x = np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            joint += np.rint(x.T @ x).astype(np.int64)
-            n += len(v)
+            for w in range(len(cols)):
+                v = batch.column(w).to_numpy(zero_copy_only=False).astype("<i8")
+                x = np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                joint[w] += np.rint(x.T @ x).astype(np.int64)
+            n += batch.num_rows
         if n:
             i, j = np.triu_indices(BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(i * BITS + j, -1)), pa.array(np.append(joint[i, j], n))], names=["k", "c"])
+            keys = np.concatenate([w * BITS * BITS + i * BITS + j for w in range(len(cols))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1)), pa.array(np.append(np.concatenate([m[i, j] for m in joint]), n))], names=["k", "c"])
 
-    joint, n = np.zeros((BITS, BITS)), 0
-    for r in classes.select("fp").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
+    joint, n = np.zeros((len(cols), BITS, BITS)), 0
+    for r in classes.select(*cols).mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
         if r.k < 0:
             n = r.c
         else:
-            joint[r.k // BITS, r.k % BITS] = joint[r.k % BITS, r.k // BITS] = r.c
-    return joint, n
+            w, i, j = r.k // (BITS * BITS), r.k // BITS % BITS, r.k % BITS
+            joint[w, i, j] = joint[w, j, i] = r.c
+    return [(m, n) for m in joint]
 
 
 def group_bits(joint: np.ndarray, n: int, parts: int) -> list[list[int]]:
@@ -136,33 +140,36 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 PROBE_COST = 250.0
 
 
-def plan(classes: DataFrame, radius: int, bucket_limit: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition that is probed, the cheapest over several numbers of partitions."""
-    joint, n = bit_statistics(classes)
-    options = {m: group_bits(joint, n, m) for m in range(1 if radius <= 2 else 2, min(radius + 2, 6) + 1)}
-    parts = [(m, i, bits) for m, groups in options.items() for i, bits in enumerate(groups)]
-    values = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("v")) for k, (_, _, bits) in enumerate(parts)))
+def plan(classes: DataFrame, radius: int, bucket_limit: int, cols: tuple[str, ...] = ("fp",)) -> list[tuple[str, list[int], int]]:
+    """(column, bits, threshold) of each partition that is probed, for each column of fingerprints the cheapest over several numbers of partitions."""
+    stats = bit_statistics(classes, list(cols))
+    sizes = range(1 if radius <= 2 else 2, min(radius + 2, 6) + 1)
+    parts = [(w, m, bits) for w, (joint, n) in enumerate(stats) for m in sizes for bits in group_bits(joint, n, m)]
+    values = F.array(*(F.struct(F.lit(k).alias("k"), F.col(cols[w]).bitwiseAND(F.lit(_mask(bits))).alias("v")) for k, (w, _, bits) in enumerate(parts)))
     c = F.col("c").cast("double")
     pairs = F.when(F.col("c") <= bucket_limit, c * (c - 1) / 2).otherwise(c * (BITS + 1))
     met = classes.select(F.explode(values).alias("x")).groupBy("x.k", "x.v").agg(F.count("*").alias("c")).groupBy("k").agg(F.sum(pairs).alias("pairs"))
     measured = {r.k: r.pairs for r in met.collect()}  # one row a partition
-    p = np.diag(joint) / max(n, 1)
-    odds = 2 * p * (1 - p) / np.clip(1 - 2 * p * (1 - p), 1e-9, None)  # of one bit to differ
-    found = []
-    for m, groups in options.items():
-        costs = []
-        for k, (_, _, bits) in ((k, x) for k, x in enumerate(parts) if x[0] == m):
-            near, row = np.array([1.0]), [0.0]
-            for b in bits:
-                near = np.convolve(near, [1.0, odds[b]])
-            for t in range(min(radius, len(bits), 4) + 1):
-                probes = n * sum(comb(len(bits), f) for f in range(_reach(t) + 1))
-                row.append(PROBE_COST * probes + measured.get(k, 0.0) * near[: 2 * _reach(t) + 1].sum())
-            costs.append(row)
-        if -m <= radius - m + 1 <= sum(len(r) - 2 for r in costs):
-            cost, ts = allocate(costs, radius - m + 1)
-            found.append((cost, m, [(bits, t) for bits, t in zip(groups, ts) if t >= 0]))
-    return min(found)[2]
+    out: list[tuple[str, list[int], int]] = []
+    for w, (joint, n) in enumerate(stats):
+        p = np.diag(joint) / max(n, 1)
+        odds = 2 * p * (1 - p) / np.clip(1 - 2 * p * (1 - p), 1e-9, None)  # of one bit to differ
+        found = []
+        for m in sizes:
+            groups, costs = [(k, bits) for k, (x, y, bits) in enumerate(parts) if (x, y) == (w, m)], []
+            for k, bits in groups:
+                near, row = np.array([1.0]), [0.0]
+                for b in bits:
+                    near = np.convolve(near, [1.0, odds[b]])
+                for t in range(min(radius, len(bits), 4) + 1):
+                    probes = n * sum(comb(len(bits), f) for f in range(_reach(t) + 1))
+                    row.append(PROBE_COST * probes + measured.get(k, 0.0) * near[: 2 * _reach(t) + 1].sum())
+                costs.append(row)
+            if -m <= radius - m + 1 <= sum(len(r) - 2 for r in costs):
+                cost, ts = allocate(costs, radius - m + 1)
+                found.append((cost, m, [(cols[w], bits, t) for (_, bits), t in zip(groups, ts) if t >= 0]))
+        out += min(found)[2]
+    return out
 
 
 # --- links ---------------------------------------------------------------------------------------------------------
@@ -200,7 +207,7 @@ def links(classes: DataFrame, radius: int = 2, bucket_limit: int = 1024) -> Data
     proportion to the probes however dense a group is.
     """
     probes = None
-    for k, (bits, t) in enumerate(plan(classes, radius, bucket_limit)):
+    for k, (_, bits, t) in enumerate(plan(classes, radius, bucket_limit)):
         keys = _flipped(F.col("fp").bitwiseAND(F.lit(_mask(bits))), bits, _reach(t))
         own = classes.select(F.lit(k).alias("part"), F.explode(keys).alias("key"), "fp")
         probes = own if probes is None else probes.unionByName(own)
@@ -245,25 +252,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(ids, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near-duplicate documents: exact similarity of shingle sets ------------------------------------------------------
+# --- near-duplicate documents: SimHash candidates, exact similarity of shingle sets -----------------------------------
 
 WIDE = 4
-BLOCK_ROWS = 512
-
-
-def wide_fingerprint_of(text: bytes, shingle_words: int) -> list[int]:
-    """Four signed words of a 256-bit SimHash over a text's shingles; zeros for a text without words."""
-    words = text.lower().split()
-    if not words:
-        return [0] * WIDE
-    n = max(1, len(words) - shingle_words + 1)
-    counts = np.zeros(WIDE * BITS, np.int64)
-    for s in range(0, n, _PIECE):
-        part = words[s : min(s + _PIECE, n) + shingle_words - 1]
-        shingles = [b" ".join(x) for x in zip(*(part[i:] for i in range(shingle_words)))] if len(words) >= shingle_words else [b" ".join(words)]
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) + xxhash.xxh3_128_digest(x, SEED + 1) for x in shingles]), np.uint8)
-        counts += np.unpackbits(h.reshape(-1, WIDE * 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > n, bitorder="little").view("<i8").tolist()
+#: Words of the wide fingerprint that the stage uses: the first INDEXED are probed, all are compared in the cells.
+COMPARED, INDEXED = 3, 2
+#: Rows of a block; a cell holds two blocks at most.
+BLOCK_ROWS = 8192
+_U = np.uint64
 
 
 def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
@@ -275,100 +271,270 @@ def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(x), SEED) for x in shingles], np.uint64).view(np.int64))
 
 
-def _hashed(docs: DataFrame, shingle_words: int, percent: int = 0, late: np.ndarray | None = None) -> DataFrame:
-    """The columns of docs but the text, the hash cid of its shingle set, and the set or, with late, its size n and head.
+def wide_words(shingles: np.ndarray, words: int) -> list[int]:
+    """Signed words of a SimHash over a set of hashed shingles, each of which counts once; zeros for the empty set."""
+    if not len(shingles):
+        return [0] * words
+    out = []
+    for k in range(words):
+        counts = np.zeros(BITS, np.int64)
+        for s in range(0, len(shingles), _PIECE):
+            h = shingles[s : s + _PIECE].view(np.uint64) * _U(2 * k + 1) + _U((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+            h ^= h >> _U(31)
+            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def wide_fingerprint_of(text: bytes, shingle_words: int, words: int = WIDE) -> list[int]:
+    """Signed words of a wide SimHash over the set of a text's shingles; zeros for a text without words."""
+    return wide_words(shingle_set(text, shingle_words), words)
 
-    Heads are taken in one order of all shingles: rising, those in ``late`` (rising) after the others. Sets of sizes n and m that share percent of their union share at least percent of n, so some shingle is in the heads
-    of both: the first of all but that many, and one more.
+
+_WORDS = [f"w{i}" for i in range(COMPARED)]
+
+
+def _hashed(docs: DataFrame, shingle_words: int, sets: bool) -> DataFrame:
+    """The columns of docs but the text; cid, a hash of the text's shingle set, and w0; then the set itself or the other words.
+
+    (cid, w0) stands for the set.
     """
     rest = [c for c in docs.columns if c != "text"]
-    longs = T.ArrayType(T.LongType())
-    more = [T.StructField("shingles", longs)] if late is None else [T.StructField("n", T.LongType()), T.StructField("head", longs)]
+    more = [T.StructField("cid", T.LongType()), *(T.StructField(w, T.LongType()) for w in (_WORDS[:1] if sets else _WORDS))]
+    if sets:
+        more.append(T.StructField("shingles", T.ArrayType(T.LongType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 b = batch.slice(k, 512)
-                sets = [shingle_set(t or b"", shingle_words) for t in b.column("text").cast(pa.binary()).to_pylist()]
-                own = [pa.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], pa.uint64()).view(pa.int64())]
-                if late is None:
-                    own.append(pa.array(sets, pa.list_(pa.int64())))
-                else:
-                    last = [late[np.searchsorted(late[:-1], x)] == x if len(late) else np.zeros(len(x), bool) for x in sets]
-                    heads = [np.append(x[~y], x[y])[: len(x) + percent * -len(x) // 100 + 1] for x, y in zip(sets, last)]
-                    own += [pa.array([len(x) for x in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *own], names=[*rest, "cid", *(f.name for f in more)])
+                own = [shingle_set(t or b"", shingle_words) for t in b.column("text").cast(pa.binary()).to_pylist()]
+                cols = [pa.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in own], pa.uint64()).view(pa.int64())]
+                words = [wide_words(x, 1 if sets else COMPARED) for x in own]
+                cols += [pa.array([w[i] for w in words], pa.int64()) for i in range(1 if sets else COMPARED)]
+                if sets:
+                    cols.append(pa.array(own, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *cols], names=[*rest, *(f.name for f in more)])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), T.StructField("cid", T.LongType()), *more]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *more]))
 
 
-#: One of so many rows is looked at for frequent shingles, which stand last in the order: speed depends on it, results don't.
-SAMPLE = 16
+Part = tuple[int, list[int], int]  # the word, its bits, the flips that each side makes
 
 
-def frequent_shingles(texts: DataFrame, shingle_words: int) -> np.ndarray:
-    """Shingles of about 64 texts or more (of more in large tables), rising."""
-    some = materialize(_hashed(texts.where(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(SAMPLE)) == 0).select("text"), shingle_words).dropDuplicates(["cid"]), "near-sample")
-    least = max(4, some.count() >> 15)
-    found = some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("h").toArrow()
-    return np.sort(found.column("h").to_numpy())
+def _index(classes: DataFrame, radius: int) -> list[Part]:
+    """Partitions of the indexed words, with thresholds allocated as for ``links``."""
+    names = _WORDS[:INDEXED]
+    return [(names.index(c), bits, _reach(t)) for c, bits, t in plan(classes, radius, BLOCK_ROWS, tuple(names))]
 
 
-def near_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes whose sets share ``percent`` of their union, enough to join all that are reachable.
+def _probes(nodes: DataFrame, parts: list[Part]) -> DataFrame:
+    """One row for each cell key of each node."""
+    values = [F.struct(F.lit(k).alias("part"), _flipped(F.col(_WORDS[w]).bitwiseAND(F.lit(_mask(bits))), bits, flips).alias("values")) for k, (w, bits, flips) in enumerate(parts)]
+    one = nodes.select("*", F.explode(F.array(*values)).alias("p"))
+    return one.select(*nodes.columns, "p.part", F.explode("p.values").alias("value")).withColumn("key", F.xxhash64("part", "value"))
+
+
+def _hot_keys(classes: DataFrame, parts: list[Part], block_rows: int) -> DataFrame:
+    """(key, blocks): keys that may have more than ``block_rows`` rows, from counts of the values before flips."""
+    found = None
+    for k, (w, bits, flips) in enumerate(parts):
+        cells = sum(comb(len(bits), f) for f in range(flips + 1))
+        heavy = classes.groupBy(F.col(_WORDS[w]).bitwiseAND(F.lit(_mask(bits))).alias("v")).agg(F.count("*").alias("c")).where(F.col("c") > block_rows // cells)
+        own = heavy.select(F.explode(_flipped(F.col("v"), bits, flips)).alias("v"), "c").groupBy(F.xxhash64(F.lit(k), "v").alias("key")).agg(F.sum("c").alias("c"))
+        own = own.select("key", F.ceil((F.col("c") + block_rows) / block_rows).cast("int").alias("blocks"))
+        found = own if found is None else found.unionByName(own)
+    return materialize(found, "near-hot")
+
+
+def _distances(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    return np.bitwise_count(x[lo:hi, None, :] ^ x[None, :, :]).sum(axis=2, dtype=np.uint16)
+
+
+_STEP = 256
 
-    met: rows (h, cid, n, pos) of the shingles h in the heads of several classes, pos being the place in the ordered set, with
-    the class p that the shingle's others are held against first. sets: (cid, shingles). All pairs that share a shingle are
-    held against each other, but for those that the first links have joined already.
+
+def near_forest(x: np.ndarray, limit: int, tight: int) -> list[tuple[int, int]]:
+    """Edges (places) that connect what pairs within ``limit`` bits join, at most one a row, breadth first from the row with most others within ``tight``."""
+    n = len(x)
+    near, close = np.zeros((n, n), bool), np.zeros(n, np.int64)
+    for s in range(0, n, _STEP):
+        d = _distances(x, s, s + _STEP)
+        near[s : s + _STEP], close[s : s + _STEP] = d <= limit, (d <= tight).sum(axis=1)
+    np.fill_diagonal(near, False)
+    left, out = near.any(axis=1), []
+    for i in np.argsort(-close, kind="stable").tolist() if left.any() else ():
+        if left[i]:
+            left[i], todo = False, [i]
+            for j in todo:
+                new = np.flatnonzero(near[j] & left).tolist()
+                left[new] = False
+                todo.extend(new)
+                out.extend((j, k) for k in new)
+    return out
+
+
+_EDGE = "a struct<cid:long,w0:long>, b struct<cid:long,w0:long>"
+
+
+def _edges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    ends = [pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()), pa.array([r[i + 1] for r in rows], pa.int64())], names=["cid", "w0"]) for i in (0, 2)]
+    return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+
+def _words_of(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
+
+
+def _ordered(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int, int, int]:
+    return (*a, *b) if a < b else (*b, *a)
+
+
+def _first_links(nodes: DataFrame, parts: list[Part], hot: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) to look at first: a forest of the near pairs of each cell. The rows of a hot key are dealt to random blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in sorted_groups(batches, ["key", "block"]):
+            out = set()
+            for t in found:
+                if t.num_rows > 1:
+                    edges = near_forest(_words_of(t), limit, limit * 3 // 5)
+                    if edges:
+                        ids = list(zip(t.column("cid").to_pylist(), t.column("w0").to_pylist()))
+                        out.update(_ordered(ids[i], ids[j]) for i, j in edges)
+            if out:
+                yield _edges(list(out))
+
+    dealt = _probes(nodes, parts).join(hot, "key", "left")
+    block = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid", "key"), "blocks").cast("int"))
+    cells = dealt.select("key", block.alias("block"), "cid", *_WORDS).repartition("key", "block").sortWithinPartitions("key", "block")
+    return cells.mapInArrow(run, _EDGE).distinct()
+
+
+def _rest(nodes: DataFrame, parts: list[Part], hot: DataFrame | None, limit: int, block_rows: int) -> DataFrame:
+    """All near pairs (a, b) of nodes (cid, words, label) with different labels, each from one cell only.
+
+    A hot key's rows meet in a grid of blocks; rows of its commonest label are not held against each other, so a group
+    that the first links have joined costs no more than its rows times the blocks of others.
     """
+    masks = np.array([_mask(bits) for _, bits, _ in parts], np.int64).view(np.uint64)
+    word, reach = np.array([w for w, _, _ in parts]), np.array([f for _, _, f in parts])
+
+    def cell_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """(part, value) of the cell that tells of each pair: in the first partition where the two meet, x with the lower half of the differing bits changed."""
+        diff = (x[:, word] ^ y[:, word]) & masks
+        d = np.bitwise_count(diff)
+        part = (d <= 2 * reach).argmax(axis=1)
+        at = np.arange(len(x))
+        value, rest, todo = x[at, word[part]] & masks[part], diff[at, part], d[at, part] // 2
+        while (todo > 0).any():
+            low = np.where(todo > 0, rest & (~rest + _U(1)), _U(0))
+            value, rest, todo = value ^ low, rest ^ low, np.maximum(todo, 1) - 1
+        return part, value
 
-    def enough(n1, pos1, n2, pos2):  # can a pair whose first shared shingle is here share percent of the union?
-        return F.least(n1 - pos1, n2 - pos2) * (100 + percent) >= (n1 + n2) * percent
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-        return both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b")
-
-    others = met.where("cid != p.cid")
-    stars = others.where(enough(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))).select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
-    first = materialize(linked(materialize(stars.distinct(), "near-stars")), "near-links")
-    labels = materialize(connected_components(first).withColumnsRenamed({"node": "cid"}), "near-labels")
-    tied = others.join(labels, "cid", "left").select("h", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
-    tied = materialize(tied, "near-tied")
-    split = tied.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
-    split = materialize(split.select("h", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks")), "near-split")
-    # A shingle's classes meet in blocks, so that no task holds a pair of blocks of more than BLOCK_ROWS or so.
-    dealt = tied.join(split, "h").withColumn("own", F.pmod(F.xxhash64("cid", F.lit(5)), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = dealt.select("h", F.col("own").alias("i"), F.col("other").alias("j"), F.struct("cid", "n", "pos", "root").alias("x"))
-    y = dealt.select("h", F.col("other").alias("i"), F.col("own").alias("j"), F.struct("cid", "n", "pos", "root").alias("y"))
-    apart = x.join(y, ["h", "i", "j"]).where((F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & enough(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    rest = materialize(apart.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "near-pairs")
-    return first.unionByName(linked(rest))
-
-
-def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in sorted_groups(batches, ["key", "b1", "b2"]):
+            out = []
+            for t in found:
+                if t.num_rows < 2:
+                    continue
+                x, lab, own = _words_of(t), t.column("lab").to_numpy(), t.column("own").to_numpy()
+                part, value = t.column("part").to_numpy(), t.column("value").to_numpy().view(np.uint64)
+                across = t.column("b1")[0].as_py() != t.column("b2")[0].as_py()
+                ids = None
+                for s in range(0, len(x), _STEP):
+                    near = (_distances(x, s, s + _STEP) <= limit) & (lab[s : s + _STEP, None] != lab[None, :])
+                    near &= own[s : s + _STEP, None] < own[None, :] if across else np.arange(s, min(s + _STEP, len(x)))[:, None] < np.arange(len(x))[None, :]
+                    i, j = np.nonzero(near)
+                    if not len(i):
+                        continue
+                    i += s
+                    ids = ids or list(zip(t.column("cid").to_pylist(), t.column("w0").to_pylist()))
+                    swap = np.array([ids[p] > ids[q] for p, q in zip(i.tolist(), j.tolist())])
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    p, v = cell_of(x[i], x[j])
+                    ok = (p == part[0]) & (v == value[0])
+                    out.extend((*ids[p], *ids[q]) for p, q in zip(i[ok].tolist(), j[ok].tolist()))
+            if out:
+                yield _edges(out)
+
+    probes = _probes(nodes, parts)
+    if hot is None:
+        dealt = probes.select("*", F.lit(0).alias("own"), F.lit(0).alias("b1"), F.lit(0).alias("b2"))
+    else:
+        label = probes.join(hot.select("key"), "key").groupBy("key", "lab").agg(F.count("*").alias("c"))
+        label = label.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "lab")).alias("d"))
+        blocks = lambda c: F.ceil(c / block_rows).cast("int")
+        grid = materialize(label.select("key", F.greatest(blocks(F.col("all") - F.col("d.c")), F.lit(1)).alias("others"), blocks(F.col("d.c")).alias("commons"), F.col("d.lab").alias("common")), "near-grid")
+        dealt = probes.join(grid, "key", "left")
+        draw = F.xxhash64("cid", F.lit(5))
+        common = F.col("lab") == F.col("common")
+        own = F.when(F.col("others").isNull(), 0).when(common, F.col("others") + F.pmod(draw, "commons")).otherwise(F.pmod(draw, "others")).cast("int")
+        last = F.when(F.col("others").isNull(), 0).when(common, F.col("others") - 1).otherwise(F.col("others") + F.col("commons") - 1)
+        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        dealt = dealt.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
+    cells = dealt.select("key", "b1", "b2", "own", "part", "value", "cid", *_WORDS, "lab").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+    return cells.mapInArrow(run, _EDGE)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The pairs whose shingle sets share ``percent`` of their union or more. Sets are made again from the texts of the pairs' first rows."""
+    node = F.struct("cid", "w0")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = materialize(ends.join(classes.select(node.alias("node"), F.col("first.row").alias("row")), "node").select("row").distinct(), "near-needed")
+    sets = materialize(_hashed(texts.select("row", "text").join(needed, "row").select("text"), shingle_words, True).dropDuplicates(["cid", "w0"]).select(node.alias("node"), "shingles"), "near-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    out = materialize(both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"), "near-links")
+    drop_materialized(sets)
+    return out
+
+
+def near_links(classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int, radius: int, limit: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges (a, b) between classes whose sets share ``percent`` of their union, enough to join all that are reachable.
+
+    Candidates meet by the partitions of two SimHash words and differ in at most ``limit`` bits of all; their sets decide.
+    A forest of each cell is decided first; then all candidates that its links leave apart.
+    """
+    parts = _index(classes, radius)
+    hot = _hot_keys(classes, parts, block_rows)
+    some_hot = not hot.isEmpty()
+    slim = classes.select("cid", *_WORDS)
+    tried = materialize(_first_links(slim, parts, hot, limit), "near-forest")
+    first = _verified(tried, classes, texts, shingle_words, percent)
+    roots = materialize(connected_components(first), "near-labels")
+    touched = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
+    nodes = slim.withColumn("node", F.struct("cid", "w0"))
+    if not some_hot:  # then a row that has candidates is an end of a forest's edge
+        nodes = nodes.join(touched, "node")
+    nodes = materialize(nodes.join(roots, "node", "left").select("cid", *_WORDS, F.xxhash64(F.coalesce("root", "node")).alias("lab")), "near-nodes")
+    apart = materialize(_rest(nodes, parts, hot if some_hot else None, limit, block_rows).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    return first if apart.isEmpty() else first.unionByName(_verified(apart, classes, texts, shingle_words, percent))
+
+
+def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, radius: int = 11, limit: int = 48, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of docs that are the first of their group of near duplicates, with docs' columns.
 
     Texts are near duplicates if their sets of five-word shingles share ``percent`` of their union or more (the Jaccard
-    similarity, exact but for collisions of 64-bit hashes); all such pairs are found. Groups are what links reach. The first
-    row has the smallest id, null ids last; of rows with the same id and text one stays. Texts without words are copies of
-    each other. Rows are told apart by a 64-bit hash of id and text.
+    similarity). Candidates come from SimHash over the sets: those within ``radius`` bits in one of two words of 64 bits all
+    meet, most others too, and of 192 bits at most ``limit`` may differ; the sets of every candidate decide. A pair at 0.8
+    differs in 9.7 bits a word. Groups are what links reach. The first row has the smallest id, null ids last; of rows with
+    the same id and text one stays. Texts without words are copies of each other, and a text of fewer than five words is one
+    shingle. Texts are taken whole however long; an empty table gives an empty result.
     """
     key = fresh(docs, "_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
-    texts = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(_hashed(texts, shingle_words, percent, frequent_shingles(texts, shingle_words)), "near-rows")
+    text = F.col(text_col).cast("string")
+    told = F.concat(F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n")), F.lit(chr(0)), F.coalesce(F.concat(F.lit("t"), text), F.lit("n")))
+    keyed = docs.withColumn(key, F.md5(told))
+    texts = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), text.alias("text"))
+    rows = _hashed(texts, shingle_words, False)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    classes = materialize(rows.groupBy("cid").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("head").alias("head")), "near-classes")
-    probes = classes.select("cid", "n", F.posexplode("head").alias("pos", "h"))
-    pivot = F.min(F.struct(F.xxhash64("cid", "h").alias("draw"), "cid", "n", "pos"))
-    shared = materialize(probes.groupBy("h").agg(F.count("*").alias("c"), pivot.alias("p")).where("c > 1").drop("c"), "near-shared")
-    met = materialize(probes.join(shared, "h"), "near-met")
-    needed = materialize(met.select("cid").distinct().join(classes.select("cid", F.col("first.row").alias("row")), "cid").select("row"), "near-needed")
-    sets = materialize(_hashed(texts.join(needed, "row").select("text"), shingle_words).dropDuplicates(["cid"]), "near-sets")
-    roots = connected_components(near_links(met, sets, percent)).withColumnRenamed("node", "cid")
-    firsts = classes.select("cid", "first").join(roots, "cid", "left").groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("first").alias("first"))
+    classes = materialize(rows.groupBy("cid", *_WORDS).agg(F.min(place).alias("first")), "near-classes")
+    links_ = near_links(classes, texts, shingle_words, percent, radius, limit, block_rows)
+    roots = connected_components(links_).withColumnRenamed("root", "_root")
+    named = classes.select(F.struct("cid", "w0").alias("node"), "first")
+    firsts = named.join(roots, "node", "left").groupBy(F.coalesce("_root", "node").alias("root")).agg(F.min("first").alias("first"))
     firsts = materialize(firsts.select(F.col("first.row").alias(key)).distinct(), "near-firsts")
     copy = fresh(keyed, "_copy")
     kept = keyed.join(firsts, key).withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))

@@ -201,3 +201,17 @@ def test_near_dedup_equals_brute_force(spark):
                 root = [new if r == old else r for r in root]
     kept = keep_one_of_near_duplicates(table(spark, [(i, x, "en", "s", 0) for i, x in enumerate(texts)]))
     assert {r.doc_id for r in kept.collect()} == set(root)
+
+
+def test_near_dedup_in_a_grid_of_blocks(spark):
+    """A family beyond the block size: hot keys, forests of random blocks and the grid keep what whole cells keep."""
+    rng = random.Random(23)
+    data, base = [], [f"g{rng.randrange(10**9)}" for _ in range(120)]
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            t[rng.randrange(len(t))] = f"g{rng.randrange(10**9)}"
+        data.append((i, " ".join(t) if i % 4 else " ".join(f"h{rng.randrange(10**9)}" for _ in range(60)), "en", "s", 0))
+    whole = {r.doc_id for r in keep_one_of_near_duplicates(table(spark, data)).collect()}
+    assert {r.doc_id for r in keep_one_of_near_duplicates(table(spark, data), block_rows=16).collect()} == whole
+    assert {i for i in range(160) if i % 4 == 0} <= whole and len(whole) < 60
