@@ -17,7 +17,7 @@ from genoloom.llm.arrow_groups import sorted_groups
 from genoloom.session import materialize
 
 END_ID = 1
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES, _CACHE_CHARS = 400_000, 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -53,7 +53,7 @@ class _Chunks(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.encode(" " + word), "<u4").tobytes()
-        if len(self) < _CACHE_ENTRIES:
+        if len(self) < _CACHE_ENTRIES and len(word) <= _CACHE_CHARS:
             self[word] = ids
         return ids
 

@@ -29,13 +29,16 @@ _URL_USER = re.compile(r"://[A-Za-z0-9._%+-]+:[^\x00-\x20@/]+@[A-Za-z0-9.-]+(?::
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _KEY = re.compile(r"AKIA[0-9A-Z]{8,}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?:password|passwd|token|secret|api_key)\x20?[=:]\x20?(?:\"([^\"\s]{6,})\"|([^\s\"]{6,}))")
+_SECRET = re.compile(r"(?:password|passwd|token|secret|api_key)\x20?[=:]\x20?(?:\"([^\"\s]{6,})\"|([^\s\"]{6,}))", re.I | re.A)
+_DIGITS = re.compile(r"[0-9]+")
 #: The cues, each with the parser that its place goes to.
 CUES = (
     ("@", "email"), ("+", "phone"), ("0", "digit"), ("1", "digit"), ("2", "digit"), ("3", "digit"), ("4", "digit"), ("5", "digit"),
     ("6", "digit"), ("7", "digit"), ("8", "digit"), ("9", "digit"), ("://", "url"), ("AKIA", "key"), ("password", "secret"),
     ("passwd", "secret"), ("token", "secret"), ("secret", "secret"), ("api_key", "secret"), ("IBAN", "iban"), ("SSN", "ssn"),
 )
+#: Cues of secrets are also known capitalised and in capitals.
+CASES = (str.lower, str.capitalize, str.upper)
 
 
 @lru_cache(maxsize=1)
@@ -44,7 +47,8 @@ def _automaton():
 
     a = ahocorasick.Automaton()
     for cue, parser in CUES:
-        a.add_word(cue, (len(cue), parser))
+        for form in {f(cue) for f in CASES} if parser == "secret" else {cue}:
+            a.add_word(form, (len(form), parser))
     a.make_automaton()
     return a
 
@@ -71,9 +75,11 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     for last, (length, parser) in _automaton().iter(text):
         p = last - length + 1
         if parser == "digit":
-            if p >= at["ip"] and (m := _IP.match(text, p)):
-                at["ip"] = m.end()
-                if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+            if p >= at["ip"]:
+                m = _IP.match(text, p)
+                # Without a match at a digit, none begins at the later digits of its run either.
+                at["ip"] = (m or _DIGITS.match(text, p)).end()
+                if m and all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
                     out["ip"].append(m.span())
             if p >= at["card"] and (m := _CARD.match(text, p)):
                 at["card"] = m.end()
@@ -129,12 +135,14 @@ def redact(text: str, mask: str = "[{}]") -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_redacted: bool = False) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of whole texts, and the redacted text if asked for.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of whole texts, and the redacted text if asked for.
 
     The counts and base_sha256 are of the base kinds; ``spans`` lists kind:start:end of all kinds, in order of kind and
-    start. Null and empty texts have none. A kind's spans never overlap; spans of different kinds may.
+    start, and n_spans is their number. Null and empty texts have none. A kind's spans never overlap; spans of different
+    kinds may. Repeated rows each have their own result row; a text of any length takes time in proportion to it; an empty
+    table gives an empty result; other columns of docs are ignored.
     """
-    fields = [docs.schema[id_col], *(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    fields = [docs.schema[id_col], *(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())]
     if with_redacted:
         fields.append(T.StructField("redacted", T.StringType()))
 
@@ -147,8 +155,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     found = find_spans(text or "")
                     named = {k: ",".join(f"{k}:{s}:{e}" for s, e in v) for k, v in found.items() if v}
                     base = ",".join(named[k] for k in BASE_KINDS if k in named)
-                    rows.append((*(len(found[k]) for k in BASE_KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(named[k] for k in KINDS if k in named)))
-                cols = [b.column(0), *(pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6))]
+                    rows.append((*(len(found[k]) for k in BASE_KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(named[k] for k in KINDS if k in named), sum(map(len, found.values()))))
+                cols = [b.column(0), *(pa.array([r[i] for r in rows], pa.string() if i in (4, 5) else pa.int64()) for i in range(7))]
                 if with_redacted:
                     cols.append(pa.array([None if t is None else redact(t) for t in texts], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])

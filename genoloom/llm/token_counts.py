@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES, _CACHE_CHARS = 400_000, 64
 
 
 class LongestMatch:
@@ -100,7 +100,7 @@ class _Counts(dict):
 
     def __missing__(self, word: str) -> int:
         n = self.of(word)
-        if len(self) < _CACHE_ENTRIES:
+        if len(self) < _CACHE_ENTRIES and len(word) <= _CACHE_CHARS:
             self[word] = n
         return n
 
