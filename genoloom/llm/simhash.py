@@ -10,7 +10,7 @@ not compared pair by pair: its fingerprints meet in balls of half the radius ins
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from genoloom.llm.arrow_groups import sorted_groups
 from genoloom.llm.text_columns import fresh
 from genoloom.operators.components import connected_components
-from genoloom.session import drop_materialized, materialize
+from genoloom.session import materialize
 
 BITS = 64
 SEED = 42
@@ -257,8 +257,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 WIDE = 4
 #: Words of the wide fingerprint that the stage uses: the first INDEXED are probed, all are compared in the cells.
 COMPARED, INDEXED = 3, 2
-#: Rows of a block; a cell holds two blocks at most.
-BLOCK_ROWS = 8192
+#: Rows of a block of fingerprints and shingles of a block of sets; a cell holds two blocks at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 200_000
 _U = np.uint64
 
 
@@ -356,16 +356,10 @@ def _distances(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
 _STEP = 256
 
 
-def near_forest(x: np.ndarray, limit: int, tight: int) -> list[tuple[int, int]]:
-    """Edges (places) that connect what pairs within ``limit`` bits join, at most one a row, breadth first from the row with most others within ``tight``."""
-    n = len(x)
-    near, close = np.zeros((n, n), bool), np.zeros(n, np.int64)
-    for s in range(0, n, _STEP):
-        d = _distances(x, s, s + _STEP)
-        near[s : s + _STEP], close[s : s + _STEP] = d <= limit, (d <= tight).sum(axis=1)
-    np.fill_diagonal(near, False)
+def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (places) of a forest over a symmetric matrix of links, breadth first from the first row of each tree."""
     left, out = near.any(axis=1), []
-    for i in np.argsort(-close, kind="stable").tolist() if left.any() else ():
+    for i in np.flatnonzero(left).tolist():
         if left[i]:
             left[i], todo = False, [i]
             for j in todo:
@@ -379,7 +373,8 @@ def near_forest(x: np.ndarray, limit: int, tight: int) -> list[tuple[int, int]]:
 _EDGE = "a struct<cid:long,w0:long>, b struct<cid:long,w0:long>"
 
 
-def _edges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+def _edges(rows: Iterable[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    rows = list(rows)
     ends = [pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()), pa.array([r[i + 1] for r in rows], pa.int64())], names=["cid", "w0"]) for i in (0, 2)]
     return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
@@ -388,132 +383,147 @@ def _words_of(t: pa.Table) -> np.ndarray:
     return np.stack([t.column(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
 
 
-def _ordered(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int, int, int]:
-    return (*a, *b) if a < b else (*b, *a)
+def _asked(t: pa.Table) -> np.ndarray:
+    """The pairs of a cell that are held against each other: of different labels, and in a cell of two blocks, of different blocks."""
+    lab, own = t.column("lab").to_numpy(), t.column("own").to_numpy()
+    asked = lab[:, None] != lab[None, :]
+    if t.column("b1")[0].as_py() != t.column("b2")[0].as_py():
+        asked &= own[:, None] != own[None, :]
+    return asked
 
 
-def _first_links(nodes: DataFrame, parts: list[Part], hot: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b) to look at first: a forest of the near pairs of each cell. The rows of a hot key are dealt to random blocks."""
+def _compared(cells: DataFrame, near: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """Edges (a, b) of a forest over the links that ``near`` finds in each cell (key, b1, b2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in sorted_groups(batches, ["key", "block"]):
+        for found in sorted_groups(batches, ["key", "b1", "b2"]):
             out = set()
             for t in found:
                 if t.num_rows > 1:
-                    edges = near_forest(_words_of(t), limit, limit * 3 // 5)
+                    t = t.take(pa.array(np.argsort(t.column("cid").to_numpy(), kind="stable")))  # cells of one group then have one root
+                    edges = _spanning(near(t))
                     if edges:
                         ids = list(zip(t.column("cid").to_pylist(), t.column("w0").to_pylist()))
-                        out.update(_ordered(ids[i], ids[j]) for i, j in edges)
+                        out.update((*ids[i], *ids[j]) if ids[i] < ids[j] else (*ids[j], *ids[i]) for i, j in edges)
             if out:
-                yield _edges(list(out))
+                yield _edges(out)
 
-    dealt = _probes(nodes, parts).join(hot, "key", "left")
-    block = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid", "key"), "blocks").cast("int"))
-    cells = dealt.select("key", block.alias("block"), "cid", *_WORDS).repartition("key", "block").sortWithinPartitions("key", "block")
-    return cells.mapInArrow(run, _EDGE).distinct()
+    return cells.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(run, _EDGE).distinct()
 
 
-def _rest(nodes: DataFrame, parts: list[Part], hot: DataFrame | None, limit: int, block_rows: int) -> DataFrame:
-    """All near pairs (a, b) of nodes (cid, words, label) with different labels, each from one cell only.
+def _grid(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows dealt to all pairs of blocks of their key, but for pairs of blocks of the key's commonest label.
 
-    A hot key's rows meet in a grid of blocks; rows of its commonest label are not held against each other, so a group
-    that the first links have joined costs no more than its rows times the blocks of others.
+    sizes: (key, others, commons, common): numbers of blocks of other rows and of those of the label ``common``. A group that
+    is one label already thus costs no more than its rows times the blocks of other rows.
     """
-    masks = np.array([_mask(bits) for _, bits, _ in parts], np.int64).view(np.uint64)
-    word, reach = np.array([w for w, _, _ in parts]), np.array([f for _, _, f in parts])
-
-    def cell_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """(part, value) of the cell that tells of each pair: in the first partition where the two meet, x with the lower half of the differing bits changed."""
-        diff = (x[:, word] ^ y[:, word]) & masks
-        d = np.bitwise_count(diff)
-        part = (d <= 2 * reach).argmax(axis=1)
-        at = np.arange(len(x))
-        value, rest, todo = x[at, word[part]] & masks[part], diff[at, part], d[at, part] // 2
-        while (todo > 0).any():
-            low = np.where(todo > 0, rest & (~rest + _U(1)), _U(0))
-            value, rest, todo = value ^ low, rest ^ low, np.maximum(todo, 1) - 1
-        return part, value
+    draw = F.xxhash64("cid", F.lit(5))
+    common = F.col("lab") == F.col("common")
+    own = F.when(common, F.col("others") + F.pmod(draw, "commons")).otherwise(F.pmod(draw, "others")).cast("int")
+    last = F.when(common, F.col("others") - 1).otherwise(F.col("others") + F.col("commons") - 1)
+    dealt = rows.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("other", "others", "commons", "common")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in sorted_groups(batches, ["key", "b1", "b2"]):
-            out = []
-            for t in found:
-                if t.num_rows < 2:
-                    continue
-                x, lab, own = _words_of(t), t.column("lab").to_numpy(), t.column("own").to_numpy()
-                part, value = t.column("part").to_numpy(), t.column("value").to_numpy().view(np.uint64)
-                across = t.column("b1")[0].as_py() != t.column("b2")[0].as_py()
-                ids = None
-                for s in range(0, len(x), _STEP):
-                    near = (_distances(x, s, s + _STEP) <= limit) & (lab[s : s + _STEP, None] != lab[None, :])
-                    near &= own[s : s + _STEP, None] < own[None, :] if across else np.arange(s, min(s + _STEP, len(x)))[:, None] < np.arange(len(x))[None, :]
-                    i, j = np.nonzero(near)
-                    if not len(i):
-                        continue
-                    i += s
-                    ids = ids or list(zip(t.column("cid").to_pylist(), t.column("w0").to_pylist()))
-                    swap = np.array([ids[p] > ids[q] for p, q in zip(i.tolist(), j.tolist())])
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    p, v = cell_of(x[i], x[j])
-                    ok = (p == part[0]) & (v == value[0])
-                    out.extend((*ids[p], *ids[q]) for p, q in zip(i[ok].tolist(), j[ok].tolist()))
-            if out:
-                yield _edges(out)
 
-    probes = _probes(nodes, parts)
-    if hot is None:
-        dealt = probes.select("*", F.lit(0).alias("own"), F.lit(0).alias("b1"), F.lit(0).alias("b2"))
-    else:
-        label = probes.join(hot.select("key"), "key").groupBy("key", "lab").agg(F.count("*").alias("c"))
-        label = label.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "lab")).alias("d"))
-        blocks = lambda c: F.ceil(c / block_rows).cast("int")
-        grid = materialize(label.select("key", F.greatest(blocks(F.col("all") - F.col("d.c")), F.lit(1)).alias("others"), blocks(F.col("d.c")).alias("commons"), F.col("d.lab").alias("common")), "near-grid")
-        dealt = probes.join(grid, "key", "left")
-        draw = F.xxhash64("cid", F.lit(5))
-        common = F.col("lab") == F.col("common")
-        own = F.when(F.col("others").isNull(), 0).when(common, F.col("others") + F.pmod(draw, "commons")).otherwise(F.pmod(draw, "others")).cast("int")
-        last = F.when(F.col("others").isNull(), 0).when(common, F.col("others") - 1).otherwise(F.col("others") + F.col("commons") - 1)
-        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-        dealt = dealt.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
-    cells = dealt.select("key", "b1", "b2", "own", "part", "value", "cid", *_WORDS, "lab").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    return cells.mapInArrow(run, _EDGE)
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs whose shingle sets share ``percent`` of their union or more. Sets are made again from the texts of the pairs' first rows."""
-    node = F.struct("cid", "w0")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = materialize(ends.join(classes.select(node.alias("node"), F.col("first.row").alias("row")), "node").select("row").distinct(), "near-needed")
-    sets = materialize(_hashed(texts.select("row", "text").join(needed, "row").select("text"), shingle_words, True).dropDuplicates(["cid", "w0"]).select(node.alias("node"), "shingles"), "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    out = materialize(both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"), "near-links")
-    drop_materialized(sets)
+def _sizes(rows: DataFrame, weight, block: int) -> DataFrame:
+    """(key, others, commons, common) of rows (key, lab), with blocks of about ``block`` summed weight."""
+    by = rows.groupBy("key", "lab").agg(F.sum(weight).alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "lab")).alias("d"))
+    blocks = lambda c: F.greatest(F.ceil(c / block), F.lit(1)).cast("int")
+    return by.select("key", blocks(F.col("all") - F.col("d.c")).alias("others"), blocks(F.col("d.c")).alias("commons"), F.col("d.lab").alias("common"))
+
+
+def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (cid, w0, ...) with ``lab``, a hash of what the edges join."""
+    roots = connected_components(edges).select(F.col("node.cid").alias("cid"), F.col("node.w0").alias("w0"), "root")
+    return nodes.join(roots, ["cid", "w0"], "left").withColumn("lab", F.xxhash64(F.coalesce("root", F.struct("cid", "w0")))).drop("root")
+
+
+def candidates(nodes: DataFrame, parts: list[Part], hot: DataFrame, limit: int, block_rows: int) -> DataFrame:
+    """Edges (a, b) that join all nodes of which some cell holds a pair at most ``limit`` bits apart.
+
+    The rows of a hot key first meet in random blocks; what those leave apart meets in a grid of blocks.
+    """
+
+    def near(t: pa.Table) -> np.ndarray:
+        x, asked = _words_of(t), _asked(t)
+        for s in range(0, len(x), _STEP):
+            asked[s : s + _STEP] &= _distances(x, s, s + _STEP) <= limit
+        return asked
+
+    own = F.xxhash64("cid", "w0").alias("lab")
+    cold = _probes(nodes, parts).join(hot, "key", "left").select("key", "cid", *_WORDS, own, F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid", "key"), "blocks").cast("int")).alias("own"))
+    met = materialize(_compared(cold.withColumns({"b1": F.col("own"), "b2": F.col("own")}), near), "near-met")
+    if hot.isEmpty():
+        return met
+    told = _labels(nodes, met).select("cid", *_WORDS, "lab")
+    rows = materialize(_probes(told, parts).join(hot.select("key"), "key").select("key", "cid", *_WORDS, "lab"), "near-hot-rows")
+    return met.unionByName(materialize(_compared(_grid(rows, materialize(_sizes(rows, F.lit(1), block_rows), "near-grid")), near), "near-met"))
+
+
+def shared_counts(sets: list[np.ndarray], asked: np.ndarray) -> np.ndarray:
+    """How many elements each asked pair of sets has in common (0 elsewhere)."""
+    n = len(sets)
+    i, j = np.nonzero(np.triu(asked | asked.T, 1))
+    out = np.zeros((n, n), np.float32)
+    if len(i) <= 4 * n:
+        for a, b in zip(i.tolist(), j.tolist()):
+            out[a, b] = out[b, a] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        return out
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    often = np.bincount(place, minlength=len(values)) > 1
+    column, kept = np.cumsum(often) - 1, often[place]
+    place, row = column[place[kept]], row[kept]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    for s in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(place, [s, s + 4096])
+        m = np.zeros((n, 4096), np.float32)
+        m[row[lo:hi], place[lo:hi] - s] = 1
+        out += m @ m.T
     return out
 
 
-def near_links(classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int, radius: int, limit: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_links(classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int, radius: int, limit: int, block_rows: int, block_shingles: int) -> DataFrame:
     """Edges (a, b) between classes whose sets share ``percent`` of their union, enough to join all that are reachable.
 
-    Candidates meet by the partitions of two SimHash words and differ in at most ``limit`` bits of all; their sets decide.
-    A forest of each cell is decided first; then all candidates that its links leave apart.
+    Candidates meet by the partitions of two SimHash words and differ in at most ``limit`` bits of all. What candidates join
+    is a group; the sets of a group meet in one cell, or in blocks of ``block_shingles`` shingles: random ones first, and
+    then a grid for what is left apart. A cell compares whole sets, so no pair is ever a row.
     """
     parts = _index(classes, radius)
-    hot = _hot_keys(classes, parts, block_rows)
-    some_hot = not hot.isEmpty()
     slim = classes.select("cid", *_WORDS)
-    tried = materialize(_first_links(slim, parts, hot, limit), "near-forest")
-    first = _verified(tried, classes, texts, shingle_words, percent)
-    roots = materialize(connected_components(first), "near-labels")
-    touched = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-    nodes = slim.withColumn("node", F.struct("cid", "w0"))
-    if not some_hot:  # then a row that has candidates is an end of a forest's edge
-        nodes = nodes.join(touched, "node")
-    nodes = materialize(nodes.join(roots, "node", "left").select("cid", *_WORDS, F.xxhash64(F.coalesce("root", "node")).alias("lab")), "near-nodes")
-    apart = materialize(_rest(nodes, parts, hot if some_hot else None, limit, block_rows).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    return first if apart.isEmpty() else first.unionByName(_verified(apart, classes, texts, shingle_words, percent))
-
-
-def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, radius: int = 11, limit: int = 48, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    groups = connected_components(candidates(slim, parts, _hot_keys(classes, parts, block_rows), limit, block_rows))
+    groups = materialize(groups.select(F.col("node.cid").alias("cid"), F.col("node.w0").alias("w0"), F.xxhash64("root").alias("key")), "near-groups")
+    needed = materialize(groups.join(classes.select("cid", "w0", F.col("first.row").alias("row")), ["cid", "w0"]).select("row"), "near-needed")
+    sets = _hashed(texts.select("row", "text").join(needed, "row").select("text"), shingle_words, True).dropDuplicates(["cid", "w0"])
+    sets = sets.join(slim, ["cid", "w0"]).join(groups, ["cid", "w0"])
+    sets = materialize(sets.select("key", "cid", *_WORDS, "shingles", F.size("shingles").alias("n")), "near-sets")
+    sizes = sets.groupBy("key").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "near-sizes")
+
+    def near(t: pa.Table) -> np.ndarray:
+        asked, x = _asked(t), _words_of(t)
+        for s in range(0, len(x), _STEP):
+            asked[s : s + _STEP] &= _distances(x, s, s + _STEP) <= limit
+        sets = [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in t.column("shingles")]
+        size = np.array([len(v) for v in sets], np.float32)
+        return asked & (shared_counts(sets, asked) * (100 + percent) >= (size[:, None] + size[None, :]) * percent)
+
+    columns = ["key", "cid", *_WORDS, "shingles"]
+    # Groups of several blocks are dealt twice, so that the blocks of one deal tie those of the other together.
+    deal = F.when(F.col("blocks") > 1, F.array(F.lit(3), F.lit(4))).otherwise(F.array(F.lit(3)))
+    first = sets.join(sizes, "key").select(*columns, F.xxhash64("cid", "w0").alias("lab"), "blocks", F.explode(deal).alias("deal"))
+    first = first.withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cid", "deal"), "blocks").cast("int") * 2 + F.col("deal") - 3).otherwise(0))
+    links_ = materialize(_compared(first.select(*columns, "lab", "own", F.col("own").alias("b1"), F.col("own").alias("b2")), near), "near-links")
+    wide = sizes.where("blocks > 1").select("key")
+    if wide.isEmpty():
+        return links_
+    rest = materialize(_labels(sets.join(wide, "key").select(*columns, "n"), links_), "near-rest")
+    return links_.unionByName(materialize(_compared(_grid(rest.drop("n"), materialize(_sizes(rest, F.col("n"), block_shingles), "near-grid")), near), "near-links"))
+
+
+def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, radius: int = 11, limit: int = 48, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of docs that are the first of their group of near duplicates, with docs' columns.
 
     Texts are near duplicates if their sets of five-word shingles share ``percent`` of their union or more (the Jaccard
@@ -531,7 +541,7 @@ def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_co
     rows = _hashed(texts, shingle_words, False)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = materialize(rows.groupBy("cid", *_WORDS).agg(F.min(place).alias("first")), "near-classes")
-    links_ = near_links(classes, texts, shingle_words, percent, radius, limit, block_rows)
+    links_ = near_links(classes, texts, shingle_words, percent, radius, limit, block_rows, block_shingles)
     roots = connected_components(links_).withColumnRenamed("root", "_root")
     named = classes.select(F.struct("cid", "w0").alias("node"), "first")
     firsts = named.join(roots, "node", "left").groupBy(F.coalesce("_root", "node").alias("root")).agg(F.min("first").alias("first"))

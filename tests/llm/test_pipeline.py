@@ -213,5 +213,5 @@ def test_near_dedup_in_a_grid_of_blocks(spark):
             t[rng.randrange(len(t))] = f"g{rng.randrange(10**9)}"
         data.append((i, " ".join(t) if i % 4 else " ".join(f"h{rng.randrange(10**9)}" for _ in range(60)), "en", "s", 0))
     whole = {r.doc_id for r in keep_one_of_near_duplicates(table(spark, data)).collect()}
-    assert {r.doc_id for r in keep_one_of_near_duplicates(table(spark, data), block_rows=16).collect()} == whole
-    assert {i for i in range(160) if i % 4 == 0} <= whole and len(whole) < 60
+    assert {r.doc_id for r in keep_one_of_near_duplicates(table(spark, data), block_rows=16, block_shingles=1500).collect()} == whole
+    assert {i for i in range(160) if i % 4 == 0} <= whole and len(whole) < 120
