@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm.text_columns import fresh, words
@@ -64,7 +64,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
     """The documents that the mix takes, each repeated as often as it is taken, with the columns of docs."""
-    uid = fresh(docs, "_uid")
-    rows = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "mix-rows")
-    plan = mix_plan(rows, id_col, text_col, source_col, weights, most, seed, keep=(uid,)).where("copies > 0").select(uid, F.sequence(F.lit(1), F.col("copies")).alias(fresh(docs, "_times")))
-    return rows.join(plan, uid).withColumn(uid, F.explode(plan.columns[1])).select(*docs.columns)
+    h1, h2, copies = (fresh(docs, c) for c in ("_h1", "_h2", "_copies"))
+    told = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
+    rows = docs.withColumns({h1: F.xxhash64(*told), h2: F.xxhash64(F.lit(1), *told)})
+    # Equal rows are taken together: one of them stands for all, with the sum of their copies.
+    taken = mix_plan(rows, id_col, text_col, source_col, weights, most, seed, keep=(h1, h2)).where("copies > 0").groupBy(h1, h2).agg(F.sum("copies").alias(copies))
+    one = F.row_number().over(Window.partitionBy(h1, h2).orderBy(F.lit(0)))
+    joined = rows.join(taken, [h1, h2]).withColumn(fresh(docs, "_one"), one).where(F.col(fresh(docs, "_one")) == 1)
+    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
