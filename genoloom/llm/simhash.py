@@ -350,7 +350,10 @@ def _hot_keys(classes: DataFrame, parts: list[Part], block_rows: int) -> DataFra
 
 
 def _distances(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    return np.bitwise_count(x[lo:hi, None, :] ^ x[None, :, :]).sum(axis=2, dtype=np.uint16)
+    out = np.bitwise_count(x[lo:hi, None, 0] ^ x[None, :, 0])
+    for w in range(1, x.shape[1]):
+        out += np.bitwise_count(x[lo:hi, None, w] ^ x[None, :, w])  # at most 192: a byte holds it
+    return out
 
 
 _STEP = 256
@@ -392,19 +395,29 @@ def _asked(t: pa.Table) -> np.ndarray:
     return asked
 
 
-def _compared(cells: DataFrame, near: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+def _near(t: pa.Table, limit: int) -> np.ndarray | None:
+    """The asked pairs of a cell that are at most ``limit`` bits apart; None if there are none."""
+    x = _words_of(t)
+    out = np.concatenate([_distances(x, s, s + _STEP) <= limit for s in range(0, len(x), _STEP)])
+    if np.count_nonzero(out) == len(x):  # each row is near to itself only
+        return None
+    out &= _asked(t)
+    return out if out.any() else None
+
+
+def _compared(cells: DataFrame, near: Callable[[pa.Table], np.ndarray | None]) -> DataFrame:
     """Edges (a, b) of a forest over the links that ``near`` finds in each cell (key, b1, b2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in sorted_groups(batches, ["key", "b1", "b2"]):
             out = set()
             for t in found:
-                if t.num_rows > 1:
-                    t = t.take(pa.array(np.argsort(t.column("cid").to_numpy(), kind="stable")))  # cells of one group then have one root
-                    edges = _spanning(near(t))
-                    if edges:
-                        ids = list(zip(t.column("cid").to_pylist(), t.column("w0").to_pylist()))
-                        out.update((*ids[i], *ids[j]) if ids[i] < ids[j] else (*ids[j], *ids[i]) for i, j in edges)
+                linked = near(t) if t.num_rows > 1 else None
+                if linked is not None:
+                    ids = list(zip(t.column("cid").to_pylist(), t.column("w0").to_pylist()))
+                    order = sorted(range(len(ids)), key=ids.__getitem__)  # cells of one group then have one root
+                    edges = ((ids[order[i]], ids[order[j]]) for i, j in _spanning(linked[np.ix_(order, order)]))
+                    out.update((*a, *b) if a < b else (*b, *a) for a, b in edges)
             if out:
                 yield _edges(out)
 
@@ -444,11 +457,8 @@ def candidates(nodes: DataFrame, parts: list[Part], hot: DataFrame, limit: int,
     The rows of a hot key first meet in random blocks; what those leave apart meets in a grid of blocks.
     """
 
-    def near(t: pa.Table) -> np.ndarray:
-        x, asked = _words_of(t), _asked(t)
-        for s in range(0, len(x), _STEP):
-            asked[s : s + _STEP] &= _distances(x, s, s + _STEP) <= limit
-        return asked
+    def near(t: pa.Table) -> np.ndarray | None:
+        return _near(t, limit)
 
     own = F.xxhash64("cid", "w0").alias("lab")
     cold = _probes(nodes, parts).join(hot, "key", "left").select("key", "cid", *_WORDS, own, F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid", "key"), "blocks").cast("int")).alias("own"))
@@ -502,13 +512,13 @@ def near_links(classes: DataFrame, texts: DataFrame, shingle_words: int, percent
     sizes = sets.groupBy("key").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     sizes = materialize(sizes, "near-sizes")
 
-    def near(t: pa.Table) -> np.ndarray:
-        asked, x = _asked(t), _words_of(t)
-        for s in range(0, len(x), _STEP):
-            asked[s : s + _STEP] &= _distances(x, s, s + _STEP) <= limit
-        sets = [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in t.column("shingles")]
-        size = np.array([len(v) for v in sets], np.float32)
-        return asked & (shared_counts(sets, asked) * (100 + percent) >= (size[:, None] + size[None, :]) * percent)
+    def near(t: pa.Table) -> np.ndarray | None:
+        asked = _near(t, limit)
+        if asked is None:
+            return None
+        own = [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in t.column("shingles")]
+        size = np.array([len(v) for v in own], np.float32)
+        return asked & (shared_counts(own, asked) * (100 + percent) >= (size[:, None] + size[None, :]) * percent)
 
     columns = ["key", "cid", *_WORDS, "shingles"]
     # Groups of several blocks are dealt twice, so that the blocks of one deal tie those of the other together.
