@@ -62,18 +62,25 @@ def highlight(seq: Column, start: Column, stop: Column) -> Column:
     return F.concat(F.lower(F.substring(seq, F.lit(1), start)), F.upper(F.substring(seq, start + 1, stop - start)), F.lower(F.substring(seq, stop + 1, F.length(seq))))
 
 
+#: The terms of the melting temperature: degrees for A/T and G/C of short oligos; then the base, the GC
+#: factor and offset without salt; the factor of log10 of salt and the salt of short oligos; base and length term with salt.
+TM_SHORT_AT, TM_SHORT_GC, TM_SHORT_BELOW = 2.0, 4.0, 14
+TM_BASE, TM_GC, TM_GC_OFFSET = 64.9, 41.0, 16.4
+TM_SALT, TM_SHORT_SODIUM, TM_SALT_BASE, TM_SALT_LENGTH = 16.6, 0.050, 100.5, 820.0
+
+
 def melting_temp(seq: Column, sodium: float | None = None) -> Column:
     """Melting temperature of an oligo: by base counts below 14 bases, by GC share from there; with or without salt (mol/l)."""
     a, c, g, t = (count_of(seq, x) for x in "ACGT")
     n = F.length(seq)
+    short = TM_SHORT_AT * (a + t) + TM_SHORT_GC * (g + c)
     if sodium is None:
-        short = 2.0 * (a + t) + 4.0 * (g + c)
-        long = 64.9 + F.try_divide(41.0 * (g + c - 16.4), n)
+        long = TM_BASE + F.try_divide(TM_GC * (g + c - TM_GC_OFFSET), n)
     else:
-        salt = 16.6 * F.log10(F.lit(sodium))
-        short = 2.0 * (a + t) + 4.0 * (g + c) - 16.6 * F.log10(F.lit(0.050)) + salt
-        long = 100.5 + F.try_divide(41.0 * (g + c), n) - F.try_divide(F.lit(820.0), n) + salt
-    return F.when(n < 14, short).otherwise(long)
+        salt = TM_SALT * F.log10(F.lit(sodium))
+        short = short - TM_SALT * F.log10(F.lit(TM_SHORT_SODIUM)) + salt
+        long = TM_SALT_BASE + F.try_divide(TM_GC * (g + c), n) - F.try_divide(F.lit(TM_SALT_LENGTH), n) + salt
+    return F.when(n < TM_SHORT_BELOW, short).otherwise(long)
 
 
 #: Masses of nucleotides within an oligo, and what its ends lack.

@@ -1,39 +1,57 @@
 """Operators on feature tables: one flat row a feature, (record_id, type, start, stop, strand, feature_id, parent, attrs).
 
 ``parent`` is the id of the feature above, null at the top; ``attrs`` maps a qualifier to its values. Trees are walked by
-joins of bounded depth. Predicates are Spark columns.
+one join a level. Predicates are Spark columns.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions import sequence as S
+from genoloom.session import materialize
 
-DEPTH = 4
 UP = "_up"
 
 
-def descendants(features: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(root, feature_id): all features below each root id, by at most ``depth`` joins on the parent."""
-    edges = features.where(F.col("parent").isNotNull()).select("parent", "feature_id")
-    level = roots.select(F.col("feature_id").alias("root"), "feature_id")
-    out = None
-    for _ in range(depth):
-        level = level.join(edges.withColumnRenamed("feature_id", "_child"), F.col("feature_id") == F.col("parent")).select("root", F.col("_child").alias("feature_id"))
-        out = level if out is None else out.unionByName(level)
-    return out
+def descendants(features: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, feature_id): all features below each root id, however deep; a root in a cycle is not below itself.
+
+    One join on the parent for each level, until a level brings nothing new; levels are written, so lineage stays short.
+    """
+    edges = features.where(F.col("parent").isNotNull()).select("parent", F.col("feature_id").alias("_child"))
+    level = seen = roots.select(F.col("feature_id").alias("root"), "feature_id").distinct()
+    found = []
+    while True:
+        below = level.join(edges, F.col("feature_id") == F.col("parent")).select("root", F.col("_child").alias("feature_id")).distinct()
+        level = materialize(below.join(seen, ["root", "feature_id"], "left_anti"), "tree-level")
+        found.append(level)
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return reduce(DataFrame.unionByName, found)
 
 
-def filter_tree(features: DataFrame, predicate: Column, invert: bool = False, below: bool = True, depth: int = DEPTH) -> DataFrame:
+def filter_tree(features: DataFrame, predicate: Column, invert: bool = False, below: bool = True) -> DataFrame:
     """Features that pass the predicate (or do not); with ``below``, all their descendants too. A null outcome does not pass."""
     ok = F.coalesce(predicate, F.lit(False))
     hit = features.where(~ok if invert else ok)
     if not below:
         return hit
-    ids = hit.select("feature_id").unionByName(descendants(features, hit, depth).select("feature_id")).distinct()
-    return features.join(ids, "feature_id", "left_semi")
+    # Only whether a feature is below any hit matters here, so all hits share one root and no feature is walked twice.
+    tops = hit.select("feature_id")
+    edges = features.where(F.col("parent").isNotNull()).select("parent", F.col("feature_id").alias("_child"))
+    level = seen = tops.distinct()
+    while True:
+        kids = level.join(edges, F.col("feature_id") == F.col("parent")).select(F.col("_child").alias("feature_id")).distinct()
+        level = materialize(kids.join(seen, "feature_id", "left_anti"), "tree-level")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return features.join(seen, "feature_id", "left_semi")
 
 
 def orphan_parents(features: DataFrame) -> DataFrame:
@@ -407,6 +425,7 @@ def codon_usage_compare(a: DataFrame, b: DataFrame, number: int = 11) -> DataFra
 
 def seq_feature_extract(features: DataFrame, seqs: DataFrame, key: str = "record_id") -> DataFrame:
     """(feature_id, seq): the bases of each feature, reverse complement on the minus strand; parts beyond the sequence are cut."""
-    part = F.substring("seq", F.greatest(F.col("start"), F.lit(0)).cast("int") + 1, (F.col("stop") - F.greatest(F.col("start"), F.lit(0))).cast("int"))
-    out = features.join(seqs.select(F.col("seq_id").alias(key), "seq"), key)
+    # Bytes are cut at once where text would be walked from its start for every feature; sequences are ASCII.
+    part = F.substring("seq", F.greatest(F.col("start"), F.lit(0)).cast("int") + 1, (F.col("stop") - F.greatest(F.col("start"), F.lit(0))).cast("int")).cast("string")
+    out = features.join(seqs.select(F.col("seq_id").alias(key), F.col("seq").cast("binary").alias("seq")), key)
     return out.select("feature_id", F.when(F.col("strand") < 0, S.reverse_complement(part)).otherwise(part).alias("seq"))

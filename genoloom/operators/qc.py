@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.session import materialize
+
 
 def _found(df: DataFrame, rule: str, message: Column) -> DataFrame:
     return df.select("record_id", "feature_id", F.lit(rule).alias("rule"), message.alias("message"))
@@ -51,19 +53,24 @@ def qc_tree_counts(features: DataFrame) -> DataFrame:
     return many.unionByName(_found(twice, "tree_counts", F.lit("id is not unique")))
 
 
-def qc_parents(features: DataFrame, depth: int = 4) -> DataFrame:
-    """Parents that no row has, rows that are their own parent, and cycles of at most ``depth`` steps."""
+def qc_parents(features: DataFrame) -> DataFrame:
+    """Parents that no row has, rows that are their own parent, and rows on a cycle of any length.
+
+    Rows without a parent or a child among the rest are taken away until none is left: what stays is on a cycle.
+    """
     ids = features.select(F.col("feature_id").alias("_p")).distinct()
     lost = _found(features.where("parent is not null").join(ids, F.col("parent") == F.col("_p"), "left_anti"), "parents", F.lit("parent not found"))
     own = _found(features.where("parent = feature_id"), "parents", F.lit("own parent"))
-    edges = features.where("parent is not null and parent <> feature_id").select("record_id", "feature_id", "parent")
-    walk, cycles = edges, None
-    for _ in range(depth - 1):
-        walk = walk.join(edges.select(F.col("feature_id").alias("_f"), F.col("parent").alias("_n")), F.col("parent") == F.col("_f")).select("record_id", "feature_id", F.col("_n").alias("parent"))
-        back = _found(walk.where("parent = feature_id"), "parents", F.lit("cycle"))
-        cycles = back if cycles is None else cycles.unionByName(back)
-        walk = walk.where("parent <> feature_id")
-    return lost.unionByName(own).unionByName(cycles.distinct())
+    rest = materialize(features.where("parent is not null and parent <> feature_id").select("record_id", "feature_id", "parent"), "qc-edges")
+    n = rest.count()
+    while n:
+        up = rest.select(F.col("feature_id").alias("_p")).distinct()
+        down = rest.select(F.col("parent").alias("_c")).distinct()
+        rest = materialize(rest.join(up, F.col("parent") == F.col("_p"), "left_semi").join(down, F.col("feature_id") == F.col("_c"), "left_semi"), "qc-edges")
+        n, before = rest.count(), n
+        if n == before:
+            break
+    return lost.unionByName(own).unionByName(_found(rest, "parents", F.lit("cycle")).distinct())
 
 
 def qc_bounds(features: DataFrame, lengths: DataFrame) -> DataFrame:

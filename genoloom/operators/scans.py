@@ -14,6 +14,7 @@ SD_MOTIFS = ("AGGAGGT", "GGAGGT", "AGGAGG", "GGGGGG", "AGGAG", "GAGGT", "GGAGG",
 #: Residue classes of the scans.
 HYDROPHOBIC = "FIWLVMYCATGSP"
 NEUTRAL = "FIWLVMYCATGS"
+LS_NEUTRAL = "AGVLIPFHSTYCMWQN"
 LIPOBOXES = ("[ILMFTV][^REKD][GAS]C", "AW[AGS]C")
 
 
@@ -61,9 +62,11 @@ def orf_scan(seqs: DataFrame, number: int = 11, min_len: int = 30, strand: str =
     rows = seqs.select("seq_id", F.length("seq").alias("len"), frames).select("seq_id", "len", "x.strand", "x.frame", S.codon_list(F.col("x.s")).alias("codons"))
     stops = F.filter(F.transform("codons", lambda c, i: F.when(c.isin(*C.stops(number)), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("stops", stops)
-    pieces = F.explode(F.zip_with(F.concat(F.array(F.lit(-1)), F.col("stops")), "stops", lambda a, b: F.struct((a + 1).alias("first"), b.alias("last")))).alias("p")
-    rows = rows.select("seq_id", "len", "strand", "frame", "codons", pieces).where(F.col("p.last") - F.col("p.first") + 1 >= min_len)
-    rows = rows.select("seq_id", "len", "strand", "frame", F.col("p.first").alias("first"), F.slice("codons", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + 1).alias("cs"))
+    pieces = F.zip_with(F.concat(F.array(F.lit(-1)), F.col("stops")), "stops", lambda a, b: F.struct((a + 1).alias("first"), b.alias("last")))
+    pieces = F.filter(pieces, lambda p: p["last"] - p["first"] + 1 >= min_len)
+    # The codons of a piece are cut out before pieces become rows, so no row carries those of its whole frame.
+    cut = F.transform(pieces, lambda p: F.struct(p["first"].alias("first"), F.slice("codons", p["first"] + 1, p["last"] - p["first"] + 1).alias("cs")))
+    rows = rows.select("seq_id", "len", "strand", "frame", F.explode(cut).alias("p")).select("seq_id", "len", "strand", "frame", "p.first", "p.cs")
     begin = F.filter(F.transform("cs", lambda c, i: F.when(c.isin(*C.STARTS[number]) & (F.size("cs") - i >= min_len), i)), lambda i: i.isNotNull())
     rows = rows.select("seq_id", "len", "strand", "frame", "first", "cs", F.explode(begin).alias("i"))
     lo = F.col("frame") + 3 * (F.col("first") + F.col("i"))
@@ -166,7 +169,7 @@ def transmembrane_scan(proteins: DataFrame) -> DataFrame:
 
 def hydrophobic_ls_scan(proteins: DataFrame, below: int = 150, least_charge: int = 2) -> DataFrame:
     """(seq_id, start, stop): short proteins with a run of ten or more neutral residues that ends in LS (or is cut there with at least eight before it), after a charge of two or more."""
-    run = F.explode(matches(F.col("seq"), "[AGVLIPFHSTYCMWQN]{10,}")).alias("r")
+    run = F.explode(matches(F.col("seq"), f"[{LS_NEUTRAL}]{{10,}}")).alias("r")
     rows = proteins.where(F.length("seq") < below).select("seq_id", "seq", run).select("seq_id", "seq", F.col("r.start").alias("start"), F.substring("seq", F.col("r.start") + 1, F.col("r.stop") - F.col("r.start")).alias("d"))
     cut = F.regexp_extract("d", "^(.*LS)", 1)
     rows = rows.withColumn("n", F.length(cut)).where((F.col("n") > 0) & ((F.col("n") == F.length("d")) | (F.col("n") >= 10)))

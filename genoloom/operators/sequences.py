@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from genoloom.functions import codon as C
 from genoloom.functions import sequence as S
@@ -153,25 +158,33 @@ def residue_table(seqs: DataFrame, window: int = 9) -> DataFrame:
     return rows.select("seq_id", (pos + 1).cast("long").alias("pos"), residue.alias("residue"), kind.alias("kind"), F.when(inside, mean).alias("hydropathy"))
 
 
+#: What is cut from a title, and the name patterns in the order in which they are tried, with the groups of
+#: the host and the phage.
+TITLE_ENDS = (", complete genome.", ", complete genome")
+NAME_PATTERNS = (
+    (r"^(.*)\s*bacteriophage (.*)$", 1, 2),
+    (r"^(.*)\s*phage (.*)$", 1, 2),
+    (r"^(?:bacterio|vibrio|Bacterio|Vibrio|)?[Pp]hage (.*)$", None, 1),
+    (r"(v[A-Z]_[A-Z][a-z]{2}_.*)", None, 1),
+)
+
+
 def phage_host_name(title: Column) -> Column:
-    """Struct (host, phage) of a record title, by four patterns in order: host bacteriophage name, host phage name, phage name, and new-style names."""
-    t = F.replace(F.replace(title, F.lit(", complete genome."), F.lit("")), F.lit(", complete genome"), F.lit(""))
-    patterns = ((r"^(.*)\s*bacteriophage (.*)$", 1, 2), (r"^(.*)\s*phage (.*)$", 1, 2), (r"^(?:bacterio|vibrio|Bacterio|Vibrio|)?[Pp]hage (.*)$", None, 1), (r"(v[A-Z]_[A-Z][a-z]{2}_.*)", None, 1))
-    host = phage = None
-    for pattern, h, p in patterns:
-        hit = t.rlike(pattern)
-        own_h = F.regexp_extract(t, pattern, h) if h else F.lit(None).cast("string")
-        own_p = F.regexp_extract(t, pattern, p)
-        host = F.when(hit, own_h) if host is None else host.when(hit, own_h)
-        phage = F.when(hit, own_p) if phage is None else phage.when(hit, own_p)
-    return F.struct(host.alias("host"), phage.alias("phage"))
+    """Struct (host, phage) of a record title, by the first pattern that it meets: host bacteriophage name, host phage name, phage name, new-style name."""
+    t = reduce(lambda x, end: F.replace(x, F.lit(end), F.lit("")), TITLE_ENDS, title)
+    none = F.lit(None).cast("string")
+    out = F.struct(none.alias("host"), none.alias("phage"))
+    for pattern, h, p in reversed(NAME_PATTERNS):
+        own = F.struct((F.regexp_extract(t, pattern, h) if h else none).alias("host"), F.regexp_extract(t, pattern, p).alias("phage"))
+        out = F.when(t.rlike(pattern), own).otherwise(out)
+    return out
 
 
 def host_fields(host: Column) -> Column:
     """Struct (genus, species, strain, other) of a host string."""
     parts = F.split(F.trim(host), r"\s+")
     at = lambda i: F.try_element_at(parts, F.lit(i))
-    return F.struct(F.nullif(at(1), F.lit("")).alias("genus"), at(2).alias("species"), at(3).alias("strain"), F.nullif(F.array_join(F.slice(parts, 4, 1000), " "), F.lit("")).alias("other"))
+    return F.struct(F.nullif(at(1), F.lit("")).alias("genus"), at(2).alias("species"), at(3).alias("strain"), F.nullif(F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), " "), F.lit("")).alias("other"))
 
 
 def point_mutants(seqs: DataFrame, bases: str = "ACGT", number: int | None = None) -> DataFrame:
@@ -191,11 +204,44 @@ def first_difference(seqs: DataFrame, reference: Column) -> DataFrame:
     return seqs.select("seq_id", pos.alias("pos"), F.when(pos > 0, F.substring("seq", pos.cast("int"), F.lit(1))).alias("residue"))
 
 
+def least_rotation(s: str) -> str:
+    """The least rotation of a text, in time that grows with its length."""
+    n = len(s)
+    if not n:
+        return s
+    least = min(s)
+    runs = [(m.end() - m.start(), m.start()) for m in re.finditer(re.escape(least) + "+", s + s) if m.start() < n]
+    longest = max(r for r, _ in runs)
+    if longest >= n:
+        return s
+    starts, both = [p for r, p in runs if r == longest], s + s
+    if len(starts) <= 64:
+        return min(both[p : p + n] for p in starts)
+    i, j, k = 0, 1, 0
+    while i < n and j < n and k < n:
+        a, b = both[i + k], both[j + k]
+        if a == b:
+            k += 1
+            continue
+        if a > b:
+            i += k + 1
+        else:
+            j += k + 1
+        j += i == j
+        k = 0
+    at = min(i, j)
+    return both[at : at + n]
+
+
+@F.pandas_udf(T.StringType())
+def _least_rotations(seqs: pd.Series) -> pd.Series:
+    return seqs.map(least_rotation, na_action="ignore")
+
+
 def contig_uid(seqs: DataFrame) -> DataFrame:
     """(seq_id, uid): an id that rotation and strand do not change, of the least rotation of either strand."""
-    both = seqs.select("seq_id", F.explode(F.array(F.col("seq"), S.reverse_complement(F.col("seq")))).alias("s"))
-    turned = both.select("seq_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("s") - 1, F.lit(0))), lambda k: F.concat(F.substring("s", k + 1, F.length("s")), F.substring("s", F.lit(1), k)))).alias("r"))
-    return turned.groupBy("seq_id").agg(F.md5(F.min("r")).alias("uid"))
+    uid = F.md5(F.least(_least_rotations(F.col("seq")), _least_rotations(S.reverse_complement(F.col("seq")))))
+    return seqs.select("seq_id", uid.alias("uid"))
 
 
 def dedup(seqs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def _pair(method):
     def run(s, d):
         c = view(s, d, "customer").withColumn("bal", F.col("c_acctbal").cast("int"))
         value = F.col("c_name") if method in ("texteq", "levenshtein") else F.col("bal")
-        a = c.where("c_mktsegment = 'BUILDING'").select("c_nationkey", F.col("c_custkey").alias("id"), value.cast("string").alias("value"))
+        a = c.select("c_nationkey", F.col("c_custkey").alias("id"), value.cast("string").alias("value"))
         b = view(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("id"), (F.col("s_name") if method in ("texteq", "levenshtein") else F.col("s_acctbal").cast("int")).cast("string").alias("value"))
         return _round(R.pair_compare(a, b, method, -1.0, within="c_nationkey"))
 
@@ -37,11 +37,11 @@ def _pair_sql(method):
         "bit_diff": f"CAST(bit_count(xor(CAST(abs({x}) AS BIGINT), CAST(abs({y}) AS BIGINT))) AS DOUBLE)", "numeq": f"CASE WHEN {x} = {y} THEN 1.0 ELSE 0.0 END::DOUBLE", "texteq": "CASE WHEN trim(c_name) = trim(s_name) THEN 1.0 ELSE 0.0 END::DOUBLE",
         "levenshtein": "CAST(levenshtein(c_name, s_name) AS DOUBLE)",
     }[method]
-    return f"SELECT c_custkey AS id_a, s_suppkey AS id_b, round({value}, 6) AS value FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_mktsegment = 'BUILDING'"
+    return f"SELECT c_custkey AS id_a, s_suppkey AS id_b, round({value}, 6) AS value FROM customer JOIN supplier ON c_nationkey = s_nationkey"
 
 
 def _papers(s, d):
-    return view(s, d, "lineitem").select(F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("paper")).where("author % 3 = 0")
+    return view(s, d, "lineitem").select(F.col("l_partkey").alias("author"), F.col("l_orderkey").alias("paper"))
 
 
 def _introns(s, d):
@@ -55,11 +55,11 @@ def _cassettes(s, d):
 
 
 def _reads(s, d):
-    return view(s, d, "features").where("record_id % 20 = 0")
+    return view(s, d, "reads")
 
 
 def _lengths(s, d):
-    return view(s, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("record_id"), F.lit(20200).alias("length"))
+    return view(s, d, "part").select(F.col("p_partkey").alias("record_id"), F.lit(2200).alias("length"))
 
 
 def _lengths_all(s, d):
@@ -113,7 +113,7 @@ QUERIES = {
     "bin_values": lambda s, d: R.bin_values(_scores(s, d), n=7).select("id_a", "id_b", "bin"),
     "bin_breaks": lambda s, d: R.bin_values(_scores(s, d), breaks=[-100, 0, 2000]).groupBy("bin").agg(F.count("*").alias("n")),
     "euclid_distance": lambda s, d: _round(R.euclid_distance(_scores(s, d))),
-    "relation_clusters": lambda s, d: R.relation_clusters(view(s, d, "hits").withColumn("query", F.col("query") + 10_000_000).where("ord < 3"), 0.02, 0.75),
+    "relation_clusters": lambda s, d: R.relation_clusters(view(s, d, "hits").withColumn("query", F.col("query") + 10_000_000), 0.02, 0.75),
     "author_overlap": lambda s, d: R.author_overlap(_papers(s, d), 2),
     "intron_clusters": lambda s, d: R.intron_clusters(_introns(s, d), 3000),
     "percent_identity": lambda s, d: _round(view(s, d, "aligned").select(*AB, B.percent_identity(F.col("seq_a"), F.col("seq_b")).alias("identity"))),
@@ -143,8 +143,8 @@ QUERIES = {
 
 _PLACES = """pl AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS pos, CASE WHEN x = y THEN 1 ELSE 0 END AS m FROM (SELECT conv_id, turn, i, substring(seq_a, i, 1) AS x, substring(seq_b, i, 1) AS y
     FROM (SELECT *, unnest(range(1, length(seq_a) + 1)) AS i FROM {aligned})) WHERE x <> '-')"""
-_TRACK = """(SELECT g.record_id, g.pos, coalesce(n, 0) AS n FROM (SELECT p_partkey AS record_id, unnest(range(0, 20200)) AS pos FROM part WHERE p_partkey % 20 = 0) g
-    LEFT JOIN (SELECT record_id, CASE WHEN strand > 0 THEN start ELSE stop END AS pos, count(*) AS n FROM {features} GROUP BY 1, 2) t ON t.record_id = g.record_id AND t.pos = g.pos)"""
+_TRACK = """(SELECT g.record_id, g.pos, coalesce(n, 0) AS n FROM (SELECT p_partkey AS record_id, unnest(range(0, 2200)) AS pos FROM part) g
+    LEFT JOIN (SELECT record_id, CASE WHEN strand > 0 THEN start ELSE stop END AS pos, count(*) AS n FROM {reads} GROUP BY 1, 2) t ON t.record_id = g.record_id AND t.pos = g.pos)"""
 _KIDS = "(SELECT parent, count(*) FILTER (type = 'CDS') AS cds, count(*) FILTER (type = 'Shine_Dalgarno_sequence') AS rbs, count(*) FILTER (type = 'exon' AND stop - start > 10) AS exons, count(*) FILTER (type = 'exon') AS allexons FROM {tree} WHERE parent IS NOT NULL GROUP BY parent)"
 _QC = {
     "qc_missing_rbs": f"SELECT record_id, feature_id, 'missing_rbs' AS rule, 'no RBS' AS message FROM {{tree}} t JOIN {_KIDS} k ON k.parent = t.feature_id WHERE cds > 0 AND rbs = 0",
@@ -169,9 +169,9 @@ ORACLE_SQL = {
     "bin_values": duckdb_sql("SELECT id_a, id_b, CAST(least(floor((value - lo) / nullif(hi - lo, 0) * 7), 6) AS INT) AS bin FROM {scores}, (SELECT min(value) AS lo, max(value) AS hi FROM {scores})"),
     "bin_breaks": duckdb_sql("SELECT CASE WHEN value >= 2000 THEN 3 WHEN value >= 0 THEN 2 WHEN value >= -100 THEN 1 ELSE 0 END AS bin, count(*) AS n FROM {scores} GROUP BY 1"),
     "euclid_distance": duckdb_sql("SELECT a.id_a, b.id_a AS id_c, round(sqrt(sum(pow(a.value - b.value, 2))), 6) AS distance FROM {scores} a JOIN {scores} b ON a.id_b = b.id_b AND a.id_a < b.id_a GROUP BY 1, 2"),
-    "relation_clusters": duckdb_sql(f"""WITH RECURSIVE h AS (SELECT DISTINCT query + 10000000 AS a, subject AS b FROM {{hits}} WHERE ord < 3 AND evalue <= 0.02 AND 2.0 * nident / (qlen + slen) >= 0.75), e AS (SELECT a AS x, b AS y FROM h UNION SELECT b, a FROM h), n AS (SELECT DISTINCT x FROM e),
+    "relation_clusters": duckdb_sql(f"""WITH RECURSIVE h AS (SELECT DISTINCT query + 10000000 AS a, subject AS b FROM {{hits}} WHERE evalue <= 0.02 AND 2.0 * nident / (qlen + slen) >= 0.75), e AS (SELECT a AS x, b AS y FROM h UNION SELECT b, a FROM h), n AS (SELECT DISTINCT x FROM e),
         {_CLOSURE}, m AS (SELECT x AS node, min(root) AS root FROM r GROUP BY x) SELECT node, root, count(*) OVER (PARTITION BY root) AS size FROM m"""),
-    "author_overlap": duckdb_sql(f"""WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS author, l_orderkey AS paper FROM lineitem WHERE l_suppkey % 3 = 0), h AS (SELECT a.paper AS a, b.paper AS b FROM p a JOIN p b ON a.author = b.author AND a.paper < b.paper GROUP BY 1, 2 HAVING count(*) >= 2),
+    "author_overlap": duckdb_sql(f"""WITH RECURSIVE p AS (SELECT DISTINCT l_partkey AS author, l_orderkey AS paper FROM lineitem), h AS (SELECT a.paper AS a, b.paper AS b FROM p a JOIN p b ON a.author = b.author AND a.paper < b.paper GROUP BY 1, 2 HAVING count(*) >= 2),
         e AS (SELECT a AS x, b AS y FROM h UNION SELECT b, a FROM h), n AS (SELECT DISTINCT x FROM e), {_CLOSURE} SELECT x AS node, min(root) AS root FROM r GROUP BY x"""),
     "intron_clusters": duckdb_sql("""WITH h AS (SELECT subject, query AS gene, CASE WHEN ord % 2 = 0 THEN 1 ELSE -1 END AS strand, query * 7 % 20000 AS start, query * 7 % 20000 + length * 3 AS stop, sstart, sstop FROM {hits} WHERE nident / length >= 0.5),
         w AS (SELECT *, lag(stop) OVER v AS ps, lag(sstop) OVER v AS pe, lag(sstart) OVER v AS pb FROM h WINDOW v AS (PARTITION BY subject, strand ORDER BY start, stop, gene)),
@@ -194,7 +194,7 @@ ORACLE_SQL = {
         r AS (SELECT *, sum(nw) OVER (PARTITION BY signature ORDER BY start, lcb ROWS UNBOUNDED PRECEDING) AS run FROM w) SELECT lcb, min(lcb) OVER (PARTITION BY signature, run) AS cluster FROM r"""),
     "block_regions": duckdb_sql("SELECT lcb, count(*) AS members, string_agg(genome || ':' || start || ':' || stop, ',' ORDER BY genome) AS spans FROM {blocks} GROUP BY lcb HAVING count(*) > 1"),
     "backbone_edges": duckdb_sql("""WITH w AS (SELECT genome, lcb, lag(lcb) OVER v AS b, lead(lcb) OVER v AS a FROM {blocks} WINDOW v AS (PARTITION BY genome ORDER BY start, lcb)) SELECT genome, b AS source, lcb AS target FROM w UNION ALL SELECT genome, lcb, NULL FROM w WHERE a IS NULL"""),
-    "start_track": duckdb_sql("SELECT record_id, strand, CASE WHEN strand > 0 THEN start ELSE stop END AS pos, count(*) AS n FROM {features} WHERE record_id % 20 = 0 GROUP BY 1, 2, 3"),
+    "start_track": duckdb_sql("SELECT record_id, strand, CASE WHEN strand > 0 THEN start ELSE stop END AS pos, count(*) AS n FROM {reads} GROUP BY 1, 2, 3"),
     "fill_track": duckdb_sql(f"SELECT record_id, n, count(*) AS places FROM {_TRACK} GROUP BY 1, 2"),
     "contig_coverage": duckdb_sql(f"SELECT record_id, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS deviation FROM {_TRACK} GROUP BY 1"),
     **{k: duckdb_sql(v) for k, v in _QC.items()},

@@ -13,8 +13,8 @@ def _dna(s, d):
 
 
 def _oligos(s, d):
-    """The first 24 bases of each sequence (a data shape, not a limit on rows)."""
-    return _dna(s, d).select("seq_id", F.substring("seq", 1, 24).alias("seq"))
+    """Short sequences: whole names of parts as DNA."""
+    return view(s, d, "oligos")
 
 
 def _lengths(s, d):
@@ -49,7 +49,7 @@ QUERIES = {
     "id_swap": lambda s, d: Q.id_swap(_dna(s, d), -1).select("seq_id", "description"),
     "split_headers": lambda s, d: Q.split_headers(_dna(s, d).withColumn("description", F.replace("description", F.lit(" "), F.lit(">")))).select("seq_id", "description"),
     "junction_window": lambda s, d: _dna(s, d).select("seq_id", S.junction_window(F.col("seq"), 20).alias("seq")),
-    "highlight_motif": lambda s, d: _dna(s, d).select("seq_id", S.highlight(F.substring("seq", 1, 50), F.lit(10), F.lit(16)).alias("seq")),
+    "highlight_motif": lambda s, d: _dna(s, d).select("seq_id", F.md5(S.highlight(F.col("seq"), F.lit(10), F.lit(16))).alias("seq")),
     "aa_fraction": lambda s, d: _round(Q.aa_fraction(view(s, d, "proteins"), "ACDKW*")),
     "codon_counts": lambda s, d: Q.codon_counts(_dna(s, d)),
     "codon_fraction": lambda s, d: _round(Q.codon_fraction(_dna(s, d))),
@@ -65,8 +65,8 @@ QUERIES = {
     "first_difference": lambda s, d: Q.first_difference(_oligos(s, d), F.lit("ACGTACGTACGTACGTACGTACGT")),
     "contig_uid": lambda s, d: Q.contig_uid(_oligos(s, d)),
     "dedup": lambda s, d: Q.dedup(_dna(s, d)),
-    "concat_sequences": lambda s, d: Q.concat_sequences(_dna(s, d).withColumn("g", F.col("seq_id") % 50), "g", "seq_id", link="NN").select("g", F.md5("seq").alias("seq")),
-    "ligate": lambda s, d: Q.ligate_bed(_dna(s, d).withColumn("g", F.col("seq_id") % 50), "g", "seq_id", link="NN", pre="A").select("g", "seq_id", "start", "stop"),
+    "concat_sequences": lambda s, d: Q.concat_sequences(_dna(s, d).withColumn("g", F.floor(F.col("seq_id") / 20)), "g", "seq_id", link="NN").select("g", F.md5("seq").alias("seq")),
+    "ligate": lambda s, d: Q.ligate_bed(_dna(s, d).withColumn("g", F.floor(F.col("seq_id") / 20)), "g", "seq_id", link="NN", pre="A").select("g", "seq_id", "start", "stop"),
     "protein_props": lambda s, d: _round(Q.protein_props(_dna(s, d).join(view(s, d, "proteins").withColumnRenamed("seq", "protein"), "seq_id"))),
     "disambiguate": lambda s, d: Q.disambiguate(_oligos(s, d).withColumn("seq", F.translate("seq", "AC", "RN"))).select("seq_id", "changes", F.length("seq").alias("n"), (~F.col("seq").rlike("[^ACGT]")).alias("plain")),
 }
@@ -75,7 +75,7 @@ _CODONS = "list_transform(range(0, length(seq) // 3), lambda i: substring(seq, C
 _TABLE = "map([{}], [{}])".format(", ".join(f"'{c}'" for c in C.codons()), ", ".join(f"'{r}'" for r in C.TABLES[11]))
 _PROTEIN = f"list_aggregate(list_transform({_CODONS}, lambda c: CAST({_TABLE}[c] AS VARCHAR)), 'string_agg', '')"
 _RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
-_OLIGO = "(SELECT seq_id, substring(seq, 1, 24) AS seq FROM {dna})"
+_OLIGO = "{oligos}"
 _N = {x: f"(length(seq) - length(replace(seq, '{x}', '')))" for x in "ACGT"}
 _GC, _AT = f"({_N['G']} + {_N['C']})", f"({_N['A']} + {_N['T']})"
 
@@ -102,7 +102,7 @@ ORACLE_SQL = {
     "id_swap": duckdb_sql("SELECT seq_id, translate(string_split(description, ' ')[-1], '[]()', '') || ' ' || description AS description FROM {dna}"),
     "split_headers": duckdb_sql("SELECT seq_id, unnest(string_split(description, ' ')) AS description FROM {dna}"),
     "junction_window": duckdb_sql("SELECT seq_id, substring(right(seq, 20), 1, greatest(length(right(seq, 20)) - 3, 0)) || '[' || right(right(seq, 20), 3) || ']' || left(seq, 20) AS seq FROM {dna}"),
-    "highlight_motif": duckdb_sql("SELECT seq_id, lower(substring(q, 1, 10)) || upper(substring(q, 11, 6)) || lower(substring(q, 17)) AS seq FROM (SELECT seq_id, substring(seq, 1, 50) AS q FROM {dna})"),
+    "highlight_motif": duckdb_sql("SELECT seq_id, md5(lower(substring(seq, 1, 10)) || upper(substring(seq, 11, 6)) || lower(substring(seq, 17))) AS seq FROM {dna}"),
     "aa_fraction": duckdb_sql("SELECT seq_id, length(seq) AS length, " + ", ".join(f"round(coalesce({_letters('seq', x)} / nullif({_letters('seq', 'ACDKW*')}, 0), 0), 6) AS {'stop' if x == '*' else x.lower()}" for x in "ACDKW*") + " FROM {proteins}"),
     "codon_counts": duckdb_sql(f"SELECT codon, count(*) AS n FROM (SELECT unnest({_CODONS}) AS codon FROM {{dna}}) GROUP BY codon"),
     "codon_fraction": duckdb_sql(f"SELECT seq_id, codon, round(count(*) / any_value(t), 6) AS fraction FROM (SELECT seq_id, length(seq) // 3 AS t, unnest({_CODONS}) AS codon FROM {{dna}}) GROUP BY seq_id, codon"),
@@ -122,11 +122,11 @@ ORACLE_SQL = {
     "first_difference": duckdb_sql(f"""SELECT seq_id, pos, CASE WHEN pos > 0 THEN substring(seq, pos, 1) END AS residue FROM (SELECT seq_id, seq, CASE WHEN length(seq) = 24 THEN coalesce(list_position(list_transform(range(1, 25), lambda i: substring(seq, i, 1) = substring('ACGTACGTACGTACGTACGTACGT', i, 1)), false), 0) END AS pos FROM {_OLIGO})"""),
     "contig_uid": duckdb_sql(f"""WITH b AS (SELECT seq_id, seq AS q FROM {_OLIGO} UNION ALL SELECT seq_id, {_RC} FROM {_OLIGO}), t AS (SELECT seq_id, q, unnest(range(0, greatest(length(q), 1))) AS k FROM b) SELECT seq_id, md5(min(substring(q, k + 1) || substring(q, 1, k))) AS uid FROM t GROUP BY seq_id"""),
     "dedup": duckdb_sql("SELECT a[1] AS seq_id, len(a) AS copies, array_to_string(a[2:], ' ') AS others FROM (SELECT list(seq_id ORDER BY seq_id) AS a FROM {dna} GROUP BY upper(seq))"),
-    "concat_sequences": duckdb_sql("SELECT seq_id % 50 AS g, md5(string_agg(seq, 'NN' ORDER BY seq_id)) AS seq FROM {dna} GROUP BY 1"),
-    "ligate": duckdb_sql("SELECT seq_id % 50 AS g, seq_id, b AS start, b + length(seq) AS stop FROM (SELECT *, 1 + coalesce(sum(length(seq) + 2) OVER (PARTITION BY seq_id % 50 ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM {dna})"),
+    "concat_sequences": duckdb_sql("SELECT seq_id // 20 AS g, md5(string_agg(seq, 'NN' ORDER BY seq_id)) AS seq FROM {dna} GROUP BY 1"),
+    "ligate": duckdb_sql("SELECT seq_id // 20 AS g, seq_id, b AS start, b + length(seq) AS stop FROM (SELECT *, 1 + coalesce(sum(length(seq) + 2) OVER (PARTITION BY seq_id // 20 ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM {dna})"),
     "protein_props": duckdb_sql(f"""WITH j AS (SELECT d.seq_id, d.seq, p.seq AS protein FROM {{dna}} d JOIN {{proteins}} p USING (seq_id)),
         w AS (SELECT seq_id, avg(coalesce(({_letters('q', 'G')} - {_letters('q', 'C')}) / nullif({_letters('q', 'GC')}, 0), 0)) AS skew FROM (SELECT seq_id, substring(seq, i * 100 + 1, 100) AS q FROM (SELECT seq_id, seq, unnest(range(0, (length(seq) + 99) // 100)) AS i FROM j)) GROUP BY seq_id)
         SELECT j.seq_id, length(protein) AS length, round({_letters('protein', 'FWY')} / nullif(length(protein), 0), 6) AS aromaticity, round(100.0 * {_letters('seq', 'GC')} / nullif(length(seq), 0), 6) AS gc, round(coalesce(skew, 0), 6) AS gc_skew,
         round({' + '.join(f"{v}::DOUBLE * {_letters('protein', k)}" for k, v in Q.RESIDUE_MASS.items())} + {Q.WATER}, 6) AS weight FROM j LEFT JOIN w USING (seq_id)"""),
-    "disambiguate": duckdb_sql("SELECT seq_id, length(seq) - length(translate(seq, 'AC', '')) AS changes, length(seq) AS n, true AS plain FROM (SELECT seq_id, substring(seq, 1, 24) AS seq FROM {dna})"),
+    "disambiguate": duckdb_sql("SELECT seq_id, length(seq) - length(translate(seq, 'AC', '')) AS changes, length(seq) AS n, true AS plain FROM {oligos}"),
 }

@@ -96,7 +96,7 @@ def _glimmer(s, d):
 
 def _terms(s, d):
     p = view(s, d, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("t"))
-    return _trip(s, p.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "t")))).alias("line")), "json", R.read_term_dictionary)
+    return _trip(s, p.select(F.to_json(F.create_map("p_brand", "t")).alias("line")), "json", lambda s, path: R.read_term_dictionary(s, path, lines=True))
 
 
 def _gaf(s, d):
@@ -120,7 +120,8 @@ def _trna(s, d):
 
 def _partitioned(s, d):
     path = _path(s, "parts")
-    W.write_partitioned(W.bed_lines(view(s, d, "features").where("record_id % 10 = 0")), path, "record_id")
+    f = view(s, d, "features")
+    W.write_partitioned(W.bed_lines(f.withColumn("record_id", F.concat_ws("/", F.col("record_id").cast("string"), "type"))).select(F.substring_index("record_id", "/", -1).alias("type"), F.regexp_replace("line", "/[A-Za-z]+\t", "\t").alias("line")), path, "type")
     return s.read.text(path)
 
 
@@ -136,7 +137,7 @@ QUERIES = {
     "read_gaf": _gaf,
     "read_gene_table": _gene_table,
     "read_trnascan": lambda s, d: _trna(s, d).select("record_id", "start", "stop", "strand", "feature_id"),
-    "write_partitioned_features": lambda s, d: _partitioned(s, d).select("record_id", "value"),
+    "write_partitioned_features": lambda s, d: _partitioned(s, d).select("type", "value"),
     "merge_split_locations": lambda s, d: R.merge_split_locations(view(s, d, "parts").withColumn("feature_id", F.col("parent"))).select("record_id", "feature_id", "type", "start", "stop", F.size("parts").alias("n"), "_error"),
     "codon_reference": lambda s, d: codon_reference(view(s, d, "part").select(F.col("p_brand").alias("organism"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * F.col("p_size") + 1).cast("string")), " ").alias("counts")), "Brand#11").groupBy("codon").agg(F.sum("n").alias("n")),
     "read_gff3": lambda s, d: _gff3(s, d).select("record_id", "type", "start", "stop", "strand", "feature_id", "parent", F.array_join(F.try_element_at("attrs", F.lit("note")), "|").alias("note"), "_error"),
@@ -164,7 +165,7 @@ ORACLE_SQL = {
     "read_gaf": "SELECT CAST(s_suppkey AS VARCHAR) AS gene, s_name AS go_id FROM supplier",
     "read_gene_table": duckdb_sql("SELECT CAST(record_id AS VARCHAR) AS record_id, 'gene' AS type, start, stop, strand, feature_id || '%3Ba%3Db' AS name FROM {features}"),
     "read_trnascan": duckdb_sql("SELECT 'r' || record_id AS record_id, start, stop, strand, 'r' || record_id || '.trna.' || feature_id AS feature_id FROM {features}"),
-    "write_partitioned_features": duckdb_sql(f"SELECT CAST(record_id AS INT) AS record_id, record_id || chr(9) || start || chr(9) || stop || chr(9) || feature_id || chr(9) || '0' || chr(9) || {_SIGN} AS value FROM {{features}} WHERE record_id % 10 = 0"),
+    "write_partitioned_features": duckdb_sql(f"SELECT type, record_id || chr(9) || start || chr(9) || stop || chr(9) || feature_id || chr(9) || '0' || chr(9) || {_SIGN} AS value FROM {{features}}"),
     "merge_split_locations": duckdb_sql("SELECT record_id, parent AS feature_id, min(type) AS type, min(start) AS start, max(stop) AS stop, count(*) AS n, CASE WHEN count(DISTINCT type) > 1 THEN 'types differ' END AS _error FROM {parts} GROUP BY record_id, parent"),
     "codon_reference": "SELECT codon, CAST(sum(i * p_size + 1) AS BIGINT) AS n FROM part, (SELECT unnest([" + ", ".join(f"'{c}'" for c in codons()) + "]) AS codon, unnest(range(0, 64)) AS i) WHERE p_brand = 'Brand#11' GROUP BY codon",
     "read_gff3": duckdb_sql("SELECT CAST(record_id AS VARCHAR) AS record_id, type, start, stop, strand, feature_id, parent, 'a;b=c,d|' || type AS note, '' AS _error FROM {tree}"),

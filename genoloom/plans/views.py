@@ -10,6 +10,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from genoloom.session import spread
+
+#: Tables of texts, where a row is much work: they are spread over all cores.
+_TEXTS = ("documents", "conversations")
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _DNA = ("ACGT" * 13)[:52]
 _RESIDUES = ("ACDEFGHIKLMNPQRSTVWY" * 3)[:52]
@@ -36,7 +40,9 @@ VIEWS: dict[str, str] = {
         60 + l_suppkey % 40 AS qlen, 55 + l_partkey % 50 AS slen, l_discount AS evalue, 100 - 100 * l_tax AS pident, l_linenumber AS ord, l_extendedprice AS bitscore,
         (l_partkey * 13) % 5000 AS qstart, (l_partkey * 13) % 5000 + CAST(l_quantity AS BIGINT) AS qstop, (l_suppkey * 29) % 5000 AS sstart, (l_suppkey * 29) % 5000 + CAST(l_quantity AS BIGINT) AS sstop,
         concat('protein ', CAST(l_partkey % 7 AS VARCHAR(20)), ' [', 'Phage ', CAST(l_suppkey AS VARCHAR(20)), ']<>putative ', CAST(l_linenumber AS VARCHAR(20)), ' [Host ', CAST(l_suppkey % 9 AS VARCHAR(20)), ']') AS titles FROM {lineitem}""",
-    "scores": """SELECT a.c_name AS id_a, b.c_name AS id_b, round(a.c_acctbal - b.c_acctbal, 2) AS value FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND a.c_custkey % 10 = b.c_custkey % 10 WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'BUILDING'""",
+    "scores": """SELECT a.c_name AS id_a, b.c_name AS id_b, round(a.c_acctbal - b.c_acctbal, 2) AS value FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey""",
+    "oligos": f"""SELECT p_partkey AS seq_id, regexp_replace(translate(concat(p_name, p_type, p_brand), '{_LETTERS}', '{_DNA}'), '[^ACGT]', ''{{g}}) AS seq FROM {{part}}""",
+    "reads": """SELECT l_partkey AS record_id, l_orderkey * 7 % 2000 AS start, l_orderkey * 7 % 2000 + CAST(l_quantity AS BIGINT) * 3 AS stop, CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END AS strand FROM {lineitem}""",
     "aligned": f"""SELECT a.conv_id, a.turn, left(a.s, CAST(least(length(a.s), length(b.s)) AS INT)) AS seq_a, left(b.s, CAST(least(length(a.s), length(b.s)) AS INT)) AS seq_b
         FROM (SELECT conv_id, turn, translate(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ''{{g}}), '{_LETTERS} ', '{_DNA}-') AS s FROM {{conversations}}) a
         JOIN (SELECT conv_id, turn, translate(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ''{{g}}), '{_LETTERS} ', '{_DNA}-') AS s FROM {{conversations}}) b
@@ -49,7 +55,8 @@ VIEWS: dict[str, str] = {
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a table of the driver, as a Spark DataFrame."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in _TEXTS else table
     text = VIEWS[name]
     inputs = {x: view(spark, sf_dir, x) for x in set(re.findall(r"\{([a-z]\w*)\}", text)) - {"g"}}
     return spark.sql(text.replace("{g}", ""), **inputs)

@@ -28,6 +28,12 @@ def get_session(app: str = "genoloom", cores: str = "*", shuffle_partitions: int
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a table of a few small files is dealt again, a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``. Only a local[...] session may go without one and gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)

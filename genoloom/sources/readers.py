@@ -235,9 +235,9 @@ def read_five_column(spark: SparkSession, path: str) -> DataFrame:
     return out.select("record_id", "n", "type", (F.col("lo") - 1).alias("start"), "stop", F.when(F.col("rev") == 1, -1).otherwise(1).alias("strand"), "attrs")
 
 
-def read_term_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(category, term) of JSON files that map a category to its terms."""
-    j = _text(spark, path, whole=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("category", "terms"))
+def read_term_dictionary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(category, term) of JSON that maps categories to their terms: one object a file, or one a line, so that large files can be split."""
+    j = _text(spark, path, whole=not lines).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("category", "terms"))
     return j.select("category", F.explode("terms").alias("term"))
 
 

@@ -132,3 +132,34 @@ def test_renumber_keeps_numbers_longer_than_the_digits(spark):
     members = spark.createDataFrame([("m", "g0999")], "feature_id string, parent string")
     got = {r.feature_id: r.tag for r in renumber(genes, members, "gp", 3).collect()}
     assert got == {f"g{i:04}": f"gp_{i + 1:03}" for i in range(1005)} | {"m": "gp_1000"}
+
+
+def test_trees_are_walked_to_any_depth(spark):
+    from genoloom.operators.features import coding_genes, descendants, filter_tree, fminmax
+    from genoloom.operators.qc import qc_parents
+
+    rows = [("r", "gene" if i == 0 else "CDS" if i == 49 else "part", i, 100 + i, 1, f"n{i}", f"n{i - 1}" if i else None) for i in range(50)]
+    rows += [("r", "part", 0, 9, 1, f"c{i}", f"c{(i + 1) % 7}") for i in range(7)] + [("r", "part", 0, 9, 1, "tail", "c3"), ("r", "part", 0, 9, 1, "lost", "nobody"), ("r", "part", 0, 9, 1, "self", "self")]
+    f = spark.createDataFrame(rows, "record_id string, type string, start long, stop long, strand int, feature_id string, parent string")
+    assert {r.feature_id for r in filter_tree(f, F.col("feature_id") == "n0").collect()} == {f"n{i}" for i in range(50)}
+    assert descendants(f, f.where("feature_id = 'n10'")).count() == 39 and descendants(f, f.where("feature_id = 'c0'")).count() == 7
+    assert [r.feature_id for r in coding_genes(f).collect()] == ["n0"]
+    assert [tuple(r) for r in fminmax(f).collect()] == [("n0", 0, 149)]
+    told = {(r.feature_id, r.message) for r in qc_parents(f).collect()}
+    assert told == {("lost", "parent not found"), ("self", "own parent")} | {(f"c{i}", "cycle") for i in range(7)}
+
+
+def test_contig_uid_equals_all_rotations(spark):
+    import hashlib
+    import random
+
+    from genoloom.operators.sequences import contig_uid, least_rotation
+
+    rng = random.Random(3)
+    seqs = ["", "A", "AAAA", "ACGT", "GATTACA", "AC" * 300, "ACG" * 200 + "T", "CAAC" * 90] + ["".join(rng.choice("ACGT"[: rng.choice([1, 2, 4])]) for _ in range(rng.randrange(1, 400))) for _ in range(150)]
+    turn = lambda s: min(s[k:] + s[:k] for k in range(max(len(s), 1)))
+    assert all(least_rotation(s) == turn(s) for s in seqs)
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    got = {r.seq_id: r.uid for r in contig_uid(spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")).collect()}
+    assert got == {i: hashlib.md5(min(turn(s), turn(back(s))).encode()).hexdigest() for i, s in enumerate(seqs)}
+    assert len(least_rotation("ACGT" * 250_000)) == 1_000_000
