@@ -35,6 +35,18 @@ def descendants(features: DataFrame, roots: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def tree_depths(features: DataFrame) -> DataFrame:
+    """(feature_id, _depth) of the features below others: 1 for a child of a top feature, and so on; those in cycles are left out."""
+    edges = features.where(F.col("parent").isNotNull()).select("parent", F.col("feature_id").alias("_child"))
+    level, found = features.where(F.col("parent").isNull()).select("feature_id").distinct(), []
+    while True:
+        level = materialize(level.join(edges, F.col("feature_id") == F.col("parent")).select(F.col("_child").alias("feature_id")).distinct(), "tree-level")
+        found.append(level.withColumn("_depth", F.lit(len(found) + 1)))
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).groupBy("feature_id").agg(F.max("_depth").alias("_depth"))
+
+
 def filter_tree(features: DataFrame, predicate: Column, invert: bool = False, below: bool = True) -> DataFrame:
     """Features that pass the predicate (or do not); with ``below``, all their descendants too. A null outcome does not pass."""
     ok = F.coalesce(predicate, F.lit(False))

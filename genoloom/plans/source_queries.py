@@ -125,7 +125,88 @@ def _partitioned(s, d):
     return s.read.text(path)
 
 
+def _mga(s, d):
+    f = view(s, d, "features")
+    line = F.concat_ws("\t", "feature_id", (F.col("start") + 1).cast("string"), F.col("stop").cast("string"), F.when(F.col("strand") > 0, "+").otherwise("-"), *map(F.lit, ("0", "11", "1.5", "p", "-", "-", "-")))
+    per = f.select("record_id", line.alias("l")).groupBy("record_id").agg(F.array_join(F.collect_list("l"), "\n").alias("t"))
+    return _trip(s, per.select(F.concat(F.lit("# r"), F.col("record_id").cast("string"), F.lit("\n# gc = 0.5, rbs = 0.4\n# self: -\n"), "t").alias("line")), "mga", R.read_mga)
+
+
+def _regions(s, d):
+    f = view(s, d, "tree").withColumn("attrs", F.create_map().cast("map<string,array<string>>"))
+    even = f.where("record_id % 2 = 0").select("record_id").distinct()
+    pragma = even.select(F.concat(F.lit("##sequence-region "), F.col("record_id").cast("string"), F.lit(" 1 "), (F.col("record_id") + 90000).cast("string")).alias("line"))
+    return _trip(s, W.gff3_lines(f).select("line").unionByName(pragma), "gff3", R.read_gff3_regions)
+
+
+def _gff_fasta(s, d):
+    seqs = view(s, d, "dna").where("length(seq) > 0")
+    gff = F.concat_ws("\t", F.concat(F.lit("s"), F.col("seq_id").cast("string")), F.lit("x"), F.lit("region"), F.lit("1"), F.length("seq").cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID=f"), F.col("seq_id").cast("string")))
+    rows = seqs.select(F.floor(F.col("seq_id") / 20).alias("file"), gff.alias("g"), F.concat(F.lit(">s"), F.col("seq_id").cast("string"), F.lit("\n"), "seq").alias("q"))
+    whole = rows.groupBy("file").agg(F.concat_ws("\n", F.array_join(F.collect_list("g"), "\n"), F.lit("##FASTA"), F.array_join(F.collect_list("q"), "\n")).alias("line"))
+    path = _path(s, "gff-fasta")
+    W.write_partitioned(whole, path, "file")
+    features, found = R.split_gff_fasta(s, path)
+    return features.join(found, features.record_id == found.seq_id, "full").select("record_id", "seq_id", "feature_id", "start", "stop", F.md5("seq").alias("seq"))
+
+
+def _backbone(s, d):
+    at = lambda x: x.cast("string")
+    c = view(s, d, "customer").select("c_nationkey", "c_custkey", F.concat_ws("\t", at(F.col("c_custkey") * 10 + 1), at(F.col("c_custkey") * 10 + 9), *(at(F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(F.col("c_custkey") * 7 + k)) for k in (1, 5))).alias("l"))
+    per = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "l"))).alias("ls"))
+    text = F.concat(F.lit("seq0_leftend\tseq0_rightend\tseq1_leftend\tseq1_rightend\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n"))
+    path = _path(s, "backbone")
+    W.write_partitioned(per.select("c_nationkey", text.alias("line")), path, "c_nationkey")
+    return R.read_backbone(s, path)
+
+
+def _blast_xml(s, d):
+    h = view(s, d, "hits")
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))
+    hsp = F.concat(F.lit("<Hit_hsps><Hsp>"), tag("Hsp_bit-score", F.col("bitscore")), tag("Hsp_evalue", F.col("evalue")), tag("Hsp_query-from", F.col("qstart") + 1), tag("Hsp_query-to", F.col("qstop")), tag("Hsp_hit-from", F.col("sstart") + 1), tag("Hsp_hit-to", F.col("sstop")), tag("Hsp_identity", F.col("nident")), tag("Hsp_align-len", F.col("length")), F.lit("</Hsp></Hit_hsps>"))
+    hit = F.concat(F.lit("<Hit>"), tag("Hit_id", F.col("subject")), tag("Hit_def", F.concat(F.lit("protein "), F.col("taxon").cast("string"))), tag("Hit_accession", F.col("subject")), tag("Hit_len", F.col("slen")), hsp, F.lit("</Hit>"))
+    per = h.groupBy("query").agg(F.array_join(F.collect_list(hit), "").alias("hits"))
+    line = F.concat(F.lit("<Iteration>"), tag("Iteration_query-ID", F.concat(F.lit("q"), F.col("query").cast("string"))), tag("Iteration_query-len", F.lit(99)), F.lit("<Iteration_hits>"), "hits", F.lit("</Iteration_hits></Iteration>"))
+    ends = ("<BlastOutput><BlastOutput_iterations>", "</BlastOutput_iterations></BlastOutput>")
+    whole = per.groupBy(F.floor(F.col("query") / 1000).alias("file")).agg(F.concat(F.lit(ends[0]), F.array_join(F.collect_list(line), "\n"), F.lit(ends[1])).alias("line"))
+    path = _path(s, "xml")
+    W.write_partitioned(whole, path, "file")
+    return R.read_blast_xml(s, path)
+
+
+def _genbank(s, d):
+    q = view(s, d, "dna").where("length(seq) > 0")
+    n = F.length("seq").cast("string")
+    text = F.concat(F.lit("LOCUS       r"), F.col("seq_id").cast("string"), F.lit(" "), n, F.lit(" bp DNA\nFEATURES             Location/Qualifiers\n     CDS             complement(join(J00194.1:100..202,3..9,12.."), (F.length("seq") + 20).cast("string"), F.lit('))\n                     /gene="a b"\n                     /db_xref="x:1"\n                     /db_xref="x:2"\nORIGIN\n        1 '), F.lower("seq"), F.lit("\n//"))
+    path = _path(s, "gbk")
+    W.write_lines(q.select(text.alias("line")), path)
+    records, features = R.read_genbank(s, path)
+    f = features.select("record_id", "type", "start", "stop", "strand", F.size("parts").alias("parts"), F.array_join(F.col("attrs")["db_xref"], ",").alias("xrefs"))
+    return records.select("record_id", F.md5("seq").alias("seq")).join(f, "record_id")
+
+
+def _tsv(s, d):
+    path = _path(s, "tsv")
+    W.write_tsv(view(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path)
+    return s.read.csv(path, sep="\t", header=True, quote="")
+
+
+def _fasta_parts(s, d):
+    path = _path(s, "fasta-parts")
+    q = view(s, d, "dna").withColumn("source", F.coalesce(F.regexp_extract("description", r"\[(.*)\]", 1), F.lit("none")))
+    W.write_partitioned(W.fasta_lines(q).join(q.select("seq_id", "source"), "seq_id"), path, "source")
+    return R.fasta_records(s.read.text(path, lineSep="\n>")).select("source", "seq_id", F.md5("seq").alias("seq"))
+
+
 QUERIES = {
+    "read_mga": lambda s, d: _mga(s, d).select("record_id", "type", "start", "stop", "strand", "feature_id", "parent"),
+    "read_gff3_regions": _regions,
+    "split_gff_fasta": _gff_fasta,
+    "read_backbone": lambda s, d: _backbone(s, d).select("block", "genome", "start", "stop"),
+    "read_blast_xml": lambda s, d: _blast_xml(s, d).select("query", "accession", "title", "slen", "evalue", "bitscore", "qstart", "send", "nident", "length"),
+    "read_genbank": _genbank,
+    "write_tsv": _tsv,
+    "write_partitioned_sequences": _fasta_parts,
     "reformat": _reformat,
     "write_xmfa": lambda s, d: W.xmfa_lines(_blocks(s, d).select("lcb", F.col("turn").alias("member"), F.lit(0).alias("start"), F.length("seq").alias("stop"), F.lit(1).alias("strand"), F.lit("x").alias("comment"), "seq")).select("lcb", F.md5("line").alias("line")),
     "read_sam_starts": _sam,
@@ -154,6 +235,15 @@ QUERIES = {
 _A1, _B1 = "CASE WHEN strand > 0 THEN start + 1 ELSE stop END", "CASE WHEN strand > 0 THEN stop ELSE start + 1 END"
 _SIGN = "CASE WHEN strand > 0 THEN '+' ELSE '-' END"
 ORACLE_SQL = {
+    "read_mga": duckdb_sql("SELECT 'r' || record_id AS record_id, 'gene' AS type, start, stop, strand, feature_id, NULL AS parent FROM {features} UNION ALL SELECT 'r' || record_id, 'CDS', start, stop, strand, feature_id || '.cds', feature_id FROM {features}"),
+    "read_gff3_regions": duckdb_sql("SELECT CAST(record_id AS VARCHAR) AS record_id, CASE WHEN record_id % 2 = 0 THEN record_id + 90000 ELSE max(stop) END AS length FROM {tree} GROUP BY record_id"),
+    "split_gff_fasta": duckdb_sql("SELECT 's' || seq_id AS record_id, 's' || seq_id AS seq_id, 'f' || seq_id AS feature_id, 0 AS start, length(seq) AS stop, md5(seq) AS seq FROM {dna} WHERE length(seq) > 0"),
+    "read_backbone": """WITH b AS (SELECT c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS block FROM customer)
+        SELECT block, 0 AS genome, k * 10 + 1 AS start, k * 10 + 9 AS stop FROM b UNION ALL SELECT block, 1, k * 7 + 1, k * 7 + 5 FROM b WHERE k % 3 <> 0""",
+    "read_blast_xml": duckdb_sql("SELECT 'q' || query AS query, CAST(subject AS VARCHAR) AS accession, 'protein ' || taxon AS title, slen, evalue, bitscore, qstart + 1 AS qstart, sstop AS send, nident, length FROM {hits}"),
+    "read_genbank": duckdb_sql("SELECT 'r' || seq_id AS record_id, md5(seq) AS seq, 'CDS' AS type, 2 AS start, length(seq) + 20 AS stop, -1 AS strand, 2 AS parts, 'x:1,x:2' AS xrefs FROM {dna} WHERE length(seq) > 0"),
+    "write_tsv": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier",
+    "write_partitioned_sequences": duckdb_sql("SELECT coalesce(regexp_extract(description, '\\[(.*)\\]', 1), 'none') AS source, CAST(seq_id AS VARCHAR) AS seq_id, md5(seq) AS seq FROM {dna}"),
     "reformat": duckdb_sql(f"""SELECT record_id || chr(9) || 'again' || chr(9) || type || chr(9) || (start + 1) || chr(9) || stop || chr(9) || '.' || chr(9) || {_SIGN} || chr(9) || '.' || chr(9) || 'ID=' || feature_id || coalesce(';Parent=' || parent, '') || coalesce(';product=' || product, '') AS line FROM {{tree}}"""),
     "write_xmfa": duckdb_sql("""SELECT lcb, md5(string_agg(t, chr(10) ORDER BY turn) || chr(10) || '=') AS line FROM (SELECT conv_id AS lcb, turn, '> ' || turn || ':1-' || length(seq_a) || ' + x' || chr(10) || rtrim(regexp_replace(seq_a, '(.{80})', '\\1' || chr(10), 'g'), chr(10)) AS t FROM {aligned} WHERE length(seq_a) > 0) GROUP BY lcb"""),
     "read_sam_starts": duckdb_sql("SELECT CAST(record_id AS VARCHAR) AS record_id, strand, start, stop FROM {features}"),

@@ -185,12 +185,12 @@ def read_glimmer(spark: SparkSession, path: str, lengths: DataFrame | None = Non
 
 def read_mga(spark: SparkSession, path: str) -> DataFrame:
     """Eleven-column calls as genes, CDS and binding sites; genes widen to their site."""
-    rec = _text(spark, path, "\n# ").select("value", "file")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(~F.col("value").startswith("#") & F.contains("value", F.lit("\t")))
-    names = rec.select("file", F.regexp_extract("value", r"^#?\s*(\S+)", 1).alias("record_id")).where(~F.col("record_id").isin("gc", "self:", "gc:", "self")).groupBy("file").agg(F.min("record_id").alias("record_id"))
+    # A record is what follows a comment line that is not one of the two about GC content and the model.
+    rec = _text(spark, path, whole=True).select(F.explode(F.split("value", r"(?:^|\n)#[ \t]*+(?!gc\b|self\b)")).alias("r")).where(F.trim("r") != "")
+    lines = rec.select(F.regexp_extract("r", r"^(\S+)", 1).alias("record_id"), F.explode(F.split("r", "\n")).alias("value")).where(~F.col("value").startswith("#") & F.contains("value", F.lit("\t")))
     c = F.split("value", "\t")
     at = lambda i: F.get(c, F.lit(i))
-    rows = lines.join(names, "file").select("record_id", at(0).alias("call"), (at(1).cast("long") - 1).alias("start"), at(2).cast("long").alias("stop"), F.when(at(3) == "+", 1).otherwise(-1).alias("strand"), at(8).try_cast("long").alias("rs"), at(9).try_cast("long").alias("re"))
+    rows = lines.where(at(1).try_cast("long").isNotNull()).select("record_id", at(0).alias("call"), (at(1).try_cast("long") - 1).alias("start"), at(2).try_cast("long").alias("stop"), F.when(at(3) == "+", 1).otherwise(-1).alias("strand"), at(8).try_cast("long").alias("rs"), at(9).try_cast("long").alias("re"))
     genes = rows.withColumn("start", F.least("start", F.coalesce(F.col("rs") - 1, F.col("start")))).withColumn("stop", F.greatest("stop", F.coalesce("re", "stop")))
     cds = _gene_and_cds(rows).where("type = 'CDS'")
     sites = rows.where("rs is not null").select("record_id", F.lit("Shine_Dalgarno_sequence").alias("type"), (F.col("rs") - 1).alias("start"), F.col("re").alias("stop"), "strand", F.concat("call", F.lit(".rbs")).alias("feature_id"), F.col("call").alias("parent"))
@@ -223,16 +223,18 @@ def read_gaf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_five_column(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, n, type, start, stop, strand, attrs) of five-column feature tables; reversed ends are the minus strand."""
+    """(record_id, n, type, start, stop, strand, attrs, qualifiers) of five-column feature tables; reversed ends are the minus strand. qualifiers has all values of each key, attrs the first."""
     rec = _text(spark, path, ">Feature ").where(F.trim("value") != "").select(F.regexp_extract("value", r"^(\S+)", 1).alias("record_id"), F.posexplode(F.split("value", "\n")).alias("i", "line")).where("i > 0")
     c = F.split("line", "\t")
     at = lambda i: F.get(c, F.lit(i))
     is_new = (F.coalesce(at(2), F.lit("")) != "").cast("int")
     n = F.sum(is_new).over(Window.partitionBy("record_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     rows = rec.withColumn("new", is_new).withColumn("n", n).select("record_id", "n", "i", F.regexp_replace(at(0), "[<>]", "").try_cast("long").alias("a"), F.regexp_replace(at(1), "[<>]", "").try_cast("long").alias("b"), at(2).alias("type"), at(3).alias("k"), at(4).alias("v")).where("n > 0")
-    attrs = F.map_from_entries(F.collect_list(F.when(F.coalesce("k", F.lit("")) != "", F.struct("k", F.coalesce("v", F.lit(""))))))
-    out = rows.groupBy("record_id", "n").agg(F.max("type").alias("type"), F.min(F.least("a", "b")).alias("lo"), F.max(F.greatest("a", "b")).alias("stop"), F.max(F.when(F.col("a") > F.col("b"), 1).otherwise(0)).alias("rev"), attrs.alias("attrs"))
-    return out.select("record_id", "n", "type", (F.col("lo") - 1).alias("start"), "stop", F.when(F.col("rev") == 1, -1).otherwise(1).alias("strand"), "attrs")
+    entries = F.sort_array(F.collect_list(F.when(F.coalesce("k", F.lit("")) != "", F.struct("i", "k", F.coalesce("v", F.lit("")).alias("v")))))
+    qualifiers = F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: e["k"])), lambda k: F.struct(k, F.transform(F.filter(entries, lambda e: e["k"] == k), lambda e: e["v"]))))
+    out = rows.groupBy("record_id", "n").agg(F.max("type").alias("type"), F.min(F.least("a", "b")).alias("lo"), F.max(F.greatest("a", "b")).alias("stop"), F.max(F.when(F.col("a") > F.col("b"), 1).otherwise(0)).alias("rev"), qualifiers.alias("qualifiers"))
+    attrs = F.transform_values("qualifiers", lambda k, v: F.get(v, F.lit(0))).alias("attrs")
+    return out.select("record_id", "n", "type", (F.col("lo") - 1).alias("start"), "stop", F.when(F.col("rev") == 1, -1).otherwise(1).alias("strand"), attrs, "qualifiers")
 
 
 def read_term_dictionary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -287,7 +289,7 @@ def _genbank_record(block: str) -> dict:
 
 
 def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, features) of flat files: record fields with the sequence, and features with bounds and strand from their location text."""
+    """(records, features) of flat files: record fields with the sequence, and features with bounds, strand and parts (start, stop) from their location text."""
 
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
@@ -296,6 +298,11 @@ def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     blocks = _text(spark, path, "\n//").select("value").where(F.contains("value", F.lit("LOCUS")))
     records = blocks.mapInPandas(run, _GENBANK)
     f = records.select("record_id", F.posexplode("features").alias("n", "f"))
-    ends = F.transform(F.regexp_extract_all("f.location", F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
-    features = f.select("record_id", "n", "f.type", (F.array_min(ends) - 1).alias("start"), F.array_max(ends).alias("stop"), F.when(F.contains("f.location", F.lit("complement")), -1).otherwise(1).alias("strand"), "f.attrs")
+    # Parts on other records (accession:bounds) are left out; a single base or a site between two is a part of its own.
+    own = F.regexp_replace("f.location", r"[A-Za-z][\w.]*:[<>]?\d+(?:(?:\.\.|\^|\.)[<>]?\d+)?", "")
+    number = lambda x: x.try_cast("long")
+    bounds = r"[<>]?(\d+)(?:(?:\.\.|\^|\.)[<>]?(\d+))?"
+    parts = F.zip_with(F.regexp_extract_all(own, F.lit(bounds), F.lit(1)), F.regexp_extract_all(own, F.lit(bounds), F.lit(2)), lambda a, b: F.struct((number(a) - 1).alias("start"), F.coalesce(number(b), number(a)).alias("stop")))
+    placed = f.select("record_id", "n", "f.type", parts.alias("parts"), F.when(F.contains("f.location", F.lit("complement")), -1).otherwise(1).alias("strand"), "f.attrs")
+    features = placed.select("record_id", "n", "type", F.array_min("parts.start").alias("start"), F.array_max("parts.stop").alias("stop"), "strand", "attrs", "parts")
     return records.drop("features"), features

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoloom.operators.features import tree_depths
+
 
 def _escape(text: Column) -> Column:
     out = text
@@ -25,9 +27,9 @@ def gff3_lines(features: DataFrame, source: str = "genoloom") -> DataFrame:
 
 
 def write_gff3(features: DataFrame, path: str) -> None:
-    """GFF3 files, each record whole and in start order, parents before children."""
-    depth = F.when(F.col("parent").isNull(), 0).otherwise(1)
-    placed = features.repartitionByRange("record_id").sortWithinPartitions("record_id", "start", depth, "stop")
+    """GFF3 files, each record whole and in start order; of features with one start, those higher in the tree come first."""
+    deep = features.join(tree_depths(features), "feature_id", "left").withColumn("_depth", F.coalesce("_depth", F.lit(0)))
+    placed = deep.repartitionByRange("record_id").sortWithinPartitions("record_id", "start", "_depth", F.desc("stop"), "feature_id")
     gff3_lines(placed).select("line").write.text(path)
 
 

@@ -100,3 +100,24 @@ def test_partitioned_sink(spark, tmp_path):
     assert {(r.record_id, r.value) for r in back.collect()} == {("r1", "a"), ("r2", "b"), ("r1", "c")}
     W.write_tsv(df, str(tmp_path / "tsv"))
     assert spark.read.csv(str(tmp_path / "tsv"), sep="\t", header=True).count() == 3
+
+
+def test_repeated_qualifiers_records_of_a_file_and_split_locations(spark, tmp_path):
+    f = put(tmp_path, "b.tbl", ">Feature r1\n1\t9\tCDS\n\t\t\tdb_xref\tx:1\n\t\t\tdb_xref\tx:2\n")
+    assert R.read_five_column(spark, f).select("qualifiers").first()[0] == {"db_xref": ["x:1", "x:2"]}
+    line = "\t".join(["gene_1", "1", "90", "+", "0", "11", "9.5", "p", "-", "-", "-"])
+    m = put(tmp_path, "a.mga", f"# recA some words\n# gc = 0.5, rbs = 0.4\n# self: -\n{line}\n# recB\n# gc = 0.4\n# self: a\n{line}\n")
+    assert sorted(r.record_id for r in R.read_mga(spark, m).where("type = 'CDS'").collect()) == ["recA", "recB"]
+    g = put(tmp_path, "a.gbk", 'LOCUS       q1 30 bp DNA\nFEATURES             Location/Qualifiers\n     CDS             join(J00194.1:100..202,1..9,\n                     <12..>20)\n                     /gene="x"\n     gene            J00194.1:5..6\nORIGIN\n        1 acgt\n//\n')
+    got = [(r.type, r.start, r.stop, [tuple(p) for p in r.parts]) for r in R.read_genbank(spark, g)[1].orderBy("n").collect()]
+    assert got == [("CDS", 0, 20, [(0, 9), (11, 20)]), ("gene", None, None, [])]
+
+
+def test_gff3_is_written_from_the_top_of_the_tree(spark, tmp_path):
+    from genoloom.sources import writers as W
+
+    rows_ = [("r", "exon", 0, 9, 1, "e", "m"), ("r", "mRNA", 0, 90, 1, "m", "g"), ("r", "gene", 0, 90, 1, "g", None), ("r", "CDS", 0, 9, 1, "c", "e")]
+    f = spark.createDataFrame(rows_, "record_id string, type string, start long, stop long, strand int, feature_id string, parent string").withColumn("attrs", F.create_map().cast("map<string,array<string>>"))
+    W.write_gff3(f, str(tmp_path / "out"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [x.split("\t")[2] for x in text] == ["gene", "mRNA", "exon", "CDS"]
