@@ -15,12 +15,14 @@ from genoloom.llm.quality_rules import CLASSES, COMMON_WORDS, MARKS, Limits, qua
 from genoloom.llm.simhash import simhash_components
 from genoloom.llm.suffix_dedup import remove_repeats
 from genoloom.llm.token_counts import token_counts
+from genoloom.session import spread
 
 MIN_SITES = 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def _tokenizer(name: str) -> str:
