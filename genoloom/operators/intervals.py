@@ -154,6 +154,14 @@ def introns(cds: DataFrame, keys: tuple[str, ...] = ("record_id", "parent")) ->
     return found.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("start")))
 
 
+def intron_sequences(cds: DataFrame, seqs: DataFrame, keys: tuple[str, ...] = ("record_id", "parent")) -> DataFrame:
+    """(keys, seq): the spaces between neighbouring coding parts of a gene, one after the other on the forward strand; keys[0] names the sequence."""
+    joined = introns(cds, keys).join(seqs.select(F.col("seq_id").alias(keys[0]), F.col("seq").cast("binary").alias("_b")), keys[0])
+    piece = F.substring("_b", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int")).cast("string")
+    parts = F.array_sort(F.collect_list(F.struct("n", piece.alias("s"))))  # a gene's own introns
+    return joined.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["s"]), "").alias("seq"))
+
+
 def reading_frame(start: Column, stop: Column, strand: Column, length: Column) -> Column:
     """Frame 1 to 3 of a forward gene, 4 to 6 of a reverse one."""
     return F.when(strand > 0, F.pmod(start, F.lit(3)) + 1).otherwise(F.pmod(length - stop, F.lit(3)) + 4).cast("int")

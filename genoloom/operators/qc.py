@@ -33,6 +33,35 @@ def qc_gene_model(features: DataFrame) -> DataFrame:
     return _found(bad, "gene_model", F.concat(F.col("exons").cast("string"), F.lit(" exons, "), F.col("cds").cast("string"), F.lit(" CDS")))
 
 
+def qc_paired_lengths(features: DataFrame) -> DataFrame:
+    """Genes with as many exons (longer than 10) as CDS of which a pair, in order of start, differs in length; one row a pair."""
+    size = F.col("stop") - F.col("start")
+    parts = features.where(F.col("parent").isNotNull() & ((F.col("type") == "CDS") | ((F.col("type") == "exon") & (size > 10)))).select("parent", "type", "start", "stop", "feature_id")
+    ranked = parts.withColumn("n", F.row_number().over(Window.partitionBy("parent", "type").orderBy("start", "stop", "feature_id")))
+    of = lambda t: F.max(F.when(F.col("type") == t, size))
+    pairs = ranked.groupBy("parent", "n").agg(of("exon").alias("e"), of("CDS").alias("c"))
+    uneven = pairs.where("e is null or c is null").select("parent").distinct()
+    bad = pairs.where("e <> c").join(uneven, "parent", "left_anti").withColumnRenamed("parent", "feature_id")
+    genes = features.where("type = 'gene'").select("record_id", "feature_id")
+    return _found(genes.join(bad, "feature_id"), "gene_model", F.concat(F.lit("CDS "), F.col("n").cast("string"), F.lit(" is not as long as its exon")))
+
+
+def qc_far_rbs(features: DataFrame, most: int = 15) -> DataFrame:
+    """Genes whose first binding site lies more than ``most`` bases before their first CDS, by strand."""
+    kids = features.where("parent is not null").select("parent", "type", "start", "stop", "feature_id")
+    first = lambda cond: F.min(F.when(cond, F.struct("start", "stop", "feature_id")))
+    both = kids.groupBy(F.col("parent").alias("feature_id")).agg(first(F.col("type") == "CDS").alias("cds"), first(F.col("type").isin("RBS", "Shine_Dalgarno_sequence")).alias("rbs"))
+    genes = features.where("type = 'gene'").select("record_id", "feature_id", "strand").join(both.where("cds is not null and rbs is not null"), "feature_id")
+    distance = F.when(F.col("strand") > 0, F.col("cds.start") - F.col("rbs.stop")).otherwise(F.col("rbs.start") - F.col("cds.stop"))
+    return _found(genes.withColumn("d", distance).where(F.col("d") > most), "far_rbs", F.concat(F.lit("RBS too far away ("), F.col("d").cast("string"), F.lit(" nt)")))
+
+
+def qc_start_counts(cds: DataFrame) -> DataFrame:
+    """(codon, n): start codons of the first CDS of each gene; cds: (parent, start, feature_id, seq)."""
+    first = cds.groupBy("parent").agg(F.min(F.struct("start", "feature_id", F.substring("seq", 1, 3).alias("codon"))).alias("x"))
+    return first.groupBy(F.col("x.codon").alias("codon")).agg(F.count("*").alias("n"))
+
+
 def qc_missing_tags(features: DataFrame, tag: str = "product") -> DataFrame:
     """CDS without a qualifier."""
     return _found(features.where((F.col("type") == "CDS") & ~F.coalesce(F.map_contains_key("attrs", tag), F.lit(False))), "missing_tag", F.lit(tag))

@@ -18,23 +18,51 @@ LS_NEUTRAL = "AGVLIPFHSTYCMWQN"
 LIPOBOXES = ("[ILMFTV][^REKD][GAS]C", "AW[AGS]C")
 
 
+_BLOCK = 256
+
+
+def _gaps_and_hits(seq: Column, pattern: str) -> tuple[Column, Column]:
+    """What stands around the matches of a pattern, and the matches: one text more than matches."""
+    return F.split(seq, pattern, -1), F.regexp_extract_all(seq, F.lit(pattern), F.lit(0))
+
+
 def matches(seq: Column, pattern: str) -> Column:
-    """Non-overlapping matches as array<struct<start, stop>> (0-based, half-open). The pattern must not have groups or match nothing.
+    """Non-overlapping matches as array<struct<start, stop, hit>> (0-based, half-open). The pattern must not match nothing.
 
-    What stands before each match and the matches themselves come from one pattern; their running lengths are the places.
+    Running lengths of the texts around the matches and of the matches are the places; they are summed in blocks, so that
+    a long sequence with very many matches copies no long array for each.
     """
-    both = f"(?s)(.*?)({pattern})"
-    gaps, hits = F.regexp_extract_all(seq, F.lit(both), F.lit(1)), F.regexp_extract_all(seq, F.lit(both), F.lit(2))
-    lengths = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + x["h"]).alias("stop")))).alias("out"))
-    return F.aggregate(lengths, zero, step, lambda a: a["out"])
+    gaps, hits = _gaps_and_hits(seq, pattern)
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"), h.alias("hit")))
+    places = "array<struct<start:int,stop:int,hit:string>>"
+
+    def place(at: Column, x: Column) -> Column:
+        return F.struct((at + x["g"]).alias("start"), (at + x["g"] + x["h"]).alias("stop"), x["hit"].alias("hit"))
+
+    def block(at: Column, part: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast(places).alias("out"))
+        return F.aggregate(part, zero, lambda a, x: F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["out"], F.array(place(a["at"], x))).alias("out")))
+
+    def blocks(xs: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(_BLOCK)), lambda i: i <= F.size(xs))
+        return F.transform(firsts, lambda i: F.slice(xs, i, F.lit(_BLOCK)))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{places}>").alias("out"))
+    step = lambda a, part: F.get(F.transform(F.array(block(a["at"], part)), lambda w: F.struct(w["at"].alias("at"), F.concat(a["out"], F.array(w["out"])).alias("out"))), F.lit(0))
+    # The pairs are bound to one name, so that the pattern runs once.
+    return F.flatten(F.get(F.transform(F.array(pairs), lambda xs: F.aggregate(blocks(xs), zero, step, lambda a: a["out"])), F.lit(0)))
 
 
 def regex_search(seqs: DataFrame, pattern: str) -> DataFrame:
-    """(seq_id, start, stop, hit): one row a non-overlapping match; sequences without one are dropped before places are sought."""
-    found = seqs.where(F.col("seq").rlike(pattern)).select("seq_id", "seq", F.explode(matches(F.col("seq"), pattern)).alias("m"))
-    return found.select("seq_id", "m.start", "m.stop", F.substring("seq", F.col("m.start") + 1, F.col("m.stop") - F.col("m.start")).alias("hit"))
+    """(seq_id, start, stop, hit): one row a non-overlapping match."""
+    return seqs.select("seq_id", F.explode(matches(F.col("seq"), pattern)).alias("m")).select("seq_id", "m.start", "m.stop", "m.hit")
+
+
+def regex_marked(seqs: DataFrame, pattern: str) -> DataFrame:
+    """(seq_id, seq): sequences with a match, upper case in the matches of the upper-cased sequence and lower case elsewhere."""
+    gaps, hits = _gaps_and_hits(F.upper("seq"), pattern)
+    text = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(F.lower(g), F.coalesce(h, F.lit("")))), "")
+    return seqs.where(F.upper("seq").rlike(pattern)).select("seq_id", text.alias("seq"))
 
 
 def restriction_sites(seqs: DataFrame, enzymes: dict[str, str]) -> DataFrame:
@@ -93,7 +121,9 @@ def sd_scan(genes: DataFrame, seqs: DataFrame, least: int = 3, most: int = 17, t
     rows = rows.select("feature_id", "start", "stop", "strand", F.when(plus, piece).otherwise(S.reverse_complement(piece)).alias("up"))
 
     def of(m: str) -> Column:
-        return F.transform(matches(F.col("up"), m), lambda x: F.struct(F.lit(-len(m)).alias("rank"), (F.length("up") - x["stop"]).alias("spacing"), F.lit(m).alias("motif")))
+        places = F.when(F.col("up").contains(m), matches(F.col("up"), m))  # most windows lack most motifs
+        hit = lambda x: F.struct(F.lit(-len(m)).alias("rank"), (F.length("up") - x["stop"]).alias("spacing"), F.lit(m).alias("motif"))
+        return F.coalesce(F.transform(places, hit), F.array().cast("array<struct<rank:int,spacing:int,motif:string>>"))
 
     found = F.flatten(F.array(*map(of, SD_MOTIFS)))
     rows = rows.withColumn("hits", F.array_sort(F.filter(found, lambda h: h["spacing"] + least <= most)))
@@ -104,6 +134,20 @@ def sd_scan(genes: DataFrame, seqs: DataFrame, least: int = 3, most: int = 17, t
     return rows.select("feature_id", F.col("h.motif").alias("motif"), gap.alias("gap"), begin.alias("start"), (begin + size).alias("stop"))
 
 
+def add_sd(genes: DataFrame, children: DataFrame, seqs: DataFrame, least: int = 3, most: int = 17, key: str = "record_id") -> DataFrame:
+    """(record, type, start, stop, strand, feature_id, parent): genes without a binding site among their children gain the best upstream motif as one and are widened over it; other genes stay.
+
+    children: (type, parent).
+    """
+    has = children.where(F.col("type").isin("RBS", "Shine_Dalgarno_sequence")).select(F.col("parent").alias("feature_id")).distinct()
+    found = sd_scan(genes.join(has, "feature_id", "left_anti"), seqs, least, most, key=key).select("feature_id", F.col("start").alias("_s"), F.col("stop").alias("_e"))
+    out = genes.join(found, "feature_id", "left").select(key, "type", F.coalesce(F.least("start", "_s"), "start").alias("start"), F.coalesce(F.greatest("stop", "_e"), "stop").alias("stop"), "strand", "feature_id", F.lit(None).cast("string").alias("parent"), "_s", "_e")
+    site = F.struct(F.lit("Shine_Dalgarno_sequence").alias("type"), F.col("_s").alias("start"), F.col("_e").alias("stop"), F.concat("feature_id", F.lit(".rbs")).alias("feature_id"), F.col("feature_id").alias("parent"))
+    own = F.struct("type", "start", "stop", "feature_id", "parent")
+    rows = F.explode(F.when(F.col("_s").isNull(), F.array(own)).otherwise(F.array(own, site))).alias("x")
+    return out.select(key, "strand", rows).select(key, "x.type", "x.start", "x.stop", "strand", "x.feature_id", "x.parent")
+
+
 def lipobox_scan(proteins: DataFrame, least: int = 10, most: int = 40) -> DataFrame:
     """(seq_id, box, at): proteins that match a box which begins ``least`` to ``most`` residues from the start; at is the 0-based place of its last residue's end, the first box that fits wins."""
     out = F.lit(None).cast("struct<box:int,hit:string>")
@@ -124,13 +168,20 @@ def lipobox_window(proteins: DataFrame, least: int = 10, most: int = 50, least_a
     return proteins.withColumn("after", out).where("after is not null").select("seq_id", "after")
 
 
-def tmd_scan(proteins: DataFrame, least: int = 10, most: int = 30, size_least: int = 10, size_most: int = 20, first_size_only: bool = False) -> DataFrame:
-    """(seq_id, size): proteins with a run of hydrophobic residues of a size near the start; the longest size that fits, or the first."""
+def tmd_scan(proteins: DataFrame, least: int = 10, most: int = 30, size_least: int = 10, size_most: int = 20, first_size_only: bool = False, periplasm: tuple[int, int] | None = None) -> DataFrame:
+    """(seq_id, size): proteins with a run of hydrophobic residues of a size near the start; the longest size that fits, or the first.
+
+    With ``periplasm`` the residues after the run, counted from its first place in the protein, must lie within it.
+    """
     region = F.substring("seq", least, F.least(F.lit(most), F.length("seq")) + 2 - least)
     sizes = [size_least] if first_size_only else range(size_most, size_least - 1, -1)
     out = F.lit(None).cast("int")
     for n in reversed(list(sizes)):
-        out = F.when(region.rlike(f"[{HYDROPHOBIC}]{{{n}}}"), n).otherwise(out)
+        pattern = f"[{HYDROPHOBIC}]{{{n}}}"
+        fits = region.rlike(pattern)
+        if periplasm:
+            fits &= (F.length("seq") - (F.position(F.regexp_extract(region, pattern, 0), "seq") + n)).between(*periplasm)
+        out = F.when(fits, n).otherwise(out)
     return proteins.withColumn("size", out).where("size is not null").select("seq_id", "size")
 
 
@@ -158,7 +209,7 @@ def transmembrane_scan(proteins: DataFrame) -> DataFrame:
     window = f"[{NEUTRAL}K]{{3}}[{NEUTRAL}]{{10}}[{NEUTRAL}K]{{3}}"
     # Only runs of allowed residues can hold a window; windows are sought inside those runs.
     run = F.explode(matches(F.col("seq"), f"[{NEUTRAL}K]{{16,}}")).alias("r")
-    rows = proteins.where(F.col("seq").rlike(window)).select("seq_id", "seq", run).select("seq_id", F.col("r.start").alias("at"), F.substring("seq", F.col("r.start") + 1, F.col("r.stop") - F.col("r.start")).alias("run"))
+    rows = proteins.where(F.col("seq").rlike(window)).select("seq_id", run).select("seq_id", F.col("r.start").alias("at"), F.col("r.hit").alias("run"))
     starts = F.filter(F.sequence(F.lit(0), F.length("run") - 16), lambda i: F.substring(F.col("run"), i + 1, F.lit(16)).rlike(f"^{window}$"))
     rows = rows.select("seq_id", "at", F.explode(starts).alias("i")).select("seq_id", (F.col("at") + F.col("i")).alias("start"))
     w = Window.partitionBy("seq_id").orderBy("start")
@@ -170,7 +221,7 @@ def transmembrane_scan(proteins: DataFrame) -> DataFrame:
 def hydrophobic_ls_scan(proteins: DataFrame, below: int = 150, least_charge: int = 2) -> DataFrame:
     """(seq_id, start, stop): short proteins with a run of ten or more neutral residues that ends in LS (or is cut there with at least eight before it), after a charge of two or more."""
     run = F.explode(matches(F.col("seq"), f"[{LS_NEUTRAL}]{{10,}}")).alias("r")
-    rows = proteins.where(F.length("seq") < below).select("seq_id", "seq", run).select("seq_id", "seq", F.col("r.start").alias("start"), F.substring("seq", F.col("r.start") + 1, F.col("r.stop") - F.col("r.start")).alias("d"))
+    rows = proteins.where(F.length("seq") < below).select("seq_id", "seq", run).select("seq_id", "seq", F.col("r.start").alias("start"), F.col("r.hit").alias("d"))
     cut = F.regexp_extract("d", "^(.*LS)", 1)
     rows = rows.withColumn("n", F.length(cut)).where((F.col("n") > 0) & ((F.col("n") == F.length("d")) | (F.col("n") >= 10)))
     before = F.substring("seq", F.lit(1), F.col("start"))
@@ -178,12 +229,26 @@ def hydrophobic_ls_scan(proteins: DataFrame, below: int = 150, least_charge: int
 
 
 def gc_frame(seqs: DataFrame, window: int = 120) -> DataFrame:
-    """(seq_id, pos, frame, gc): for each base, the G and C among the bases of its codon position within window / 3 steps around it."""
-    half = window // 6
-    rows = seqs.select("seq_id", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
-    frame = F.pmod("pos", F.lit(3))
-    w = Window.partitionBy("seq_id", frame).orderBy("pos").rowsBetween(-half, half - 1)
-    return rows.select("seq_id", F.col("pos").cast("long").alias("pos"), (frame + 1).cast("int").alias("frame"), F.sum(F.col("base").isin("G", "C").cast("int")).over(w).alias("gc"))
+    """(seq_id, pos, frame, gc): for each base, the G and C among the bases of its codon position within window / 3 steps around it.
+
+    Sequences are cut into overlapping slices, and a slice into the texts of its three codon positions, before bases become
+    rows: nothing is shuffled and a chromosome is no single task.
+    """
+    half, steps = window // 6, 512
+    at = F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(3 * steps))).alias("at")
+    cut = seqs.where(F.length("seq") > 0).select("seq_id", F.col("seq").cast("binary").alias("b"), F.length("seq").alias("len"), at)
+    skip = F.least(F.lit(half), F.floor(F.col("at") / 3).cast("int"))
+    part = F.substring("b", F.col("at") - 3 * skip + 1, 3 * (skip + F.lit(steps + half))).cast("string")
+    cut = cut.select("seq_id", "len", "at", skip.alias("skip"), part.alias("part"))
+    third = lambda f: F.regexp_replace(F.substring("part", f + 1, 1 << 30), "(?s)(.).{0,2}", "$1")
+    frames = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), third(f).alias("s")) for f in range(3)))).alias("x")
+    cut = cut.select("seq_id", "len", "at", "skip", frames).select("seq_id", "len", "at", "skip", "x.f", "x.s")
+    steps_here = F.least(F.lit(steps), F.ceil((F.col("len") - F.col("at") - F.col("f")) / 3).cast("int"))
+    rows = cut.where(steps_here > 0).select("seq_id", "at", "skip", "f", "s", F.explode(F.sequence(F.lit(0), steps_here - 1)).alias("i"))
+    mid = F.col("skip") + F.col("i")
+    around = F.substring("s", F.greatest(mid - half, F.lit(0)) + 1, F.least(mid, F.lit(half)) + half)
+    pos = (F.col("at") + F.col("f") + 3 * F.col("i")).cast("long")
+    return rows.select("seq_id", pos.alias("pos"), (F.col("f") + 1).alias("frame"), S.count_of(around, "GC").cast("long").alias("gc"))
 
 
 def orf_background_score(orfs: DataFrame, seqs: DataFrame, start_weights: dict[str, float]) -> DataFrame:

@@ -187,11 +187,19 @@ def host_fields(host: Column) -> Column:
     return F.struct(F.nullif(at(1), F.lit("")).alias("genus"), at(2).alias("species"), at(3).alias("strain"), F.nullif(F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), " "), F.lit("")).alias("other"))
 
 
-def point_mutants(seqs: DataFrame, bases: str = "ACGT", number: int | None = None) -> DataFrame:
-    """(seq_id, pos, base, seq): all single substitutions; with a table number, one for each (pos, protein)."""
-    at = seqs.where(F.length("seq") > 0).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"))
-    out = at.select("seq_id", "pos", "seq", F.explode(F.array(*map(F.lit, bases))).alias("base")).where(F.substring("seq", F.col("pos") + 1, F.lit(1)) != F.col("base"))
-    out = out.withColumn("seq", F.concat(F.substring("seq", F.lit(1), F.col("pos")), F.col("base"), F.substring("seq", F.col("pos") + 2, F.length("seq"))))
+def point_mutants(seqs: DataFrame, bases: str = "ACGT", number: int | None = None, kind: str = "substitution") -> DataFrame:
+    """(seq_id, pos, base, seq): all single substitutions, insertions (before pos) or deletions; with a table number, one for each (pos, protein)."""
+    n, pos = F.length("seq"), F.col("pos")
+    last = n if kind == "insertion" else n - 1
+    at = seqs.where(last >= 0).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    if kind == "deletion":
+        out = at.withColumn("base", F.lit(""))
+    else:
+        out = at.select("seq_id", "pos", "seq", F.explode(F.array(*map(F.lit, bases))).alias("base"))
+    if kind == "substitution":
+        out = out.where(F.substring("seq", pos + 1, F.lit(1)) != F.col("base"))
+    rest = pos + (1 if kind == "insertion" else 2)
+    out = out.withColumn("seq", F.concat(F.substring("seq", F.lit(1), pos), F.col("base"), F.substring("seq", rest, n)))
     if number is not None:
         out = out.withColumn("protein", S.translate(F.col("seq"), number)).dropDuplicates(["seq_id", "pos", "protein"])
     return out

@@ -43,6 +43,7 @@ QUERIES = {
     "gaps": lambda s, d: I.gaps(_f(s, d)),
     "excessive_gaps": lambda s, d: I.excessive_gaps(_f(s, d), _lengths(s, d), 2000),
     "codable_mask": lambda s, d: I.codable_mask(_f(s, d), _lengths(s, d)),
+    "intron_sequences": lambda s, d: I.intron_sequences(view(s, d, "parts").where("type = 'CDS'"), view(s, d, "dna").select((F.col("seq_id") + 1).alias("seq_id"), "seq")),
     "introns": lambda s, d: I.introns(view(s, d, "parts").where("type = 'CDS'")),
     "reading_frame": lambda s, d: _f(s, d, "gene").groupBy(I.reading_frame(F.col("start"), F.col("stop"), F.col("strand"), F.lit(20200)).alias("frame")).agg(F.count("*").alias("n")),
     "coding_density": lambda s, d: _score(I.coding_density(_f(s, d, "CDS"), _lengths(s, d))),
@@ -84,6 +85,8 @@ ORACLE_SQL = {
     "excessive_gaps": _merged(_EDGES, f"SELECT * FROM ({_GAPS}) WHERE stop - start >= 2000"),
     "codable_mask": duckdb_sql(f"""WITH {_MERGED.replace('{src}', _EDGES)}, g AS ({_GAPS}), {_MERGED.replace('{src}', '{features}').replace('m0', 'n0').replace('m1', 'n1').replace('m AS', 'n AS')}
         SELECT record_id, start, stop, true AS masked FROM n UNION ALL SELECT record_id, start, stop, false FROM g WHERE stop > start"""),
+    "intron_sequences": duckdb_sql("""WITH m0 AS (SELECT record_id, parent, start, max(stop) OVER (PARTITION BY record_id, parent ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM {parts} WHERE type = 'CDS')
+        SELECT record_id, parent, string_agg(substring(seq, reached + 1, start - reached), '' ORDER BY start) AS seq FROM m0 JOIN {dna} ON seq_id + 1 = record_id WHERE start > reached GROUP BY record_id, parent"""),
     "introns": duckdb_sql("""WITH m0 AS (SELECT record_id, parent, start, stop, max(stop) OVER (PARTITION BY record_id, parent ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM {parts} WHERE type = 'CDS')
         SELECT record_id, parent, reached AS start, start AS stop, row_number() OVER (PARTITION BY record_id, parent ORDER BY start) AS n FROM m0 WHERE start > reached"""),
     "reading_frame": duckdb_sql("SELECT CAST(CASE WHEN strand > 0 THEN start % 3 + 1 ELSE (20200 - stop) % 3 + 4 END AS INT) AS frame, count(*) AS n FROM {features} WHERE type = 'gene' GROUP BY 1"),

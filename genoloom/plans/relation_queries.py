@@ -91,6 +91,14 @@ def _cds(s, d):
     return seq_feature_extract(f, view(s, d, "dna").select((F.col("seq_id") + 1).alias("seq_id"), "seq")).join(f.select("feature_id", "record_id"), "feature_id")
 
 
+def _start_counts(s, d):
+    from genoloom.operators.features import seq_feature_extract
+
+    cds = view(s, d, "parts").where("type = 'CDS'")
+    seqs = view(s, d, "dna").select((F.col("seq_id") + 1).alias("seq_id"), "seq")
+    return qc.qc_start_counts(seq_feature_extract(cds, seqs).join(cds.select("feature_id", "parent", "start"), "feature_id"))
+
+
 def _quoted(s, d):
     t = view(s, d, "tree").withColumn("product", F.when(F.col("start") % 6 == 0, F.concat("product", F.lit('"'))).otherwise(F.col("product")))
     return t.withColumn("attrs", F.create_map(F.lit("product"), F.array("product")))
@@ -130,6 +138,9 @@ QUERIES = {
     "qc_missing_rbs": lambda s, d: qc.qc_missing_rbs(_tree(s, d)),
     "qc_weird_starts": lambda s, d: qc.qc_weird_starts(_cds(s, d)),
     "qc_gene_model": lambda s, d: qc.qc_gene_model(_tree(s, d)),
+    "qc_paired_lengths": lambda s, d: qc.qc_paired_lengths(_tree(s, d)),
+    "qc_far_rbs": lambda s, d: qc.qc_far_rbs(_tree(s, d)),
+    "qc_start_counts": _start_counts,
     "qc_missing_tags": lambda s, d: qc.qc_missing_tags(_tree(s, d)),
     "qc_tree_bounds": lambda s, d: qc.qc_tree_bounds(_tree(s, d).withColumn("stop", F.when((F.col("type") == "gene"), F.col("stop") - 20).otherwise(F.col("stop")))),
     "qc_tree_counts": lambda s, d: qc.qc_tree_counts(_tree(s, d)),
@@ -198,6 +209,14 @@ ORACLE_SQL = {
     "fill_track": duckdb_sql(f"SELECT record_id, n, count(*) AS places FROM {_TRACK} GROUP BY 1, 2"),
     "contig_coverage": duckdb_sql(f"SELECT record_id, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS deviation FROM {_TRACK} GROUP BY 1"),
     **{k: duckdb_sql(v) for k, v in _QC.items()},
+    "qc_paired_lengths": duckdb_sql("""WITH r AS (SELECT parent, type, stop - start AS size, row_number() OVER (PARTITION BY parent, type ORDER BY start, stop, feature_id) AS n FROM {parts} WHERE type = 'CDS' OR (type = 'exon' AND stop - start > 10)),
+        p AS (SELECT parent, n, max(CASE WHEN type = 'exon' THEN size END) AS e, max(CASE WHEN type = 'CDS' THEN size END) AS c FROM r GROUP BY parent, n)
+        SELECT record_id, feature_id, 'gene_model' AS rule, 'CDS ' || n || ' is not as long as its exon' AS message FROM p JOIN {tree} t ON t.feature_id = p.parent AND t.type = 'gene' WHERE e <> c AND p.parent NOT IN (SELECT parent FROM p WHERE e IS NULL OR c IS NULL)"""),
+    "qc_far_rbs": duckdb_sql("""WITH k AS (SELECT parent, type, start, stop, row_number() OVER (PARTITION BY parent, type ORDER BY start, stop, feature_id) AS n FROM {parts}), x AS (SELECT t.record_id, t.feature_id, CASE WHEN t.strand > 0 THEN c.start - r.stop ELSE r.start - c.stop END AS d
+        FROM {tree} t JOIN k c ON c.parent = t.feature_id AND c.type = 'CDS' AND c.n = 1 JOIN k r ON r.parent = t.feature_id AND r.type = 'Shine_Dalgarno_sequence' AND r.n = 1 WHERE t.type = 'gene')
+        SELECT record_id, feature_id, 'far_rbs' AS rule, 'RBS too far away (' || d || ' nt)' AS message FROM x WHERE d > 15"""),
+    "qc_start_counts": duckdb_sql("""WITH c AS (SELECT parent, record_id, start, stop, strand, feature_id FROM {parts} WHERE type = 'CDS'), j AS (SELECT c.*, seq, row_number() OVER (PARTITION BY parent ORDER BY start, feature_id) AS k FROM c JOIN {dna} ON seq_id + 1 = record_id)
+        SELECT left(CASE WHEN strand < 0 THEN reverse(translate(substring(seq, start + 1, stop - start), 'ACGT', 'TGCA')) ELSE substring(seq, start + 1, stop - start) END, 3) AS codon, count(*) AS n FROM j WHERE k = 1 GROUP BY 1"""),
     "qc_weird_starts": duckdb_sql("""SELECT record_id, feature_id, 'weird_start' AS rule, left(q, 3) AS message FROM (SELECT record_id, feature_id, CASE WHEN strand < 0 THEN reverse(translate(substring(seq, start + 1, stop - start), 'ACGT', 'TGCA')) ELSE substring(seq, start + 1, stop - start) END AS q
         FROM {features} JOIN {dna} ON seq_id + 1 = record_id WHERE type = 'CDS') WHERE left(q, 3) NOT IN ('ATG', 'GTG', 'TTG')"""),
     "qc_tree_bounds": duckdb_sql("SELECT c.record_id, c.feature_id, 'tree_bounds' AS rule, 'outside parent' AS message FROM {tree} c JOIN {tree} p ON c.parent = p.feature_id WHERE c.start < p.start OR c.stop > p.stop - 20"),

@@ -38,12 +38,20 @@ def _orfs(s, d):
     return o.select("seq_id", "start", "stop", "strand", F.length("protein").alias("length"), F.md5("dna").alias("dna"), F.md5("protein").alias("protein"))
 
 
+def _add_sd(s, d):
+    tree = view(s, d, "tree")
+    return X.add_sd(tree.where("type = 'gene'").drop("product", "parent"), tree.where("parent is not null").select("type", "parent"), _records(s, d))
+
+
 QUERIES = {
     "orf_scan": _orfs,
     "mga_orf_scan": lambda s, d: X.orf_scan(_dna(s, d), 11, 60, with_sequence=False),
     "sd_scan": lambda s, d: X.sd_scan(view(s, d, "features").where("type = 'gene'"), _records(s, d)),
     "sd_scan_all": lambda s, d: X.sd_scan(view(s, d, "features").where("type = 'gene'"), _records(s, d), top_only=False),
     "regex_search": lambda s, d: X.regex_search(_dna(s, d), "AC[GT]{2,4}A"),
+    "regex_marked": lambda s, d: X.regex_marked(_dna(s, d), "AC[GT]{2,4}A").select("seq_id", F.md5("seq").alias("seq")),
+    "add_sd": _add_sd,
+    "tmd_scan_periplasm": lambda s, d: X.tmd_scan(_proteins(s, d), size_least=5, size_most=12, periplasm=(110, 120)),
     "restriction_sites": lambda s, d: X.restriction_sites(_dna(s, d), ENZYMES),
     "lipobox_scan": lambda s, d: X.lipobox_scan(_proteins(s, d)),
     "lipobox_window": lambda s, d: X.lipobox_window(_proteins(s, d)),
@@ -91,6 +99,13 @@ ORACLE_SQL = {
     "regex_search": duckdb_sql("""WITH e AS (SELECT seq_id, seq, regexp_extract_all(seq, '(?s)(.*?)(AC[GT]{2,4}A)', 1) AS a, regexp_extract_all(seq, '(?s)(.*?)(AC[GT]{2,4}A)', 2) AS b FROM {dna}),
         u AS (SELECT seq_id, unnest(list_transform(a, lambda z: length(z))) AS g, unnest(b) AS hit, generate_subscripts(b, 1) AS k FROM e), s AS (SELECT *, CAST(sum(g + length(hit)) OVER (PARTITION BY seq_id ORDER BY k) AS BIGINT) AS stop FROM u)
         SELECT seq_id, stop - length(hit) AS start, stop, hit FROM s"""),
+    "regex_marked": duckdb_sql("""SELECT seq_id, md5(array_to_string(list_transform(range(1, len(a) + 1), lambda i: lower(a[i]) || coalesce(b[i], '')), '')) AS seq
+        FROM (SELECT seq_id, string_split_regex(seq, 'AC[GT]{2,4}A') AS a, regexp_extract_all(seq, 'AC[GT]{2,4}A') AS b FROM {dna}) WHERE len(b) > 0"""),
+    "add_sd": duckdb_sql(f"""WITH {_UP.replace('{features}', '{tree}')}, f AS (SELECT h.feature_id, h.start AS s, h.start + n AS e FROM h WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM {{tree}} c WHERE c.parent = h.feature_id AND c.type = 'Shine_Dalgarno_sequence'))
+        SELECT record_id, type, least(start, coalesce(s, start)) AS start, greatest(stop, coalesce(e, stop)) AS stop, strand, t.feature_id, CAST(NULL AS VARCHAR) AS parent FROM {{tree}} t LEFT JOIN f ON f.feature_id = t.feature_id WHERE type = 'gene'
+        UNION ALL SELECT record_id, 'Shine_Dalgarno_sequence', s, e, strand, t.feature_id || '.rbs', t.feature_id FROM {{tree}} t JOIN f ON f.feature_id = t.feature_id WHERE type = 'gene'"""),
+    "tmd_scan_periplasm": duckdb_sql(f"""WITH {_PROT}, x AS (SELECT seq_id, seq, k, regexp_extract(substring(seq, 10, least(30, length(seq)) - 8), '[FIWLVMYCATGSP]{{' || k || '}}') AS g FROM pr, (SELECT unnest(range(5, 13)) AS k))
+        SELECT seq_id, max(k) AS size FROM x WHERE g <> '' AND length(seq) - (instr(seq, g) + k) BETWEEN 110 AND 120 GROUP BY seq_id"""),
     "restriction_sites": duckdb_sql(f"""SELECT * FROM (SELECT seq_id, 'EcoRI' AS enzyme, 1 AS strand, {_count('GAATTC')} AS n FROM {{dna}} UNION ALL SELECT seq_id, 'HincII', 1, {_count('GT[CT][AG]AC')} FROM {{dna}}
         UNION ALL SELECT seq_id, 'BsaI', 1, {_count('GGTCTC')} FROM {{dna}} UNION ALL SELECT seq_id, 'BsaI', -1, {_count('GAGACC')} FROM {{dna}}) WHERE n > 0"""),
     "lipobox_scan": duckdb_sql(f"""WITH {_PROT} SELECT seq_id, CASE WHEN a <> '' THEN 0 ELSE 1 END AS box, length(CASE WHEN a <> '' THEN a ELSE b END) AS at FROM (SELECT seq_id, regexp_extract(seq, '^.{{10,40}}{_LB}') AS a, regexp_extract(seq, '^.{{10,40}}AW[AGS]C') AS b FROM pr) WHERE a <> '' OR b <> ''"""),

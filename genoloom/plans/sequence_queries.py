@@ -62,6 +62,8 @@ QUERIES = {
     "phage_host_name": lambda s, d: _titles(s, d).select("p_partkey", Q.phage_host_name(F.col("title")).alias("x")).select("p_partkey", "x.host", "x.phage"),
     "host_fields": lambda s, d: view(s, d, "part").select("p_partkey", Q.host_fields(F.concat_ws(" ", "p_type", "p_brand", "p_name")).alias("x")).select("p_partkey", "x.genus", "x.species", "x.strain", "x.other"),
     "point_mutants": lambda s, d: Q.point_mutants(_oligos(s, d)),
+    "point_insertions": lambda s, d: Q.point_mutants(_oligos(s, d), kind="insertion"),
+    "point_deletions": lambda s, d: Q.point_mutants(_oligos(s, d), kind="deletion"),
     "first_difference": lambda s, d: Q.first_difference(_oligos(s, d), F.lit("ACGTACGTACGTACGTACGTACGT")),
     "contig_uid": lambda s, d: Q.contig_uid(_oligos(s, d)),
     "dedup": lambda s, d: Q.dedup(_dna(s, d)),
@@ -118,6 +120,8 @@ ORACLE_SQL = {
         CASE WHEN pos > 4 AND pos <= len - 4 THEN round(avg(kd) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) END AS hydropathy FROM k"""),
     "phage_host_name": duckdb_sql("""SELECT p_partkey, CASE WHEN p_size % 4 IN (0, 1) THEN 'Genus sp ' END AS host, CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand WHEN 2 THEN 'vB_Eco_ ' || p_brand END AS phage FROM part"""),
     "host_fields": duckdb_sql("SELECT p_partkey, nullif(a[1], '') AS genus, a[2] AS species, a[3] AS strain, nullif(array_to_string(a[4:], ' '), '') AS other FROM (SELECT p_partkey, string_split_regex(trim(p_type || ' ' || p_brand || ' ' || p_name), '\\s+') AS a FROM part)"),
+    "point_insertions": duckdb_sql(f"""SELECT seq_id, pos, base, left(seq, pos) || base || substring(seq, pos + 1) AS seq FROM (SELECT seq_id, seq, unnest(range(0, length(seq) + 1)) AS pos FROM {_OLIGO}) CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS base)"""),
+    "point_deletions": duckdb_sql(f"SELECT seq_id, pos, '' AS base, left(seq, pos) || substring(seq, pos + 2) AS seq FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS pos FROM {_OLIGO})"),
     "point_mutants": duckdb_sql(f"""SELECT seq_id, pos, base, substring(seq, 1, pos) || base || substring(seq, pos + 2) AS seq FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS pos FROM {_OLIGO}) CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS base) WHERE substring(seq, pos + 1, 1) <> base"""),
     "first_difference": duckdb_sql(f"""SELECT seq_id, pos, CASE WHEN pos > 0 THEN substring(seq, pos, 1) END AS residue FROM (SELECT seq_id, seq, CASE WHEN length(seq) = 24 THEN coalesce(list_position(list_transform(range(1, 25), lambda i: substring(seq, i, 1) = substring('ACGTACGTACGTACGTACGTACGT', i, 1)), false), 0) END AS pos FROM {_OLIGO})"""),
     "contig_uid": duckdb_sql(f"""WITH b AS (SELECT seq_id, seq AS q FROM {_OLIGO} UNION ALL SELECT seq_id, {_RC} FROM {_OLIGO}), t AS (SELECT seq_id, q, unnest(range(0, greatest(length(q), 1))) AS k FROM b) SELECT seq_id, md5(min(substring(q, k + 1) || substring(q, 1, k))) AS uid FROM t GROUP BY seq_id"""),
