@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions import sequence as S
+from genoloom.operators.ordered import ordered_positions
 from genoloom.session import materialize
 
 UP = "_up"
@@ -133,20 +134,26 @@ def search_terms(rows: DataFrame, terms: list[str], text: str, id_col: str) -> D
     return rows.select(id_col, F.explode(found).alias("term")).distinct()
 
 
+def _places(features: DataFrame, key: str) -> DataFrame:
+    """features with _n: the place in start order of the record, counted in range blocks, so that a hot record is no single task."""
+    record = F.struct(F.col(key).alias("r"))  # a struct groups features of no record too
+    order = [F.col("start"), F.col("stop"), F.col("feature_id")]
+    return ordered_positions(features.withColumn("_record", record), ["_record"], order, "_n").drop("_record")
+
+
 def nearby_k(features: DataFrame, centres: DataFrame, k: int, key: str = "record_id") -> DataFrame:
     """(centre, feature): features at most k places from a centre in start order of its record."""
-    ranked = features.select(key, "feature_id", F.row_number().over(Window.partitionBy(key).orderBy("start", "stop", "feature_id")).alias("n"))
-    middle = ranked.join(centres.select("feature_id").distinct(), "feature_id", "left_semi").select(key, F.col("feature_id").alias("centre"), F.explode(F.sequence(F.col("n") - k, F.col("n") + k)).alias("n"))
-    return ranked.join(middle, [key, "n"]).where(F.col("feature_id") != F.col("centre")).select("centre", F.col("feature_id").alias("feature"))
+    return adjacent_k(features, centres, k, key).select("centre", "feature")
 
 
 def adjacent_k(features: DataFrame, centres: DataFrame, k: int, key: str = "record_id") -> DataFrame:
     """(centre, feature, side): the k features before and after a centre; up and down swap on the minus strand."""
-    w = Window.partitionBy(key).orderBy("start", "stop", "feature_id")
-    near = [F.struct(F.lag("feature_id", i).over(w).alias("f"), F.lit(-i).alias("d")) for i in range(1, k + 1)] + [F.struct(F.lead("feature_id", i).over(w).alias("f"), F.lit(i).alias("d")) for i in range(1, k + 1)]
-    rows = features.withColumn("_near", F.array(*near)).join(centres.select("feature_id").distinct(), "feature_id", "left_semi").select(F.col("feature_id").alias("centre"), "strand", F.explode("_near").alias("x"))
-    side = F.when((F.col("x.d") < 0) == (F.col("strand") > 0), "up").otherwise("down")
-    return rows.where("x.f is not null").select("centre", F.col("x.f").alias("feature"), side.alias("side"))
+    ranked = _places(features.select(key, "feature_id", "start", "stop", "strand"), key).select(key, "feature_id", "strand", "_n")
+    steps = F.explode(F.array(*(F.lit(i) for i in range(-k, k + 1) if i))).alias("_d")
+    middle = ranked.join(centres.select("feature_id").distinct(), "feature_id", "left_semi").select(key, F.col("feature_id").alias("centre"), F.col("strand").alias("_s"), "_n", steps)
+    met = ranked.join(middle.withColumn("_n", F.col("_n") + F.col("_d")), [key, "_n"])
+    side = F.when((F.col("_d") < 0) == (F.col("_s") > 0), "up").otherwise("down")
+    return met.select("centre", F.col("feature_id").alias("feature"), side.alias("side"))
 
 
 def upstream_feature(features: DataFrame, key: str = "record_id") -> DataFrame:
@@ -162,17 +169,16 @@ def upstream_feature(features: DataFrame, key: str = "record_id") -> DataFrame:
 
 def moron_rule(genes: DataFrame, key: str = "record_id") -> DataFrame:
     """Genes whose two neighbours on either side are all on the other strand; genes without two on each side fail."""
-    w = Window.partitionBy(key).orderBy("start", "stop", "feature_id")
-    others = [F.lag("strand", 1).over(w), F.lag("strand", 2).over(w), F.lead("strand", 1).over(w), F.lead("strand", 2).over(w)]
-    ok = F.lit(True)
-    for o in others:
-        ok &= F.coalesce(o != F.col("strand"), F.lit(False))
-    return genes.withColumn("_ok", ok).where("_ok").drop("_ok")
+    placed = _places(genes, key)
+    near = placed.select(F.col(key).alias("_r"), F.col("strand").alias("_s"), F.explode(F.array(*(F.col("_n") + d for d in (-2, -1, 1, 2)))).alias("_m"))
+    four = near.groupBy("_r", "_m").agg(F.collect_list("_s").alias("_others"))  # at most four
+    met = placed.join(four, F.col(key).eqNullSafe(F.col("_r")) & (F.col("_n") == F.col("_m")))
+    return met.where((F.size("_others") == 4) & ~F.array_contains("_others", F.col("strand"))).select(genes.columns)
 
 
 def sort_by_start(features: DataFrame, key: str = "record_id") -> DataFrame:
     """Features in start order of each record, with their place."""
-    return features.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("start", "stop", "feature_id")))
+    return _places(features, key).withColumn("place", F.col("_n") + 1).drop("_n")
 
 
 # --- rewriting
@@ -312,10 +318,9 @@ def rename_from_table(features: DataFrame, names: DataFrame) -> DataFrame:
 
 def renumber(genes: DataFrame, members: DataFrame, prefix: str, digits: int, key: str = "record_id") -> DataFrame:
     """(feature_id, tag): members take ``prefix_NNN`` of their gene, numbered in start order of the record; members: (feature_id, parent)."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy("start", "stop", "feature_id"))
-    number = n.cast("string")
+    number = (F.col("_n") + 1).cast("string")
     padded = F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number)  # lpad alone cuts longer numbers
-    tags = genes.select("feature_id", F.concat(F.lit(f"{prefix}_"), padded).alias("tag"))
+    tags = _places(genes.select(key, "feature_id", "start", "stop"), key).select("feature_id", F.concat(F.lit(f"{prefix}_"), padded).alias("tag"))
     return tags.unionByName(members.select(F.col("feature_id").alias("_f"), "parent").join(tags, F.col("parent") == F.col("feature_id")).select(F.col("_f").alias("feature_id"), "tag"))
 
 

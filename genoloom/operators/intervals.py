@@ -7,10 +7,15 @@ long interval does not multiply. Bin width follows the intervals' lengths.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LONG_BINS = 64
+#: Bases in a block of the operators that run along a record.
+BLOCK = 1 << 16
 
 
 def bin_width(*sides: DataFrame) -> int:
@@ -119,20 +124,50 @@ def pair_totals(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("kind").agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("a_ends"), F.count_distinct("b").alias("b_ends"))
 
 
-def merge_intervals(rows: DataFrame, keys: tuple[str, ...] = ("record_id",), joined: bool = True) -> DataFrame:
-    """Union of the overlapping (joined: or touching) intervals of each key, by the running largest stop."""
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
-    reached = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = (reached.isNull() | ((F.col("start") > reached) if joined else (F.col("start") >= reached))).cast("int")
-    marked = rows.select(*keys, "start", "stop").withColumn("_new", new)
-    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
+def _marked(rows: DataFrame, keys: tuple[str, ...], joined: bool, block: int | None) -> DataFrame:
+    """(keys, start, stop, _bin, _reached, _new): the largest stop before each interval of its key, and 1 where a new island begins.
+
+    With a block the intervals of a key are cut into bins of that many bases: intervals of one start are one row before
+    the shuffle, and the largest stop of the bins before is carried into each, so a bin has at most as many rows as bases.
+    """
+    rows = rows.select(*keys, "start", "stop")
+    if block is None:
+        rows, carry = rows.withColumn("_bin", F.lit(0)), F.lit(None).cast("long")
+    else:
+        # Empty intervals stay rows of their own: with joined=False they are islands.
+        empty = F.when(F.col("stop") <= F.col("start"), F.col("stop"))
+        rows = rows.groupBy(*keys, "start", empty.alias("_empty")).agg(F.max("stop").alias("stop")).withColumn("_bin", F.floor(F.col("start") / block))
+        tops = rows.groupBy(*keys, "_bin").agg(F.max("stop").alias("_top"))
+        before = F.max("_top").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+        tops = tops.select(*(F.col(k).alias(f"_t_{k}") for k in (*keys, "_bin")), before.alias("_carry"))
+        rows = rows.join(tops, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in (*keys, "_bin"))))
+        carry = F.col("_carry")
+    w = Window.partitionBy(*keys, "_bin").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_reached", F.greatest(F.max("stop").over(w), carry))
+    new = F.col("_reached").isNull() | ((F.col("start") > F.col("_reached")) if joined else (F.col("start") >= F.col("_reached")))
+    return rows.select(*keys, "start", "stop", "_bin", "_reached", new.cast("int").alias("_new"))
+
+
+def merge_intervals(rows: DataFrame, keys: tuple[str, ...] = ("record_id",), joined: bool = True, block: int | None = BLOCK) -> DataFrame:
+    """Union of the overlapping (joined: or touching) intervals of each key, by the running largest stop.
+
+    A key is cut into blocks of bases; without a block, for small keys, each is one task's.
+    """
+    w = Window.partitionBy(*keys, "_bin").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = _marked(rows, keys, joined, block).withColumn("_n", F.sum("_new").over(w)).groupBy(*keys, "_bin", "_n").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    if block is None:
+        return pieces.drop("_bin", "_n")
+    # Piece 0 of a bin goes on with the last island that began in a bin before.
+    bins = pieces.groupBy(*keys, "_bin").agg(F.max(F.when(F.col("_n") > 0, F.col("_n"))).alias("_n"), F.max(F.when(F.col("_n") == 0, F.col("stop"))).alias("stop"))
+    last = F.last(F.when(F.col("_n").isNotNull(), F.struct("_bin", "_n")), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    heads = bins.withColumn("_at", last).where("stop is not null").select(*keys, "_at._bin", "_at._n", F.lit(None).cast(pieces.schema["start"].dataType).alias("start"), "stop")
+    return pieces.where("_n > 0").unionByName(heads).groupBy(*keys, "_bin", "_n").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_bin", "_n")
 
 
-def gaps(rows: DataFrame, keys: tuple[str, ...] = ("record_id",)) -> DataFrame:
-    """The space between merged neighbours."""
-    following = F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))
-    return merge_intervals(rows, keys).withColumn("_next", following).where("_next is not null").select(*keys, F.col("stop").alias("start"), F.col("_next").alias("stop"))
+def gaps(rows: DataFrame, keys: tuple[str, ...] = ("record_id",), block: int | None = BLOCK) -> DataFrame:
+    """The space between merged neighbours: from the largest stop so far to where a new island begins."""
+    found = _marked(rows, keys, True, block).where("_new = 1 and _reached is not null")
+    return found.select(*keys, F.col("_reached").alias("start"), F.col("start").alias("stop"))
 
 
 def excessive_gaps(rows: DataFrame, lengths: DataFrame, least: int, keys: tuple[str, ...] = ("record_id",)) -> DataFrame:
@@ -150,7 +185,7 @@ def codable_mask(rows: DataFrame, lengths: DataFrame, keys: tuple[str, ...] = ("
 
 def introns(cds: DataFrame, keys: tuple[str, ...] = ("record_id", "parent")) -> DataFrame:
     """Spaces between neighbouring coding parts of a gene, numbered along the record."""
-    found = gaps(cds, keys)
+    found = gaps(cds, keys, block=None)
     return found.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("start")))
 
 

@@ -84,6 +84,16 @@ def test_merging_again_changes_nothing(spark):
     assert sorted(map(tuple, I.merge_intervals(once).collect())) == sorted(map(tuple, once.collect()))
 
 
+@pytest.mark.parametrize("joined", [True, False])
+@pytest.mark.parametrize("block", [1, 9, 1 << 16])
+def test_merging_in_blocks_equals_merging_at_once(spark, block, joined):
+    rows = [(r, a, b) for r, a, b, _, _ in spans(11, 250)] + [(1, 5, 5), (1, 5, 9), (2, 0, 700), (3, 40, 40), (None, 1, 2), (None, 2, 4)]
+    df = spark.createDataFrame(rows, "record_id long, start long, stop long")
+    key = lambda r: (r[0] is None, *(x or 0 for x in r))
+    assert sorted(map(tuple, I.merge_intervals(df, joined=joined, block=block).collect()), key=key) == sorted(map(tuple, I.merge_intervals(df, joined=joined, block=None).collect()), key=key)
+    assert sorted(map(tuple, I.gaps(df, block=block).collect()), key=key) == sorted(map(tuple, I.gaps(df, block=None).collect()), key=key)
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=50))
 def test_components_equal_union_find(spark, edges):
