@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 
 from genoloom.llm.arrow_groups import sorted_groups
 from genoloom.llm.text_columns import fresh
-from genoloom.session import materialize
+from genoloom.session import drop_materialized, materialize
 
 _CHUNK = 1 << 20
+_SHARES = 2048
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -184,12 +185,19 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, group_limit: int = 256)
     # Written, so that the join below has a shuffle of its own on both sides and Spark can split a hot key.
     repeated = materialize(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "suffix-keys")
     rows = materialize(every.join(repeated, "key"), "suffix-anchors")
+    drop_materialized(repeated)
     # Classes of equal context. A class of two or more occurrences is covered as far as its context goes.
     place = F.struct("rid", "pos")
     classes = rows.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.first("before").alias("before"), F.first("size").alias("size"))
     classes = materialize(classes.select("key", "ctx", "n", "at.rid", "at.pos", "before", "size"), "suffix-classes")
-    whole = classes.where((F.col("n") > 1) & (F.col("size") >= min_len)).select("key", "ctx")
-    inside = rows.join(whole, ["key", "ctx"]).select("rid", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") - F.col("before") + F.col("size")).alias("end"))
+    whole = classes.where((F.col("n") > 1) & (F.col("size") >= min_len)).select("key", "ctx", "n")
+    # A class of more than one in _SHARES of all rows would be one task of a join by key. There are fewer than _SHARES
+    # such classes in any input, so they are broadcast; all others are joined by key.
+    limit = rows.count() // _SHARES
+    hot_classes = whole.where(F.col("n") > limit).select("key", "ctx", F.lit(True).alias("hot"))
+    told = rows.join(F.broadcast(hot_classes), ["key", "ctx"], "left")
+    inside = told.where("hot").drop("hot").unionByName(told.where("hot is null").drop("hot").join(whole.where(F.col("n") <= limit).select("key", "ctx"), ["key", "ctx"]))
+    inside = inside.select("rid", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") - F.col("before") + F.col("size")).alias("end"))
     # Groups with a class of one occurrence and at least one class more need their contexts.
     groups = classes.groupBy("key").agg(F.count("*").alias("classes"), F.count(F.when(F.col("n") == 1, 1)).alias("single")).where("classes > 1 and single > 0")
     members = classes.join(groups.select("key", "classes"), "key").select("rid", F.struct("pos", "key", "n", "classes").alias("m"))
