@@ -77,6 +77,12 @@ def block_regions(blocks: DataFrame) -> DataFrame:
     return out.select("lcb", "members", F.array_join(F.transform("x", lambda m: F.concat_ws(":", m["genome"], m["start"].cast("string"), m["stop"].cast("string"))), ",").alias("spans"))
 
 
+def block_regions_json(blocks: DataFrame) -> DataFrame:
+    """(lcb, members, spans): as ``block_regions``, the spans as a JSON list."""
+    spans = F.array_sort(F.collect_list(F.struct("genome", "start", "stop")))  # a block's members: one a genome
+    return blocks.groupBy("lcb").agg(F.count("*").alias("members"), F.to_json(spans).alias("spans")).where("members > 1")
+
+
 def backbone_edges(blocks: DataFrame) -> DataFrame:
     """(genome, source, target): successor edges of blocks along each genome, with null for the ends."""
     w = Window.partitionBy("genome").orderBy("start", "lcb")

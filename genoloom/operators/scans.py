@@ -157,6 +157,13 @@ def lipobox_scan(proteins: DataFrame, least: int = 10, most: int = 40) -> DataFr
     return proteins.withColumn("_x", out).where("_x is not null").select("seq_id", F.col("_x.box").alias("box"), F.length("_x.hit").alias("at"))
 
 
+def lipobox_features(features: DataFrame, found: DataFrame) -> DataFrame:
+    """(feature_id, start, stop, strand): the four codons of each box of ``lipobox_scan`` on the record; found: (seq_id = feature_id, at)."""
+    rows = features.join(found.select(F.col("seq_id").alias("feature_id"), "at"), "feature_id")
+    start = F.when(F.col("strand") > 0, F.col("start") + 3 * (F.col("at") - 4)).otherwise(F.col("stop") - 3 * F.col("at"))
+    return rows.select("feature_id", start.alias("start"), (start + 12).alias("stop"), "strand")
+
+
 def lipobox_window(proteins: DataFrame, least: int = 10, most: int = 50, least_after: int = 30, most_after: int = 185, boxes: tuple[str, ...] = LIPOBOXES) -> DataFrame:
     """(seq_id, after): proteins with a box in the window and a fitting number of residues from it on; boxes are tried in order."""
     region = F.substring("seq", least, most + 6 - least)

@@ -212,6 +212,15 @@ def first_difference(seqs: DataFrame, reference: Column) -> DataFrame:
     return seqs.select("seq_id", pos.alias("pos"), F.when(pos > 0, F.substring("seq", pos.cast("int"), F.lit(1))).alias("residue"))
 
 
+def difference_residues(seqs: DataFrame, reference: str) -> DataFrame:
+    """(pos, residue, n): how many sequences of the reference's length have each other residue at each of its places (1-based); pos null and * for other lengths."""
+    own = F.transform(F.split("seq", ""), lambda c, i: F.struct((i + 1).alias("pos"), c.alias("residue")))
+    other = F.filter(own, lambda x: F.substring(F.lit(reference), x["pos"], F.lit(1)) != x["residue"])
+    unequal = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit("*").alias("residue")))
+    rows = seqs.select(F.explode(F.when(F.length("seq") == len(reference), other).otherwise(unequal)).alias("x"))
+    return rows.groupBy("x.pos", "x.residue").agg(F.count("*").alias("n"))
+
+
 def least_rotation(s: str) -> str:
     """The least rotation of a text, in time that grows with its length."""
     n = len(s)

@@ -130,6 +130,7 @@ QUERIES = {
     "identity_features": lambda s, d: B.identity_features(view(s, d, "aligned"), AB, 10),
     "gapped_hit_features": lambda s, d: B.gapped_hit_features(view(s, d, "aligned"), AB, 4),
     "block_clusters": lambda s, d: B.block_clusters(view(s, d, "blocks"), 150),
+    "block_regions_json": lambda s, d: B.block_regions_json(view(s, d, "blocks")),
     "block_regions": lambda s, d: B.block_regions(view(s, d, "blocks")),
     "backbone_edges": lambda s, d: B.backbone_edges(view(s, d, "blocks")),
     "start_track": lambda s, d: B.start_track(_reads(s, d)),
@@ -203,6 +204,7 @@ ORACLE_SQL = {
         y AS (SELECT *, sum(c) OVER (PARTITION BY conv_id, turn ORDER BY start ROWS UNBOUNDED PRECEDING) AS part FROM z) SELECT conv_id, turn, min(start) AS start, max(stop) AS stop FROM y GROUP BY conv_id, turn, part HAVING max(m) = 1"""),
     "block_clusters": duckdb_sql(f"""WITH {_SIG}, w AS (SELECT *, CASE WHEN start - lag(start) OVER v <= 150 THEN 0 ELSE 1 END AS nw FROM s WINDOW v AS (PARTITION BY signature ORDER BY start, lcb)),
         r AS (SELECT *, sum(nw) OVER (PARTITION BY signature ORDER BY start, lcb ROWS UNBOUNDED PRECEDING) AS run FROM w) SELECT lcb, min(lcb) OVER (PARTITION BY signature, run) AS cluster FROM r"""),
+    "block_regions_json": duckdb_sql("""SELECT lcb, count(*) AS members, '[' || string_agg('{"genome":"' || genome || '","start":' || start || ',"stop":' || stop || '}', ',' ORDER BY genome, start, stop) || ']' AS spans FROM {blocks} GROUP BY lcb HAVING count(*) > 1"""),
     "block_regions": duckdb_sql("SELECT lcb, count(*) AS members, string_agg(genome || ':' || start || ':' || stop, ',' ORDER BY genome) AS spans FROM {blocks} GROUP BY lcb HAVING count(*) > 1"),
     "backbone_edges": duckdb_sql("""WITH w AS (SELECT genome, lcb, lag(lcb) OVER v AS b, lead(lcb) OVER v AS a FROM {blocks} WINDOW v AS (PARTITION BY genome ORDER BY start, lcb)) SELECT genome, b AS source, lcb AS target FROM w UNION ALL SELECT genome, lcb, NULL FROM w WHERE a IS NULL"""),
     "start_track": duckdb_sql("SELECT record_id, strand, CASE WHEN strand > 0 THEN start ELSE stop END AS pos, count(*) AS n FROM {reads} GROUP BY 1, 2, 3"),

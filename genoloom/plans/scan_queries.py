@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from genoloom.functions import codon as C
+from genoloom.functions import sequence as S
 from genoloom.operators import scans as X
 from genoloom.operators.features import seq_feature_extract
 from genoloom.plans.views import duckdb_sql, view
@@ -33,6 +34,12 @@ def _cds(s, d):
     return own.join(rest, "feature_id")
 
 
+def _lipoboxes(s, d):
+    f = view(s, d, "features").where("type = 'CDS'")
+    proteins = seq_feature_extract(f, _records(s, d)).select(F.col("feature_id").alias("seq_id"), S.translate(F.col("seq"), 11, to_stop=False, start_as_m=False).alias("seq"))
+    return X.lipobox_features(f, X.lipobox_scan(proteins))
+
+
 def _orfs(s, d):
     o = X.orf_scan(_dna(s, d), 11, 30)
     return o.select("seq_id", "start", "stop", "strand", F.length("protein").alias("length"), F.md5("dna").alias("dna"), F.md5("protein").alias("protein"))
@@ -54,6 +61,7 @@ QUERIES = {
     "tmd_scan_periplasm": lambda s, d: X.tmd_scan(_proteins(s, d), size_least=5, size_most=12, periplasm=(110, 120)),
     "restriction_sites": lambda s, d: X.restriction_sites(_dna(s, d), ENZYMES),
     "lipobox_scan": lambda s, d: X.lipobox_scan(_proteins(s, d)),
+    "lipobox_features": _lipoboxes,
     "lipobox_window": lambda s, d: X.lipobox_window(_proteins(s, d)),
     "tmd_scan": lambda s, d: X.tmd_scan(_proteins(s, d), size_least=5, size_most=12),
     "sar_scan": lambda s, d: X.sar_scan(_proteins(s, d), 6, 9),
@@ -109,6 +117,10 @@ ORACLE_SQL = {
     "restriction_sites": duckdb_sql(f"""SELECT * FROM (SELECT seq_id, 'EcoRI' AS enzyme, 1 AS strand, {_count('GAATTC')} AS n FROM {{dna}} UNION ALL SELECT seq_id, 'HincII', 1, {_count('GT[CT][AG]AC')} FROM {{dna}}
         UNION ALL SELECT seq_id, 'BsaI', 1, {_count('GGTCTC')} FROM {{dna}} UNION ALL SELECT seq_id, 'BsaI', -1, {_count('GAGACC')} FROM {{dna}}) WHERE n > 0"""),
     "lipobox_scan": duckdb_sql(f"""WITH {_PROT} SELECT seq_id, CASE WHEN a <> '' THEN 0 ELSE 1 END AS box, length(CASE WHEN a <> '' THEN a ELSE b END) AS at FROM (SELECT seq_id, regexp_extract(seq, '^.{{10,40}}{_LB}') AS a, regexp_extract(seq, '^.{{10,40}}AW[AGS]C') AS b FROM pr) WHERE a <> '' OR b <> ''"""),
+    "lipobox_features": duckdb_sql(f"""WITH c AS (SELECT feature_id, start, stop, strand, CASE WHEN strand < 0 THEN reverse(translate(p, 'ACGT', 'TGCA')) ELSE p END AS q FROM (SELECT *, substring(seq, start + 1, stop - start) AS p FROM {{features}} JOIN {{dna}} ON seq_id + 1 = record_id WHERE type = 'CDS')),
+        pr AS (SELECT *, array_to_string(list_transform(range(0, length(q) // 3), lambda i: CAST({_TABLE}[substring(q, CAST(i * 3 + 1 AS BIGINT), 3)] AS VARCHAR)), '') AS seq FROM c),
+        x AS (SELECT *, regexp_extract(seq, '^.{{10,40}}{_LB}') AS a, regexp_extract(seq, '^.{{10,40}}AW[AGS]C') AS b FROM pr), y AS (SELECT *, length(CASE WHEN a <> '' THEN a ELSE b END) AS fin FROM x WHERE a <> '' OR b <> ''),
+        z AS (SELECT feature_id, strand, CASE WHEN strand > 0 THEN start + 3 * (fin - 4) ELSE stop - 3 * fin END AS lo FROM y) SELECT feature_id, lo AS start, lo + 12 AS stop, strand FROM z"""),
     "lipobox_window": duckdb_sql(f"""WITH {_PROT}, t AS (SELECT seq_id, seq, regexp_extract(substring(seq, 10, 46), '{_LB}') AS a, regexp_extract(substring(seq, 10, 46), 'AW[AGS]C') AS b FROM pr),
         x AS (SELECT seq_id, CASE WHEN a <> '' THEN length(seq) - (instr(seq, a) + 3) + 1 END AS fa, CASE WHEN b <> '' THEN length(seq) - (instr(seq, b) + 3) + 1 END AS fb FROM t)
         SELECT seq_id, CASE WHEN fa BETWEEN 30 AND 185 THEN fa ELSE fb END AS after FROM x WHERE fa BETWEEN 30 AND 185 OR fb BETWEEN 30 AND 185"""),

@@ -64,6 +64,7 @@ QUERIES = {
     "point_mutants": lambda s, d: Q.point_mutants(_oligos(s, d)),
     "point_insertions": lambda s, d: Q.point_mutants(_oligos(s, d), kind="insertion"),
     "point_deletions": lambda s, d: Q.point_mutants(_oligos(s, d), kind="deletion"),
+    "difference_residues": lambda s, d: Q.difference_residues(_oligos(s, d), "ACGTACGTACGTACGTACGTACGT"),
     "first_difference": lambda s, d: Q.first_difference(_oligos(s, d), F.lit("ACGTACGTACGTACGTACGTACGT")),
     "contig_uid": lambda s, d: Q.contig_uid(_oligos(s, d)),
     "dedup": lambda s, d: Q.dedup(_dna(s, d)),
@@ -123,6 +124,8 @@ ORACLE_SQL = {
     "point_insertions": duckdb_sql(f"""SELECT seq_id, pos, base, left(seq, pos) || base || substring(seq, pos + 1) AS seq FROM (SELECT seq_id, seq, unnest(range(0, length(seq) + 1)) AS pos FROM {_OLIGO}) CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS base)"""),
     "point_deletions": duckdb_sql(f"SELECT seq_id, pos, '' AS base, left(seq, pos) || substring(seq, pos + 2) AS seq FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS pos FROM {_OLIGO})"),
     "point_mutants": duckdb_sql(f"""SELECT seq_id, pos, base, substring(seq, 1, pos) || base || substring(seq, pos + 2) AS seq FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS pos FROM {_OLIGO}) CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS base) WHERE substring(seq, pos + 1, 1) <> base"""),
+    "difference_residues": duckdb_sql(f"""SELECT pos, residue, count(*) AS n FROM (SELECT i AS pos, substring(seq, i, 1) AS residue FROM (SELECT seq, unnest(range(1, 25)) AS i FROM {_OLIGO} WHERE length(seq) = 24) WHERE substring(seq, i, 1) <> substring('ACGTACGTACGTACGTACGTACGT', i, 1)
+        UNION ALL SELECT NULL, '*' FROM {_OLIGO} WHERE length(seq) <> 24) GROUP BY pos, residue"""),
     "first_difference": duckdb_sql(f"""SELECT seq_id, pos, CASE WHEN pos > 0 THEN substring(seq, pos, 1) END AS residue FROM (SELECT seq_id, seq, CASE WHEN length(seq) = 24 THEN coalesce(list_position(list_transform(range(1, 25), lambda i: substring(seq, i, 1) = substring('ACGTACGTACGTACGTACGTACGT', i, 1)), false), 0) END AS pos FROM {_OLIGO})"""),
     "contig_uid": duckdb_sql(f"""WITH b AS (SELECT seq_id, seq AS q FROM {_OLIGO} UNION ALL SELECT seq_id, {_RC} FROM {_OLIGO}), t AS (SELECT seq_id, q, unnest(range(0, greatest(length(q), 1))) AS k FROM b) SELECT seq_id, md5(min(substring(q, k + 1) || substring(q, 1, k))) AS uid FROM t GROUP BY seq_id"""),
     "dedup": duckdb_sql("SELECT a[1] AS seq_id, len(a) AS copies, array_to_string(a[2:], ' ') AS others FROM (SELECT list(seq_id ORDER BY seq_id) AS a FROM {dna} GROUP BY upper(seq))"),
