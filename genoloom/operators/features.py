@@ -7,6 +7,7 @@ one join a level. Predicates are Spark columns.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -256,11 +257,14 @@ def drop_middle_level(features: DataFrame, middle: str = "mRNA") -> DataFrame:
     return out.withColumn("parent", F.when(F.col("_m").isNotNull(), F.col("_p")).otherwise(F.col("parent"))).drop("_m", "_p")
 
 
-def add_exons(features: DataFrame) -> DataFrame:
-    """One exon over the direct CDS children of each gene."""
+def add_exons(features: DataFrame, move_cds: bool = False) -> DataFrame:
+    """One exon over the direct CDS children of each gene; ``move_cds`` hangs them on it."""
     cds = features.where((F.col("type") == "CDS") & F.col("parent").isNotNull())
     exon = cds.groupBy("record_id", "parent").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("strand").alias("strand"))
     exon = exon.select("record_id", F.lit("exon").alias("type"), "start", "stop", "strand", F.concat("parent", F.lit(".exon")).alias("feature_id"), "parent")
+    if move_cds:
+        inside = (F.col("type") == "CDS") & F.col("parent").isNotNull()
+        features = features.withColumn("parent", F.when(inside, F.concat("parent", F.lit(".exon"))).otherwise(F.col("parent")))
     return features.unionByName(exon, allowMissingColumns=True)
 
 
@@ -332,11 +336,17 @@ def locus_tags(genes: DataFrame, cds: DataFrame, key: str = "record_id") -> Data
     return out.select("feature_id", "gene", F.when(F.col("gene").isNull(), "no gene").otherwise("same 3' end").alias("note"))
 
 
-def feature_color_class(features: DataFrame, rules: list[tuple[str, str]], text: str = "product") -> DataFrame:
-    """(feature_id, class): the last of the ordered (class, pattern) rules that the text meets, letter case aside."""
+def feature_color_class(features: DataFrame, rules: list[tuple[str, str]], text: str = "product", custom: list[tuple[str, list[str], list[str]]] = ()) -> DataFrame:
+    """(feature_id, class): the last of the ordered (class, pattern) rules that the text meets, letter case aside.
+
+    A custom rule (class, words, other words) overrides them where the text has all its words and none of the others; the last one wins.
+    """
     out = F.lit(None).cast("string")
     for name, pattern in rules:
         out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
+    has = lambda w: F.coalesce(F.col(text).rlike(rf"\b{w}\b"), F.lit(False))
+    for name, words, others in custom:
+        out = F.when(reduce(and_, [*map(has, words), *(~has(w) for w in others)]), name).otherwise(out)
     return features.select("feature_id", out.alias("class"))
 
 

@@ -70,6 +70,7 @@ QUERIES = {
     "add_parent_chain": lambda s, d: T.add_parent_chain(_tree(s, d), ["exon"], ["operon", "gene", "mRNA"]).select("feature_id", "type", "parent"),
     "add_gene_over_feature": lambda s, d: T.add_parent_chain(_tree(s, d).where("parent is null"), ["gene"], ["operon"]).select("feature_id", "type", "parent"),
     "drop_middle_level": lambda s, d: T.drop_middle_level(_tree(s, d), "gene").select("feature_id", "parent"),
+    "add_exons_over_cds": lambda s, d: T.add_exons(_tree(s, d), move_cds=True).select("feature_id", "type", "start", "stop", "parent"),
     "add_exons": lambda s, d: T.add_exons(_tree(s, d)).select("feature_id", "type", "start", "stop"),
     "genes_from_pairs": lambda s, d: T.genes_from_pairs(_f(s, d).withColumn("name", F.col("start") % 200), "name"),
     "fminmax": lambda s, d: T.fminmax(_tree(s, d)),
@@ -80,6 +81,7 @@ QUERIES = {
     "rename_from_table": lambda s, d: T.rename_from_table(_tree(s, d), view(s, d, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("name"))),
     "renumber": lambda s, d: T.renumber(_tree(s, d).where("type = 'gene'"), _tree(s, d).where("type <> 'gene'"), "gp", 3),
     "locus_tags": lambda s, d: T.locus_tags(_f(s, d, "gene"), _f(s, d, "CDS")),
+    "feature_color_custom": lambda s, d: T.feature_color_class(_tree(s, d), RULES, custom=[("first", ["tail", "1"], ["protein"]), ("never", ["tail"], ["fiber"])]),
     "feature_color_class": lambda s, d: T.feature_color_class(_tree(s, d), RULES),
     "parent_child_types": lambda s, d: T.parent_child_types(_tree(s, d)),
     "merge_feature_sets": lambda s, d: T.merge_feature_sets(view(s, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("record_id")), _f(s, d), view(s, d, "points")).groupBy("record_id").agg(F.count("*").alias("n")),
@@ -147,6 +149,7 @@ ORACLE_SQL = {
         UNION ALL SELECT feature_id || '.gene', 'gene', feature_id || '.operon' FROM {tree} WHERE type = 'exon' UNION ALL SELECT feature_id || '.mRNA', 'mRNA', feature_id || '.gene' FROM {tree} WHERE type = 'exon'"""),
     "add_gene_over_feature": duckdb_sql("SELECT feature_id, type, feature_id || '.operon' AS parent FROM {tree} WHERE parent IS NULL UNION ALL SELECT feature_id || '.operon', 'operon', NULL FROM {tree} WHERE parent IS NULL"),
     "drop_middle_level": duckdb_sql("SELECT feature_id, CAST(NULL AS VARCHAR) AS parent FROM {tree} WHERE type <> 'gene'"),
+    "add_exons_over_cds": duckdb_sql("SELECT feature_id, type, start, stop, CASE WHEN type = 'CDS' THEN parent || '.exon' ELSE parent END AS parent FROM {tree} UNION ALL SELECT parent || '.exon', 'exon', min(start), max(stop), parent FROM {tree} WHERE type = 'CDS' AND parent IS NOT NULL GROUP BY record_id, parent"),
     "add_exons": duckdb_sql(f"SELECT feature_id, type, start, stop FROM {{tree}} UNION ALL SELECT parent || '.exon', 'exon', min(start), max(stop) FROM {_CHILD} WHERE type = 'CDS' GROUP BY record_id, parent"),
     "genes_from_pairs": duckdb_sql("SELECT record_id, start % 200 AS name, min(start) AS start, max(stop) AS stop FROM {features} WHERE type IN ('CDS', 'RBS') GROUP BY record_id, start % 200 HAVING count(*) = 2 AND count(DISTINCT type) = 2"),
     "fminmax": duckdb_sql("SELECT coalesce(parent, feature_id) AS feature_id, min(start) AS start, max(stop) AS stop FROM {tree} GROUP BY 1"),
@@ -160,6 +163,7 @@ ORACLE_SQL = {
         SELECT * FROM g UNION ALL SELECT t.feature_id, g.tag FROM {tree} t JOIN g ON t.parent = g.feature_id"""),
     "locus_tags": duckdb_sql(f"""WITH g AS (SELECT record_id, strand, {_END3} AS e, min(feature_id) AS gene FROM {{features}} WHERE type = 'gene' GROUP BY 1, 2, 3)
         SELECT c.feature_id, gene, CASE WHEN gene IS NULL THEN 'no gene' ELSE 'same 3'' end' END AS note FROM (SELECT *, {_END3} AS e FROM {{features}} WHERE type = 'CDS') c LEFT JOIN g USING (record_id, strand, e)"""),
+    "feature_color_custom": duckdb_sql("SELECT feature_id, CASE WHEN product = 'tail fiber 1' THEN 'first' WHEN regexp_matches(product, 'fiber [0-2]') THEN 'fiber' WHEN product LIKE '%tail%' THEN 'tail' WHEN product LIKE '%hypothetical%' THEN 'hypothetical' END AS class FROM {tree}"),
     "feature_color_class": duckdb_sql("SELECT feature_id, CASE WHEN regexp_matches(product, 'fiber [0-2]') THEN 'fiber' WHEN product LIKE '%tail%' THEN 'tail' WHEN product LIKE '%hypothetical%' THEN 'hypothetical' END AS class FROM {tree}"),
     "parent_child_types": duckdb_sql("SELECT p.type AS parent_type, c.type, count(*) AS n FROM {tree} c JOIN {tree} p ON c.parent = p.feature_id GROUP BY 1, 2"),
     "merge_feature_sets": duckdb_sql("SELECT record_id, count(*) AS n FROM (SELECT record_id FROM {features} UNION ALL SELECT record_id FROM {points} WHERE record_id IN (SELECT p_partkey FROM part WHERE p_size < 10)) GROUP BY record_id"),
