@@ -190,17 +190,11 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, group_limit: int = 256)
     place = F.struct("rid", "pos")
     classes = rows.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.first("before").alias("before"), F.first("size").alias("size"))
     classes = materialize(classes.select("key", "ctx", "n", "at.rid", "at.pos", "before", "size"), "suffix-classes")
-    whole = classes.where((F.col("n") > 1) & (F.col("size") >= min_len)).select("key", "ctx", "n")
-    # A class of more than one in _SHARES of all rows would be one task of a join by key. There are fewer than _SHARES
-    # such classes in any input, so they are broadcast; all others are joined by key.
-    limit = rows.count() // _SHARES
-    hot_classes = whole.where(F.col("n") > limit).select("key", "ctx", F.lit(True).alias("hot"))
-    told = rows.join(F.broadcast(hot_classes), ["key", "ctx"], "left")
-    inside = told.where("hot").drop("hot").unionByName(told.where("hot is null").drop("hot").join(whole.where(F.col("n") <= limit).select("key", "ctx"), ["key", "ctx"]))
-    inside = inside.select("rid", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") - F.col("before") + F.col("size")).alias("end"))
+    covered = _join_sizes(rows, classes.select("key", "ctx", "n"), ["key", "ctx"], "n", rows.count()).where((F.col("n") > 1) & (F.col("size") >= min_len))
+    inside = covered.select("rid", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") - F.col("before") + F.col("size")).alias("end"))
     # Groups with a class of one occurrence and at least one class more need their contexts.
-    groups = classes.groupBy("key").agg(F.count("*").alias("classes"), F.count(F.when(F.col("n") == 1, 1)).alias("single")).where("classes > 1 and single > 0")
-    members = classes.join(groups.select("key", "classes"), "key").select("rid", F.struct("pos", "key", "n", "classes").alias("m"))
+    groups = materialize(classes.groupBy("key").agg(F.count("*").alias("classes"), F.count(F.when(F.col("n") == 1, 1)).alias("single")), "suffix-groups")
+    members = _join_sizes(classes, groups, ["key"], "classes", classes.count()).where("classes > 1 and single > 0").select("rid", F.struct("pos", "key", "n", "classes").alias("m"))
     wanted = members.groupBy("rid").agg(F.collect_list("m").alias("ms"))  # at most a text's own anchors
     contexts = materialize(_contexts(docs.join(wanted, "rid"), gram, reach), "suffix-contexts")
     cold = contexts.where(F.col("classes") <= group_limit).repartition("key").sortWithinPartitions("key")
@@ -208,6 +202,19 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, group_limit: int = 256)
     return inside.unionByName(_scan_groups(cold, gram, reach)).unionByName(hot)
 
 
+def _join_sizes(rows: DataFrame, sizes: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows with the columns of sizes, one row for each group of rows; ``size``: how many rows a group has, of total.
+
+    A group of more than one in _SHARES of all rows would be one task of a join by key. There are fewer than _SHARES such
+    groups in any input, so they are broadcast; all others are joined by key.
+    """
+    limit = total // _SHARES
+    told = rows.join(F.broadcast(sizes.where(F.col(size) > limit).withColumn("_hot", F.lit(True))), on, "left")
+    cold = told.where("_hot is null").select(*rows.columns).join(sizes.where(F.col(size) <= limit), on)
+    hot = told.where("_hot").drop("_hot")
+    return hot.unionByName(cold)
+
+
 def _contexts(joined: DataFrame, gram: int, reach: int) -> DataFrame:
     """The bytes before and after each wanted anchor."""
 
