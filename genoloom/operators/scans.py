@@ -26,7 +26,7 @@ def _gaps_and_hits(seq: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(seq, pattern, -1), F.regexp_extract_all(seq, F.lit(pattern), F.lit(0))
 
 
-def matches(seq: Column, pattern: str) -> Column:
+def match_texts(seq: Column, pattern: str) -> Column:
     """Non-overlapping matches as array<struct<start, stop, hit>> (0-based, half-open). The pattern must not match nothing.
 
     Running lengths of the texts around the matches and of the matches are the places; they are summed in blocks, so that
@@ -53,9 +53,14 @@ def matches(seq: Column, pattern: str) -> Column:
     return F.flatten(F.get(F.transform(F.array(pairs), lambda xs: F.aggregate(blocks(xs), zero, step, lambda a: a["out"])), F.lit(0)))
 
 
+def matches(seq: Column, pattern: str) -> Column:
+    """The places of ``match_texts`` as array<struct<start, stop>>."""
+    return F.transform(match_texts(seq, pattern), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop")))
+
+
 def regex_search(seqs: DataFrame, pattern: str) -> DataFrame:
     """(seq_id, start, stop, hit): one row a non-overlapping match."""
-    return seqs.select("seq_id", F.explode(matches(F.col("seq"), pattern)).alias("m")).select("seq_id", "m.start", "m.stop", "m.hit")
+    return seqs.select("seq_id", F.explode(match_texts(F.col("seq"), pattern)).alias("m")).select("seq_id", "m.start", "m.stop", "m.hit")
 
 
 def regex_marked(seqs: DataFrame, pattern: str) -> DataFrame:
@@ -215,7 +220,7 @@ def transmembrane_scan(proteins: DataFrame) -> DataFrame:
     """(seq_id, start, stop): merged windows of 16 residues whose middle ten are neutral and whose ends are neutral or lysine."""
     window = f"[{NEUTRAL}K]{{3}}[{NEUTRAL}]{{10}}[{NEUTRAL}K]{{3}}"
     # Only runs of allowed residues can hold a window; windows are sought inside those runs.
-    run = F.explode(matches(F.col("seq"), f"[{NEUTRAL}K]{{16,}}")).alias("r")
+    run = F.explode(match_texts(F.col("seq"), f"[{NEUTRAL}K]{{16,}}")).alias("r")
     rows = proteins.where(F.col("seq").rlike(window)).select("seq_id", run).select("seq_id", F.col("r.start").alias("at"), F.col("r.hit").alias("run"))
     starts = F.filter(F.sequence(F.lit(0), F.length("run") - 16), lambda i: F.substring(F.col("run"), i + 1, F.lit(16)).rlike(f"^{window}$"))
     rows = rows.select("seq_id", "at", F.explode(starts).alias("i")).select("seq_id", (F.col("at") + F.col("i")).alias("start"))
@@ -227,7 +232,7 @@ def transmembrane_scan(proteins: DataFrame) -> DataFrame:
 
 def hydrophobic_ls_scan(proteins: DataFrame, below: int = 150, least_charge: int = 2) -> DataFrame:
     """(seq_id, start, stop): short proteins with a run of ten or more neutral residues that ends in LS (or is cut there with at least eight before it), after a charge of two or more."""
-    run = F.explode(matches(F.col("seq"), f"[{LS_NEUTRAL}]{{10,}}")).alias("r")
+    run = F.explode(match_texts(F.col("seq"), f"[{LS_NEUTRAL}]{{10,}}")).alias("r")
     rows = proteins.where(F.length("seq") < below).select("seq_id", "seq", run).select("seq_id", "seq", F.col("r.start").alias("start"), F.col("r.hit").alias("d"))
     cut = F.regexp_extract("d", "^(.*LS)", 1)
     rows = rows.withColumn("n", F.length(cut)).where((F.col("n") > 0) & ((F.col("n") == F.length("d")) | (F.col("n") >= 10)))
