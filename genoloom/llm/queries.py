@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoloom.llm.centroids import cluster_vectors
 from genoloom.llm.embedding_dedup import embedding_components
 from genoloom.llm.line_dedup import dedup_lines
 from genoloom.llm.mixing import mix_plan
@@ -84,6 +85,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all whole-number embeddings after three rounds."""
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_personal_data": op9_personal_data,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_centroids": op13_centroids,
 }
 
 _SPACE = "[\\x20\\x09-\\x0D]"
@@ -134,7 +141,27 @@ def _quality_sql(limits: Limits = Limits()) -> str:
             NOT base_failed AND class_distance <= {limits.max_class_distance} AND mark_distance <= {limits.max_mark_distance} AND word_distance <= {limits.max_word_distance} AS kept FROM s"""
 
 
+def _centroid_sql(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64) -> str:
+    """Plain k-means over whole numbers in DuckDB's SQL, a few tables a round."""
+    out = f"""
+        WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({scale}.0 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM e WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))"""
+    for i in range(rounds + 1):
+        out += f""",
+        d{i} AS (SELECT vec_id, v, c, list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m) AS d FROM e, c{i}),
+        a{i} AS MATERIALIZED (SELECT vec_id, v, d, c FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS r FROM d{i}) WHERE r = 1)"""
+        if i < rounds:
+            out += f""",
+        s{i} AS (SELECT c, list(x ORDER BY j) AS m FROM (SELECT c, j, floor(sum(x) / count(*)) AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY c, j) GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(s{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN s{i} ON s{i}.c = c{i}.c)"""
+    return f"""{out}
+        SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(list_transform(m, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} ON c{rounds}.c = a.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroids": _centroid_sql(),
     "op5_mixing": f"""
         WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '')) AS size FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
