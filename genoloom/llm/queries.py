@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoloom.llm.best_fit import pack_documents_best_fit
 from genoloom.llm.centroids import cluster_vectors
 from genoloom.llm.embedding_dedup import embedding_components
 from genoloom.llm.line_dedup import dedup_lines
@@ -15,6 +16,7 @@ from genoloom.llm.quality_classifier import quality_scores
 from genoloom.llm.quality_rules import CLASSES, COMMON_WORDS, MARKS, Limits, quality_verdicts
 from genoloom.llm.simhash import simhash_components
 from genoloom.llm.suffix_dedup import remove_repeats
+from genoloom.llm.token_alignment import align_tokenizers
 from genoloom.llm.token_counts import token_counts
 from genoloom.session import spread
 
@@ -85,6 +87,16 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over all documents, with the corpus-wide counts of linked pairs."""
+    return align_tokenizers(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into few sequences of 2048 tokens, only longer ones cut."""
+    return pack_documents_best_fit(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen clusters of all whole-number embeddings after three rounds."""
     return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64)
@@ -101,6 +113,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_personal_data": op9_personal_data,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_best_fit": op12_best_fit,
     "op13_centroids": op13_centroids,
 }
 

@@ -3,12 +3,17 @@
 import collections
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cases import clashing, odd_rows, rows, table
+from genoloom.llm.best_fit import OpenBins, best_fit, pack_best_fit, pack_documents_best_fit
+from genoloom.llm import token_alignment
 from genoloom.llm.centroids import Tighten, cluster_vectors, geometric_drift
+from genoloom.llm.token_alignment import Pieces, align_tokenizers, merge_runs, read_run, write_run
 
 # --- centroid clustering
 
@@ -103,3 +108,192 @@ def test_bounds_spare_scans():
         d = ((v[:, None, :].astype(np.int64) - now[None]) ** 2).sum(axis=2)
         assert (cluster == d.argmin(axis=1)).all()
     assert n < len(v) / 2
+
+
+# --- bounded-space best-fit
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(TOKENIZER))
+    return Tokenizer.from_file(path), path
+
+
+def check_pieces(got, docs, capacity):
+    """The contract's round trip: every id in one piece, only long documents cut, sequences gapless. Returns the number of sequences."""
+    own, _ = tokenizer()
+    expected = collections.Counter()
+    for i, t in [(d[0], d[1]) for d in docs]:
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % capacity or capacity
+        cuts = [0, *range(first, len(ids), capacity), len(ids)]
+        for k in range(len(cuts) - 1):
+            part = np.array(ids[cuts[k] : cuts[k + 1]], "<u4").tobytes()
+            expected[(i, k, cuts[k], len(part) // 4, zlib.crc32(part))] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == expected
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(by)
+
+
+@pytest.mark.parametrize("data", [rows(1), odd_rows(), [(1, None, None, None, None)], [(1, "x <|endoftext|> a", "en", "s", 3)] * 5])
+@pytest.mark.parametrize("capacity,stream", [(64, 8), (2048, 4096), (1, 5)])
+def test_best_fit_packing_round_trip(spark, data, capacity, stream):
+    got = pack_documents_best_fit(clashing(table(spark, data)), tokenizer()[1], capacity=capacity, stream_pieces=stream, open_bins=4, with_ids=True).collect()
+    check_pieces(got, data, capacity)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+
+
+def test_best_fit_of_nothing(spark):
+    assert pack_documents_best_fit(table(spark, []), tokenizer()[1]).count() == 0
+
+
+def plain_best_fit(lengths, capacity, limit):
+    """Open bins as a plain list."""
+    bins, out, made = [], [], 0
+    for n in lengths:
+        fitting = [b for b in bins if b[0] >= n]
+        if fitting:
+            b = min(fitting, key=lambda b: b[0])
+        else:
+            b = [capacity, made]
+            made += 1
+            bins.append(b)
+        out.append(capacity - b[0])
+        b[0] -= n
+        bins = [b for b in bins if b[0]]
+        if len(bins) > limit:
+            bins.remove(min(bins, key=lambda b: b[0]))
+    return out, made
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bitset_bins_equal_a_plain_search(seed):
+    rng = random.Random(seed)
+    capacity, limit = rng.choice([(10, 2), (64, 5), (2048, 16), (100, 1)])
+    lengths = [rng.randint(1, capacity) for _ in range(900)]
+    bins = OpenBins(capacity, limit)
+    got = [bins.place(n) for n in lengths]
+    offsets, made = plain_best_fit(lengths, capacity, limit)
+    assert [o for _, o in got] == offsets and bins.made == made and bins.open <= limit
+    assert bins.rooms == sum(1 << r for r, b in bins.by_room.items() if b)
+
+
+def test_best_fit_comes_near_the_least_number_of_sequences(spark):
+    rng = random.Random(2)
+    lengths = [min(2047, int(rng.lognormvariate(6.2, 0.8)) + 1) for _ in range(30000)]
+    pieces = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    got = pack_best_fit(pieces, stream_pieces=4096)
+    n = got.select("sequence_id").distinct().count()
+    least = -(-sum(lengths) // 2048)
+    assert got.count() == len(lengths) and n <= 1.003 * least
+    again = pack_best_fit(pieces, stream_pieces=4096)
+    assert got.exceptAll(again).count() == 0
+
+
+def test_waves_and_streams_of_any_size():
+    lengths = np.array([5, 9, 1, 10, 3, 3, 7], np.int64)
+    for wave in (1, 3, 100):
+        bins, offset, left = best_fit(lengths, 10, 3, wave)
+        for b in set(bins.tolist()):
+            parts = sorted(zip(offset[bins == b], lengths[bins == b]))
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert left.sum() <= 10
+    assert [len(x) for x in best_fit(np.empty(0, np.int64), 10, 3, 4)] == [0, 0, 0]
+
+
+# --- alignment of two tokenizers
+
+
+def models():
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER)), str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def plain_alignment(data):
+    """The contract with the libraries' own encoders, token by token."""
+    import sentencepiece
+
+    from genoloom.llm.token_alignment import byte_level_pieces
+
+    own, _ = tokenizer()
+    own.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=models()[1])
+    letters = byte_level_pieces(models()[0])
+    per, held = [], collections.Counter()
+    for i, text in data:
+        links, groups, a, b = [], [], [], []
+        if text:
+            a, b = own.encode(" " + text, add_special_tokens=False).ids, sp.encode(text)
+            at = lambda ids, of: [0, *np.cumsum([len(of(x)) for x in ids]).tolist()]
+            piece = lambda x: bytes([int(sp.id_to_piece(x)[3:5], 16)]) if sp.is_byte(x) else sp.id_to_piece(x).replace("\u2581", " ").encode()
+            if any(b"".join(f(x) for x in ids) != (" " + text).encode() for ids, f in ((a, letters.__getitem__), (b, piece))):
+                a, b = [], []
+            ea, eb = at(a, letters.__getitem__), at(b, piece)
+            links = [(a[x], b[y]) for x in range(len(a)) for y in range(len(b)) if ea[x] < eb[y + 1] and eb[y] < ea[x + 1]]
+            ends = [0, *sorted(set(ea[1:]) & set(eb[1:]))]
+            groups = [",".join(str(v) for v, e in zip(a, ea[1:]) if s < e <= t) + "|" + ",".join(str(v) for v, e in zip(b, eb[1:]) if s < e <= t) for s, t in zip(ends, ends[1:])]
+        held.update(set(links))
+        per.append((i, len(a), len(b), links, groups))
+    top = collections.defaultdict(int)
+    for (x, _), n in held.items():
+        top[x] = max(top[x], n)
+    return collections.Counter((i, na, nb, len(g), len(k), sum(held[p] == top[p[0]] for p in k), sum(held[p] for p in k), hashlib.sha256(";".join(g).encode()).hexdigest() if g else "") for i, na, nb, k, g in per)
+
+
+ODD_TEXTS = ["a\u2581b", "<s> hi </s>", "x <|endoftext|> y", "\x00nul", " lead", "trail ", "  ", "\n", "tab\tx", "\ufb01ne \u00e9 e\u0301", "\U0001f600\u200d", "\uff21\uff22", "\u00a0x", "word\u3000word", "\ufffd", "<0x41>", "<unk>"]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_alignment_equals_brute_force(spark, monkeypatch, small):
+    if small:  # many runs, blocks and bundles
+        monkeypatch.setattr(token_alignment, "BLOCK", 7)
+        monkeypatch.setattr(token_alignment, "BUNDLE", 300)
+    data = [(r[0], r[1] if r[1] is None else r[1][:400]) for r in rows(3, 25) + odd_rows()] + [(1000 + i, t) for i, t in enumerate(ODD_TEXTS * 2)]
+    df = clashing(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")).repartition(5)
+    got = align_tokenizers(df, *models()).collect()
+    assert collections.Counter(tuple(r) for r in got) == plain_alignment(data)
+
+
+def test_alignment_of_nothing_and_its_groups(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert align_tokenizers(empty, *models()).count() == 0
+    one = align_tokenizers(spark.createDataFrame([("k", "hello hello"), (None, None)], "name string, body string"), *models(), id_col="name", text_col="body", with_groups=True).collect()
+    got = {r.name: r for r in one}
+    assert hashlib.sha256(got["k"].groups.encode()).hexdigest() == got["k"].groups_sha256 and got[None].groups == "" and got["k"].count_sum == got["k"].n_links == got["k"].n_best
+
+
+def test_pieces_by_word_equal_the_whole_text():
+    pieces, rng = Pieces(models()[1]), random.Random(5)
+    alphabet = ["a", "the", "Stein", " ", " ", " ", "\n", "\t", ".", "\u00e9", "\U0001f642", "\u2581", "12", "-", "\u4e2d"]
+    for _ in range(3000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 25)))
+        assert np.frombuffer(pieces.encode(t), "<i4").tolist() == pieces.model.encode(t)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merged_runs_hold_every_record_in_order(monkeypatch, seed):
+    monkeypatch.setattr(token_alignment, "BLOCK", 5)
+    rng = np.random.default_rng(seed)
+    runs, all_of = [], []
+    for _ in range(9):
+        k = np.sort(rng.integers(0, 40, rng.integers(1, 60)) << 32)
+        rec = (k, rng.integers(0, 2**50, len(k)), rng.integers(1, 9, len(k)))
+        runs.append(write_run(*rec))
+        assert [np.concatenate(x).tolist() for x in zip(*read_run(runs[-1]))] == [x.tolist() for x in rec]
+        all_of += list(zip(*(x.tolist() for x in rec)))
+    merged = [np.concatenate(x).tolist() for x in zip(*merge_runs(runs))]
+    assert merged[0] == sorted(merged[0]) and sorted(zip(*merged)) == sorted(all_of)
+    assert list(merge_runs([])) == []
