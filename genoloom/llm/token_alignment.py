@@ -183,8 +183,10 @@ def merge_runs(runs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             if n:
                 parts.append(tuple(x[:n] for x in h))
                 held[k] = tuple(x[n:] for x in h)
+        used = []
         while heap and heap[0][0] == front:
-            _, k = heapq.heappop(heap)
+            used.append(heapq.heappop(heap)[1])
+        for k in used:
             following = next(blocks[k], None)
             if following is None:
                 del held[k]
