@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions import sequence as S
+from genoloom.operators.blocked import running
+from genoloom.operators.locations import part_sequences
 from genoloom.operators.ordered import ordered_positions
 from genoloom.session import materialize
 
@@ -159,13 +161,12 @@ def adjacent_k(features: DataFrame, centres: DataFrame, k: int, key: str = "reco
 
 def upstream_feature(features: DataFrame, key: str = "record_id") -> DataFrame:
     """(feature_id, upstream, distance): the nearest feature before each one on its strand, in its record."""
-    plus = F.col("strand") > 0
-    forward = Window.partitionBy(key, plus.cast("int")).orderBy("stop", "start", "feature_id")
-    backward = Window.partitionBy(key, plus.cast("int")).orderBy("start", "stop", "feature_id")
-    up = F.when(plus, F.lag(F.struct("feature_id", "start", "stop")).over(forward)).otherwise(F.lead(F.struct("feature_id", "start", "stop")).over(backward))
-    out = features.withColumn("_u", up)
-    gap = F.when(plus, F.col("start") - F.col("_u.stop")).otherwise(F.col("_u.start") - F.col("stop"))
-    return out.select("feature_id", F.col("_u.feature_id").alias("upstream"), gap.alias("distance"))
+    slim = features.select(key, "feature_id", "start", "stop", (F.col("strand") > 0).alias("_plus"))
+    own = F.struct("feature_id", "start", "stop")
+    before = running(slim.where("_plus"), [key], ["stop", "start", "feature_id"], {"_u": ("last", own, "before")})
+    after = running(slim.where("not _plus or _plus is null"), [key], ["start", "stop", "feature_id"], {"_u": ("last", own, "after")})
+    gap = F.when(F.col("_plus"), F.col("start") - F.col("_u.stop")).otherwise(F.col("_u.start") - F.col("stop"))
+    return before.unionByName(after).select("feature_id", F.col("_u.feature_id").alias("upstream"), gap.alias("distance"))
 
 
 def moron_rule(genes: DataFrame, key: str = "record_id") -> DataFrame:
@@ -451,8 +452,5 @@ def codon_usage_compare(a: DataFrame, b: DataFrame, number: int = 11) -> DataFra
 
 
 def seq_feature_extract(features: DataFrame, seqs: DataFrame, key: str = "record_id") -> DataFrame:
-    """(feature_id, seq): the bases of each feature, reverse complement on the minus strand; parts beyond the sequence are cut."""
-    # Bytes are cut at once where text would be walked from its start for every feature; sequences are ASCII.
-    part = F.substring("seq", F.greatest(F.col("start"), F.lit(0)).cast("int") + 1, (F.col("stop") - F.greatest(F.col("start"), F.lit(0))).cast("int")).cast("string")
-    out = features.join(seqs.select(F.col("seq_id").alias(key), F.col("seq").cast("binary").alias("seq")), key)
-    return out.select("feature_id", F.when(F.col("strand") < 0, S.reverse_complement(part)).otherwise(part).alias("seq"))
+    """(feature_id, seq): the bases of each feature, its parts joined in reading order, minus parts turned; what lies beyond the sequence is cut."""
+    return part_sequences(features, seqs, key).select("feature_id", "seq")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.operators.blocked import choose_disjoint, running
+
 
 def dice(nident: Column, qlen: Column, slen: Column) -> Column:
     """2 * identities / (query length + subject length); null where both are 0."""
@@ -104,28 +106,67 @@ def reopen_by_hits(hits: DataFrame, key: str = "subject") -> DataFrame:
     return hits.groupBy(key).agg(F.avg(against).alias("reversed_share"), first.alias("query_start"))
 
 
+def _windows(hits: DataFrame, width: int, key: str) -> DataFrame:
+    """Each hit in order (key, lo, hi) with what a window of ``width`` bases from its start holds, by differences of running sums.
+
+    A hit no longer than the window ends, at the latest, where a window from its own start ends; so of such hits those behind
+    this one that end inside are all that end before the window's end, less those that come earlier. Longer hits are in no
+    window but as its first hit. in_*: hits, identities and aligned length inside; prior: hits that end before the end of the
+    window of the hit before; least: the first end of this and all later hits; last: the last end inside.
+    """
+    lo, hi = F.least("sstart", "sstop"), F.greatest("sstart", "sstop")
+    rows = hits.select(key, lo.alias("lo"), hi.alias("hi"), F.col("nident").cast("long").alias("nident"), F.col("length").cast("long").alias("length"))
+    rows = rows.withColumn("short", F.col("hi") - F.col("lo") <= width)
+    sums = ("nident", "length")
+    none = {c: F.lit(None).cast(t) for c, t in rows.dtypes if c != key}
+    ends = rows.where("short").select(key, F.col("hi").alias("at"), F.lit(0).alias("asks"), F.lit(1).alias("e_n"), *(F.col(c).alias(f"e_{c}") for c in sums), *(v.alias(c) for c, v in none.items()))
+    asks = rows.select(key, (F.col("lo") + width).alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("int").alias("e_n"), *(F.lit(None).cast("long").alias(f"e_{c}") for c in sums), *none)
+    values = {f"f_{c}": ("sum", F.col(f"e_{c}"), "before") for c in ("n", *sums)} | {"last": ("max", F.when(F.col("asks") == 0, F.col("at")), "before")}
+    ended = running(ends.unionByName(asks), [key], ["at", "asks", "lo", "hi", *sums], values).where("asks = 1").drop("at", "asks", "e_n", *(f"e_{c}" for c in sums))
+    own = {"n": F.lit(1), **{c: F.col(c) for c in sums}}
+    values = {f"p_{c}": ("sum", F.when(F.col("short"), v), "before") for c, v in own.items()}
+    values |= {"prior": ("last", F.col("f_n"), "before"), "lo_before": ("last", F.col("lo"), "before"), "least": ("min", F.when(F.col("short"), F.col("hi")), "from")}
+    out = running(ended, [key], ["lo", "hi", *sums], values)
+    inside = [(F.col(f"f_{c}") - F.col(f"p_{c}")).alias(f"in_{c}") for c in own]
+    return out.select(key, "lo", "hi", *sums, "short", *inside, "last", F.col("f_n").alias("ended"), "prior", "lo_before", "least")
+
+
 def hsp_windows(hits: DataFrame, query_length: int, padding: float = 1.2, cutoff: float = 0.0, k: int = 10) -> DataFrame:
     """Per subject, windows of floor(padding * query length) that start at a hit: summed identities of the hits wholly inside over the query length.
 
     A window whose hits all lie in an earlier window of the same subject is left out; of the rest, the one with the
-    highest share stands for the subject (then the earliest). Hits are ordered by subject start, and a range frame sums each
-    window, so no pairs of hits are made.
+    highest share stands for the subject (then the earliest). Windows come from running sums over range blocks, so a subject
+    with most of the hits is spread.
     """
-    width = int(padding * query_length)
-    lo, hi = F.least("sstart", "sstop"), F.greatest("sstart", "sstop")
-    rows = hits.select("subject", lo.alias("lo"), hi.alias("hi"), "nident")
-    # A hit counts for a window if it starts in it; its end is inside if hi <= window start + width.
-    by_lo = Window.partitionBy("subject").orderBy("lo").rangeBetween(0, width)
-    inside = F.filter(F.collect_list(F.struct("hi", "nident")).over(by_lo), lambda x: x["hi"] <= F.col("lo") + width)
-    last = F.array_max(F.transform(inside, lambda x: x["hi"]))
-    grouped = rows.withColumn("ident", F.aggregate(inside, F.lit(0).cast("long"), lambda s, x: s + x["nident"])).withColumn("last", last).dropDuplicates(["subject", "lo"])
-    reached = F.max("last").over(Window.partitionBy("subject").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
-    open_windows = grouped.withColumn("reached", reached).where(F.col("last").isNotNull() & (F.col("reached").isNull() | (F.col("last") > F.col("reached"))))
-    share = (F.col("ident") / F.lit(float(query_length))).alias("share")
+    rows = _windows(hits, int(padding * query_length), "subject")
+    first = F.col("lo_before").isNull() | (F.col("lo_before") < F.col("lo"))
+    open_windows = rows.where(first & (F.col("in_n") > 0) & (F.col("prior").isNull() | (F.col("ended") > F.col("prior"))))
+    share = (F.col("in_nident") / F.lit(float(query_length))).alias("share")
     best = open_windows.select("subject", "lo", share).groupBy("subject").agg(F.min_by(F.struct("lo", "share"), F.struct((-F.col("share")).alias("s"), F.col("lo"))).alias("w"))
     return best.select("subject", F.col("w.lo").alias("window_start"), F.col("w.share").alias("share")).where(F.col("share") >= cutoff).orderBy(F.round("share", 9).desc(), "subject").limit(k)
 
 
+def hsp_groups(hits: DataFrame, query_length: int, padding: float = 1.2, cutoff: float = 0.0, k: int | None = None, key: str = "subject") -> DataFrame:
+    """Disjoint groups of hits of a subject: (subject, start, stop, hits, aligned, query_aligned, identity, subject_aligned).
+
+    Every hit, in order of start and end, begins a group: itself and the later hits that end within floor(padding * query
+    length) of its start. Groups that lie in another one are left out; of the others, along the subject, each one that has
+    no hit in common with a kept one is kept. aligned sums alignment lengths; query_aligned and identity are aligned length
+    and identities over the query's length, subject_aligned is aligned length over the group's. Groups with an identity below
+    ``cutoff`` are left out, and of the rest the k highest are returned, if k is given.
+    """
+    width = int(padding * query_length)
+    rows = _windows(hits, width, key)
+    long = ~F.col("short")
+    maximal = rows.where(long | F.col("prior").isNull() | (F.col("ended") > F.col("prior")))
+    kept = choose_disjoint(maximal, key, ["lo", "hi", "nident", "length"], width)
+    with_own = lambda c, own: F.col(f"in_{c}") + F.when(long, own).otherwise(0)
+    stop, aligned, q = F.when(long, F.col("hi")).otherwise(F.col("last")), with_own("length", F.col("length")), F.lit(float(query_length))
+    out = kept.select(key, F.col("lo").alias("start"), stop.alias("stop"), with_own("n", F.lit(1)).cast("long").alias("hits"), aligned.alias("aligned"), (aligned / q).alias("query_aligned"), (with_own("nident", F.col("nident")) / q).alias("identity"), F.try_divide(aligned, stop - F.col("lo")).alias("subject_aligned"))
+    out = out.where(F.col("identity") >= cutoff)
+    return out if k is None else out.orderBy(F.round("identity", 9).desc(), key, "start", "stop").limit(k)
+
+
 def hit_features(hits: DataFrame) -> DataFrame:
     """Hits as ``match`` features with ``match_part`` children: one match for each (query, subject), with the widest bounds and the least evalue."""
     pair = concat_id(F.col("query"), F.col("subject"))

@@ -41,6 +41,7 @@ QUERIES = {
     "top_hit_columns": lambda s, d: H.top_hit_columns(view(s, d, "orders").select(F.col("o_orderkey").alias("feature_id")), _files(s, d), ["db0", "db1", "db2"]),
     "reopen_by_hits": lambda s, d: _r(H.reopen_by_hits(view(s, d, "hits").withColumn("qstop", F.when(F.col("ord") % 3 == 0, F.col("qstart") - 5).otherwise(F.col("qstop")))), "reversed_share"),
     "hsp_windows": lambda s, d: _r(H.hsp_windows(view(s, d, "hits"), 300, k=1000000), "share"),
+    "hsp_groups": lambda s, d: _r(H.hsp_groups(view(s, d, "hits"), 300), "query_aligned", "identity", "subject_aligned"),
     "hit_features": lambda s, d: H.hit_features(view(s, d, "hits")),
 }
 
@@ -70,6 +71,12 @@ ORACLE_SQL = {
         g AS (SELECT w.subject, w.lo, sum(r.nident) AS ident, max(r.hi) AS last FROM w JOIN r ON r.subject = w.subject AND r.lo >= w.lo AND r.hi <= w.lo + 360 GROUP BY w.subject, w.lo),
         o AS (SELECT *, max(last) OVER (PARTITION BY subject ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM g)
         SELECT subject, lo AS window_start, round(ident / 300.0, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ident DESC, lo) AS k FROM o WHERE reached IS NULL OR last > reached) WHERE k = 1"""),
+    "hsp_groups": duckdb_sql("""WITH r AS (SELECT subject, sstart AS lo, sstop AS hi, nident, length, row_number() OVER (PARTITION BY subject ORDER BY sstart, sstop, nident, length) AS i FROM {hits}),
+        g AS (SELECT x.subject, x.i, x.lo, count(*) AS hits, sum(y.length) AS aligned, sum(y.nident) AS nident, max(y.hi) AS last, min(y.hi) AS least FROM r x JOIN r y ON y.subject = x.subject AND (y.i = x.i OR y.i > x.i AND y.hi <= x.lo + 360) GROUP BY ALL),
+        m AS (SELECT * FROM g x WHERE NOT EXISTS (SELECT 1 FROM r z WHERE z.subject = x.subject AND z.i < x.i AND x.last <= z.lo + 360)),
+        n AS (SELECT x.subject, x.i, min(y.i) AS following FROM m x JOIN m y ON y.subject = x.subject AND y.i > x.i AND y.least > x.lo + 360 GROUP BY x.subject, x.i),
+        k AS (SELECT subject, min(i) AS i FROM m GROUP BY subject UNION ALL SELECT n.subject, n.following FROM k JOIN n ON n.subject = k.subject AND n.i = k.i)
+        SELECT m.subject, lo AS start, last AS stop, hits, CAST(aligned AS BIGINT) AS aligned, round(aligned / 300.0, 6) AS query_aligned, round(nident / 300.0, 6) AS identity, round(aligned / (last - lo), 6) AS subject_aligned FROM k JOIN m ON m.subject = k.subject AND m.i = k.i""").replace("WITH ", "WITH RECURSIVE ", 1),
     "hit_features": duckdb_sql("""SELECT query AS record_id, 'match' AS type, min(qstart) AS start, max(qstop) AS stop, min(evalue) AS evalue, query || '_' || subject AS feature_id, NULL AS parent FROM {hits} GROUP BY query, subject
         UNION ALL SELECT query, 'match_part', qstart, qstop, evalue, query || '_' || subject || '.' || row_number() OVER (PARTITION BY query, subject ORDER BY qstart, qstop, evalue, ord, taxon), query || '_' || subject FROM {hits}"""),
 }

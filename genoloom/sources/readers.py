@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from genoloom.operators.locations import parse_location, reading_order
+
 
 def _text(spark: SparkSession, path: str, sep: str | None = None, whole: bool = False) -> DataFrame:
     rows = spark.read.text(path, wholetext=whole, lineSep=sep)
@@ -87,8 +89,8 @@ def read_gff3_regions(spark: SparkSession, path: str, seqs: DataFrame | None = N
 
 
 def merge_split_locations(features: DataFrame) -> DataFrame:
-    """Lines of one record and id become one feature with parts; differing types are an error."""
-    parts = F.sort_array(F.collect_list(F.struct("start", "stop", "strand")))
+    """Lines of one record and id become one feature with parts in reading order (on the minus strand from the end); differing types are an error."""
+    parts = reading_order(F.collect_list(F.struct("start", "stop", "strand")))  # one feature's own lines
     g = features.groupBy("record_id", "feature_id").agg(F.min("type").alias("type"), F.count_distinct("type").alias("_k"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("strand").alias("strand"), parts.alias("parts"))
     return g.withColumn("_error", F.when(F.col("_k") > 1, "types differ")).drop("_k")
 
@@ -223,7 +225,10 @@ def read_gaf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_five_column(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, n, type, start, stop, strand, attrs, qualifiers) of five-column feature tables; reversed ends are the minus strand. qualifiers has all values of each key, attrs the first."""
+    """(record_id, n, type, start, stop, strand, attrs, qualifiers, parts) of five-column feature tables; reversed ends are the minus strand.
+
+    qualifiers has all values of each key, attrs the first; parts (start, stop, strand) are the feature's lines in their order.
+    """
     rec = _text(spark, path, ">Feature ").where(F.trim("value") != "").select(F.regexp_extract("value", r"^(\S+)", 1).alias("record_id"), F.posexplode(F.split("value", "\n")).alias("i", "line")).where("i > 0")
     c = F.split("line", "\t")
     at = lambda i: F.get(c, F.lit(i))
@@ -232,9 +237,11 @@ def read_five_column(spark: SparkSession, path: str) -> DataFrame:
     rows = rec.withColumn("new", is_new).withColumn("n", n).select("record_id", "n", "i", F.regexp_replace(at(0), "[<>]", "").try_cast("long").alias("a"), F.regexp_replace(at(1), "[<>]", "").try_cast("long").alias("b"), at(2).alias("type"), at(3).alias("k"), at(4).alias("v")).where("n > 0")
     entries = F.sort_array(F.collect_list(F.when(F.coalesce("k", F.lit("")) != "", F.struct("i", "k", F.coalesce("v", F.lit("")).alias("v")))))
     qualifiers = F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: e["k"])), lambda k: F.struct(k, F.transform(F.filter(entries, lambda e: e["k"] == k), lambda e: e["v"]))))
-    out = rows.groupBy("record_id", "n").agg(F.max("type").alias("type"), F.min(F.least("a", "b")).alias("lo"), F.max(F.greatest("a", "b")).alias("stop"), F.max(F.when(F.col("a") > F.col("b"), 1).otherwise(0)).alias("rev"), qualifiers.alias("qualifiers"))
+    place = F.struct("i", (F.least("a", "b") - 1).alias("start"), F.greatest("a", "b").alias("stop"), F.when(F.col("a") > F.col("b"), -1).otherwise(1).alias("strand"))
+    places = F.transform(F.sort_array(F.collect_list(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), place))), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), p["strand"].alias("strand")))
+    out = rows.groupBy("record_id", "n").agg(places.alias("parts"), F.max("type").alias("type"), F.min(F.least("a", "b")).alias("lo"), F.max(F.greatest("a", "b")).alias("stop"), F.max(F.when(F.col("a") > F.col("b"), 1).otherwise(0)).alias("rev"), qualifiers.alias("qualifiers"))
     attrs = F.transform_values("qualifiers", lambda k, v: F.get(v, F.lit(0))).alias("attrs")
-    return out.select("record_id", "n", "type", (F.col("lo") - 1).alias("start"), "stop", F.when(F.col("rev") == 1, -1).otherwise(1).alias("strand"), attrs, "qualifiers")
+    return out.select("record_id", "n", "type", (F.col("lo") - 1).alias("start"), "stop", F.when(F.col("rev") == 1, -1).otherwise(1).alias("strand"), attrs, "qualifiers", "parts")
 
 
 def read_term_dictionary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -257,6 +264,14 @@ _GENBANK = T.StructType([T.StructField(c, T.StringType()) for c in ("record_id",
     T.StructField("type", T.StringType()), T.StructField("location", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])))])
 
 
+def _genbank_value(key: str, lines: list[str]) -> str:
+    """A qualifier's lines as one value: joined by blanks (protein sequences by nothing), the quotes around it gone, doubled ones undone."""
+    value = ("" if key == "translation" else " ").join(lines).strip()
+    if value.startswith('"'):
+        value = value[1:-1] if len(value) > 1 and value.endswith('"') else value[1:]
+    return value.replace('""', '"')
+
+
 def _genbank_record(block: str) -> dict:
     """Splits one record block into its parts; no interpretation beyond the line layout."""
     import re
@@ -268,19 +283,24 @@ def _genbank_record(block: str) -> dict:
         return re.sub(r"\s+", " ", m[1]).strip() if m else None
     organism = re.search(r"^  ORGANISM\s+(.*)((?:\n {10,}.*)*)", head, re.M)
     features: list[dict] = []
+    last: list[list[str]] | None = None  # the values of the qualifier that lines are added to, each a list of its lines
     for line in table.split("\n")[1:]:
-        if re.match(r" {5}\S", line):
-            kind, _, loc = line.strip().partition(" ")
+        text = line.strip()
+        quoted = last is not None and sum(x.count('"') for x in last[-1]) % 2 == 1  # inside a quote a line may begin with anything
+        if re.match(r" {5}\S", line) and not quoted:
+            kind, _, loc = text.partition(" ")
             features.append({"type": kind, "location": loc.strip(), "attrs": {}})
             last = None
-        elif features and (m := re.match(r"\s+/([^=]+)(?:=(.*))?$", line)):
+        elif features and not quoted and (m := re.match(r"\s+/([^=\s]+)(?:=(.*))?$", line)):
             last = features[-1]["attrs"].setdefault(m[1], [])
-            last.append((m[2] or "").strip('"'))
-        elif features and line.strip():
-            if last:
-                last[-1] = f"{last[-1]} {line.strip()}".strip('"')
+            last.append([(m[2] or "").rstrip()])
+        elif features and text:
+            if last is not None:
+                last[-1].append(text)
             else:
-                features[-1]["location"] += line.strip()
+                features[-1]["location"] += text
+    for f in features:
+        f["attrs"] = {k: [_genbank_value(k, lines) for lines in v] for k, v in f["attrs"].items()}
     locus = re.search(r"^LOCUS\s+(\S+).*?(\d{2}-[A-Z]{3}-\d{4})?\s*$", head, re.M)
     return {
         "record_id": locus[1] if locus else None, "organism": organism[1].strip() if organism else None, "source": field("SOURCE"), "taxonomy": re.sub(r"\s+", " ", organism[2]).strip() if organism else None,
@@ -289,7 +309,11 @@ def _genbank_record(block: str) -> dict:
 
 
 def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, features) of flat files: record fields with the sequence, and features with bounds, strand and parts (start, stop) from their location text."""
+    """(records, features) of flat files: record fields with the sequence, and features with bounds, strand and parts (start, stop, strand; in reading order) from their location text.
+
+    A feature whose parts lie on both strands has strand 0. Lines of a qualifier are joined by blanks, those of a translation
+    by nothing; quotes around a value go and doubled ones inside become single.
+    """
 
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
@@ -299,10 +323,8 @@ def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     records = blocks.mapInPandas(run, _GENBANK)
     f = records.select("record_id", F.posexplode("features").alias("n", "f"))
     # Parts on other records (accession:bounds) are left out; a single base or a site between two is a part of its own.
-    own = F.regexp_replace("f.location", r"[A-Za-z][\w.]*:[<>]?\d+(?:(?:\.\.|\^|\.)[<>]?\d+)?", "")
-    number = lambda x: x.try_cast("long")
-    bounds = r"[<>]?(\d+)(?:(?:\.\.|\^|\.)[<>]?(\d+))?"
-    parts = F.zip_with(F.regexp_extract_all(own, F.lit(bounds), F.lit(1)), F.regexp_extract_all(own, F.lit(bounds), F.lit(2)), lambda a, b: F.struct((number(a) - 1).alias("start"), F.coalesce(number(b), number(a)).alias("stop")))
-    placed = f.select("record_id", "n", "f.type", parts.alias("parts"), F.when(F.contains("f.location", F.lit("complement")), -1).otherwise(1).alias("strand"), "f.attrs")
+    placed = f.select("record_id", "n", "f.type", parse_location(F.col("f.location")).alias("parts"), "f.attrs")
+    strands = F.array_distinct(F.transform("parts", lambda p: p["strand"]))
+    placed = placed.withColumn("strand", F.when(F.size(strands) > 1, 0).otherwise(F.coalesce(F.get(strands, F.lit(0)), F.lit(1))))
     features = placed.select("record_id", "n", "type", F.array_min("parts.start").alias("start"), F.array_max("parts.stop").alias("stop"), "strand", "attrs", "parts")
     return records.drop("features"), features

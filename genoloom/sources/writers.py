@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.operators.features import tree_depths
+from genoloom.operators.locations import with_parts
 
 
 def _escape(text: Column) -> Column:
@@ -16,7 +17,13 @@ def _escape(text: Column) -> Column:
 
 
 def gff3_lines(features: DataFrame, source: str = "genoloom") -> DataFrame:
-    """(record_id, line): GFF3 text of features (record_id, type, start, stop, strand, feature_id, parent, attrs); keys in order."""
+    """(record_id, line): GFF3 text of features (record_id, type, start, stop, strand, feature_id, parent, attrs); keys in order.
+
+    A feature with a column ``parts`` has a line for each part, along the record, all with its id.
+    """
+    if "parts" in features.columns:
+        features = with_parts(features)
+        features = features.select(*(c for c in features.columns if c not in ("start", "stop", "strand", "parts")), F.inline(F.array_sort("parts")))
     own = F.map_filter("attrs", lambda k, v: ~k.isin("ID", "Parent"))
     rest = F.transform(F.array_sort(F.map_entries(own)), lambda e: F.concat(_escape(e["key"]), F.lit("="), F.array_join(F.transform(e["value"], _escape), ",")))
     ids = F.array_compact(F.array(F.concat(F.lit("ID="), _escape(F.col("feature_id"))), F.when(F.col("parent").isNotNull(), F.concat(F.lit("Parent="), _escape(F.col("parent"))))))
@@ -58,11 +65,14 @@ def wig_lines(track: DataFrame) -> DataFrame:
 
 
 def five_column_lines(features: DataFrame) -> DataFrame:
-    """(record_id, feature_id, line): five-column text, ends reversed on the minus strand, one line more for each qualifier value."""
-    a, b = (F.col("start") + 1).cast("string"), F.col("stop").cast("string")
-    head = F.concat_ws("\t", F.when(F.col("strand") < 0, b).otherwise(a), F.when(F.col("strand") < 0, a).otherwise(b), "type")
+    """(record_id, feature_id, line): five-column text, ends reversed on the minus strand, one line more for each qualifier value.
+
+    A feature with a column ``parts`` has a line for each part in reading order, the type on the first.
+    """
+    ends = lambda p: (F.when(p["strand"] < 0, p["stop"]).otherwise(p["start"] + 1).cast("string"), F.when(p["strand"] < 0, p["start"] + 1).otherwise(p["stop"]).cast("string"))
+    head = F.array_join(F.transform("parts", lambda p, i: F.concat_ws("\t", *ends(p), F.when(i == 0, F.col("type")))), "\n")
     rest = F.flatten(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.transform(e["value"], lambda v: F.concat(F.lit("\t\t\t"), e["key"], F.lit("\t"), v))))
-    return features.select("record_id", "feature_id", F.concat_ws("\n", head, F.when(F.size(rest) > 0, F.array_join(rest, "\n"))).alias("line"))
+    return with_parts(features).select("record_id", "feature_id", F.concat_ws("\n", head, F.when(F.size(rest) > 0, F.array_join(rest, "\n"))).alias("line"))
 
 
 def xmfa_lines(blocks: DataFrame, width: int = 80) -> DataFrame:

@@ -110,7 +110,7 @@ def test_repeated_qualifiers_records_of_a_file_and_split_locations(spark, tmp_pa
     assert sorted(r.record_id for r in R.read_mga(spark, m).where("type = 'CDS'").collect()) == ["recA", "recB"]
     g = put(tmp_path, "a.gbk", 'LOCUS       q1 30 bp DNA\nFEATURES             Location/Qualifiers\n     CDS             join(J00194.1:100..202,1..9,\n                     <12..>20)\n                     /gene="x"\n     gene            J00194.1:5..6\nORIGIN\n        1 acgt\n//\n')
     got = [(r.type, r.start, r.stop, [tuple(p) for p in r.parts]) for r in R.read_genbank(spark, g)[1].orderBy("n").collect()]
-    assert got == [("CDS", 0, 20, [(0, 9), (11, 20)]), ("gene", None, None, [])]
+    assert got == [("CDS", 0, 20, [(0, 9, 1), (11, 20, 1)]), ("gene", None, None, [])]
 
 
 def test_gff3_is_written_from_the_top_of_the_tree(spark, tmp_path):
@@ -121,3 +121,28 @@ def test_gff3_is_written_from_the_top_of_the_tree(spark, tmp_path):
     W.write_gff3(f, str(tmp_path / "out"))
     text = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert [x.split("\t")[2] for x in text] == ["gene", "mRNA", "exon", "CDS"]
+
+
+def test_genbank_text_rules(spark, tmp_path):
+    text = (
+        'LOCUS       g1 30 bp DNA\nFEATURES             Location/Qualifiers\n     CDS             join(complement(1..3),7..9)\n'
+        '                     /translation="MKV\n                     LLA"\n                     /note="says ""hi"" and\n                     /not_a_key=1 ends"\n                     /codon_start=2\n'
+        '     CDS             complement(join(3..5,7..9))\n                     /gene=x\n     gene            complement(4..>8)\n     CDS             join(25..30,1..4)\nORIGIN\n        1 acgt\n//\n'
+    )
+    got = R.read_genbank(spark, put(tmp_path, "t.gb", text))[1].orderBy("n").collect()
+    assert [(r.type, r.start, r.stop, r.strand, [tuple(p) for p in r.parts]) for r in got] == [
+        ("CDS", 0, 9, 0, [(0, 3, -1), (6, 9, 1)]), ("CDS", 2, 9, -1, [(6, 9, -1), (2, 5, -1)]), ("gene", 3, 8, -1, [(3, 8, -1)]), ("CDS", 0, 30, 1, [(24, 30, 1), (0, 4, 1)]),
+    ]
+    assert got[0].attrs == {"translation": ["MKVLLA"], "note": ['says "hi" and /not_a_key=1 ends'], "codon_start": ["2"]} and got[1].attrs == {"gene": ["x"]}
+
+
+def test_parts_go_through_writers_and_readers(spark, tmp_path):
+    parts = [("r", "f1", "CDS", 2, 40, -1, [(30, 40, -1), (2, 9, -1)]), ("r", "f2", "CDS", 0, 50, 1, [(45, 50, 1), (0, 7, 1)]), ("r", "f3", "gene", 3, 6, 1, None)]
+    schema = "record_id string, feature_id string, type string, start long, stop long, strand int, parts array<struct<start:bigint,stop:bigint,strand:int>>"
+    f = spark.createDataFrame(parts, schema).withColumn("attrs", F.create_map(F.lit("k"), F.array(F.lit("v")))).withColumn("parent", F.lit(None).cast("string"))
+    text = ">Feature r\n" + "\n".join(r.line for r in W.five_column_lines(f).orderBy("feature_id").collect()) + "\n"
+    back = R.read_five_column(spark, put(tmp_path, "p.tbl", text)).orderBy("n").collect()
+    assert [[tuple(p) for p in r.parts] for r in back] == [[(30, 40, -1), (2, 9, -1)], [(45, 50, 1), (0, 7, 1)], [(3, 6, 1)]]
+    W.write_gff3(f, str(tmp_path / "gff"))
+    merged = R.merge_split_locations(R.read_gff3(spark, str(tmp_path / "gff"))).orderBy("feature_id").collect()
+    assert [[tuple(p) for p in r.parts] for r in merged] == [[(30, 40, -1), (2, 9, -1)], [(0, 7, 1), (45, 50, 1)], [(3, 6, 1)]]
