@@ -273,7 +273,7 @@ def annotation_table(features: DataFrame, seqs: DataFrame, ontology: DataFrame,
     return out.select(key, "feature_id", "start", "stop", "strand", "first_codon", "last_codon", "sd", "sd_gap", "upstream", "distance", "terms")
 
 
-def annotation_compare(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFrame:
+def overlap_compare(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFrame:
     """(status, n): coding features of two annotations of one record set: exact, inexact (same strand, overlap by half of the longer), only first, only second.
 
     Each feature of the first takes its largest overlap in the second; a pair counts if each is the other's best.

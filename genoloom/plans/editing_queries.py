@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from genoloom.operators import alignment as A
 from genoloom.operators import editing as E
 from genoloom.operators import sequences as Q
 from genoloom.plans.feature_queries import _f, _seqs, _tree
@@ -36,6 +37,11 @@ def _shifted(s, d):
     return f.where("start % 5 <> 0").withColumn("stop", F.when(F.col("start") % 2 == 0, F.col("stop") + 6).otherwise(F.col("stop"))).withColumn("feature_id", F.concat("feature_id", F.lit("b")))
 
 
+def _compared(s, d, least=0.7):
+    named = lambda f, k: f.withColumn("product", F.when(F.col("start") % k == 0, "hypothetical protein").otherwise("tail fiber"))
+    return A.annotation_compare(named(_f(s, d, "CDS"), 3), named(_shifted(s, d), 2), _seqs(s, d), least=least)
+
+
 def _round(df):
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -72,7 +78,10 @@ QUERIES = {
     "export_names": lambda s, d: E.export_names(view(s, d, "part").select(F.col("p_partkey").alias("record_id"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Phage "), F.col("p_brand"))).when(F.col("p_size") % 3 == 1, F.col("p_name")).alias("title"))),
     "proximity_classes": lambda s, d: E.proximity_classes(_f(s, d, "CDS"), _f(s, d, "gene").join(_classes(s, d), "feature_id"), 900),
     "annotation_table": lambda s, d: E.annotation_table(_f(s, d), _seqs(s, d), _f(s, d).where("start % 3 = 0").select("feature_id", F.concat(F.lit("GO:"), F.col("strand").cast("string")).alias("go_id"))),
-    "annotation_compare": lambda s, d: E.annotation_compare(_f(s, d, "CDS"), _shifted(s, d)),
+    "annotation_overlaps": lambda s, d: E.overlap_compare(_f(s, d, "CDS"), _shifted(s, d)),
+    "annotation_compare": lambda s, d: _compared(s, d).select("record_id", "first", "second", "similarity", "identity", "length_difference", "length_class", "hypothetical", "first_place", "second_place"),
+    "annotation_compare_exact": lambda s, d: _compared(s, d, 1.0).select("record_id", "first", "second", "similarity", "identity", "length_class"),
+    "annotation_summary": lambda s, d: A.annotation_summary(_compared(s, d)),
     "qc_corrected_genes": lambda s, d: E.qc_corrected_genes(_f(s, d, "gene"), _f(s, d, "CDS")),
     "aa_fraction_codons": lambda s, d: Q.codon_fraction_table(view(s, d, "dna")).select("seq_id", F.round("ATG", 6).alias("atg"), F.round("TTT", 6).alias("ttt")),
 }
@@ -126,7 +135,13 @@ ORACLE_SQL = {
         SELECT gene AS feature_id, NULL AS parent, start, stop FROM g UNION ALL SELECT f.feature_id, CASE WHEN tag IS NOT NULL THEN 'gene-' || record_id || '-' || tag ELSE o.parent END, start, stop FROM f LEFT JOIN o ON o.feature_id = f.feature_id"""),
     "export_names": duckdb_sql("SELECT p_partkey AS record_id, CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS name FROM part"),
     "proximity_classes": duckdb_sql("""SELECT c.feature_id, string_agg(DISTINCT k, ',' ORDER BY k) AS near FROM {features} c JOIN (SELECT *, CASE start % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS k FROM {features} WHERE type = 'gene') g ON g.record_id = c.record_id AND c.start - 900 < g.stop AND g.start < c.stop + 900 WHERE c.type = 'CDS' GROUP BY c.feature_id"""),
-    "annotation_compare": duckdb_sql("""WITH x AS (SELECT * FROM {features} WHERE type = 'CDS'), y AS (SELECT record_id, strand, feature_id || 'b' AS feature_id, start, CASE WHEN start % 2 = 0 THEN stop + 6 ELSE stop END AS stop FROM x WHERE start % 5 <> 0),
+    "annotation_compare_exact": duckdb_sql(f"""WITH x AS (SELECT f.record_id, feature_id, start, stop, row_number() OVER (PARTITION BY f.record_id ORDER BY start, stop, feature_id) AS k, CASE WHEN strand < 0 THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS q FROM (SELECT *, substring(seq, start + 1, stop - start) AS q FROM {{features}} f JOIN {_RECORDS} r USING (record_id) WHERE type = 'CDS') f),
+        y AS (SELECT f.record_id, feature_id, row_number() OVER (PARTITION BY f.record_id ORDER BY start, stop, feature_id) AS k, CASE WHEN strand < 0 THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS q FROM (SELECT record_id, feature_id || 'b' AS feature_id, start, strand, stop, substring(seq, start + 1, stop - start) AS q FROM (SELECT record_id, feature_id, start, strand, seq, CASE WHEN start % 2 = 0 THEN stop + 6 ELSE stop END AS stop FROM {{features}} JOIN {_RECORDS} r USING (record_id) WHERE type = 'CDS' AND start % 5 <> 0)) f),
+        m AS (SELECT x.record_id, x.feature_id AS a, y.feature_id AS b, row_number() OVER (PARTITION BY x.record_id, x.feature_id ORDER BY abs(x.k - y.k), y.feature_id) AS r1, row_number() OVER (PARTITION BY x.record_id, y.feature_id ORDER BY abs(x.k - y.k), x.feature_id) AS r2 FROM x JOIN y ON x.record_id = y.record_id AND x.q = y.q AND x.q <> '' AND abs(x.k - y.k) <= 10),
+        p AS (SELECT * FROM m WHERE r1 = 1 AND r2 = 1)
+        SELECT record_id, a AS first, b AS second, 'Exact match' AS similarity, 100.0::DOUBLE AS identity, 'Same Length' AS length_class FROM p
+        UNION ALL SELECT record_id, feature_id, NULL, 'In First but not Second', 0.0, NULL FROM x WHERE (record_id, feature_id) NOT IN (SELECT record_id, a FROM p) UNION ALL SELECT record_id, NULL, feature_id, 'In Second but not First', 0.0, NULL FROM y WHERE (record_id, feature_id) NOT IN (SELECT record_id, b FROM p)"""),
+    "annotation_overlaps": duckdb_sql("""WITH x AS (SELECT * FROM {features} WHERE type = 'CDS'), y AS (SELECT record_id, strand, feature_id || 'b' AS feature_id, start, CASE WHEN start % 2 = 0 THEN stop + 6 ELSE stop END AS stop FROM x WHERE start % 5 <> 0),
         m AS (SELECT x.feature_id AS a, y.feature_id AS b, (least(x.stop, y.stop) - greatest(x.start, y.start)) / greatest(x.stop - x.start, y.stop - y.start) AS share FROM x JOIN y ON x.record_id = y.record_id AND x.strand = y.strand AND x.start < y.stop AND y.start < x.stop),
         r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY share DESC, b) AS r1, row_number() OVER (PARTITION BY b ORDER BY share DESC, a) AS r2 FROM m WHERE share >= 0.5), p AS (SELECT * FROM r WHERE r1 = 1 AND r2 = 1),
         e AS (SELECT CASE WHEN share = 1 THEN 'exact' ELSE 'inexact' END AS status FROM p UNION ALL SELECT 'only first' FROM x WHERE feature_id NOT IN (SELECT a FROM p) UNION ALL SELECT 'only second' FROM y WHERE feature_id NOT IN (SELECT b FROM p)) SELECT status, count(*) AS n FROM e GROUP BY status"""),
