@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.operators.blocked import running
+
 
 def percent_identity(a: Column, b: Column) -> Column:
     """Matches over compared places x 100, gaps of the first sequence left out; 0 if none is compared."""
@@ -62,12 +64,25 @@ def block_signature(blocks: DataFrame) -> DataFrame:
 
 
 def block_clusters(blocks: DataFrame, distance: int) -> DataFrame:
-    """(lcb, cluster): blocks of one signature, chained while the next starts within ``distance`` on the first genome; the least lcb names the chain."""
-    w = Window.partitionBy("signature").orderBy("start", "lcb")
-    sig = block_signature(blocks)
-    new = F.when(F.col("start") - F.lag("start").over(w) <= distance, 0).otherwise(1)
-    runs = sig.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.select("lcb", F.min("lcb").over(Window.partitionBy("signature", "_run")).alias("cluster"))
+    """(lcb, cluster): blocks of one signature chained in order of their start on the first genome; the least lcb names the chain.
+
+    A block goes on with the chain of the one before if, for every member, its start is at most ``distance`` behind that
+    block's stop on the same genome (a member that begins earlier is near). Chains are islands in that order: a block
+    that is not near its predecessor begins a new one.
+    """
+    ms = F.array_sort(F.collect_list(F.struct("genome", "strand", "start", "stop")))  # a block's members: one a genome
+    sig = block_signature(blocks).join(blocks.groupBy("lcb").agg(ms.alias("_ms")), "lcb")
+    before = running(sig, ["signature"], ["start", "lcb"], {"_ends": ("last", F.transform("_ms", lambda m: m["stop"]), "before")})
+    far = F.exists(F.zip_with(F.transform("_ms", lambda m: m["start"]), F.col("_ends"), lambda a, b: a - b > distance), lambda x: x)
+    new = F.when(F.col("_ends").isNull() | far, 1).otherwise(0)
+    runs = running(before.select("lcb", "signature", "start", new.alias("_new")), ["signature"], ["start", "lcb"], {"_run": ("sum", F.col("_new"), "upto")})
+    names = runs.groupBy("signature", "_run").agg(F.min("lcb").alias("cluster"))
+    return runs.join(names, ["signature", "_run"]).select("lcb", "cluster")
+
+
+def merged_blocks(blocks: DataFrame, distance: int) -> DataFrame:
+    """(cluster, genome, blocks, start, stop): the members of each chain of ``block_clusters`` from their least start to their largest stop."""
+    return blocks.join(block_clusters(blocks, distance), "lcb").groupBy("cluster", "genome").agg(F.count("*").alias("blocks"), F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
 def block_regions(blocks: DataFrame) -> DataFrame:
@@ -104,6 +119,20 @@ def gapped_hit_features(pairs: DataFrame, keys: list[str], ignore_under: int) ->
     return parts.groupBy(*keys, "_part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("match").alias("m")).where("m = 1").drop("_part", "m")
 
 
+def gapped_hit_gaps(pairs: DataFrame, keys: list[str], ignore_under: int) -> DataFrame:
+    """(keys, start, stop, gap): the parts of ``gapped_hit_features`` with their columns run-length coded: M for a base on both sides, I for a base that the second sequence lacks.
+
+    Columns that the first sequence lacks are taken away before, so there is no other letter.
+    """
+    both = F.zip_with(F.split("seq_a", ""), F.split("seq_b", ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    kept = F.filter(both, lambda p: (p["x"] != "-") & (p["x"] != ""))
+    letters = F.array_join(F.transform(kept, lambda p: F.when(p["y"] == "-", "I").otherwise("M")), "")
+    lined = gapped_hit_features(pairs, keys, ignore_under).join(pairs.select(*keys, letters.alias("_letters")), keys)
+    part = F.substring("_letters", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
+    runs = F.transform(F.regexp_extract_all(part, F.lit("M+|I+"), F.lit(0)), lambda r: F.concat(F.left(r, F.lit(1)), F.length(r).cast("string")))
+    return lined.select(*keys, "start", "stop", F.array_join(runs, " ").alias("gap"))
+
+
 def start_track(reads: DataFrame) -> DataFrame:
     """(record_id, strand, pos, n): read starts counted: a forward read starts at pos, a reverse one at its aligned end."""
     return reads.groupBy("record_id", "strand", F.when(F.col("strand") > 0, F.col("start")).otherwise(F.col("stop")).alias("pos")).agg(F.count("*").alias("n"))

@@ -20,7 +20,10 @@ def qc_missing_rbs(features: DataFrame) -> DataFrame:
 
 
 def qc_weird_starts(cds: DataFrame, starts: tuple[str, ...] = ("ATG", "GTG", "TTG")) -> DataFrame:
-    """Coding sequences (record_id, feature_id, seq) that start with another codon."""
+    """Genes whose first coding sequence (record_id, feature_id, seq, parent, start) starts with another codon; without a parent column each sequence counts."""
+    if "parent" in cds.columns:
+        own = F.min(F.struct("start", "feature_id", "record_id", "seq")).alias("x")
+        cds = cds.where("parent is not null").groupBy("parent").agg(own).select("x.*").unionByName(cds.where("parent is null").select("start", "feature_id", "record_id", "seq"))
     first = F.substring("seq", 1, 3)
     return _found(cds.where(~first.isin(*starts)), "weird_start", first)
 
@@ -74,6 +77,40 @@ def qc_tree_bounds(features: DataFrame) -> DataFrame:
     return _found(out, "tree_bounds", F.lit("outside parent"))
 
 
+def qc_tree_rules(features: DataFrame) -> DataFrame:
+    """Gene models against the rules of a tree; letter case of types aside.
+
+    An mRNA has its gene's bounds, and a gene holds only mRNAs, regulatory and sequence_secondary_structure features. A CDS
+    or exon lies in its mRNA; an mRNA holds only CDS, exon, intron and Shine_Dalgarno_sequence features, has a CDS at one
+    end, or without CDSs exons at both ends, and its first two exons don't overlap. A gene without an mRNA and an mRNA without
+    CDS and exon are named too. CDS, exon, intron and Shine_Dalgarno_sequence features have nothing below.
+    """
+    kind = F.upper("type")
+    up = features.select(F.col("feature_id").alias("_p"), F.col("start").alias("_s"), F.col("stop").alias("_e"), kind.alias("_pt"), F.col("record_id").alias("_r"))
+    rows = features.withColumn("_t", kind).join(up, F.col("parent") == F.col("_p"))
+    gene, mrna = F.col("_pt") == "GENE", F.col("_pt") == "MRNA"
+    is_, outside = lambda *t: F.col("_t").isin(*t), (F.col("start") < F.col("_s")) | (F.col("stop") > F.col("_e"))
+    own = (
+        F.when(gene & is_("MRNA") & ((F.col("start") != F.col("_s")) | (F.col("stop") != F.col("_e"))), "mRNA bounds differ from the gene").when(gene & ~is_("MRNA", "REGULATORY", "SEQUENCE_SECONDARY_STRUCTURE"), "unexpected child type of gene")
+        .when(mrna & is_("CDS", "EXON") & outside, F.concat("type", F.lit(" outside mRNA"))).when(mrna & ~is_("CDS", "EXON", "INTRON", "SHINE_DALGARNO_SEQUENCE"), "unexpected child type of mRNA")
+    )
+    found = _found(rows.where(own.isNotNull()), "tree_rules", own)
+    at = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    first_two = F.slice(F.array_sort(F.collect_list(F.when(is_("EXON"), F.struct("start", "stop", "feature_id")))), 1, 2)  # one parent's own exons
+    per = rows.groupBy("_p", "_pt", "_r").agg(
+        at(is_("MRNA")).alias("mrna"), at(is_("CDS")).alias("cds"), at(is_("CDS") & ((F.col("start") == F.col("_s")) | (F.col("stop") == F.col("_e")))).alias("bound"), at(is_("EXON")).alias("exon"),
+        (at(is_("EXON") & (F.col("start") == F.col("_s"))) & at(is_("EXON") & (F.col("stop") == F.col("_e")))).alias("both"), first_two.alias("two"),
+    )
+    a, b = F.get("two", F.lit(0)), F.get("two", F.lit(1))
+    ends = F.when(F.col("cds") & ~F.col("bound"), F.when(F.col("exon") & ~F.col("both"), "no CDS or exon covers both ends").otherwise("no CDS at either end")).when(~F.col("cds") & F.col("exon") & ~F.col("both"), "no exon covers both ends").when(~F.col("cds") & ~F.col("exon"), "no CDS or exon")
+    told = lambda df, message: df.select(F.col("_r").alias("record_id"), F.col("_p").alias("feature_id"), F.lit("tree_rules").alias("rule"), message.alias("message"))
+    of_mrna = per.where(mrna)
+    found = found.unionByName(told(of_mrna.where(ends.isNotNull()), ends)).unionByName(told(of_mrna.where((F.size("two") > 1) & ~((a["start"] > b["stop"]) | (b["start"] > a["stop"]))), F.lit("overlapping exons")))
+    found = found.unionByName(told(per.where(gene & ~F.col("mrna")), F.lit("no mRNA"))).unionByName(told(per.where(F.col("_pt").isin("CDS", "EXON", "INTRON", "SHINE_DALGARNO_SEQUENCE")), F.lit("has features below")))
+    bare = features.where(kind.isin("GENE", "MRNA")).join(per.select("_p"), F.col("feature_id") == F.col("_p"), "left_anti")
+    return found.unionByName(_found(bare, "tree_rules", F.when(kind == "GENE", "no mRNA").otherwise("no CDS or exon")))
+
+
 def qc_tree_counts(features: DataFrame) -> DataFrame:
     """Parents with more than one mRNA or two exons, and ids that come twice."""
     kids = features.where("parent is not null").groupBy("record_id", F.col("parent").alias("feature_id")).agg(F.count_if(F.col("type") == "mRNA").alias("mrna"), F.count_if(F.col("type") == "exon").alias("exons"))
@@ -115,9 +152,8 @@ def qc_quotes(features: DataFrame, key: str = "product") -> DataFrame:
 
 def qc_metadata(features: DataFrame, metadata: tuple[str, ...] = ("remark", "region", "source")) -> DataFrame:
     """Features other than metadata that span their whole record, from the least start to the largest stop of all."""
-    w = Window.partitionBy("record_id")
-    out = features.withColumn("_s", F.min("start").over(w)).withColumn("_e", F.max("stop").over(w))
-    return _found(out.where((F.col("start") == F.col("_s")) & (F.col("stop") == F.col("_e")) & ~F.col("type").isin(*metadata)), "metadata", F.lit("spans the record"))
+    ends = features.groupBy("record_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return _found(features.where(~F.col("type").isin(*metadata)).join(ends, ["record_id", "start", "stop"]), "metadata", F.lit("spans the record"))
 
 
 def bounds_in_frame(start: Column, stop: Column, length: Column) -> Column:

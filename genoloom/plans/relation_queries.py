@@ -87,8 +87,17 @@ def _parts(s, d):
 def _cds(s, d):
     from genoloom.operators.features import seq_feature_extract
 
-    f = view(s, d, "features").where("type = 'CDS'")
-    return seq_feature_extract(f, view(s, d, "dna").select((F.col("seq_id") + 1).alias("seq_id"), "seq")).join(f.select("feature_id", "record_id"), "feature_id")
+    f = view(s, d, "parts").where("type = 'CDS'")
+    return seq_feature_extract(f, view(s, d, "dna").select((F.col("seq_id") + 1).alias("seq_id"), "seq")).join(f.select("feature_id", "record_id", "parent", "start"), "feature_id")
+
+
+def _models(s, d):
+    """Trees with an mRNA in each gene, some of its bounds moved, and some parts straight below the gene."""
+    t = view(s, d, "tree").select("record_id", "type", "start", "stop", "feature_id", "parent")
+    mrna = t.where("type = 'gene'").select("record_id", F.lit("mRNA").alias("type"), F.when(F.col("start") % 7 == 0, F.col("start") + 1).otherwise(F.col("start")).alias("start"), "stop", F.concat("feature_id", F.lit(".m")).alias("feature_id"), F.col("feature_id").alias("parent"))
+    start = F.when((F.col("type") == "gene") | (F.col("start") % 5 > 0), F.col("start")).otherwise(F.col("start") - 30)
+    t = t.withColumn("start", start).withColumn("parent", F.when(F.col("type") != "gene", F.when(F.col("start") % 11 == 0, F.col("parent")).otherwise(F.concat("parent", F.lit(".m")))))
+    return t.unionByName(mrna)
 
 
 def _start_counts(s, d):
@@ -130,6 +139,8 @@ QUERIES = {
     "identity_features": lambda s, d: B.identity_features(view(s, d, "aligned"), AB, 10),
     "gapped_hit_features": lambda s, d: B.gapped_hit_features(view(s, d, "aligned"), AB, 4),
     "block_clusters": lambda s, d: B.block_clusters(view(s, d, "blocks"), 150),
+    "merged_blocks": lambda s, d: B.merged_blocks(view(s, d, "blocks"), 3000),
+    "gapped_hit_gaps": lambda s, d: B.gapped_hit_gaps(view(s, d, "aligned"), AB, 4),
     "block_regions_json": lambda s, d: B.block_regions_json(view(s, d, "blocks")),
     "block_regions": lambda s, d: B.block_regions(view(s, d, "blocks")),
     "backbone_edges": lambda s, d: B.backbone_edges(view(s, d, "blocks")),
@@ -144,6 +155,7 @@ QUERIES = {
     "qc_start_counts": _start_counts,
     "qc_missing_tags": lambda s, d: qc.qc_missing_tags(_tree(s, d)),
     "qc_tree_bounds": lambda s, d: qc.qc_tree_bounds(_tree(s, d).withColumn("stop", F.when((F.col("type") == "gene"), F.col("stop") - 20).otherwise(F.col("stop")))),
+    "qc_tree_rules": lambda s, d: qc.qc_tree_rules(_models(s, d)),
     "qc_tree_counts": lambda s, d: qc.qc_tree_counts(_tree(s, d)),
     "qc_parents": lambda s, d: qc.qc_parents(_parts(s, d).unionByName(view(s, d, "tree").where("parent is null"), allowMissingColumns=True)),
     "qc_bounds": lambda s, d: qc.qc_bounds(view(s, d, "features"), _lengths_all(s, d)),
@@ -168,6 +180,11 @@ _QC = {
 _CLOSURE = """r AS (SELECT x, x AS root FROM n UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x AND r.root < e.y)"""
 _SIG = """g AS (SELECT lcb, list((genome, strand, start) ORDER BY genome, strand, start) AS ms FROM {blocks} GROUP BY lcb),
     s AS (SELECT lcb, least(array_to_string(list_transform(ms, lambda m: m[1] || CASE WHEN m[2] > 0 THEN '+' ELSE '-' END), ' '), array_to_string(list_transform(ms, lambda m: m[1] || CASE WHEN m[2] < 0 THEN '+' ELSE '-' END), ' ')) AS signature, ms[1][3] AS start FROM g)"""
+_CLUSTERS = """WITH g AS (SELECT lcb, list((genome, strand, start, stop) ORDER BY genome, strand, start) AS ms FROM {{blocks}} GROUP BY lcb),
+    s AS (SELECT lcb, least(array_to_string(list_transform(ms, lambda m: m[1] || CASE WHEN m[2] > 0 THEN '+' ELSE '-' END), ' '), array_to_string(list_transform(ms, lambda m: m[1] || CASE WHEN m[2] < 0 THEN '+' ELSE '-' END), ' ')) AS signature, ms[1][3] AS start, ms FROM g),
+    v AS (SELECT *, lag(ms) OVER (PARTITION BY signature ORDER BY start, lcb) AS ps FROM s),
+    r AS (SELECT *, sum(CASE WHEN ps IS NULL OR len(list_filter(list_zip(ms, ps), lambda z: z[1][3] - z[2][4] > {limit})) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY signature ORDER BY start, lcb ROWS UNBOUNDED PRECEDING) AS run FROM v),
+    cl AS (SELECT lcb, min(lcb) OVER (PARTITION BY signature, run) AS cluster FROM r)"""
 ORACLE_SQL = {
     **{f"pair_compare_{m}": _pair_sql(m) for m in METHODS},
     "cassette_distance": """WITH p AS (SELECT p_partkey, translate(right(p_brand, 2), '12345', 'aBcDe') AS a, translate(right(p_brand, 2) || (p_size % 5 + 1), '12345', 'aBcDe') AS b FROM part),
@@ -202,8 +219,13 @@ ORACLE_SQL = {
     "gapped_hit_features": duckdb_sql(f"""WITH {_PLACES}, l AS (SELECT *, CASE WHEN lag(m) OVER w = m THEN 0 ELSE 1 END AS nw FROM pl WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)), r AS (SELECT *, sum(nw) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM l),
         q AS (SELECT conv_id, turn, m, min(pos) AS start, max(pos) + 1 AS stop FROM r GROUP BY conv_id, turn, run, m HAVING m = 1 OR count(*) < 4), z AS (SELECT *, CASE WHEN lag(stop) OVER w = start THEN 0 ELSE 1 END AS c FROM q WINDOW w AS (PARTITION BY conv_id, turn ORDER BY start)),
         y AS (SELECT *, sum(c) OVER (PARTITION BY conv_id, turn ORDER BY start ROWS UNBOUNDED PRECEDING) AS part FROM z) SELECT conv_id, turn, min(start) AS start, max(stop) AS stop FROM y GROUP BY conv_id, turn, part HAVING max(m) = 1"""),
-    "block_clusters": duckdb_sql(f"""WITH {_SIG}, w AS (SELECT *, CASE WHEN start - lag(start) OVER v <= 150 THEN 0 ELSE 1 END AS nw FROM s WINDOW v AS (PARTITION BY signature ORDER BY start, lcb)),
-        r AS (SELECT *, sum(nw) OVER (PARTITION BY signature ORDER BY start, lcb ROWS UNBOUNDED PRECEDING) AS run FROM w) SELECT lcb, min(lcb) OVER (PARTITION BY signature, run) AS cluster FROM r"""),
+    "gapped_hit_gaps": duckdb_sql(f"""WITH {_PLACES}, l AS (SELECT *, CASE WHEN lag(m) OVER w = m THEN 0 ELSE 1 END AS nw FROM pl WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)), r AS (SELECT *, sum(nw) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM l),
+        q AS (SELECT conv_id, turn, m, min(pos) AS start, max(pos) + 1 AS stop FROM r GROUP BY conv_id, turn, run, m HAVING m = 1 OR count(*) < 4), z AS (SELECT *, CASE WHEN lag(stop) OVER w = start THEN 0 ELSE 1 END AS c FROM q WINDOW w AS (PARTITION BY conv_id, turn ORDER BY start)),
+        y AS (SELECT *, sum(c) OVER (PARTITION BY conv_id, turn ORDER BY start ROWS UNBOUNDED PRECEDING) AS part FROM z), pt AS (SELECT conv_id, turn, min(start) AS start, max(stop) AS stop FROM y GROUP BY conv_id, turn, part HAVING max(m) = 1),
+        lt AS (SELECT conv_id, turn, string_agg(CASE WHEN y = '-' THEN 'I' ELSE 'M' END, '' ORDER BY i) AS t FROM (SELECT conv_id, turn, i, substring(seq_a, i, 1) AS x, substring(seq_b, i, 1) AS y FROM (SELECT *, unnest(range(1, length(seq_a) + 1)) AS i FROM {{aligned}})) WHERE x <> '-' GROUP BY conv_id, turn)
+        SELECT pt.conv_id, pt.turn, start, stop, array_to_string(list_transform(regexp_extract_all(substring(t, start + 1, stop - start), 'M+|I+'), lambda r: left(r, 1) || length(r)), ' ') AS gap FROM pt JOIN lt ON lt.conv_id = pt.conv_id AND lt.turn = pt.turn"""),
+    "block_clusters": duckdb_sql(f"{_CLUSTERS.format(limit=150)} SELECT lcb, cluster FROM cl"),
+    "merged_blocks": duckdb_sql(f"{_CLUSTERS.format(limit=3000)} SELECT cluster, genome, count(*) AS blocks, min(b.start) AS start, max(stop) AS stop FROM {{blocks}} b JOIN cl ON cl.lcb = b.lcb GROUP BY cluster, genome"),
     "block_regions_json": duckdb_sql("""SELECT lcb, count(*) AS members, '[' || string_agg('{"genome":"' || genome || '","start":' || start || ',"stop":' || stop || '}', ',' ORDER BY genome, start, stop) || ']' AS spans FROM {blocks} GROUP BY lcb HAVING count(*) > 1"""),
     "block_regions": duckdb_sql("SELECT lcb, count(*) AS members, string_agg(genome || ':' || start || ':' || stop, ',' ORDER BY genome) AS spans FROM {blocks} GROUP BY lcb HAVING count(*) > 1"),
     "backbone_edges": duckdb_sql("""WITH w AS (SELECT genome, lcb, lag(lcb) OVER v AS b, lead(lcb) OVER v AS a FROM {blocks} WINDOW v AS (PARTITION BY genome ORDER BY start, lcb)) SELECT genome, b AS source, lcb AS target FROM w UNION ALL SELECT genome, lcb, NULL FROM w WHERE a IS NULL"""),
@@ -219,8 +241,17 @@ ORACLE_SQL = {
         SELECT record_id, feature_id, 'far_rbs' AS rule, 'RBS too far away (' || d || ' nt)' AS message FROM x WHERE d > 15"""),
     "qc_start_counts": duckdb_sql("""WITH c AS (SELECT parent, record_id, start, stop, strand, feature_id FROM {parts} WHERE type = 'CDS'), j AS (SELECT c.*, seq, row_number() OVER (PARTITION BY parent ORDER BY start, feature_id) AS k FROM c JOIN {dna} ON seq_id + 1 = record_id)
         SELECT left(CASE WHEN strand < 0 THEN reverse(translate(substring(seq, start + 1, stop - start), 'ACGT', 'TGCA')) ELSE substring(seq, start + 1, stop - start) END, 3) AS codon, count(*) AS n FROM j WHERE k = 1 GROUP BY 1"""),
-    "qc_weird_starts": duckdb_sql("""SELECT record_id, feature_id, 'weird_start' AS rule, left(q, 3) AS message FROM (SELECT record_id, feature_id, CASE WHEN strand < 0 THEN reverse(translate(substring(seq, start + 1, stop - start), 'ACGT', 'TGCA')) ELSE substring(seq, start + 1, stop - start) END AS q
-        FROM {features} JOIN {dna} ON seq_id + 1 = record_id WHERE type = 'CDS') WHERE left(q, 3) NOT IN ('ATG', 'GTG', 'TTG')"""),
+    "qc_weird_starts": duckdb_sql("""SELECT record_id, feature_id, 'weird_start' AS rule, left(q, 3) AS message FROM (SELECT record_id, feature_id, CASE WHEN strand < 0 THEN reverse(translate(substring(seq, start + 1, stop - start), 'ACGT', 'TGCA')) ELSE substring(seq, start + 1, stop - start) END AS q,
+        row_number() OVER (PARTITION BY parent ORDER BY start, feature_id) AS k FROM {parts} JOIN {dna} ON seq_id + 1 = record_id WHERE type = 'CDS') WHERE k = 1 AND left(q, 3) NOT IN ('ATG', 'GTG', 'TTG')"""),
+    "qc_tree_rules": duckdb_sql("""WITH t AS (SELECT record_id, type, CASE WHEN type = 'gene' OR start % 5 > 0 THEN start ELSE start - 30 END AS start, stop, feature_id, parent FROM {tree}), g AS (SELECT feature_id AS m, record_id, start, stop FROM {tree} WHERE type = 'gene'),
+        m AS (SELECT record_id, 'mRNA' AS type, CASE WHEN start % 7 = 0 THEN start + 1 ELSE start END AS start, stop, m || '.m' AS feature_id, m AS parent FROM g), n AS (SELECT record_id, type, start, stop, feature_id, CASE WHEN type <> 'gene' THEN CASE WHEN start % 11 = 0 THEN parent ELSE parent || '.m' END END AS parent FROM t UNION ALL SELECT * FROM m),
+        j AS (SELECT c.*, p.type AS pt, p.start AS ps, p.stop AS pe, p.feature_id AS pid FROM n c JOIN n p ON c.parent = p.feature_id),
+        x AS (SELECT pid, ps, pe, bool_or(type = 'CDS') AS cds, bool_or(type = 'CDS' AND (start = ps OR stop = pe)) AS bound, bool_or(type = 'exon') AS exon, bool_or(type = 'exon' AND start = ps) AND bool_or(type = 'exon' AND stop = pe) AS span, list((start, stop) ORDER BY start, stop, feature_id) FILTER (type = 'exon') AS es, any_value(record_id) AS record_id FROM j WHERE pt = 'mRNA' GROUP BY pid, ps, pe),
+        e AS (SELECT record_id, feature_id, 'mRNA bounds differ from the gene' AS message FROM j WHERE pt = 'gene' AND type = 'mRNA' AND (start <> ps OR stop <> pe)
+        UNION ALL SELECT record_id, feature_id, 'unexpected child type of gene' FROM j WHERE pt = 'gene' AND type NOT IN ('mRNA', 'regulatory', 'sequence_secondary_structure') UNION ALL SELECT record_id, feature_id, type || ' outside mRNA' FROM j WHERE pt = 'mRNA' AND type IN ('CDS', 'exon') AND (start < ps OR stop > pe)
+        UNION ALL SELECT record_id, pid, CASE WHEN cds AND exon AND NOT span THEN 'no CDS or exon covers both ends' WHEN cds THEN 'no CDS at either end' ELSE 'no exon covers both ends' END FROM x WHERE cds AND NOT bound OR NOT cds AND exon AND NOT span
+        UNION ALL SELECT record_id, pid, 'no CDS or exon' FROM x WHERE NOT cds AND NOT exon UNION ALL SELECT record_id, feature_id, 'no CDS or exon' FROM n WHERE type = 'mRNA' AND feature_id NOT IN (SELECT pid FROM x) UNION ALL SELECT record_id, pid, 'overlapping exons' FROM x WHERE len(es) > 1 AND NOT (es[1][1] > es[2][2] OR es[2][1] > es[1][2]))
+        SELECT record_id, feature_id, 'tree_rules' AS rule, message FROM e"""),
     "qc_tree_bounds": duckdb_sql("SELECT c.record_id, c.feature_id, 'tree_bounds' AS rule, 'outside parent' AS message FROM {tree} c JOIN {tree} p ON c.parent = p.feature_id WHERE c.start < p.start OR c.stop > p.stop - 20"),
     "qc_parents": duckdb_sql("""SELECT record_id, feature_id, 'parents' AS rule, CASE WHEN start % 50 = 0 THEN 'parent not found' ELSE 'own parent' END AS message FROM {parts} WHERE start % 50 = 0 OR start % 77 = 0"""),
     "qc_bounds": duckdb_sql("SELECT record_id, feature_id, 'bounds' AS rule, 'outside record' AS message FROM {features} WHERE start < 0 OR stop > 20000"),

@@ -30,7 +30,7 @@ def _round(df):
 
 
 def _titles(s, d):
-    return view(s, d, "part").select("p_partkey", F.concat_ws(" ", F.lit("Genus sp"), F.when(F.col("p_size") % 4 == 0, "bacteriophage").when(F.col("p_size") % 4 == 1, "phage").when(F.col("p_size") % 4 == 2, "vB_Eco_"), F.concat(F.col("p_brand"), F.lit(", complete genome."))).alias("title"))
+    return view(s, d, "part").select("p_partkey", F.concat_ws(" ", F.when(F.col("p_size") % 8 != 6, "Genus sp"), F.when(F.col("p_size") % 4 == 0, "bacteriophage").when(F.col("p_size") % 4 == 1, "phage").when(F.col("p_size") % 4 == 2, "vB_Eco_"), F.concat(F.col("p_brand"), F.lit(", complete genome."))).alias("title"))
 
 
 QUERIES = {
@@ -119,7 +119,7 @@ ORACLE_SQL = {
     "residue_table": duckdb_sql(f"""WITH r AS (SELECT seq_id, length(seq) AS len, unnest(range(1, length(seq) + 1)) AS pos, unnest(string_split(seq, '')) AS residue FROM {{proteins}} WHERE length(seq) > 0), k AS (SELECT *, {_KD}[residue] AS kd FROM r)
         SELECT seq_id, pos, residue, CASE WHEN residue IN ('R', 'K', 'H') THEN '+' WHEN residue IN ('D', 'E') THEN '-' WHEN residue IN ('S', 'T', 'N', 'Q', 'C', 'Y') THEN 'P' ELSE 'N' END AS kind,
         CASE WHEN pos > 4 AND pos <= len - 4 THEN round(avg(kd) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) END AS hydropathy FROM k"""),
-    "phage_host_name": duckdb_sql("""SELECT p_partkey, CASE WHEN p_size % 4 IN (0, 1) THEN 'Genus sp ' END AS host, CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand WHEN 2 THEN 'vB_Eco_ ' || p_brand END AS phage FROM part"""),
+    "phage_host_name": duckdb_sql("""SELECT p_partkey, CASE WHEN p_size % 4 IN (0, 1) THEN 'Genus sp ' END AS host, CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand WHEN 2 THEN CASE WHEN p_size % 8 = 6 THEN 'vB_Eco_ ' || p_brand END END AS phage FROM part"""),
     "host_fields": duckdb_sql("SELECT p_partkey, nullif(a[1], '') AS genus, a[2] AS species, a[3] AS strain, nullif(array_to_string(a[4:], ' '), '') AS other FROM (SELECT p_partkey, string_split_regex(trim(p_type || ' ' || p_brand || ' ' || p_name), '\\s+') AS a FROM part)"),
     "point_insertions": duckdb_sql(f"""SELECT seq_id, pos, base, left(seq, pos) || base || substring(seq, pos + 1) AS seq FROM (SELECT seq_id, seq, unnest(range(0, length(seq) + 1)) AS pos FROM {_OLIGO}) CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS base)"""),
     "point_deletions": duckdb_sql(f"SELECT seq_id, pos, '' AS base, left(seq, pos) || substring(seq, pos + 2) AS seq FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS pos FROM {_OLIGO})"),
