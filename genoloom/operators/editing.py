@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from genoloom.functions import sequence as S
 from genoloom.operators import features as T
 from genoloom.operators import intervals as I  # noqa: E741
 from genoloom.operators import scans as X
+from genoloom.operators.blocked import running
+from genoloom.session import materialize
 
 
 def safe_rotate(seqs: DataFrame, features: DataFrame, position: int, key: str = "record_id") -> DataFrame:
@@ -77,6 +81,46 @@ def edit_genome(seqs: DataFrame, changes: DataFrame, key: str = "record_id") ->
     return rows.groupBy(key).agg(parts.alias("x")).select(key, F.array_join(F.transform("x", lambda p: p["s"]), "").alias("seq"), chain.alias("chain"))
 
 
+def edit_map(changes: DataFrame, lengths: DataFrame, key: str = "record_id") -> DataFrame:
+    """(record, n, start, stop, strand, at, size): where each piece of an ordered change list lies in the new sequence.
+
+    changes: (record, n, start, stop, strand, insert); lengths: (record, length). Pieces are clipped to their record; an
+    insert has no place of its own (start and stop null) but its size moves what follows.
+    """
+    lo, hi = F.greatest("start", F.lit(0)), F.least("stop", "length")
+    insert = F.col("insert").isNotNull()
+    size = F.when(insert, F.length("insert")).otherwise(F.greatest(hi - lo, F.lit(0))).cast("long")
+    rows = changes.join(lengths.select(key, "length"), key).select(key, "n", F.when(~insert, lo).cast("long").alias("start"), F.when(~insert, hi).cast("long").alias("stop"), "strand", size.alias("size"))
+    return running(rows, [key], ["n"], {"at": ("sum", F.col("size"), "before")}).select(key, "n", "start", "stop", "strand", "at", "size")
+
+
+def edit_chain(changes: DataFrame, lengths: DataFrame, new_id: str, key: str = "record_id") -> DataFrame:
+    """(record, n, start, stop, strand, new_record, new_start, new_stop, new_strand): the pieces of an edited genome, both sides counted from 1."""
+    m = edit_map(changes, lengths, key).where("start is not null")
+    sign = F.when(F.col("strand") < 0, "-").otherwise("+")
+    return m.select(key, "n", (F.col("start") + 1).alias("start"), "stop", sign.alias("strand"), F.lit(new_id).alias("new_record"), (F.col("at") + 1).alias("new_start"), (F.col("at") + F.col("size")).alias("new_stop"), F.lit("+").alias("new_strand"))
+
+
+def edit_features(features: DataFrame, changes: DataFrame, lengths: DataFrame, key: str = "record_id") -> DataFrame:
+    """(record, n, feature_id, type, start, stop, strand): features in an edited genome.
+
+    A top feature that lies wholly in a piece comes along with all that is below it, moved to the piece's new place, turned
+    and its strand changed where the piece is; one that a piece cuts is left out there, and one in several pieces comes once
+    for each. features: (record, feature_id, parent, type, start, stop, strand); a child need not lie in its parent.
+    """
+    m = edit_map(changes, lengths, key).where("stop > start")
+    tops = features.where("parent is null")
+    pieces = m.select(key, "start", "stop", "n", F.coalesce(F.col("strand"), F.lit(1)).alias("turn"), "at")
+    met = I.overlap_join(tops.select(key, "start", "stop", F.col("feature_id").alias("root")), pieces, key).where("b_start <= start and stop <= b_stop")
+    met = met.select("root", F.col("b_n").alias("n"), F.col("b_start").alias("_lo"), F.col("b_stop").alias("_hi"), F.col("b_turn").alias("_turn"), F.col("b_at").alias("_at"))
+    family = T.descendants(features, tops).select("root", "feature_id").unionByName(tops.select(F.col("feature_id").alias("root"), "feature_id"))
+    rows = features.join(family, "feature_id").join(met, "root")
+    turned = F.col("_turn") < 0
+    start = F.when(turned, F.col("_at") + F.col("_hi") - F.col("stop")).otherwise(F.col("_at") + F.col("start") - F.col("_lo"))
+    stop = F.when(turned, F.col("_at") + F.col("_hi") - F.col("start")).otherwise(F.col("_at") + F.col("stop") - F.col("_lo"))
+    return rows.select(key, "n", "feature_id", "type", start.alias("start"), stop.alias("stop"), F.when(turned, -F.col("strand")).otherwise(F.col("strand")).alias("strand"))
+
+
 def add_terminal_repeat(features: DataFrame, repeat_end: int, lengths: DataFrame, key: str = "record_id") -> DataFrame:
     """Features, and copies of those inside [0, repeat_end) shifted behind the record's end, their ids marked."""
     copy = features.where(F.col("stop") <= repeat_end).join(lengths, key)
@@ -273,6 +317,83 @@ def annotation_table(features: DataFrame, seqs: DataFrame, ontology: DataFrame,
     return out.select(key, "feature_id", "start", "stop", "strand", "first_codon", "last_codon", "sd", "sd_gap", "upstream", "distance", "terms")
 
 
+def first_value_below(features: DataFrame, keys: list[str], key: str = "record_id") -> DataFrame:
+    """(feature_id, value): the first values of qualifiers (column attrs) named in ``keys``, of the nearest level below a feature that has any.
+
+    Levels are searched one after the other, all features at once; values of one level are joined by ``; `` in order of start,
+    and of one feature in the order of ``keys``. Features with no such value below are left out.
+    """
+    first = lambda k: F.try_element_at(F.try_element_at("attrs", F.lit(k)), F.lit(1))
+    own = F.array_compact(F.array(*map(first, keys)))
+    rows = features.where("parent is not null").select("parent", F.col("feature_id").alias("_c"), F.struct("start", F.col("feature_id").alias("id")).alias("_at"), own.alias("_v"))
+    level, found = features.select(F.col("feature_id").alias("root"), "feature_id").distinct(), []
+    while True:
+        below = materialize(level.join(rows, F.col("feature_id") == F.col("parent")).select("root", F.col("_c").alias("feature_id"), "_at", "_v"), "values-level")
+        values = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("_v") > 0, F.struct("_at", "_v")))), lambda x: x["_v"]))  # one parent's own level
+        told = materialize(below.groupBy("root").agg(values.alias("_v")).where(F.size("_v") > 0).select(F.col("root").alias("feature_id"), F.array_join("_v", "; ").alias("value")), "values-found")
+        found.append(told)
+        # a feature that is below itself is not searched again
+        level = materialize(below.where("root <> feature_id").join(told.select(F.col("feature_id").alias("root")), "root", "left_anti").select("root", "feature_id").distinct(), "values-open")
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+#: The qualifiers that a column of the report is taken from, in order.
+REPORT_QUALIFIERS = {
+    "name": ("Name", "name"), "note": ("Note", "note", "Notes", "notes"), "product": ("product", "Product"), "locus_tag": ("locus_tag",), "owner": ("owner",),
+    "date_created": ("date_creation",), "date_last_modified": ("date_last_modified",), "description": ("description", "Description"), "dbxrefs": ("Dbxref", "db_xref", "Dbxrefs"),
+}
+REPORT_COLUMNS = ("record", "id", "type", "start", "stop", "location", "strand", "length", "start_codon", "stop_codon", "sd_sequence", "sd_spacing", "upstream", "upstream_distance", *REPORT_QUALIFIERS)
+
+
+def annotation_report(features: DataFrame, columns: list[str], types: list[str] = ("gene", "CDS"), seqs: DataFrame | None = None, ontology: DataFrame | None = None, below: bool = False, key: str = "record_id") -> DataFrame:
+    """One row for each feature of the given types, with the chosen columns, in that order; only what they need is computed.
+
+    Columns are those of REPORT_COLUMNS, or ``ontology:<column>`` for a column of the ontology table (feature_id, ...), its
+    values distinct, sorted and joined by commas. start counts from 1; length is in residues of the coding sequence without
+    its stop (of a feature that is no CDS: of the CDSs right below it); codons and the binding site are those of the feature's own bounds and
+    need ``seqs``; upstream is the nearest feature of the same types before it on its strand. Qualifier columns (from attrs)
+    are null without a value, or with ``below`` take the nearest one below the feature.
+    """
+    unknown = [c for c in columns if c not in REPORT_COLUMNS and not (c.startswith("ontology:") and ontology is not None)]
+    if unknown:
+        raise ValueError(f"no such column: {', '.join(unknown)}")
+    if seqs is None and {"start_codon", "stop_codon", "sd_sequence", "sd_spacing"} & set(columns):
+        raise ValueError("codons and binding sites need the sequences")
+    rows = features.where(F.col("type").isin(*types))
+    want = lambda *names: any(c in columns for c in names)
+    have = lambda df: [c for c in df.columns if c != "feature_id"]
+    more = []
+    if want("length"):
+        size = F.col("stop") - F.col("start")
+        coding = features.where("type = 'CDS'")
+        bases = coding.select("feature_id", size.alias("_bases")).unionByName(coding.join(rows.where("type <> 'CDS'").select(F.col("feature_id").alias("parent")), "parent", "left_semi").select(F.col("parent").alias("feature_id"), size.alias("_bases")))
+        more.append(bases.groupBy("feature_id").agg((F.sum("_bases") / 3 - 1).alias("length")))
+    if want("start_codon", "stop_codon"):
+        more.append(T.seq_feature_extract(rows, seqs, key).select("feature_id", F.upper(F.left("seq", F.lit(3))).alias("start_codon"), F.upper(F.right("seq", F.lit(3))).alias("stop_codon")))
+    if want("sd_sequence", "sd_spacing"):
+        more.append(X.sd_scan(rows, seqs, key=key).select("feature_id", F.col("motif").alias("sd_sequence"), F.col("gap").alias("sd_spacing")))
+    if want("upstream", "upstream_distance"):
+        more.append(T.upstream_feature(rows, key).withColumnRenamed("distance", "upstream_distance"))
+    values = {}
+    for c in columns:
+        if c in REPORT_QUALIFIERS:
+            first = F.coalesce(*(F.try_element_at(F.try_element_at("attrs", F.lit(k)), F.lit(1)) for k in REPORT_QUALIFIERS[c]))
+            values[c] = first
+            if below:
+                more.append(first_value_below(features, list(REPORT_QUALIFIERS[c]), key).withColumnRenamed("value", f"_below_{c}"))
+                values[c] = F.coalesce(first, F.col(f"_below_{c}"))
+        elif c.startswith("ontology:"):
+            own = c.removeprefix("ontology:")
+            more.append(ontology.groupBy("feature_id").agg(F.array_join(F.array_sort(F.collect_set(F.col(own).cast("string"))), ",").alias(c)))  # one feature's own terms
+            values[c] = F.col(f"`{c}`")
+    for df in more:
+        rows = rows.join(df.select("feature_id", *(F.col(f"`{c}`").alias(c) for c in have(df))), "feature_id", "left")
+    values |= {"record": F.col(key), "id": F.col("feature_id"), "start": F.col("start") + 1, "location": F.concat((F.col("start") + 1).cast("string"), F.lit(".."), F.col("stop").cast("string")), "strand": F.when(F.col("strand") > 0, "+").otherwise("-")}
+    return rows.select(*((values[c] if c in values else F.col(c)).alias(c) for c in columns))
+
+
 def overlap_compare(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFrame:
     """(status, n): coding features of two annotations of one record set: exact, inexact (same strand, overlap by half of the longer), only first, only second.
 

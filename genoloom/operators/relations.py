@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.operators.blocked import running
 from genoloom.operators.components import connected_components
 
 NUMERIC = ("add", "sub", "mult", "div", "dist", "pdiff", "bit_diff", "numeq")
@@ -132,3 +133,52 @@ def intron_clusters(hits: DataFrame, max_gap: int, least_identity: float = 0.5)
     run = good.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = run.groupBy("subject", "strand", "_run").agg(F.count_distinct("gene").alias("genes"), F.min("start").alias("start"), F.max("stop").alias("stop"))
     return out.where("genes > 1").drop("_run")
+
+
+def intron_runs(hits: DataFrame, max_gap: int, length: int | None = None, least_identity: float = 0.5, overlap: int = -1) -> DataFrame:
+    """hits with ``cluster`` (subject, strand, n): genes of one genome that hit one subject on one strand, at most ``max_gap`` from the genes before.
+
+    hits: (subject, gene, strand, start, stop, sstart, sstop, identity). With the ``length`` of a circular genome, the last run joins the
+    first if the way over the origin is no longer than ``max_gap``. A run stays if it has two genes or more and no two of its
+    hits' ranges on the subject overlap by more than -overlap; with an ``overlap`` of 0 or more, none may overlap, and
+    neighbours must be at least that far apart. Runs and ranges are carried over blocks, so a subject with most hits is spread.
+    """
+    good = hits.where(F.col("identity") >= least_identity).withColumns({"_lo": F.least("sstart", "sstop"), "_hi": F.greatest("sstart", "sstop")})
+    order = ["start", "stop", "gene", "_lo", "_hi"]
+    reached = running(good, ["subject", "strand"], order, {"_reached": ("max", F.col("stop"), "before")})
+    new = F.when(F.col("_reached").isNull() | (F.col("start") - F.col("_reached") > max_gap), 1).otherwise(0)
+    runs = running(reached.withColumn("_new", new).drop("_reached"), ["subject", "strand"], order, {"_run": ("sum", F.col("_new"), "upto")}).drop("_new")
+    if length is not None:
+        ends = runs.groupBy("subject", "strand").agg(F.max("_run").alias("_last"), F.min("start").alias("_first"), F.max("stop").alias("_end"))
+        over = ends.where(F.lit(length) - F.col("_end") + F.col("_first") <= max_gap).select("subject", "strand", "_last")
+        runs = runs.join(over, ["subject", "strand"], "left").withColumn("_run", F.when(F.col("_run") == F.col("_last"), 1).otherwise(F.col("_run"))).drop("_last")
+    ranged = running(runs, ["subject", "strand", "_run"], ["_lo", "_hi", "start", "stop", "gene"], {"_most": ("max", F.col("_hi"), "before")})
+    shared = F.when(F.col("_most").isNotNull(), F.least("_most", "_hi") - F.col("_lo"))
+    bad = shared > max(0, -overlap) if overlap <= 0 else (shared > 0) | (F.col("_lo") - F.col("_most") < overlap)
+    kept = ranged.groupBy("subject", "strand", "_run").agg(F.count_distinct("gene").alias("_genes"), F.bool_or(F.coalesce(bad, F.lit(False))).alias("_bad")).where("_genes > 1 and not _bad")
+    cluster = F.struct("subject", "strand", F.col("_run").alias("n")).alias("cluster")
+    return ranged.join(kept.select("subject", "strand", "_run"), ["subject", "strand", "_run"], "left_semi").select(*hits.columns, cluster)
+
+
+def intron_features(hits: DataFrame, max_gap: int, length: int | None = None, least_identity: float = 0.5, overlap: int = -1) -> DataFrame:
+    """(feature_id, parent, type, start, stop, strand, score, note) of the runs of ``intron_runs``: a gene and an mRNA over all its genes, and a CDS for each of them.
+
+    hits also need qstart, qstop (residues, 0-based), nident and evalue. A CDS is where the gene's first hit in order lies; its note
+    tells the identity, its score is that in thousandths. A gene over more than 80 % of a genome of known length is noted as
+    a possible run over the origin.
+    """
+    runs = intron_runs(hits, max_gap, length, least_identity, overlap)
+    name = F.concat_ws("_", F.lit("gp"), F.col("cluster.subject").cast("string"), F.col("cluster.strand").cast("string"), F.col("cluster.n").cast("string"))
+    rows = runs.withColumn("_id", name)
+    genes = rows.groupBy("_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("strand").alias("strand"))
+    wide = F.when(F.col("stop") - F.col("start") > F.lit(0.8 * (length or 0)), "Intron is over 80% of the total length of the genome, possible wraparound scenario") if length else F.lit(None).cast("string")
+    none, no_score = F.lit(None).cast("string"), F.lit(None).cast("int")
+    top = genes.select(F.col("_id").alias("feature_id"), none.alias("parent"), F.lit("gene").alias("type"), "start", "stop", "strand", no_score.alias("score"), wide.alias("note"))
+    middle = genes.select(F.concat("_id", F.lit(".mRNA")).alias("feature_id"), F.col("_id").alias("parent"), F.lit("mRNA").alias("type"), "start", "stop", "strand", no_score.alias("score"), none.alias("note"))
+    first = F.min(F.struct("start", "stop", "sstart", "sstop", "qstart", "qstop", "nident", "strand", F.col("subject").cast("string").alias("subject"))).alias("x")
+    own = rows.groupBy("_id", "gene").agg(first)
+    size = F.abs(F.col("x.qstop") - F.col("x.qstart"))
+    share = lambda n, k: F.try_divide(k * n, size).cast("int")
+    note = F.concat(F.col("gene").cast("string"), F.lit(" had "), share(F.col("x.nident") - 1, 100).cast("string"), F.lit("% identity to "), F.col("x.subject"))
+    cds = own.select(F.concat_ws(".", "_id", F.lit("CDS"), F.col("gene").cast("string")).alias("feature_id"), F.concat("_id", F.lit(".mRNA")).alias("parent"), F.lit("CDS").alias("type"), (F.col("x.start") + 3 * F.col("x.qstart")).alias("start"), (F.col("x.start") + 3 * F.col("x.qstop")).alias("stop"), F.col("x.strand").alias("strand"), share(F.col("x.nident"), 1000).alias("score"), note.alias("note"))
+    return top.unionByName(middle).unionByName(cds)

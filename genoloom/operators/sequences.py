@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -282,7 +283,7 @@ def ligate_bed(seqs: DataFrame, group: str, order: str, link: str = "", pre: str
 
 
 def protein_props(seqs: DataFrame) -> DataFrame:
-    """(seq_id, length, aromaticity, gc, gc_skew, weight): aromatic share of a protein column, and of its DNA the GC per cent and the mean skew of 100-base windows.
+    """(seq_id, length, aromaticity, gc, gc_skew, weight); see ``isoelectric_point`` and ``instability_index`` for the other two. Aromatic share of a protein column, and of its DNA the GC per cent and the mean skew of 100-base windows.
 
     seqs: (seq_id, seq DNA, protein). Weight is the sum of residue masses and one water.
     """
@@ -303,6 +304,53 @@ RESIDUE_MASS = {
 WATER = 18.0153
 
 
+#: pK of side chains and ends (positive, negative), and of first and last residues that change an end's.
+POSITIVE_PK = {"end": 7.5, "K": 10.0, "R": 12.0, "H": 5.98}
+NEGATIVE_PK = {"end": 3.55, "D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
+FIRST_PK = {"A": 7.59, "M": 7.0, "S": 6.93, "P": 8.36, "T": 6.82, "V": 7.44, "E": 7.7}
+LAST_PK = {"D": 4.55, "E": 4.75}
+#: Where the search for a charge of zero begins, its bounds, and how near they come.
+PH_START, PH_LEAST, PH_MOST, PH_STEP = 7.775, 4.05, 12.0, 0.0001
+
+
+def isoelectric_point(protein: Column) -> Column:
+    """The pH at which a protein's net charge is zero, by bisection; null for an empty one.
+
+    The residues are counted once, and the halvings run over the counts as one expression, so no row leaves the JVM.
+    """
+    seq = F.upper(protein)
+    by = lambda values, letter, plain: F.coalesce(*(F.when(letter == k, v) for k, v in values.items()), F.lit(plain))
+    counts = {k: S.count_of(seq, k) for k in "KRHDECY"}
+    basic = F.array(*(F.struct(counts[k].cast("double").alias("n"), F.lit(POSITIVE_PK[k]).alias("pk")) for k in "KRH"), F.struct(F.lit(1.0).alias("n"), by(FIRST_PK, F.left(seq, F.lit(1)), POSITIVE_PK["end"]).alias("pk")))
+    acid = F.array(*(F.struct(counts[k].cast("double").alias("n"), F.lit(NEGATIVE_PK[k]).alias("pk")) for k in "DECY"), F.struct(F.lit(1.0).alias("n"), by(LAST_PK, F.right(seq, F.lit(1)), NEGATIVE_PK["end"]).alias("pk")))
+    both = F.array(F.struct(basic.alias("basic"), acid.alias("acid")))
+    total = lambda xs, share: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["n"] * share(x["pk"]))
+
+    def halve(x: Column, ions: Column) -> Column:
+        ph = x["ph"]
+        charge = total(ions["basic"], lambda pk: 1 / (1 + F.pow(F.lit(10.0), ph - pk))) - total(ions["acid"], lambda pk: 1 / (1 + F.pow(F.lit(10.0), pk - ph)))
+        open_ = x["hi"] - x["lo"] > PH_STEP
+        lo, hi = F.when(open_ & (charge > 0), ph).otherwise(x["lo"]), F.when(open_ & (charge <= 0), ph).otherwise(x["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.when(open_, (lo + hi) / 2).otherwise(ph).alias("ph"))
+
+    begin = F.struct(F.lit(PH_LEAST).alias("lo"), F.lit(PH_MOST).alias("hi"), F.lit(PH_START).alias("ph"))
+    steps = math.ceil(math.log2((PH_MOST - PH_LEAST) / PH_STEP)) + 1
+    found = F.get(F.transform(both, lambda ions: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, lambda x, _: halve(x, ions))["ph"]), F.lit(0))
+    return F.when(F.length(seq) > 0, found)
+
+
+def instability_index(proteins: DataFrame, weights: DataFrame) -> DataFrame:
+    """(seq_id, instability): ten times the summed weights of neighbouring residues over a protein's length; a stop at the end is left out.
+
+    weights: (pair, weight), the table of 400 dipeptide weights to use; it is given, not built in. Pairs that it lacks count 0; an
+    empty protein has null.
+    """
+    own = proteins.select("seq_id", F.regexp_replace("seq", r"\*$", "").alias("_p"))
+    pairs = own.select("seq_id", F.explode(F.regexp_extract_all("_p", F.lit("(?s)(?=(..))"), F.lit(1))).alias("pair")).groupBy("seq_id", "pair").agg(F.count("*").alias("n"))
+    total = pairs.join(weights.select("pair", "weight"), "pair").groupBy("seq_id").agg(F.sum(F.col("n") * F.col("weight")).alias("_s"))
+    return own.join(total, "seq_id", "left").select("seq_id", F.when(F.length("_p") > 0, 10.0 * F.coalesce("_s", F.lit(0.0)) / F.length("_p")).alias("instability"))
+
+
 def codon_reference(usage: DataFrame, organism: str, order: list[str] | None = None) -> DataFrame:
     """(codon, n) of one organism of a usage table (organism, counts: 64 numbers as text separated by blanks, in the order of codons)."""
     names = F.array(*map(F.lit, order or C.codons()))
