@@ -259,6 +259,8 @@ WIDE = 4
 COMPARED, INDEXED = 3, 2
 #: Rows of a block of fingerprints and shingles of a block of sets; a cell holds two blocks at most.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 200_000
+#: Sets of a block of sets: a small set counts as BLOCK_SHINGLES / BLOCK_SETS shingles, so rows are bounded too.
+BLOCK_SETS = 2048
 _U = np.uint64
 
 
@@ -297,14 +299,13 @@ _WORDS = [f"w{i}" for i in range(COMPARED)]
 
 
 def _hashed(docs: DataFrame, shingle_words: int, sets: bool) -> DataFrame:
-    """The columns of docs but the text; cid, a hash of the text's shingle set, and w0; then the set itself or the other words.
+    """The columns of docs but the text; cid, a hash of the text's shingle set, and w0; then the set itself, or the other words and n, its size.
 
     (cid, w0) stands for the set.
     """
     rest = [c for c in docs.columns if c != "text"]
     more = [T.StructField("cid", T.LongType()), *(T.StructField(w, T.LongType()) for w in (_WORDS[:1] if sets else _WORDS))]
-    if sets:
-        more.append(T.StructField("shingles", T.ArrayType(T.LongType())))
+    more.append(T.StructField("shingles", T.ArrayType(T.LongType())) if sets else T.StructField("n", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,8 +315,7 @@ def _hashed(docs: DataFrame, shingle_words: int, sets: bool) -> DataFrame:
                 cols = [pa.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in own], pa.uint64()).view(pa.int64())]
                 words = [wide_words(x, 1 if sets else COMPARED) for x in own]
                 cols += [pa.array([w[i] for w in words], pa.int64()) for i in range(1 if sets else COMPARED)]
-                if sets:
-                    cols.append(pa.array(own, pa.list_(pa.int64())))
+                cols.append(pa.array(own, pa.list_(pa.int64())) if sets else pa.array([len(x) for x in own], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *cols], names=[*rest, *(f.name for f in more)])
 
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *more]))
@@ -499,8 +499,10 @@ def near_links(classes: DataFrame, texts: DataFrame, shingle_words: int, percent
 
     Candidates meet by the partitions of two SimHash words and differ in at most ``limit`` bits of all. What candidates join
     is a group; the sets of a group meet in one cell, or in blocks of ``block_shingles`` shingles: random ones first, and
-    then a grid for what is left apart. A cell compares whole sets, so no pair is ever a row.
+    then a grid for what is left apart. A cell compares whole sets, so no pair is ever a row. A small set weighs as
+    much as BLOCK_SETS of them fill a block, and sets too small to share ``percent`` with any other set are no candidates.
     """
+    classes = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1))
     parts = _index(classes, radius)
     slim = classes.select("cid", *_WORDS)
     groups = connected_components(candidates(slim, parts, _hot_keys(classes, parts, block_rows), limit, block_rows))
@@ -508,7 +510,7 @@ def near_links(classes: DataFrame, texts: DataFrame, shingle_words: int, percent
     needed = materialize(groups.join(classes.select("cid", "w0", F.col("first.row").alias("row")), ["cid", "w0"]).select("row"), "near-needed")
     sets = _hashed(texts.select("row", "text").join(needed, "row").select("text"), shingle_words, True).dropDuplicates(["cid", "w0"])
     sets = sets.join(slim, ["cid", "w0"]).join(groups, ["cid", "w0"])
-    sets = materialize(sets.select("key", "cid", *_WORDS, "shingles", F.size("shingles").alias("n")), "near-sets")
+    sets = materialize(sets.select("key", "cid", *_WORDS, "shingles", F.greatest(F.size("shingles"), F.lit(block_shingles // BLOCK_SETS)).alias("n")), "near-sets")
     sizes = sets.groupBy("key").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     sizes = materialize(sizes, "near-sizes")
 
@@ -550,7 +552,7 @@ def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_co
     texts = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), text.alias("text"))
     rows = _hashed(texts, shingle_words, False)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    classes = materialize(rows.groupBy("cid", *_WORDS).agg(F.min(place).alias("first")), "near-classes")
+    classes = materialize(rows.groupBy("cid", *_WORDS).agg(F.min(place).alias("first"), F.max("n").alias("n")), "near-classes")
     links_ = near_links(classes, texts, shingle_words, percent, radius, limit, block_rows, block_shingles)
     roots = connected_components(links_).withColumnRenamed("root", "_root")
     named = classes.select(F.struct("cid", "w0").alias("node"), "first")

@@ -215,3 +215,25 @@ def test_near_dedup_in_a_grid_of_blocks(spark):
     whole = {r.doc_id for r in keep_one_of_near_duplicates(table(spark, data)).collect()}
     assert {r.doc_id for r in keep_one_of_near_duplicates(table(spark, data), block_rows=16, block_shingles=1500).collect()} == whole
     assert {i for i in range(160) if i % 4 == 0} <= whole and len(whole) < 120
+
+
+def test_near_dedup_of_short_texts_of_one_template(spark):
+    """Two shingles can't share 0.8 of their union with others; four and five can. All is one family, more rows than a block of sets takes."""
+    few = [f"lorem ipsum dolor sit amet x{i}" for i in range(3000)]
+    some = [f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}" for i in range(30)]
+    texts = few + few[:5] + some + [f"{t} tail" for t in some[:20]] + [f"head of {t}" for t in some[20:]]
+    kept = {r.doc_id for r in keep_one_of_near_duplicates(table(spark, [(i, x, "en", "s", 0) for i, x in enumerate(texts)])).collect()}
+    assert kept == set(range(3000)) | set(range(3005, 3035)) | set(range(3055, 3065))
+
+
+def test_blocks_of_sets_are_bounded_in_rows(spark, monkeypatch):
+    from genoloom.llm import simhash
+
+    seen = []
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 40)
+    real = simhash._compared
+    monkeypatch.setattr(simhash, "_compared", lambda cells, near: seen.append(cells.groupBy("key", "b1", "b2").count().agg(F.max("count")).first()[0]) or real(cells, near))
+    words = " ".join(f"w{i}" for i in range(30))
+    texts = [f"{words} x{i % 7} y{i // 7}" for i in range(700)]
+    kept = keep_one_of_near_duplicates(table(spark, [(i, x, "en", "s", 0) for i, x in enumerate(texts)]), block_rows=100)
+    assert kept.count() == 1 and max(x for x in seen if x) <= 2 * 100 + 60
