@@ -7,7 +7,7 @@ from genoloom.operators import editing as E
 from genoloom.operators import sequences as Q
 from genoloom.plans.feature_queries import _f, _seqs, _tree
 from genoloom.plans.relation_queries import _members
-from genoloom.plans.scan_queries import _cds, _proteins
+from genoloom.plans.scan_queries import _UP, _cds, _proteins
 from genoloom.plans.views import duckdb_sql, view
 
 
@@ -122,19 +122,25 @@ ORACLE_SQL = {
         SELECT record_id, least(t, reverse({_FLIP.format('t')})) AS cassette FROM c WHERE length(t) >= 5"""),
     "feature_export": duckdb_sql(f"""SELECT feature_id, md5(CASE WHEN strand < 0 THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END) AS seq FROM (SELECT feature_id, strand, substring(seq, lo + 1, hi - lo) AS q FROM (SELECT *, greatest(0, start - CASE WHEN strand > 0 THEN 30 ELSE 10 END) AS lo, stop + CASE WHEN strand > 0 THEN 10 ELSE 30 END AS hi FROM {{features}}) f JOIN {_RECORDS} r ON r.record_id = f.record_id)"""),
     "require_start_codon": duckdb_sql(f"""SELECT feature_id FROM {{tree}} WHERE type = 'gene' AND feature_id IN (SELECT parent FROM (SELECT parent, CASE WHEN strand < 0 THEN reverse(translate(substring(seq, start + 1, stop - start), 'ACGT', 'TGCA')) ELSE substring(seq, start + 1, stop - start) END AS q
-        FROM {{tree}} t JOIN {_RECORDS} r ON r.record_id = t.record_id WHERE type = 'CDS') WHERE left(q, 3) IN ('ATG', 'GTG', 'TTG'))"""),
+        FROM {{tree}} t JOIN {_RECORDS} r ON r.record_id = t.record_id WHERE type = 'CDS') WHERE left(q, 3) IN ('ATG', 'GTG', 'TTG'))""", once=True),
     "cluster_sizes": duckdb_sql("SELECT o_custkey AS cluster, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 6) AS share FROM orders GROUP BY o_custkey HAVING count(*) >= 10"),
     "read_subset": duckdb_sql("SELECT o_orderkey, length FROM (SELECT o_orderkey, o_custkey % 200 AS length, coalesce(sum(o_custkey % 200) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM orders) WHERE b < 60000"),
     "hits_to_alignment_rows": duckdb_sql("""SELECT query, CASE WHEN rev THEN 16 ELSE 0 END AS flag, subject, least(sstart, sstop) AS pos, CASE WHEN a > 0 THEN a || 'H' ELSE '' END || (qstop - qstart + 1) || 'M' || CASE WHEN b > 0 THEN b || 'H' ELSE '' END AS cigar
         FROM (SELECT *, CASE WHEN rev THEN 5100 - qstop ELSE qstart - 1 END AS a, CASE WHEN rev THEN qstart - 1 ELSE 5100 - qstop END AS b FROM (SELECT query, subject, qstart, qstop, sstart, s AS sstop, s < sstart AS rev FROM (SELECT *, CASE WHEN ord % 2 = 0 THEN sstart - 9 ELSE sstop END AS s FROM {hits})))"""),
     "flatten_for_submission": duckdb_sql("""WITH g AS (SELECT feature_id, 'gp_' || lpad(CAST(row_number() OVER (PARTITION BY record_id ORDER BY start, stop, feature_id) AS VARCHAR), 4, '0') AS tag FROM {tree} WHERE type = 'gene'),
         t AS (SELECT *, CASE WHEN type = 'exon' AND stop - start < 20 THEN 'Shine_Dalgarno_sequence' ELSE type END AS k FROM {tree})
-        SELECT record_id, CASE WHEN k = 'Shine_Dalgarno_sequence' THEN 'regulatory' ELSE k END AS type, start, stop, strand, g.tag AS locus_tag, product AS note FROM t LEFT JOIN g ON g.feature_id = coalesce(t.parent, t.feature_id) WHERE k NOT IN ('mRNA', 'exon', 'region', 'remark')"""),
+        SELECT record_id, CASE WHEN k = 'Shine_Dalgarno_sequence' THEN 'regulatory' ELSE k END AS type, start, stop, strand, g.tag AS locus_tag, product AS note FROM t LEFT JOIN g ON g.feature_id = coalesce(t.parent, t.feature_id) WHERE k NOT IN ('mRNA', 'exon', 'region', 'remark')""", once=True),
     "gbk_to_tree": duckdb_sql("""WITH f AS (SELECT *, CASE WHEN start % 4 > 0 THEN parent END AS tag FROM {tree} WHERE type <> 'gene'), g AS (SELECT record_id, 'gene-' || record_id || '-' || tag AS gene, min(start) AS start, max(stop) AS stop FROM f WHERE tag IS NOT NULL GROUP BY record_id, tag),
         o AS (SELECT f.feature_id, arg_min(gene, (g.stop - g.start, gene)) AS parent FROM f JOIN g ON g.record_id = f.record_id AND g.start <= f.start AND f.stop <= g.stop WHERE tag IS NULL GROUP BY f.feature_id)
         SELECT gene AS feature_id, NULL AS parent, start, stop FROM g UNION ALL SELECT f.feature_id, CASE WHEN tag IS NOT NULL THEN 'gene-' || record_id || '-' || tag ELSE o.parent END, start, stop FROM f LEFT JOIN o ON o.feature_id = f.feature_id"""),
     "export_names": duckdb_sql("SELECT p_partkey AS record_id, CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS name FROM part"),
     "proximity_classes": duckdb_sql("""SELECT c.feature_id, string_agg(DISTINCT k, ',' ORDER BY k) AS near FROM {features} c JOIN (SELECT *, CASE start % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS k FROM {features} WHERE type = 'gene') g ON g.record_id = c.record_id AND c.start - 900 < g.stop AND g.start < c.stop + 900 WHERE c.type = 'CDS' GROUP BY c.feature_id"""),
+    "annotation_table": duckdb_sql(f"""WITH {_UP.replace("type = 'gene'", "type = 'CDS'")}, sd AS (SELECT feature_id, motif AS sd, gap AS sd_gap FROM h WHERE k = 1),
+        un AS (SELECT feature_id, lag(feature_id) OVER w AS upstream, start - lag(stop) OVER w AS distance FROM {{features}} WHERE strand > 0 AND type = 'CDS' WINDOW w AS (PARTITION BY record_id ORDER BY stop, start, feature_id)
+        UNION ALL SELECT feature_id, lead(feature_id) OVER z, lead(start) OVER z - stop FROM {{features}} WHERE strand <= 0 AND type = 'CDS' WINDOW z AS (PARTITION BY record_id ORDER BY start, stop, feature_id)),
+        c AS (SELECT f.*, CASE WHEN strand < 0 THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS t FROM (SELECT f.*, substring(seq, start + 1, stop - start) AS q FROM {{features}} f LEFT JOIN {_RECORDS} r ON r.record_id = f.record_id WHERE type = 'CDS') f)
+        SELECT record_id, c.feature_id, c.start, c.stop, c.strand, left(t, 3) AS first_codon, right(t, 3) AS last_codon, sd, sd_gap, upstream, distance, CASE WHEN c.start % 3 = 0 THEN 'GO:' || c.strand END AS terms
+        FROM c LEFT JOIN sd ON sd.feature_id = c.feature_id LEFT JOIN un ON un.feature_id = c.feature_id"""),
     "annotation_compare_exact": duckdb_sql(f"""WITH x AS (SELECT f.record_id, feature_id, start, stop, row_number() OVER (PARTITION BY f.record_id ORDER BY start, stop, feature_id) AS k, CASE WHEN strand < 0 THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS q FROM (SELECT *, substring(seq, start + 1, stop - start) AS q FROM {{features}} f JOIN {_RECORDS} r USING (record_id) WHERE type = 'CDS') f),
         y AS (SELECT f.record_id, feature_id, row_number() OVER (PARTITION BY f.record_id ORDER BY start, stop, feature_id) AS k, CASE WHEN strand < 0 THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS q FROM (SELECT record_id, feature_id || 'b' AS feature_id, start, strand, stop, substring(seq, start + 1, stop - start) AS q FROM (SELECT record_id, feature_id, start, strand, seq, CASE WHEN start % 2 = 0 THEN stop + 6 ELSE stop END AS stop FROM {{features}} JOIN {_RECORDS} r USING (record_id) WHERE type = 'CDS' AND start % 5 <> 0)) f),
         m AS (SELECT x.record_id, x.feature_id AS a, y.feature_id AS b, row_number() OVER (PARTITION BY x.record_id, x.feature_id ORDER BY abs(x.k - y.k), y.feature_id) AS r1, row_number() OVER (PARTITION BY x.record_id, y.feature_id ORDER BY abs(x.k - y.k), x.feature_id) AS r2 FROM x JOIN y ON x.record_id = y.record_id AND x.q = y.q AND x.q <> '' AND abs(x.k - y.k) <= 10),

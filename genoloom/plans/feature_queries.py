@@ -112,7 +112,7 @@ def _codon_rows():
 
 
 ORACLE_SQL = {
-    "filter_tree": duckdb_sql("SELECT feature_id FROM {tree} t WHERE start % 3 = 0 OR parent IN (SELECT feature_id FROM {tree} WHERE start % 3 = 0)"),
+    "filter_tree": duckdb_sql("SELECT t.feature_id FROM {tree} t LEFT JOIN {tree} p ON p.feature_id = t.parent WHERE t.start % 3 = 0 OR p.start % 3 = 0", once=True),
     "filter_tree_invert": duckdb_sql("SELECT feature_id FROM {tree} WHERE type <> 'gene'"),
     "filter_type": duckdb_sql("SELECT feature_id, CAST(NULL AS VARCHAR) AS parent FROM {tree} WHERE type IN ('CDS', 'exon')"),
     "drop_types": duckdb_sql("SELECT feature_id FROM {tree} WHERE type NOT IN ('gene', 'exon')"),
@@ -121,13 +121,13 @@ ORACLE_SQL = {
     "filter_by_tag": duckdb_sql("SELECT feature_id FROM {tree} WHERE type = 'CDS' AND product LIKE '%tail%'"),
     "filter_at_location": duckdb_sql("SELECT feature_id FROM {features} WHERE 7000 BETWEEN start AND stop AND strand = 1"),
     "filter_contains": duckdb_sql("SELECT feature_id FROM {features} WHERE start < 7000 AND stop > 7030"),
-    "coding_genes": duckdb_sql("SELECT feature_id FROM {tree} WHERE type = 'gene' AND feature_id IN (SELECT parent FROM {tree} WHERE type = 'CDS')"),
+    "coding_genes": duckdb_sql("SELECT t.feature_id FROM {tree} t JOIN (SELECT parent FROM {tree} WHERE type = 'CDS' GROUP BY parent) c ON c.parent = t.feature_id WHERE t.type = 'gene'", once=True),
     "filter_records": duckdb_sql("SELECT feature_id FROM {features} WHERE record_id IN (SELECT p_partkey FROM part WHERE p_size = 7)"),
     "search_terms": duckdb_sql("SELECT doc_id, term FROM documents, (SELECT unnest(['the', 'tion', 'token', 'ünd']) AS term) WHERE contains(lower(text), term)"),
     "nearby_k": duckdb_sql("""WITH r AS (SELECT record_id, feature_id, start, row_number() OVER (PARTITION BY record_id ORDER BY start, stop, feature_id) AS n FROM {features})
-        SELECT c.feature_id AS centre, f.feature_id AS feature FROM r c JOIN r f ON c.record_id = f.record_id AND abs(c.n - f.n) BETWEEN 1 AND 2 WHERE c.start % 17 = 0"""),
+        SELECT c.feature_id AS centre, f.feature_id AS feature FROM r c JOIN r f ON c.record_id = f.record_id AND abs(c.n - f.n) BETWEEN 1 AND 2 WHERE c.start % 17 = 0""", once=True),
     "adjacent_k": duckdb_sql("""WITH r AS (SELECT record_id, feature_id, start, strand, row_number() OVER (PARTITION BY record_id ORDER BY start, stop, feature_id) AS n FROM {features})
-        SELECT c.feature_id AS centre, f.feature_id AS feature, CASE WHEN (f.n < c.n) = (c.strand > 0) THEN 'up' ELSE 'down' END AS side FROM r c JOIN r f ON c.record_id = f.record_id AND abs(c.n - f.n) BETWEEN 1 AND 2 WHERE c.start % 17 = 0"""),
+        SELECT c.feature_id AS centre, f.feature_id AS feature, CASE WHEN (f.n < c.n) = (c.strand > 0) THEN 'up' ELSE 'down' END AS side FROM r c JOIN r f ON c.record_id = f.record_id AND abs(c.n - f.n) BETWEEN 1 AND 2 WHERE c.start % 17 = 0""", once=True),
     "upstream_feature": duckdb_sql("""SELECT feature_id, lag(feature_id) OVER w AS upstream, start - lag(stop) OVER w AS distance FROM {features} WHERE strand > 0 WINDOW w AS (PARTITION BY record_id ORDER BY stop, start, feature_id)
         UNION ALL SELECT feature_id, lead(feature_id) OVER v, lead(start) OVER v - stop FROM {features} WHERE strand <= 0 WINDOW v AS (PARTITION BY record_id ORDER BY start, stop, feature_id)"""),
     "moron_rule": duckdb_sql("""SELECT feature_id FROM (SELECT feature_id, strand, lag(strand, 1) OVER w AS a, lag(strand, 2) OVER w AS b, lead(strand, 1) OVER w AS c, lead(strand, 2) OVER w AS e FROM {features}
@@ -160,7 +160,7 @@ ORACLE_SQL = {
         UNION ALL SELECT 'none' || n_nationkey, 'ID not Found', '' FROM nation"""),
     "rename_from_table": duckdb_sql("SELECT t.feature_id, coalesce(a.o_orderpriority, b.o_orderpriority, 'Not Found') AS name FROM {tree} t LEFT JOIN orders a ON t.parent = 'g' || a.o_orderkey AND a.o_orderkey % 3 = 0 LEFT JOIN orders b ON t.feature_id = 'g' || b.o_orderkey AND b.o_orderkey % 3 = 0"),
     "renumber": duckdb_sql("""WITH g AS (SELECT feature_id, 'gp_' || lpad(CAST(row_number() OVER (PARTITION BY record_id ORDER BY start, stop, feature_id) AS VARCHAR), 3, '0') AS tag FROM {tree} WHERE type = 'gene')
-        SELECT * FROM g UNION ALL SELECT t.feature_id, g.tag FROM {tree} t JOIN g ON t.parent = g.feature_id"""),
+        SELECT * FROM g UNION ALL SELECT t.feature_id, g.tag FROM {tree} t JOIN g ON t.parent = g.feature_id""", once=True),
     "locus_tags": duckdb_sql(f"""WITH g AS (SELECT record_id, strand, {_END3} AS e, min(feature_id) AS gene FROM {{features}} WHERE type = 'gene' GROUP BY 1, 2, 3)
         SELECT c.feature_id, gene, CASE WHEN gene IS NULL THEN 'no gene' ELSE 'same 3'' end' END AS note FROM (SELECT *, {_END3} AS e FROM {{features}} WHERE type = 'CDS') c LEFT JOIN g USING (record_id, strand, e)"""),
     "feature_color_custom": duckdb_sql("SELECT feature_id, CASE WHEN product = 'tail fiber 1' THEN 'first' WHEN regexp_matches(product, 'fiber [0-2]') THEN 'fiber' WHEN product LIKE '%tail%' THEN 'tail' WHEN product LIKE '%hypothetical%' THEN 'hypothetical' END AS class FROM {tree}"),

@@ -252,7 +252,7 @@ ORACLE_SQL = {
         UNION ALL SELECT record_id, pid, CASE WHEN cds AND exon AND NOT span THEN 'no CDS or exon covers both ends' WHEN cds THEN 'no CDS at either end' ELSE 'no exon covers both ends' END FROM x WHERE cds AND NOT bound OR NOT cds AND exon AND NOT span
         UNION ALL SELECT record_id, pid, 'no CDS or exon' FROM x WHERE NOT cds AND NOT exon UNION ALL SELECT record_id, feature_id, 'no CDS or exon' FROM n WHERE type = 'mRNA' AND feature_id NOT IN (SELECT pid FROM x) UNION ALL SELECT record_id, pid, 'overlapping exons' FROM x WHERE len(es) > 1 AND NOT (es[1][1] > es[2][2] OR es[2][1] > es[1][2]))
         SELECT record_id, feature_id, 'tree_rules' AS rule, message FROM e"""),
-    "qc_tree_bounds": duckdb_sql("SELECT c.record_id, c.feature_id, 'tree_bounds' AS rule, 'outside parent' AS message FROM {tree} c JOIN {tree} p ON c.parent = p.feature_id WHERE c.start < p.start OR c.stop > p.stop - 20"),
+    "qc_tree_bounds": duckdb_sql("SELECT c.record_id, c.feature_id, 'tree_bounds' AS rule, 'outside parent' AS message FROM {tree} c JOIN {tree} p ON c.parent = p.feature_id WHERE c.start < p.start OR c.stop > p.stop - 20", once=True),
     "qc_parents": duckdb_sql("""SELECT record_id, feature_id, 'parents' AS rule, CASE WHEN start % 50 = 0 THEN 'parent not found' ELSE 'own parent' END AS message FROM {parts} WHERE start % 50 = 0 OR start % 77 = 0"""),
     "qc_bounds": duckdb_sql("SELECT record_id, feature_id, 'bounds' AS rule, 'outside record' AS message FROM {features} WHERE start < 0 OR stop > 20000"),
     "qc_quotes": duckdb_sql("SELECT record_id, feature_id, 'quotes' AS rule, 'product' AS message FROM {tree} WHERE start % 6 = 0 AND product IS NOT NULL"),

@@ -62,8 +62,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace("{g}", ""), **inputs)
 
 
-def duckdb_sql(body: str) -> str:
-    """A query text for DuckDB: ``{name}`` becomes the name, and the views it needs come first as common table expressions."""
+def duckdb_sql(body: str, once: bool = False) -> str:
+    """A query text for DuckDB: ``{name}`` becomes the name, and the views it needs come first as common table expressions.
+
+    ``once``: every common table expression, those of the body too, is computed once and kept.
+    """
     need: list[str] = []
 
     def add(text: str) -> None:
@@ -79,4 +82,5 @@ def duckdb_sql(body: str) -> str:
     if not ctes:
         return body
     head = re.match(r"(?i)with\s+(recursive\s+)?", body)
-    return f"WITH {head[1] or ''}{ctes},\n{body[head.end():]}" if head else f"WITH {ctes}\n{body}"
+    text = f"WITH {head[1] or ''}{ctes},\n{body[head.end():]}" if head else f"WITH {ctes}\n{body}"
+    return re.sub(r"((?:WITH(?: RECURSIVE)?|,)\s+\w+) AS \((?=\s*(?:SELECT|WITH)\b)", r"\1 AS MATERIALIZED (", text) if once and not (head and head[1]) else text

@@ -104,3 +104,95 @@ def test_frameshift_scan(spark):
                         exp.add((name, at, shift))
     got = {(r.feature_id, r.at, r["shift"]) for r in X.frameshift_scan(spark.createDataFrame(rows, "feature_id string, seq string, rest string")).collect()}
     assert got == exp and len(exp) > 20
+
+
+def proteins_of(seqs, least, most=None):
+    """{id: protein} of every in-frame start before each stop, both strands, of ``least`` codons or more."""
+    table, out = C.table(11), {}
+    for name, seq in seqs:
+        for d, s in ((1, seq), (-1, turned(seq))):
+            for f in range(3):
+                codons = [s[k : k + 3] for k in range(f, len(s) - 2, 3)]
+                first = 0
+                for i, c in enumerate(codons):
+                    if c in STOPS:
+                        for j in range(first, i):
+                            if codons[j] in C.STARTS[11] and i - j + 1 >= least:
+                                a, b = f + 3 * j, f + 3 * (i + 1)
+                                a, b = (a, b) if d > 0 else (len(s) - b, len(s) - a)
+                                p = "".join(table[x] for x in codons[j:i])
+                                if most is None or len(p) <= most:
+                                    out[f"{name}:{a}:{b}:{d}"] = p
+                        first = i + 1
+    return out
+
+
+def long_frames(seed, n=12):
+    """Records with reading frames whose residues favour runs and boxes."""
+    rng = random.Random(seed)
+    by = {}
+    for c, r in C.table(11).items():
+        by.setdefault(r, []).append(c)
+    out = []
+    for i in range(n):
+        size = rng.choice([40, 90, 150, 210])
+        p = [rng.choice("FIWLVMYCATGSPRKDE") for _ in range(size)]
+        at = rng.randrange(8, 30)
+        p[at : at + 18] = [rng.choice("FIWLVMYCATGSP") for _ in range(18)]
+        p[12:16] = list("LAGC") if rng.random() < 0.7 else list("AWGC")
+        if size > 100:
+            p[85:110] = [rng.choice("FIWLVMYCATGSP") for _ in range(25)]
+        s = dna(rng, 20) + "ATG" + "".join(rng.choice(by[x]) for x in p) + "TAA" + dna(rng, 20)
+        out.append((f"s{i}", turned(s) if i % 2 else s))
+    return out
+
+
+def run_size(p, least, most, size_least, size_most):
+    region = p[least - 1 : least - 1 + min(most, len(p)) + 2 - least]
+    return next((n for n in range(size_most, size_least - 1, -1) if re.search(f"[{X.HYDROPHOBIC}]{{{n}}}", region)), None)
+
+
+def after_box(p, least, most, least_after, most_after):
+    region = p[least - 1 : least - 1 + most + 6 - least]
+    for box in X.LIPOBOXES:
+        m = re.search(box, region)
+        if m:
+            after = len(p) - (p.find(m[0]) + len(m[0])) + 1
+            if least_after <= after <= most_after:
+                return after
+    return None
+
+
+def test_candidates(spark):
+    seqs = long_frames(5, 50)
+    df = spark.createDataFrame(seqs, "seq_id string, seq string")
+    exp = {k: run_size(p, 10, 30, 10, 20) for k, p in proteins_of(seqs, 60).items() if not p.startswith("I")}
+    exp = {k: v for k, v in exp.items() if v}
+    assert {r.seq_id: r["size"] for r in E.inner_candidates(df).collect()} == exp and len(exp) > 5
+    boxed = {k: after_box(p, 10, 50, 30, 185) for k, p in proteins_of(seqs, 30).items()}
+    boxed = {k: v for k, v in boxed.items() if v}
+    assert {r.seq_id: r.after for r in E.outer_candidates(df).collect()} == boxed and len(boxed) > 5
+    one = {k: run_size(p, 75, 200, 15, 25) for k, p in proteins_of(seqs, 100, 200).items() if after_box(p, 10, 30, 60, 160)}
+    one = {k: v for k, v in one.items() if v}
+    assert {r.seq_id: r["size"] for r in E.single_candidates(df).collect()} == one and len(one) > 2
+    s, sizes = E.length_summary(E.inner_candidates(df)).first(), sorted(exp.values())
+    middle = (sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2
+    assert (s.n, s.least, s.most, s.median) == (len(sizes), sizes[0], sizes[-1], middle) and abs(s["mean"] - sum(sizes) / len(sizes)) < 1e-9
+
+
+def test_sar_table(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("FIWLVMYCATGSPFIWLVMYCATGSPKRDE") for _ in range(rng.randrange(5, 70)))) for i in range(200)]
+    exp = set()
+    for i, p in rows:
+        head, hits = p[:50], []
+        for n in range(6, 9):
+            for a in range(max(len(head) - n, 0)):
+                w = head[a : a + n]
+                if re.fullmatch(f"[{X.HYDROPHOBIC}]+|K[{X.HYDROPHOBIC}]+|[{X.HYDROPHOBIC}]+K", w):
+                    hits.append((-n, a))
+        if hits:
+            n, a = min(hits)
+            exp |= {(i, "inside", 0, a), (i, "membrane", a, a - n), (i, "outside", a - n, len(p))}
+    got = {tuple(r) for r in E.sar_table(spark.createDataFrame(rows, "seq_id long, seq string"), 6, 9).collect()}
+    assert got == exp and len(exp) > 100
