@@ -100,10 +100,10 @@ def block_regions_json(blocks: DataFrame) -> DataFrame:
 
 def backbone_edges(blocks: DataFrame) -> DataFrame:
     """(genome, source, target): successor edges of blocks along each genome, with null for the ends."""
-    w = Window.partitionBy("genome").orderBy("start", "lcb")
-    rows = blocks.select("genome", "lcb", F.lag("lcb").over(w).alias("before"), F.lead("lcb").over(w).alias("after"))
+    own = F.col("lcb")
+    rows = running(blocks.select("genome", "start", "lcb"), ["genome"], ["start", "lcb"], {"before": ("last", own, "before"), "after": ("last", own, "after")})
     edges = rows.select("genome", F.col("before").alias("source"), F.col("lcb").alias("target"))
-    return edges.unionByName(rows.where("after is null").select("genome", F.col("lcb").alias("source"), F.lit(None).cast("long").alias("target")))
+    return edges.unionByName(rows.where("after is null").select("genome", F.col("lcb").alias("source"), F.lit(None).cast(blocks.schema["lcb"].dataType).alias("target")))
 
 
 def gapped_hit_features(pairs: DataFrame, keys: list[str], ignore_under: int) -> DataFrame:

@@ -24,6 +24,34 @@ def safe_rotate(seqs: DataFrame, features: DataFrame, position: int, key: str =
     return out.select(key, "at", S.rotate(F.col("seq"), F.coalesce("at", F.lit(0)).cast("int")).alias("seq"))
 
 
+def safe_reopen(seqs: DataFrame, features: DataFrame, position: int, strand: int = 0, key: str = "record_id", ignored: tuple[str, ...] = ("remark", "DNA", "annotation")) -> DataFrame:
+    """(record, at, from_end, seq): each sequence opened in the middle of a gap between features, or between the last one and the record's end.
+
+    The gap that holds ``position`` is taken; else the nearest one before it for a plus ``strand``, behind it otherwise.
+    position -1 asks for the first gap of the record, -2 for the last one. With strand -1 the opened sequence is turned. Records
+    without such a gap stay as they are, at null; so do those without features. Features that only touch leave no gap.
+    """
+    lengths = seqs.select(F.col("seq_id").alias(key), F.length("seq").cast("long").alias("_n"))
+    used = features.where(~F.col("type").isin(*ignored)) if "type" in features.columns else features
+    spans = used.select(key, "start", "stop")
+    end = lengths.join(spans.select(key).distinct(), key, "left_semi").select(key, F.col("_n").alias("start"), (F.col("_n") + 1).alias("stop"))
+    free = I.gaps(spans.unionByName(end), (key,))
+    middle = F.floor((F.col("start") + F.col("stop")) / 2)
+    if position in (-1, -2):
+        order = F.col("start") if position == -1 else -F.col("start")
+    else:
+        holds = (F.col("start") < position) & (position < F.col("stop"))
+        near = F.col("stop") < position if strand > 0 else F.col("start") > position
+        away = position - F.col("stop") if strand > 0 else F.col("start") - position
+        free, order = free.where(holds | near), F.when(holds, -1).otherwise(away)
+    best = free.groupBy(key).agg(F.min_by(middle, F.struct(order, F.col("start"))).alias("at"))
+    out = seqs.select(F.col("seq_id").alias(key), "seq").join(best, key, "left")
+    opened = S.rotate(F.col("seq"), F.coalesce("at", F.lit(0)).cast("int"))
+    if strand == -1:
+        opened = F.when(F.col("at").isNotNull(), S.reverse_complement(opened)).otherwise(opened)
+    return out.select(key, "at", (F.length("seq") - F.col("at")).alias("from_end"), opened.alias("seq"))
+
+
 def subsection(features: DataFrame, cuts: DataFrame, key: str = "record_id") -> DataFrame:
     """(cut, feature_id, start, stop): features wholly inside a cut (cut, record, start, stop), shifted to its start."""
     met = I.overlap_join(features.select(key, "start", "stop", "feature_id"), cuts.select(key, "start", "stop", "cut"), key)
@@ -238,15 +266,8 @@ def cluster_sizes(members: DataFrame, least: int = 1) -> DataFrame:
 
 def read_subset(reads: DataFrame, genome_length: int, coverage: float, order: str) -> DataFrame:
     """The first reads in order whose summed length reaches a coverage."""
-    from genoloom.operators.ordered import ordered_positions
-
-    placed = ordered_positions(reads.withColumn("_all", F.lit(0)), ["_all"], [F.col(order)], "_at")
-    bins = placed.withColumn("_bin", F.floor(F.col("_at") / 4096))
-    total = bins.groupBy("_bin").agg(F.sum("length").alias("_n"))
-    before = total.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.coalesce(F.sum("length").over(Window.partitionBy("_bin").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = bins.withColumn("_i", inside).join(before, "_bin").where(F.col("_b") + F.col("_i") < genome_length * coverage)
-    return out.select(reads.columns)
+    placed = running(reads.withColumn("_all", F.lit(0)), ["_all"], [order], {"_before": ("sum", F.col("length"), "before")})
+    return placed.where(F.col("_before") < genome_length * coverage).select(reads.columns)
 
 
 def block_split(members: DataFrame, window: int, threshold: float = 0.7) -> DataFrame:

@@ -6,8 +6,9 @@ one join a level. Predicates are Spark columns.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,6 +160,27 @@ def adjacent_k(features: DataFrame, centres: DataFrame, k: int, key: str = "reco
     return met.select("centre", F.col("feature_id").alias("feature"), side.alias("side"))
 
 
+def adjacent_to_protein(features: DataFrame, seqs: DataFrame, proteins: DataFrame, behind: int = 1, forward: int = 1, type: str = "CDS", number: int = 11, key: str = "record_id") -> DataFrame:  # noqa: A002
+    """(query, centre, feature, side, apart): neighbours of every feature of a type whose translation equals a query protein.
+
+    proteins: (query, protein); stops at the end are not compared. ``behind`` features before and ``forward`` features after a
+    centre along the record count, among those of its type; on the minus strand those after it are its ``up`` side. apart is
+    the distance in places. Proteins meet by their text, so a query that many records hold is spread by them.
+    """
+    own = features.where(F.col("type") == type)
+    text = lambda c: F.regexp_replace(c, r"\*+$", "")
+    coded = part_sequences(own, seqs, key, name="_dna").select("feature_id", text(S.translate(F.col("_dna"), number, to_stop=False)).alias("_p"))
+    centres = coded.join(proteins.select("query", text(F.upper("protein")).alias("_p")).where("_p <> ''"), "_p").select("query", F.col("feature_id").alias("centre"))
+    centres = materialize(centres, "adjacent-centres")
+    k = max(behind, forward)
+    ranked = _places(own.select(key, "feature_id", "start", "stop", "strand"), key).select(key, "feature_id", "strand", "_n")
+    steps = F.explode(F.array(*(F.lit(i) for i in range(-behind, forward + 1) if i))).alias("_d") if k else F.explode(F.array().cast("array<int>")).alias("_d")
+    middle = ranked.join(centres.select(F.col("centre").alias("feature_id")).distinct(), "feature_id", "left_semi").select(key, F.col("feature_id").alias("centre"), F.col("strand").alias("_s"), "_n", steps)
+    met = ranked.join(middle.withColumn("_n", F.col("_n") + F.col("_d")), [key, "_n"])
+    side = F.when((F.col("_d") < 0) == (F.col("_s") > 0), "up").otherwise("down")
+    return centres.join(met.select("centre", F.col("feature_id").alias("feature"), side.alias("side"), F.abs("_d").alias("apart")), "centre").select("query", "centre", "feature", "side", "apart")
+
+
 def upstream_feature(features: DataFrame, key: str = "record_id") -> DataFrame:
     """(feature_id, upstream, distance): the nearest feature before each one on its strand, in its record."""
     slim = features.select(key, "feature_id", "start", "stop", (F.col("strand") > 0).alias("_plus"))
@@ -314,6 +336,52 @@ def update_from_table(features: DataFrame, edits: DataFrame) -> tuple[DataFrame,
     return out.select(features.columns), log
 
 
+#: What the log calls each change, in its order.
+EDIT_NAMES = {"name": "Name", "alias": "Alias", "parent": "Parent", "start": "Start", "stop": "End", "strand": "Strand", "note": "Notes", "other": "Other Qualifiers"}
+
+
+def edit_from_table(features: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(features, log): a table of edits applied by id, with its log (feature_id, changed, status).
+
+    edits: (feature_id, unique) and any of name, alias, parent (the first value of the qualifier of that name), new_start,
+    new_stop, new_strand (bounds as in features), note, and further columns, which become qualifiers of the column's name in
+    lower case with underscores. A column that is there but null leaves bounds, names and parent as they are, makes an
+    empty note, and takes another qualifier away. features: (feature_id, parent, start, stop, strand, attrs). The log names what
+    changed in the order of EDIT_NAMES, or None: ``Success``, ``No Change`` or ``ID not Found``.
+    """
+    own = [c for c in edits.columns if c != "feature_id"]
+    bounds = [c for c in ("start", "stop", "strand") if f"new_{c}" in own]
+    heads = [c for c in ("name", "alias", "parent") if c in own]
+    others = [c for c in own if c not in ("name", "alias", "parent", "note") and c not in {f"new_{b}" for b in bounds}]
+    e = edits.select("feature_id", *(F.col(c).alias(f"_e_{c}") for c in own), F.lit(True).alias("_there"))
+    rows = features.join(e, "feature_id", "left")
+    first = lambda k: F.try_element_at(F.try_element_at("attrs", F.lit(k)), F.lit(1))
+    old = lambda c: F.col("parent") if c == "parent" else first(c.capitalize())
+    changed = {c: F.col(f"_e_{c}").isNotNull() & ~F.col(f"_e_{c}").eqNullSafe(old(c)) for c in heads}
+    changed |= {b: F.col(f"_e_new_{b}").isNotNull() & (F.col(f"_e_new_{b}") != F.col(b)) for b in bounds}
+    values: dict[str, Column] = {c.capitalize(): F.when(changed[c], F.array(F.col(f"_e_{c}"))).otherwise(F.try_element_at("attrs", F.lit(c.capitalize()))) for c in heads}
+    if "note" in own:
+        now, note = F.try_element_at("attrs", F.lit("Note")), F.coalesce("_e_note", F.lit(""))
+        changed["note"] = F.col("_there") & F.when(now.isNotNull(), now != F.array(note)).otherwise(note != "")
+        values["Note"] = F.when(changed["note"], F.array(note)).otherwise(now)
+    keys = {c: re.sub(" ", "_", c.lower()) for c in others}
+    each = {c: F.col("_there") & ~F.when(F.col(f"_e_{c}").isNotNull(), F.array(F.col(f"_e_{c}").cast("string"))).eqNullSafe(F.try_element_at("attrs", F.lit(k))) for c, k in keys.items()}
+    if others:
+        changed["other"] = reduce(or_, each.values())
+        values |= {keys[c]: F.when(x, F.when(F.col(f"_e_{c}").isNotNull(), F.array(F.col(f"_e_{c}").cast("string")))).otherwise(F.try_element_at("attrs", F.lit(keys[c]))) for c, x in each.items()}
+    entries = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items())) if values else F.array()
+    kept = F.map_filter("attrs", lambda k, v: ~k.isin(*values)) if values else F.col("attrs")
+    attrs = F.map_concat(kept, F.map_from_entries(F.filter(entries, lambda x: x["value"].isNotNull()))) if values else kept
+    names = F.array_compact(F.array(*(F.when(F.coalesce(changed[c], F.lit(False)), F.lit(EDIT_NAMES[c])) for c in EDIT_NAMES if c in changed)))
+    new = {b: F.coalesce(f"_e_new_{b}", b) for b in bounds} | ({"parent": F.coalesce("_e_parent", "parent")} if "parent" in own else {})
+    new["attrs"] = F.when(F.col("_there"), attrs).otherwise(F.col("attrs"))
+    rows = rows.withColumn("_changed", names)
+    log = edits.select("feature_id").join(rows.where("_there").select("feature_id", "_changed"), "feature_id", "left")
+    status = F.when(F.col("_changed").isNull(), "ID not Found").when(F.size("_changed") == 0, "No Change").otherwise("Success")
+    log = log.select("feature_id", F.when(F.size("_changed") > 0, F.array_join("_changed", ", ")).otherwise("None").alias("changed"), status.alias("status"))
+    return rows.withColumns(new).select(features.columns), log
+
+
 def rename_from_table(features: DataFrame, names: DataFrame) -> DataFrame:
     """(feature_id, name): the new name by parent id, then by own id; ``Not Found`` without one. names: (id, name)."""
     by_parent = names.select(F.col("id").alias("parent"), F.col("name").alias("_a"))
@@ -419,6 +487,26 @@ def gene_diff(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFrame:
     return j.select(key, "end5", status.alias("status"), (F.col("x.feature_id") != F.col("y.feature_id")).alias("id_differs"), (F.col("x.strand") != F.col("y.strand")).alias("strand_differs"))
 
 
+def gene_differences(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFrame:
+    """(record, end5, first, second, differs): genes of two sets matched by 5' end, whatever their strand, with what differs: id, qualifiers, strand, start.
+
+    Of several genes of a set with one 5' end the last by start and id counts; an unmatched gene has null on the other side and
+    for differs. Where strands differ, starts are not compared; where they agree, the 5' ends do too, so ``start`` can't differ
+    then, and is listed for other ways of matching. a and b: (record, feature_id, start, stop, strand, attrs).
+    """
+
+    def side(d: DataFrame, x: str) -> DataFrame:
+        entries = F.array_sort(F.map_entries("attrs"))
+        row = F.struct("start", "feature_id", "stop", "strand", F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))).alias("attrs"))
+        return d.groupBy(key, _five(F.col("strand"), F.col("start"), F.col("stop")).alias("end5")).agg(F.max(row).alias(x))
+
+    j = side(a, "x").join(side(b, "y"), [key, "end5"], "full")
+    same = F.col("x.strand") == F.col("y.strand")
+    flags = [("id", F.col("x.feature_id") != F.col("y.feature_id")), ("qualifiers", ~F.col("x.attrs").eqNullSafe(F.col("y.attrs"))), ("strand", ~same), ("start", same & (_five(F.col("x.strand"), F.col("x.start"), F.col("x.stop")) != _five(F.col("y.strand"), F.col("y.start"), F.col("y.stop"))))]
+    differs = F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags))), ",")
+    return j.select(key, "end5", F.col("x.feature_id").alias("first"), F.col("y.feature_id").alias("second"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), differs).alias("differs"))
+
+
 def feature_match(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFrame:
     """(status, n): features of two sets matched by 3' end and strand: same place, moved start, only first, only second."""
     end = F.when(F.col("strand") > 0, F.col("stop")).otherwise(F.col("start"))

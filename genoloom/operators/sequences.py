@@ -83,6 +83,14 @@ def disambiguate(seqs: DataFrame, seed: int = 42) -> DataFrame:
     return seqs.withColumn("changes", S.count_of(out, codes).cast("long")).withColumn("seq", F.array_join(F.transform(letters, pick), ""))
 
 
+def disambiguation_table(seqs: DataFrame, seed: int = 42) -> DataFrame:
+    """(seq_id, pos, code, base): each IUPAC code that ``disambiguate`` replaces, with its 0-based place and the base taken. Texts are cut once; only codes become rows."""
+    old, new = F.split("seq", ""), F.split("_new", "")
+    both = disambiguate(seqs.withColumn("_old", F.col("seq")), seed).select("seq_id", F.col("_old").alias("seq"), F.col("seq").alias("_new"))
+    spots = F.filter(F.zip_with(F.transform(old, lambda c, i: F.struct(i.alias("pos"), c.alias("code"))), new, lambda a, b: F.struct(a["pos"].cast("long").alias("pos"), a["code"].alias("code"), b.alias("base"))), lambda x: x["code"] != x["base"])
+    return both.select("seq_id", F.explode(spots).alias("x")).select("seq_id", "x.pos", "x.code", "x.base")
+
+
 def aa_fraction(seqs: DataFrame, letters: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ*") -> DataFrame:
     """Length and the share of each letter among the letters counted."""
     counted = S.count_of(F.col("seq"), letters)

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoloom.operators import blocks as B
+from genoloom.functions import codon as C
 from genoloom.operators import editing as E
+from genoloom.operators import features as T
 from genoloom.operators import qc
 from genoloom.operators import relations as R
 from genoloom.operators import sequences as Q
@@ -171,3 +173,101 @@ def test_block_chains_look_at_every_member(spark):
     df = spark.createDataFrame([(lcb, g, a, b, 1) for lcb, g, a, b in rows], "lcb long, genome string, start long, stop long, strand int")
     assert {r.lcb: r.cluster for r in B.block_clusters(df, 100).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
     assert {(r.cluster, r.genome): (r.start, r.stop) for r in B.merged_blocks(df, 100).collect()} == {(1, "a"): (0, 6000), (1, "b"): (0, 6000), (3, "a"): (6050, 7200), (3, "b"): (6500, 91000)}
+
+
+@pytest.mark.parametrize("position,strand", [(120, 1), (120, -1), (120, 0), (-1, 0), (-2, 1), (5, 1), (399, 1), (399, -1)])
+def test_safe_reopen(spark, position, strand):
+    rng = random.Random(7)
+    seqs, rows = [], []
+    for r in "abcdef":
+        seqs.append((r, "".join(rng.choice("ACGT") for _ in range(400))))
+        for _ in range({"e": 0, "f": 1}.get(r, 9)):
+            a = rng.randrange(0, 380)
+            rows.append((r, a, min(400, a + rng.randrange(5, 60)), rng.choice(["gene", "gene", "remark"])))
+    rows.append(("f", 0, 400, "gene"))
+    exp = {}
+    for r, s in seqs:
+        spans = sorted([x[1], x[2]] for x in rows if x[0] == r and x[3] != "remark")
+        gaps, at = [], None
+        if spans:
+            reach = spans[0][1]
+            for a, b in [*spans[1:], [400, 401]]:
+                if a > reach:
+                    gaps.append((reach, a))
+                reach = max(reach, b)
+        if position < 0:
+            best = (gaps[0] if position == -1 else gaps[-1]) if gaps else None
+        else:
+            held = [g for g in gaps if g[0] < position < g[1]]
+            near = [g for g in gaps if (g[1] < position if strand > 0 else g[0] > position)]
+            best = held[0] if held else (max(near) if strand > 0 else min(near)) if near else None
+        if best:
+            at = sum(best) // 2
+        cut = s[at:] + s[:at] if at is not None else s
+        exp[r] = (at, None if at is None else 400 - at, turned(cut) if strand == -1 and at is not None else cut)
+    got = E.safe_reopen(spark.createDataFrame(seqs, "seq_id string, seq string"), spark.createDataFrame(rows, "record_id string, start long, stop long, type string"), position, strand)
+    assert {r.record_id: (r.at, r.from_end, r.seq) for r in got.collect()} == exp
+
+
+def test_edits_from_a_table(spark):
+    attrs = {"Name": ["n"], "Alias": ["a", "b"], "Note": ["old"], "kind_of": ["x"]}
+    rows = [("f1", "p", 0, 9, 1, attrs), ("f2", None, 5, 9, -1, {}), ("f3", None, 1, 2, 1, {"kind_of": ["x"]}), ("f4", None, 1, 2, 1, attrs)]
+    f = spark.createDataFrame(rows, "feature_id string, parent string, start long, stop long, strand int, attrs map<string,array<string>>")
+    edits = spark.createDataFrame(
+        [("f1", "m", "a", "q", 3, 9, -1, "new", "y"), ("f2", None, "z", None, None, None, None, None, "k"), ("f3", None, None, None, 1, 2, 1, None, "x"), ("f9", "m", None, None, None, None, None, None, None)],
+        "feature_id string, name string, alias string, parent string, new_start long, new_stop long, new_strand int, note string, `Kind of` string",
+    )
+    out, log = T.edit_from_table(f, edits)
+    got = {r.feature_id: r for r in out.collect()}
+    assert (got["f1"].parent, got["f1"].start, got["f1"].stop, got["f1"].strand) == ("q", 3, 9, -1) and got["f1"].attrs == {"Name": ["m"], "Alias": ["a", "b"], "Parent": ["q"], "Note": ["new"], "kind_of": ["y"]}
+    assert got["f2"].attrs == {"Alias": ["z"], "kind_of": ["k"]} and got["f2"].start == 5 and got["f4"].attrs == attrs and got["f3"].attrs == {"kind_of": ["x"]}
+    assert {r.feature_id: (r.changed, r.status) for r in log.collect()} == {
+        "f1": ("Name, Parent, Start, Strand, Notes, Other Qualifiers", "Success"), "f2": ("Alias, Other Qualifiers", "Success"), "f3": ("None", "No Change"), "f9": ("None", "ID not Found"),
+    }
+
+
+def test_gene_differences(spark):
+    schema = "record_id string, feature_id string, start long, stop long, strand int, attrs map<string,array<string>>"
+    a = [("r", "a", 0, 9, 1, {"k": ["v"], "l": ["w"]}), ("r", "b", 20, 30, -1, {}), ("r", "c", 40, 50, 1, {}), ("r", "d", 60, 70, 1, {})]
+    b = [("r", "a", 0, 12, 1, {"l": ["w"], "k": ["v"]}), ("r", "x", 30, 44, 1, {"k": ["v"]}), ("r", "c", 40, 50, 1, {"k": ["v"]}), ("r", "e", 80, 90, 1, {})]
+    got = {(r["first"], r.second): r.differs for r in T.gene_differences(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()}
+    assert got == {("a", "a"): "", ("b", "x"): "id,qualifiers,strand", ("c", "c"): "qualifiers", ("d", None): None, (None, "e"): None}
+
+
+@pytest.mark.parametrize("behind,forward", [(1, 1), (2, 0), (0, 3)])
+def test_neighbours_of_a_protein(spark, behind, forward):
+    rng, table = random.Random(8), C.table(11)
+    by = {r: c for c, r in table.items()}
+    proteins = ["MKV", "MLLA", "MW"]
+    rows, seqs = [], []
+    for rec in "ab":
+        s, at = "", 0
+        for i in range(14):
+            p, d = rng.choice(proteins), rng.choice([1, -1])
+            q = "ATG" + "".join(by[x] for x in p[1:]) + "TAA"
+            rows.append((rec, f"{rec}{i}", "CDS" if i % 5 else "gene", at, at + len(q), d))
+            s += q if d > 0 else turned(q)
+            at += len(q)
+        seqs.append((rec, s))
+    cds = [r for r in rows if r[2] == "CDS"]
+    exp = set()
+    for rec, s in seqs:
+        own = sorted((r for r in cds if r[0] == rec), key=lambda r: r[3])
+        for n, r in enumerate(own):
+            q = s[r[3] : r[4]] if r[5] > 0 else turned(s[r[3] : r[4]])
+            p = "".join(table[q[k : k + 3]] for k in range(0, len(q), 3)).rstrip("*")
+            if p in proteins[:2]:
+                for d in range(-behind, forward + 1):
+                    if d and 0 <= n + d < len(own):
+                        exp.add((p.lower(), r[1], own[n + d][1], "up" if (d < 0) == (r[5] > 0) else "down", abs(d)))
+    f = spark.createDataFrame(rows, "record_id string, feature_id string, type string, start long, stop long, strand int")
+    got = T.adjacent_to_protein(f, spark.createDataFrame(seqs, "seq_id string, seq string"), spark.createDataFrame([("mkv", "MKV*"), ("mlla", "mlla")], "query string, protein string"), behind, forward)
+    assert {tuple(r) for r in got.collect()} == exp and len(exp) > 10
+
+
+def test_disambiguation_table(spark):
+    rows = [(1, "ACGRYN"), (2, "ACGT"), (3, ""), (4, "nnk")]
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    new = {r.seq_id: r.seq for r in Q.disambiguate(df).collect()}
+    got = {(r.seq_id, r.pos): (r.code, r.base) for r in Q.disambiguation_table(df).collect()}
+    assert got == {(i, k): (c, new[i][k]) for i, s in rows for k, c in enumerate(s) if c.upper() not in "ACGT"} and len(got) == 6
