@@ -180,6 +180,16 @@ def record_metadata(records: DataFrame, fields: list[str], key: str = "record_id
     return records.unpivot(key, [F.col(f).cast("string").alias(f) for f in fields], "field", "value").where("value is not null")
 
 
+def record_references(records: DataFrame, first: bool = False, key: str = "record_id") -> DataFrame:
+    """(record, n, authors, title, journal, medline, pubmed, comment): the references of records, numbered from 1, or only the first of each; a missing field is empty.
+
+    The version at the end of a record's id goes. Records without references have no row.
+    """
+    cited = records.select(F.substring_index(F.col(key).cast("string"), ".", 1).alias(key), F.posexplode("references").alias("n", "x"))
+    cited = cited.where("n = 0") if first else cited
+    return cited.select(key, (F.col("n") + 1).alias("n"), *(F.coalesce(f"x.{c}", F.lit("")).alias(c) for c in ("authors", "title", "journal", "medline", "pubmed", "comment")))
+
+
 def cleavage_sites(sites: DataFrame, features: DataFrame) -> DataFrame:
     """(feature_id, start, stop, strand): a residue position of each feature's protein (feature_id, pos, 1-based) as the three bases around the cut."""
     plus = F.col("strand") > 0

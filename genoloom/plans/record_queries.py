@@ -9,7 +9,11 @@ from genoloom.operators import sequences as Q
 from genoloom.plans.editing_queries import _RECORDS, _changes
 from genoloom.plans.feature_queries import _f, _seqs, _shifted, _tree
 from genoloom.plans.sequence_queries import _PROTEIN, _WHOLE
+from genoloom.operators.submission import flatten_features
+from genoloom.plans.source_queries import _path
 from genoloom.plans.views import duckdb_sql, view
+from genoloom.sources import readers as R_
+from genoloom.sources import writers as W
 
 
 def _record_lengths(s, d):
@@ -39,6 +43,14 @@ def _notes(s, d):
     return _tree(s, d)
 
 
+def _cited(s, d):
+    """A record for each supplier, with two references, written as a flat file and read back."""
+    t = view(s, d, "supplier").select(F.concat(F.lit("LOCUS       s"), F.col("s_suppkey").cast("string"), F.lit(".1 4 bp DNA\nREFERENCE   1  (bases 1 to 4)\n  AUTHORS   "), "s_name", F.lit(" and\n            others\n  TITLE     t\n   PUBMED   "), F.col("s_nationkey").cast("string"), F.lit("\nREFERENCE   2\n  JOURNAL   j\nFEATURES             Location/Qualifiers\nORIGIN\n        1 acgt\n//")).alias("line"))
+    path = _path(s, "references")
+    W.write_lines(t, path)
+    return R_.read_genbank(s, path)[0]
+
+
 def _table(s, d):
     """Edits of every seventh coding feature, and of ids that no feature has."""
     a = _f(s, d, "CDS").where("start % 7 = 0")
@@ -66,6 +78,8 @@ def _short_proteins(s, d):
 
 
 QUERIES = {
+    "flatten_features": lambda s, d: flatten_features(_tree(s, d), "gp_").select("record_id", "feature_id", "type", "start", "stop", "strand", F.size("parts").alias("parts"), "locus_tag", F.try_element_at(F.try_element_at("attrs", F.lit("product")), F.lit(1)).alias("product"), F.size("attrs").alias("keys")),
+    "record_references": lambda s, d: E.record_references(_cited(s, d)),
     "safe_reopen": lambda s, d: E.safe_reopen(_seqs(s, d), _f(s, d), 5000, 1).select("record_id", "at", "from_end", F.md5("seq").alias("seq")),
     "safe_reopen_minus": lambda s, d: E.safe_reopen(_seqs(s, d), _f(s, d), 5000, -1).select("record_id", "at", "from_end", F.md5("seq").alias("seq")),
     "safe_reopen_last": lambda s, d: E.safe_reopen(_seqs(s, d), _f(s, d), -2).select("record_id", "at", "from_end", F.md5("seq").alias("seq")),
@@ -127,6 +141,13 @@ def _open(order, fits, q):
 
 _EDITS = """WITH f AS (SELECT feature_id, start, stop, 'n' || start % 4 AS name FROM {features} WHERE type = 'CDS'), e AS (SELECT feature_id, start % 2 = 0 AS named, start + start % 3 AS new_start, stop % 2 = 0 AS kind FROM f WHERE start % 7 = 0)"""
 ORACLE_SQL = {
+    "flatten_features": duckdb_sql("""WITH g AS (SELECT record_id, feature_id, 'gp_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS tag FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY start, stop, feature_id) AS n FROM {tree} WHERE type = 'gene')),
+        t AS (SELECT x.*, tag FROM {tree} x JOIN g ON g.feature_id = coalesce(x.parent, x.feature_id)),
+        c AS (SELECT record_id, parent, arg_min(feature_id, (start, stop, feature_id)) AS feature_id, arg_min(coalesce(product, ''), (start, stop, feature_id)) AS product, min(start) AS start, max(stop) AS stop, min(strand) AS strand, count(*) AS parts, any_value(tag) AS tag FROM t WHERE type = 'CDS' AND stop - start >= 10 GROUP BY record_id, parent)
+        SELECT record_id, feature_id, CASE type WHEN 'gene' THEN 'gene' ELSE 'RBS' END AS type, start, stop, strand, 1 AS parts, tag AS locus_tag, CASE WHEN type <> 'gene' THEN product END AS product, CASE WHEN type <> 'gene' AND product IS NOT NULL THEN 1 ELSE 0 END AS keys FROM t WHERE type IN ('gene', 'Shine_Dalgarno_sequence') OR type = 'exon' AND stop - start < 10
+        UNION ALL SELECT record_id, feature_id, 'CDS', start, stop, strand, parts, tag, nullif(product, ''), CASE WHEN product = '' THEN 1 ELSE 2 END FROM c"""),
+    "record_references": """SELECT 's' || s_suppkey AS record_id, 1 AS n, s_name || ' and others' AS authors, 't' AS title, '' AS journal, '' AS medline, CAST(s_nationkey AS VARCHAR) AS pubmed, '' AS comment FROM supplier
+        UNION ALL SELECT 's' || s_suppkey, 2, '', '', 'j', '', '', '' FROM supplier""",
     "safe_reopen": _open(**_BEFORE, q="q"),
     "safe_reopen_minus": _open(**_BEHIND, q="CASE WHEN at_ IS NULL THEN q ELSE reverse(translate(q, 'ACGT', 'TGCA')) END"),
     "safe_reopen_last": _open("-a", "true", "q"),

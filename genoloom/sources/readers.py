@@ -260,7 +260,9 @@ def read_gene_table(spark: SparkSession, path: str, record: str, start: str, sto
     return df.select(F.col(record).alias("record_id"), F.lit("gene").alias("type"), (F.least(a, b) - 1).alias("start"), F.greatest(a, b).alias("stop"), F.when(a <= b, 1).otherwise(-1).alias("strand"), text.alias("name"))
 
 
-_GENBANK = T.StructType([T.StructField(c, T.StringType()) for c in ("record_id", "organism", "source", "taxonomy", "date", "comment", "seq")] + [T.StructField("features", T.ArrayType(T.StructType([
+#: The lines of a reference and what they are called here.
+_REFERENCE = {"authors": "AUTHORS", "title": "TITLE", "journal": "JOURNAL", "medline": "MEDLINE", "pubmed": "PUBMED", "comment": "REMARK"}
+_GENBANK = T.StructType([T.StructField(c, T.StringType()) for c in ("record_id", "organism", "source", "taxonomy", "date", "comment", "seq")] + [T.StructField("references", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in _REFERENCE]))), T.StructField("features", T.ArrayType(T.StructType([
     T.StructField("type", T.StringType()), T.StructField("location", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])))])
 
 
@@ -301,10 +303,15 @@ def _genbank_record(block: str) -> dict:
                 features[-1]["location"] += text
     for f in features:
         f["attrs"] = {k: [_genbank_value(k, lines) for lines in v] for k, v in f["attrs"].items()}
+    def cited(text: str) -> dict:
+        found = {k: re.search(rf"^ {{2,3}}{name}\s+(.*(?:\n {{10,}}.*)*)", text, re.M) for k, name in _REFERENCE.items()}
+        return {k: re.sub(r"\s+", " ", m[1]).strip() if m else None for k, m in found.items()}
+
     locus = re.search(r"^LOCUS\s+(\S+).*?(\d{2}-[A-Z]{3}-\d{4})?\s*$", head, re.M)
     return {
         "record_id": locus[1] if locus else None, "organism": organism[1].strip() if organism else None, "source": field("SOURCE"), "taxonomy": re.sub(r"\s+", " ", organism[2]).strip() if organism else None,
-        "date": locus[2] if locus else None, "comment": field("COMMENT"), "seq": re.sub(r"[\s\d/]", "", origin.partition("\n")[2]).upper(), "features": features,
+        "date": locus[2] if locus else None, "comment": field("COMMENT"), "seq": re.sub(r"[\s\d/]", "", origin.partition("\n")[2]).upper(),
+        "references": [cited(re.split(r"\n(?=\S)", x)[0]) for x in re.split(r"^REFERENCE", head, flags=re.M)[1:]], "features": features,
     }
 
 

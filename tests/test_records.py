@@ -271,3 +271,21 @@ def test_disambiguation_table(spark):
     new = {r.seq_id: r.seq for r in Q.disambiguate(df).collect()}
     got = {(r.seq_id, r.pos): (r.code, r.base) for r in Q.disambiguation_table(df).collect()}
     assert got == {(i, k): (c, new[i][k]) for i, s in rows for k, c in enumerate(s) if c.upper() not in "ACGT"} and len(got) == 6
+
+
+def test_flat_features_for_submission(spark):
+    from genoloom.operators.submission import flatten_features
+
+    rows = [
+        ("g", None, "gene", 10, 50, 1, {"Name": ["gn"], "product": ["gp"]}), ("m", "g", "mRNA", 10, 60, 1, {}), ("c1", "m", "CDS", 12, 30, 1, {"Note": ["a"], "description": ["b"], "Dbxref": ["x:1"], "ID": ["c1"]}), ("c2", "m", "CDS", 40, 60, 1, {}),
+        ("e1", "m", "exon", 2, 8, 1, {}), ("e2", "m", "exon", 12, 60, 1, {}), ("h", None, "gene", 0, 5, -1, {}), ("c3", "h", "CDS", 0, 5, -1, {}), ("t", None, "terminator", 70, 80, 1, {"Note": ["z"]}), ("b", None, "binding_site", 1, 4, 1, {"owner": ["me"], "k": ["v"]}),
+        ("u", None, "CDS", 100, 130, -1, {"Name": ["12345678-1234-1234-1234-123456789012"]}), ("w", None, "CDS", 140, 170, -1, {"Name": ["plain"]}),
+    ]
+    df = spark.createDataFrame([("r", *x) for x in rows], FEATURE + ", attrs map<string,array<string>>")
+    got = {r.feature_id: (r.type, r.start, r.stop, [tuple(p) for p in r.parts], r.locus_tag, r.attrs) for r in flatten_features(df, "gp_").collect()}
+    assert got == {
+        "g": ("gene", 2, 60, [(2, 60, 1)], "gp_002", {}), "h": ("gene", 0, 5, [(0, 5, -1)], "gp_001", {}), "e1": ("RBS", 2, 8, [(2, 8, 1)], "gp_002", {}),
+        "c1": ("CDS", 12, 60, [(12, 30, 1), (40, 60, 1)], "gp_002", {"note": ["a", "b"], "db_xref": ["x:1"], "product": ["gp"], "transl_table": ["11"]}),
+        "t": ("regulatory", 70, 80, [(70, 80, 1)], None, {"regulatory_class": ["terminator"]}), "b": ("misc_binding", 1, 4, [(1, 4, 1)], None, {"k": ["v"]}),
+        "u": ("CDS", 100, 130, [(100, 130, -1)], None, {"transl_table": ["11"]}), "w": ("CDS", 140, 170, [(140, 170, -1)], None, {"product": ["plain"], "transl_table": ["11"]}),
+    }

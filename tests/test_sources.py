@@ -146,3 +146,15 @@ def test_parts_go_through_writers_and_readers(spark, tmp_path):
     W.write_gff3(f, str(tmp_path / "gff"))
     merged = R.merge_split_locations(R.read_gff3(spark, str(tmp_path / "gff"))).orderBy("feature_id").collect()
     assert [[tuple(p) for p in r.parts] for r in merged] == [[(30, 40, -1), (2, 9, -1)], [(0, 7, 1), (45, 50, 1)], [(3, 6, 1)]]
+
+
+def test_genbank_references(spark, tmp_path):
+    from genoloom.operators.editing import record_references
+
+    text = (
+        "LOCUS       g1.2 30 bp DNA\nREFERENCE   1  (bases 1 to 30)\n  AUTHORS   A,B. and\n            C,D.\n  TITLE     A title\n  JOURNAL   J 1\n   PUBMED   77\n"
+        "REFERENCE   2\n  AUTHORS   E,F.\n  REMARK    said\nCOMMENT     none\nFEATURES             Location/Qualifiers\n     CDS             1..9\nORIGIN\n        1 acgt\n//\nLOCUS       g2 4 bp DNA\nFEATURES             Location/Qualifiers\nORIGIN\n        1 acgt\n//\n"
+    )
+    records, _ = R.read_genbank(spark, put(tmp_path, "r.gb", text))
+    assert sorted(tuple(r) for r in record_references(records).collect()) == [("g1", 1, "A,B. and C,D.", "A title", "J 1", "", "77", ""), ("g1", 2, "E,F.", "", "", "", "", "said")]
+    assert record_references(records, first=True).count() == 1 and {r.record_id: r.comment for r in records.collect()} == {"g1.2": "none", "g2": None}
