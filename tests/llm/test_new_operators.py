@@ -52,7 +52,7 @@ def vector_table(spark, data):
     return spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("cluster", F.lit("x")).withColumn("id", F.lit(1)).withColumn("v", F.lit(2)).repartition(3)
 
 
-@pytest.mark.parametrize("seed,n,dim,k,rounds", [(1, 300, 64, 16, 3), (2, 200, 5, 7, 6), (3, 9, 3, 16, 3), (4, 150, 2, 4, 0), (5, 120, 1, 12, 5)])
+@pytest.mark.parametrize("seed,n,dim,k,rounds", [(1, 300, 64, 16, 3), (3, 9, 3, 16, 3), (4, 150, 2, 4, 0), (5, 120, 1, 12, 5)])
 def test_clusters_equal_plain_kmeans(spark, seed, n, dim, k, rounds):
     data = vectors(seed, n, dim, spread=0.01 if seed == 5 else 0.4)
     got = cluster_vectors(vector_table(spark, data), k=k, rounds=rounds, dim=dim)
@@ -147,8 +147,7 @@ def check_pieces(got, docs, capacity):
     return len(by)
 
 
-@pytest.mark.parametrize("data", [rows(1), odd_rows(), [(1, None, None, None, None)], [(1, "x <|endoftext|> a", "en", "s", 3)] * 5])
-@pytest.mark.parametrize("capacity,stream", [(64, 8), (2048, 4096), (1, 5)])
+@pytest.mark.parametrize("data,capacity,stream", [(rows(1), 64, 8), (odd_rows(), 2048, 4096), ([(1, None, None, None, None)], 64, 8), ([(1, "x <|endoftext|> a", "en", "s", 3)] * 5, 1, 5)])
 def test_best_fit_packing_round_trip(spark, data, capacity, stream):
     got = pack_documents_best_fit(clashing(table(spark, data)), tokenizer()[1], capacity=capacity, stream_pieces=stream, open_bins=4, with_ids=True).collect()
     check_pieces(got, data, capacity)
