@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from genoloom.llm.arrow_groups import sorted_groups
-from genoloom.llm.packing import _byte_letters, token_bytes
+from genoloom.llm.packing import _byte_letters, byte_encoder, token_bytes
 from genoloom.session import materialize
 
 RADIXES = 16  # parts of the pairs, by the first tokenizer's id
@@ -81,11 +81,42 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+class Words(dict):
+    """Both sides' ids, as little-endian 32-bit bytes, of a word behind a space; a bounded number of entries is kept.
+
+    None for words that can't stand for themselves: empty ones, those that begin with white space (their space may join
+    another token), and those that don't come back byte by byte from both sides.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        self.encode_a, self.b, self.bytes_a = byte_encoder(path_a).encode_ordinary, _pieces(path_b), byte_level_pieces(path_a)
+
+    def __missing__(self, word: str) -> tuple[bytes, bytes] | None:
+        both = self.of(word)
+        if len(self) < _CACHE_ENTRIES and len(word) <= _CACHE_CHARS:
+            self[word] = both
+        return both
+
+    def of(self, word: str) -> tuple[bytes, bytes] | None:
+        if not word or word[0].isspace() or "▁" in word or not self.b.by_word:
+            return None
+        a, b = self.encode_a(" " + word), self.b.model.encode(word, num_threads=1)
+        target = (" " + word).encode("utf-8", "surrogatepass")
+        if b"".join([self.bytes_a[i] for i in a]) != target or b"".join([self.b.bytes[i] for i in b]) != target:
+            return None
+        return np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def _words(path_a: str, path_b: str) -> Words:
+    return Words(path_a, path_b)
+
+
 class Aligner:
     """Aligns batches of texts; see ``batch``."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.path_a, self.b = path_a, _pieces(path_b)
+        self.path_a, self.b, self.words = path_a, _pieces(path_b), _words(path_a, path_b)
         self.bytes_a, self.bytes_b = byte_level_pieces(path_a), self.b.bytes
         self.len_a, self.len_b = (np.array([len(p) for p in x], np.int64) for x in (self.bytes_a, self.bytes_b))
         # how an id is written: first tokenizer inside a group and at its end, then the same for the second
@@ -93,8 +124,14 @@ class Aligner:
         self.bits_a, self.bits_b = len(self.bytes_a).bit_length(), len(self.bytes_b).bit_length()
 
     def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Both id sequences, or empty ones if the text is null or empty or doesn't come back byte by byte from both."""
+        """Both id sequences, or empty ones if the text is null or empty or doesn't come back byte by byte from both.
+
+        A text whose words all come back is its words' ids; any other one is encoded as a whole.
+        """
         if text:
+            told = list(map(self.words.__getitem__, text.split(" ")))
+            if None not in told:
+                return tuple(np.frombuffer(b"".join([x[k] for x in told]), "<i4") for k in (0, 1))
             target = b" " + text.encode("utf-8", "surrogatepass")
             a, b = np.frombuffer(token_bytes(" " + text, self.path_a), "<i4"), np.frombuffer(self.b.encode(text), "<i4")
             if self.len_b[b].sum() == len(target) == self.len_a[a].sum():

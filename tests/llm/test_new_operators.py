@@ -282,6 +282,22 @@ def test_pieces_by_word_equal_the_whole_text():
         assert np.frombuffer(pieces.encode(t), "<i4").tolist() == pieces.model.encode(t)
 
 
+def test_ids_word_by_word_equal_the_libraries_own():
+    aligner, rng = token_alignment.Aligner(*models()), random.Random(6)
+    own, _ = tokenizer()
+    own.encode_special_tokens = True
+    alphabet = ["a", "the", "Stein", " ", " ", " ", "\n", "\n", "\n\n", "\t", ".", "'s", "\u00e9", "\U0001f642", "\u2581", "12", "-", "\u4e2d", "\x0b", "\u00a0", "\r\n", "<s>", "<|endoftext|>"]
+    found = 0
+    for _ in range(6000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14)))
+        a, b = (x.tolist() for x in aligner.ids(t))
+        ea, eb = own.encode(" " + t, add_special_tokens=False).ids, aligner.b.model.encode(t)
+        whole = b"".join(aligner.bytes_b[i] for i in eb) == (" " + t).encode()
+        assert (a, b) == ((ea, eb) if whole else ([], [])), t
+        found += whole
+    assert found > 3000
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_merged_runs_hold_every_record_in_order(monkeypatch, seed):
     monkeypatch.setattr(token_alignment, "BLOCK", 5)
