@@ -13,6 +13,7 @@ from genoloom.operators import features as T
 from genoloom.operators import intervals as I  # noqa: E741
 from genoloom.operators import scans as X
 from genoloom.operators.blocked import running
+from genoloom.operators.qc import bounds_in_frame, qc_missing_rbs
 from genoloom.session import materialize
 
 
@@ -442,6 +443,21 @@ def overlap_compare(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataF
     return every.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def missing_rbs_messages(features: DataFrame, seqs: DataFrame, least: int = 5, most: int = 15, key: str = "record_id") -> DataFrame:
+    """(record_id, feature_id, rule, message, upstream): the genes of ``qc_missing_rbs`` with the bases ``most`` to ``least`` before their start, in lower case, and whether a binding motif lies there.
+
+    Bounds outside the record are moved by threes until inside. Genes of records without a sequence are left out.
+    """
+    lost = features.join(qc_missing_rbs(features).select("feature_id"), "feature_id", "left_semi").join(seqs.select(F.col("seq_id").alias(key), F.length("seq").cast("long").alias("_n")), key)
+    plus = F.col("strand") > 0
+    lo, hi = F.when(plus, F.col("start") - most).otherwise(F.col("stop") + least), F.when(plus, F.col("start") - least).otherwise(F.col("stop") + most)
+    w = bounds_in_frame(lo, hi, F.col("_n"))
+    spot = lost.withColumn("_w", w).select(F.col(key), "feature_id", F.least("_w.start", "_w.stop").alias("start"), F.greatest("_w.start", "_w.stop").alias("stop"), "strand")
+    found = T.part_sequences(spot, seqs, key)
+    message = F.when(F.col("seq").rlike("|".join(X.SD_MOTIFS)), "Unannotated but valid RBS").otherwise("No RBS annotated, None found")
+    return found.select(F.col(key).alias("record_id"), "feature_id", F.lit("missing_rbs").alias("rule"), message.alias("message"), F.lower("seq").alias("upstream"))
+
+
 def qc_corrected_genes(genes: DataFrame, cds: DataFrame) -> DataFrame:
     """(record_id, feature_id, rule, message): coding features without a gene of their 3' end, and genes without a coding feature."""
     tagged = T.locus_tags(genes, cds)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from genoloom.operators import editing as E
 from genoloom.operators import features as T
 from genoloom.operators import relations as R
+from genoloom.operators import scans as X
 from genoloom.operators import sequences as Q
 from genoloom.plans.editing_queries import _RECORDS, _changes
 from genoloom.plans.feature_queries import _f, _seqs, _shifted, _tree
@@ -80,6 +81,7 @@ def _short_proteins(s, d):
 QUERIES = {
     "flatten_features": lambda s, d: flatten_features(_tree(s, d), "gp_").select("record_id", "feature_id", "type", "start", "stop", "strand", F.size("parts").alias("parts"), "locus_tag", F.try_element_at(F.try_element_at("attrs", F.lit("product")), F.lit(1)).alias("product"), F.size("attrs").alias("keys")),
     "record_references": lambda s, d: E.record_references(_cited(s, d)),
+    "missing_rbs_messages": lambda s, d: E.missing_rbs_messages(_tree(s, d), _seqs(s, d)),
     "safe_reopen": lambda s, d: E.safe_reopen(_seqs(s, d), _f(s, d), 5000, 1).select("record_id", "at", "from_end", F.md5("seq").alias("seq")),
     "safe_reopen_minus": lambda s, d: E.safe_reopen(_seqs(s, d), _f(s, d), 5000, -1).select("record_id", "at", "from_end", F.md5("seq").alias("seq")),
     "safe_reopen_last": lambda s, d: E.safe_reopen(_seqs(s, d), _f(s, d), -2).select("record_id", "at", "from_end", F.md5("seq").alias("seq")),
@@ -148,6 +150,11 @@ ORACLE_SQL = {
         UNION ALL SELECT record_id, feature_id, 'CDS', start, stop, strand, parts, tag, nullif(product, ''), CASE WHEN product = '' THEN 1 ELSE 2 END FROM c"""),
     "record_references": """SELECT 's' || s_suppkey AS record_id, 1 AS n, s_name || ' and others' AS authors, 't' AS title, '' AS journal, '' AS medline, CAST(s_nationkey AS VARCHAR) AS pubmed, '' AS comment FROM supplier
         UNION ALL SELECT 's' || s_suppkey, 2, '', '', 'j', '', '', '' FROM supplier""",
+    "missing_rbs_messages": duckdb_sql(f"""WITH k AS (SELECT parent FROM {{tree}} WHERE parent IS NOT NULL GROUP BY parent HAVING count_if(type = 'CDS') > 0 AND count_if(type = 'Shine_Dalgarno_sequence') = 0),
+        g AS (SELECT t.record_id, feature_id, strand, seq, length(seq) AS len, CASE WHEN strand > 0 THEN start - 15 ELSE stop + 5 END AS lo, CASE WHEN strand > 0 THEN start - 5 ELSE stop + 15 END AS hi FROM {{tree}} t JOIN k ON k.parent = t.feature_id JOIN {_RECORDS} r ON r.record_id = t.record_id),
+        v AS (SELECT *, CASE WHEN lo < 0 THEN ((lo % 3) + 3) % 3 ELSE lo END AS l2, CASE WHEN hi > len THEN hi - 3 * CAST(ceil((hi - len) / 3) AS BIGINT) ELSE hi END AS h2 FROM g),
+        u AS (SELECT *, CASE WHEN strand > 0 THEN p ELSE reverse(translate(p, 'ACGT', 'TGCA')) END AS up FROM (SELECT *, substring(seq, greatest(least(l2, h2), 0) + 1, greatest(greatest(l2, h2) - greatest(least(l2, h2), 0), 0)) AS p FROM v))
+        SELECT record_id, feature_id, 'missing_rbs' AS rule, CASE WHEN regexp_matches(up, '{"|".join(X.SD_MOTIFS)}') THEN 'Unannotated but valid RBS' ELSE 'No RBS annotated, None found' END AS message, lower(up) AS upstream FROM u"""),
     "safe_reopen": _open(**_BEFORE, q="q"),
     "safe_reopen_minus": _open(**_BEHIND, q="CASE WHEN at_ IS NULL THEN q ELSE reverse(translate(q, 'ACGT', 'TGCA')) END"),
     "safe_reopen_last": _open("-a", "true", "q"),
