@@ -147,6 +147,13 @@ def long_frames(seed, n=12):
     return out
 
 
+def test_no_motif_lies_before_the_record(spark):
+    genes = spark.createDataFrame([(1, "f0", 0, 90, 1), (1, "f1", 1, 90, 1), (1, "f2", 2, 90, 1), (1, "f6", 6, 90, 1)], "record_id long, feature_id string, start long, stop long, strand int")
+    seqs = spark.createDataFrame([(1, "AGGTTT" * 40)], "seq_id long, seq string")
+    found = {(r.feature_id, r.motif, r.gap, r.start, r.stop) for r in X.sd_scan(genes, seqs, top_only=False).collect()}
+    assert found == {("f6", "AGG", 3, 0, 3)}
+
+
 def run_size(p, least, most, size_least, size_most):
     region = p[least - 1 : least - 1 + min(most, len(p)) + 2 - least]
     return next((n for n in range(size_most, size_least - 1, -1) if re.search(f"[{X.HYDROPHOBIC}]{{{n}}}", region)), None)
