@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from genoloom.operators.blocked import choose_disjoint, running
 from genoloom.operators.features import upstream_feature
 from genoloom.operators.hits import hsp_groups, hsp_windows
+from genoloom.plans.hit_queries import QUERIES
 
 
 def test_running_values_equal_plain_loops(spark):
@@ -86,6 +87,13 @@ def test_windows_of_hits_equal_the_definition(spark):
     assert {r.subject: (r.window_start, r.share) for r in hsp_windows(df, 100).collect()} == exp
 
 
+def test_windows_of_all_subjects(spark):
+    df = spark.createDataFrame([(f"s{i}", 5, 20, 7, 15) for i in range(30)], "subject string, sstart long, sstop long, nident long, length long")
+    assert hsp_windows(df, 100, k=None).count() == 30 and hsp_windows(df, 100).count() == 10
+    plan = QUERIES["hsp_windows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "Limit" not in plan
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_disjoint_choice_over_many_blocks(spark, seed):
     rng = random.Random(seed)
