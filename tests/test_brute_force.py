@@ -147,6 +147,26 @@ def long_frames(seed, n=12):
     return out
 
 
+def test_reading_frames_of_odd_sequences(spark, monkeypatch):
+    monkeypatch.setattr(X, "_ORF_TEXT", 500)
+    rng = random.Random(8)
+    seqs = [(i, "".join(rng.choice("ACGTACGTACGTNacgt\u00e9") for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 5, 400, 3000, 0, 700])] + [(9, None), (10, "ATG" * 300 + "TAA")]
+    exp, table = set(), C.table(11)
+    for i, seq in seqs:
+        for way in (1, -1) if seq else ():
+            s = seq.upper() if way > 0 else turned(seq.upper())
+            for a in range(len(s) - 2):
+                if s[a : a + 3] in C.STARTS[11]:
+                    b = next((k + 3 for k in range(a, len(s) - 2, 3) if s[k : k + 3] in STOPS), None)
+                    if b and (b - a) // 3 >= 8:
+                        exp.add((i, a if way > 0 else len(s) - b, b if way > 0 else len(s) - a, way, (b - a) // 3, s[a:b], "".join(table.get(s[k : k + 3], "X") for k in range(a, b, 3))))
+    df = spark.createDataFrame(seqs, "seq_id long, seq string")
+    got = X.orf_scan(df, 11, 8)
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == exp and len(rows) == len(exp) > 300
+    assert {r[:5] for r in exp} == {tuple(r) for r in X.orf_scan(df, 11, 8, with_sequence=False).collect()}
+
+
 def test_no_motif_lies_before_the_record(spark):
     genes = spark.createDataFrame([(1, "f0", 0, 90, 1), (1, "f1", 1, 90, 1), (1, "f2", 2, 90, 1), (1, "f6", 6, 90, 1)], "record_id long, feature_id string, start long, stop long, strand int")
     seqs = spark.createDataFrame([(1, "AGGTTT" * 40)], "seq_id long, seq string")
