@@ -167,6 +167,18 @@ def test_reading_frames_of_odd_sequences(spark, monkeypatch):
     assert {r[:5] for r in exp} == {tuple(r) for r in X.orf_scan(df, 11, 8, with_sequence=False).collect()}
 
 
+def test_subsection_lays_cuts_in_few_bins(spark, monkeypatch):
+    rng, widths = random.Random(9), []
+    features = [(i % 3, at := rng.randrange(3000), at + rng.randrange(1, 90), f"f{i}") for i in range(400)]
+    cuts = [(i % 3, at := rng.randrange(2500), at + (900 if i else 5000), i) for i in range(12)]
+    join = E.I.overlap_join
+    monkeypatch.setattr(E.I, "overlap_join", lambda *a, **k: widths.append(k.get("width")) or join(*a, **k))
+    got = E.subsection(spark.createDataFrame(features, "record_id long, start long, stop long, feature_id string"), spark.createDataFrame(cuts, "record_id long, start long, stop long, cut long"))
+    exp = {(c, f, a - lo, b - lo) for r, lo, hi, c in cuts for k, a, b, f in features if k == r and lo <= a and b <= hi}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == exp and len(rows) == len(exp) > 100 and widths[0] >= 900
+
+
 def test_no_motif_lies_before_the_record(spark):
     genes = spark.createDataFrame([(1, "f0", 0, 90, 1), (1, "f1", 1, 90, 1), (1, "f2", 2, 90, 1), (1, "f6", 6, 90, 1)], "record_id long, feature_id string, start long, stop long, strand int")
     seqs = spark.createDataFrame([(1, "AGGTTT" * 40)], "seq_id long, seq string")
